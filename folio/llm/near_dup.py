@@ -14,9 +14,10 @@ from folio.llm.shingles import M, Shingler, band_keys, blocks, likely, mix64, sk
 
 #: Registers in a band. 32 bands of 5 miss a pair of similarity 0.8 once in 300,000 cases.
 ROWS = 5
-#: Members of a bucket up to which all pairs across components are tried at once; block of the exact tiles beyond.
+#: Members of a bucket up to which all pairs across components are tried at once; block of the exact
+#: tiles beyond; members tried against a larger bucket in one round, and rounds before the tiles.
 SMALL, TILE = 24, 1_000
-PIVOT_ROUNDS = 3
+PIVOTS, PIVOT_ROUNDS = 4, 2
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
@@ -54,30 +55,39 @@ def _maybe(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return pairs.mapInPandas(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs with den * |intersection| >= num * |union|, on the full shingle sets."""
+def _texts(docs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, text) of the classes that share a bucket with another: what is verified later reads only these."""
+    used = written(classes.select("node", "t1", "t2").join(rows.select("node").distinct(), "node", "left_semi"), "near-used")
+    t1, t2 = fingerprint(F.coalesce("text", F.lit("")))
+    found = docs.select("text", t1.alias("t1"), t2.alias("t2")).join(used, ["t1", "t2"])
+    return written(found.groupBy("node").agg(F.first("text").alias("text")), "near-texts")
+
+
+def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    if den * min(len(a), len(b)) < num * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return den * both >= num * (len(a) + len(b) - both)
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler(k)
-        for pdf in batches:
-            yield pd.DataFrame({"node": pdf["node"], "set": [shingler.set_of(t).tobytes() for t in pdf["text"]]})
+
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs with den * |intersection| >= num * |union|, on the full shingle sets. Texts
+    travel, not sets, as they are smaller; the set of the last `a` is kept for its next pair."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler, last, a = Shingler(k), None, None
         for pdf in batches:
             keep = []
-            for x, y in zip(pdf["sa"], pdf["sb"], strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(den * both >= num * (len(a) + len(b) - both))
+            for node, x, y in zip(pdf["a"], pdf["sa"], pdf["sb"], strict=True):
+                if node != last:
+                    last, a = node, shingler.set_of(x)
+                keep.append(_linked(a, shingler.set_of(y), num, den))
             yield pdf.loc[keep, ["a", "b"]]
 
     used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    used = written(classes.select("node", "t1", "t2").join(used, "node", "left_semi"), "near-used")
-    t1, t2 = fingerprint(F.coalesce("text", F.lit("")))
-    texts = docs.select("text", t1.alias("t1"), t2.alias("t2")).join(used, ["t1", "t2"]).groupBy("node").agg(F.first("text").alias("text"))
-    held = written(texts.mapInPandas(sets, "node long, set binary"), "near-sets")
-    for s in "ab":
-        pairs = pairs.join(held.select(F.col("node").alias(s), F.col("set").alias(f"s{s}")), s)
+    held = texts.join(written(used, "near-used"), "node", "left_semi")
+    for s in "ba":
+        pairs = pairs.join(held.select(F.col("node").alias(s), F.col("text").alias(f"s{s}")), s)
     return pairs.mapInPandas(compare, "a long, b long")
 
 
@@ -109,30 +119,62 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _tiles(rows: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Likely pairs across components in buckets of any size: each bucket is dealt into blocks
-    of about TILE members, and each pair of blocks is one group, so a task holds two blocks."""
-    held = rows.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("k"))
-    rows = rows.join(held, "key").join(classes.select("node", "n", "registers"), "node")
-    rows = rows.withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
+def _tiles(rows: DataFrame, classes: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links across components in buckets of any size: each bucket is dealt into blocks of about
+    TILE members, and each pair of blocks is one group, so a task holds two blocks. All pairs
+    of a tile whose labels differ are looked at by registers, the likely ones by their sets;
+    what a tile has already joined is skipped, so it returns fewer links than it has labels."""
+    held = rows.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    rows = rows.join(held, "key").join(classes.select("node", "n", "registers"), "node").join(texts, "node")
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
     rows = rows.withColumns({"p": F.least("i", "j"), "q": F.greatest("i", "j")})
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = pdf[pdf["i"] == pdf["p"]], pdf[pdf["i"] == pdf["q"]]
         x, y = (np.frombuffer(b"".join(d["registers"]), np.uint16).reshape(-1, M) for d in (lo, hi))
-        out = []
+        shingler, sets, up, out = Shingler(k), {}, {}, []
+        text = dict(zip(pdf["node"], pdf["text"], strict=True))
+
+        def of(node: int) -> np.ndarray:
+            if node not in sets:
+                sets[node] = shingler.set_of(text[node])
+            return sets[node]
+
+        def top(label: int) -> int:
+            while up.setdefault(label, label) != label:
+                up[label] = label = up[up[label]]
+            return label
+
+        ll, hl = lo["label"].to_numpy(), hi["label"].to_numpy()
+        band = int(np.flatnonzero(band_keys(x[:1], ROWS)[0] == pdf["key"].iat[0])[0]) if len(x) else 0
         for at in range(0, len(x), 64):
             near = (x[at : at + 64, None, :] == y[None]).sum(2) >= 0.55 * M
-            r, c = np.nonzero(near & (lo["label"].to_numpy()[at : at + 64, None] != hi["label"].to_numpy()[None]))
-            ok = likely(x[at + r], y[c], lo["n"].to_numpy(float)[at + r], hi["n"].to_numpy(float)[c], least)
-            a, b = lo["node"].to_numpy()[at + r[ok]], hi["node"].to_numpy()[c[ok]]
-            out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+            r, c = np.nonzero(near & (ll[at : at + 64, None] != hl[None]))
+            # a pair that agrees in an earlier band too is left to the bucket of that band
+            before = (x[at + r, : band * ROWS] == y[c, : band * ROWS]).reshape(len(r), band, ROWS).all(2).any(1)
+            r, c = r[~before], c[~before]
+            ok = likely(x[at + r], y[c], lo["n"].to_numpy(float)[at + r], hi["n"].to_numpy(float)[c], num / den)
+            for r_, c_ in zip(at + r[ok], c[ok], strict=True):
+                if (s := top(ll[r_])) != (t := top(hl[c_])) and _linked(of(a := lo["node"].iat[r_]), of(b := hi["node"].iat[c_]), num, den):
+                    up[s] = t
+                    out.append((a, b))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("key", "p", "q").applyInPandas(tile, "a long, b long")
 
 
+def _against_pivots(active: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a few members of each bucket's largest component with the bucket's members of others.
+
+    The members are those that come first by hash, so that buckets of the same texts choose the same."""
+    cells = active.groupBy("key", "label").agg(F.count("*").alias("m"), *[F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node")).alias(f"p{i}") for i in range(PIVOTS)])
+    largest = cells.groupBy("key").agg(F.max(F.struct("m", "label", *[f"p{i}" for i in range(PIVOTS)])).alias("x"))
+    pivots = written(largest.select("key", F.col("x.label").alias("pl"), F.array_distinct(F.array(*[F.col(f"x.p{i}.node") for i in range(PIVOTS)])).alias("pivots")), "near-pivots")
+    tries = active.join(pivots, "key").where("label <> pl").select("node", F.explode("pivots").alias("pivot"))
+    return tries.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, t1, t2 for every row of docs(doc_id, text).
 
@@ -145,9 +187,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
 
     Rows with equal sets are one class, so copies cost nothing beyond their sketch. In a
     bucket of equal bands every class is first tried against the bucket's least class; what
-    then lies in different components is tried further: all pairs of a small bucket, the
-    least member of the smallest component against the others in a large one, and at last
-    exact tiles of registers. Pairs inside a component are never tried: they change nothing.
+    then lies in different components is tried further: all pairs of a small bucket, a few
+    members of the largest component against the others in a large one, and at last exact
+    tiles. Pairs inside a component are never tried: they change nothing.
     """
     small_batches(docs.sparkSession)
     least = num / den
@@ -157,39 +199,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     members = classes.select("node", F.explode("bands").alias("key"))
     leads = written(members.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("c")).where("c > 1"), "near-leads")
     rows = written(members.join(leads, "key"), "near-buckets")
-    pairs = rows.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    labels, active, turn = None, rows.select("key", "node"), 0
-    tried = written(pairs, "near-pairs")
-    while True:
-        candidates = written(_maybe(tried, classes, least), "near-likely") if turn <= PIVOT_ROUNDS else tried
-        if candidates.limit(1).count():
-            edges = written(_verified(candidates, docs, classes, k, num, den), "near-edges")
-            if edges.limit(1).count():
-                labels = components(edges, labels)
-        if turn > PIVOT_ROUNDS:
-            break
+    texts = _texts(docs, classes, rows)
+
+    def linked(pairs: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+        some = written(_maybe(written(pairs.distinct(), "near-pairs"), classes, least), "near-likely")
+        return joined(_verified(some, texts, k, num, den), labels) if some.limit(1).count() else labels
+
+    def joined(edges: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+        edges = written(edges, "near-edges")
+        return components(edges, labels) if edges.limit(1).count() else labels
+
+    def open_buckets(active: DataFrame, labels: DataFrame | None) -> DataFrame:
         marked = written(_labelled(active, labels), "near-marked")
-        open_ = marked.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("c")).where("l0 <> l1").select("key", "c")
-        open_ = written(open_, "near-open")
-        if not open_.limit(1).count():
+        several = marked.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("c")).where("l0 <> l1").select("key", "c")
+        return written(marked.join(written(several, "near-several"), "key"), "near-open")
+
+    labels = linked(rows.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")), None)
+    active = open_buckets(rows.select("key", "node"), labels)
+    small = active.where(F.col("c") <= SMALL)
+    other = small.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
+    pairs = small.join(other, "key").where("node < b AND label <> lb").select(F.col("node").alias("a"), "b")
+    active = active.where(F.col("c") > SMALL).drop("c")
+    for _ in range(PIVOT_ROUNDS):
+        labels = linked(pairs.unionByName(_against_pivots(active)), labels)
+        active = open_buckets(active.select("key", "node"), labels).drop("c")
+        if not active.limit(1).count():
             break
-        marked = written(marked.join(open_, "key"), "near-marked")
-        small, large = marked.where(F.col("c") <= SMALL), marked.where(F.col("c") > SMALL)
-        found = []
-        if turn == 0:
-            other = small.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-            found.append(small.join(other, "key").where("node < b AND label <> lb").select(F.col("node").alias("a"), "b"))
-        active = large.select("key", "node")
-        turn += 1
-        if turn > PIVOT_ROUNDS:
-            tried = written(_tiles(large.select("key", "node", "label"), classes, least).distinct(), "near-likely")
-            continue
-        cells = large.groupBy("key", "label").agg(F.count("*").alias("m"), F.min("node").alias("first"))
-        pivot = cells.groupBy("key").agg(F.min(F.struct("m", "first", "label")).alias("p")).select("key", F.col("p.first").alias("pivot"), F.col("p.label").alias("pl"))
-        tries = written(large.join(written(pivot, "near-pivots"), "key"), "near-tries")
-        found.append(tries.where("label <> pl").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")))
-        active = tries.where("node <> pivot").select("key", "node")
-        tried = written((found[0] if len(found) == 1 else found[0].union(found[1])).distinct(), "near-pairs")
+        pairs = pairs.limit(0)
+    else:
+        labels = joined(_tiles(active, classes, texts, k, num, den).distinct(), labels)
     own = classes.select("node", "s1", "s2", "root")
     if labels is None:
         roots = own.withColumn("component", F.col("root"))
