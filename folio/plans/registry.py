@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from folio.operators import lang, meta, outline, paging, raster, search
+from folio.streaming import commands
+
+MODULES = (search, paging, meta, outline, lang, raster, commands)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, (f, _) in m.REGISTERED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.REGISTERED.items() if sql}
