@@ -24,7 +24,7 @@ def bigram_profiles(docs: DataFrame, top: int = 50) -> DataFrame:
     """lang, rank, bigram, n: the most frequent pairs of code points of each language."""
     chars = docs.select("lang", F.split(F.lower("text"), "").alias("c")).where(F.size("c") > 1)
     n = F.size("c") - 1
-    rows = chars.select("lang", F.explode(F.zip_with(F.slice("c", 1, n), F.slice("c", 2, n), F.concat)).alias("bigram"))
+    rows = chars.select("lang", F.explode(F.zip_with(F.slice("c", 1, n), F.slice("c", 2, n), lambda a, b: F.concat(a, b))).alias("bigram"))
     counts = rows.groupBy("lang", "bigram").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "bigram"))
     return counts.withColumn("rank", rank).where(F.col("rank") <= top).select("lang", "rank", "bigram", "n")

@@ -52,7 +52,7 @@ def reading_ratio(pos: DataFrame, docs: DataFrame) -> DataFrame:
 
 def segment_text(docs: DataFrame) -> DataFrame:
     """doc_id, sentence_no, sentence: pieces that end at a full stop, question or exclamation mark, or newline."""
-    pieces = F.filter(F.transform(F.split("text", r"[.!?\n]+", -1), F.trim), lambda s: s != "")
+    pieces = F.filter(F.transform(F.split("text", r"[.!?\n]+", -1), lambda x: F.trim(x)), lambda s: s != "")
     return docs.select("doc_id", F.posexplode(pieces).alias("sentence_no", "sentence"))
 
 

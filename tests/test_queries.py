@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from folio.plans import registry
@@ -11,9 +12,15 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+def value(x):
+    """pandas turns whole numbers into floats where a column has nulls."""
+    x = None if pd.isna(x) else getattr(x, "item", lambda: x)()
+    return repr(int(x) if isinstance(x, float) and x.is_integer() else x)
+
+
 def rows(df):
     df = df[sorted(df.columns)]
-    return sorted(tuple(repr(None if x is None or x != x else getattr(x, "item", lambda x=x: x)()) for x in r) for r in df.itertuples(index=False, name=None))
+    return sorted(tuple(value(x) for x in r) for r in df.itertuples(index=False, name=None))
 
 
 @pytest.fixture(scope="session")
