@@ -85,13 +85,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
         batch = lines.where(F.pmod(F.col("r1"), F.lit(batches)) == i)
         runs.add(batch.groupBy(*HASH).agg(F.count("*").alias("n")))
     frequent = written(runs.frequent(), "frequent")
-    dropped = lines.join(frequent, HASH, "left_semi").groupBy("r1", "r2").agg(F.collect_set(F.struct("h1", "h2")).alias("_drop"))
+    dropped = lines.join(frequent, HASH, "left_semi").groupBy(F.col("r1").alias("_d1"), F.col("r2").alias("_d2")).agg(F.collect_set(F.struct("h1", "h2")).alias("_drop"))
     own = docs.drop("kept_text", "n_lines", "n_dropped").withColumns({"_r1": r1, "_r2": r2})
-    both = own.join(dropped, (F.col("_r1") == F.col("r1")) & (F.col("_r2") == F.col("r2")), "left")
+    both = own.join(dropped, (F.col("_r1") == F.col("_d1")) & (F.col("_r2") == F.col("_d2")), "left")
     every = _lines(F.col("text"))
     kept = F.when(F.col("_drop").isNull(), every).otherwise(F.filter(every, lambda x: ~((F.length(_key(x)) >= min_chars) & F.array_contains(F.col("_drop"), _hash(_key(x))))))
     out = both.withColumns({"_n": F.size(every), "_kept": kept})
-    return out.withColumns({"kept_text": F.array_join("_kept", "\n"), "n_lines": F.col("_n").cast("long"), "n_dropped": (F.col("_n") - F.size("_kept")).cast("long")}).drop("_r1", "_r2", "r1", "r2", "_drop", "_n", "_kept")
+    return out.withColumns({"kept_text": F.array_join("_kept", "\n"), "n_lines": F.col("_n").cast("long"), "n_dropped": (F.col("_n") - F.size("_kept")).cast("long")}).drop("_r1", "_r2", "_d1", "_d2", "_drop", "_n", "_kept")
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

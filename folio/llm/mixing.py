@@ -64,10 +64,10 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[int,
     to their copies and into the order of the mixture.
     """
     plan = schedule(docs, share, most, weights, seed)
-    copies = plan.where("copies > 0").select("r1", "r2", F.explode(F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda j: (j * F.col("source_size") + F.col("until")) / F.col("weight"))).alias("_finish"))
+    copies = plan.where("copies > 0").select(F.col("r1").alias("_c1"), F.col("r2").alias("_c2"), F.explode(F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda j: (j * F.col("source_size") + F.col("until")) / F.col("weight"))).alias("_finish"))
     r1, r2 = fingerprint(*[F.col(c) for c in docs.columns])
     once = docs.withColumns({"_r1": r1, "_r2": r2}).dropDuplicates(["_r1", "_r2"])
-    both = once.join(copies, (F.col("_r1") == F.col("r1")) & (F.col("_r2") == F.col("r2")))
+    both = once.join(copies, (F.col("_r1") == F.col("_c1")) & (F.col("_r2") == F.col("_c2")))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return both.repartitionByRange(n, "_finish").sortWithinPartitions("_finish", "_r1").select(*docs.columns)
 
