@@ -80,9 +80,10 @@ def slots_for(rows: int, each: int = 5_000, least: int = 64) -> int:
     return max(least, -(-rows // each))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds the rows of an Arrow batch, so that a batch of long texts fits in a Python worker."""
+def small_batches(spark: SparkSession, rows: int = 512, most: int = 16 << 20) -> None:
+    """Bounds the rows and the bytes of an Arrow batch, so that a batch of long texts fits in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -17,6 +17,8 @@ ROWS = 5
 #: Members of a bucket up to which all pairs across components are tried at once; block of the exact
 #: tiles beyond; members tried against a larger bucket in one round, and rounds before the tiles.
 SMALL, TILE = 24, 1_000
+#: Shingles in a block of a tile: long texts make smaller blocks.
+TILE_SHINGLES = 2_000_000
 PIVOTS, PIVOT_ROUNDS = 4, 2
 
 
@@ -121,11 +123,12 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _tiles(rows: DataFrame, classes: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links across components in buckets of any size: each bucket is dealt into blocks of about
-    TILE members, and each pair of blocks is one group, so a task holds two blocks. All pairs
+    TILE members (fewer, if their texts are long), and each pair of blocks is one group, so a task holds two blocks. All pairs
     of a tile whose labels differ are looked at by registers, the likely ones by their sets;
     what a tile has already joined is skipped, so it returns fewer links than it has labels."""
-    held = rows.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    rows = rows.join(held, "key").join(classes.select("node", "n", "registers"), "node").join(texts, "node")
+    rows = rows.join(classes.select("node", "n", "registers"), "node")
+    held = rows.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)).cast("int").alias("blocks"))
+    rows = rows.join(held, "key").join(texts, "node")
     rows = rows.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
     rows = rows.withColumns({"p": F.least("i", "j"), "q": F.greatest("i", "j")})
