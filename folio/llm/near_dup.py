@@ -17,6 +17,8 @@ ROWS = 5
 #: Members of a bucket up to which all pairs across components are tried at once; block of the exact
 #: tiles beyond; members tried against a larger bucket in one round, and rounds before the tiles.
 SMALL, TILE = 24, 1_000
+#: Bits of the filter that goes before the shuffle of texts: 8 MB, whatever the input.
+FILTER_BITS = 1 << 26
 #: Shingles in a block of a tile: long texts make smaller blocks.
 TILE_SHINGLES = 2_000_000
 PIVOTS, PIVOT_ROUNDS = 4, 2
@@ -57,11 +59,26 @@ def _maybe(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return pairs.mapInPandas(run, "a long, b long")
 
 
+def _sifted(rows: DataFrame, used: DataFrame) -> DataFrame:
+    """The rows whose t1 falls on a bit that a t1 of used sets: all that a join needs, and few others.
+
+    The bitmap has FILTER_BITS bits and comes as rows of 4 KB, so its broadcast has a fixed bound; as
+    it fills up it lets more rows pass, but never stops one that is needed."""
+    spot = F.pmod("t1", F.lit(FILTER_BITS))
+    bits = used.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("part"))
+    bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
+    at = F.bitmap_bit_position(F.col("spot"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1
+    found = rows.withColumn("spot", spot).withColumn("part", F.bitmap_bucket_number("spot")).join(F.broadcast(bits), "part")
+    return found.where(hit).select(*rows.columns)
+
+
 def _texts(docs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, text) of the classes that share a bucket with another: what is verified later reads only these."""
     used = written(classes.select("node", "t1", "t2").join(rows.select("node").distinct(), "node", "left_semi"), "near-used")
     t1, t2 = fingerprint(F.coalesce("text", F.lit("")))
-    found = docs.select("text", t1.alias("t1"), t2.alias("t2")).join(used, ["t1", "t2"])
+    found = _sifted(docs.select("text", t1.alias("t1"), t2.alias("t2")), used).join(used, ["t1", "t2"])
     return written(found.groupBy("node").agg(F.first("text").alias("text")), "near-texts")
 
 

@@ -105,6 +105,15 @@ def test_near_dup_finds_chains_and_groups_beyond_small_buckets(spark):
     assert dict(zip(out["doc_id"], out["component_id"])) == {i: top(i) for i in range(len(sets))}
 
 
+def test_filter_before_the_shuffle_keeps_all_that_is_needed(spark):
+    rows = spark.range(50_000).select(F.xxhash64("id").alias("t1"), "id")
+    used = rows.where("id % 20 = 3")
+    got = near_dup._sifted(rows, used)
+    assert got.join(used, "id", "left_semi").count() == used.count()
+    assert got.count() < 1.1 * used.count()
+    assert near_dup._sifted(rows, used.limit(0)).count() == 0
+
+
 def test_registers_merge_and_estimate():
     s = Shingler(3)
     a, b = s.set_of(" ".join(f"a{i}" for i in range(400))), s.set_of(" ".join(f"a{i}" for i in range(40, 440)))
