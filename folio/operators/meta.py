@@ -15,6 +15,11 @@ def meta_wide(meta: DataFrame, tags: list[str], sep: str = "; ") -> DataFrame:
     return meta.groupBy("doc_id").pivot("tag", tags).agg(held)
 
 
+def title_fallback(rows: DataFrame, names: list[str]) -> DataFrame:
+    """rows with `title`: the first of the named columns that is neither null nor empty."""
+    return rows.withColumn("title", F.coalesce(*[F.nullif(F.trim(n), F.lit("")) for n in names]))
+
+
 def apply_edits(meta: DataFrame, edits: DataFrame) -> DataFrame:
     """(doc_id, tag, value) after edits(doc_id, seq, op, tag, value): the last edit of a key counts; op is set or delete."""
     last = edits.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "tag").orderBy(F.desc("seq")))).where("n = 1")
@@ -101,6 +106,12 @@ def _meta(s, d):
     return tags.unionByName(docs.where("doc_id % 2 = 0").select("doc_id", F.lit(9).alias("ord"), F.lit("n_chars").alias("tag"), F.col("n_chars").cast("string").alias("value")))
 
 
+def _titles(s, d):
+    """page_id and the titles of a page, best first."""
+    tag = lambda t: F.regexp_extract("html", f"<{t}[^>]*>([^<]*)</{t}>", 1)
+    return read_corpus(s, d, "pages").select("page_id", tag("h1").alias("updated"), tag("title").alias("full"), F.col("url").alias("db"))
+
+
 def _edits(s, d):
     docs = read_corpus(s, d, "documents").where("doc_id % 7 < 3")
     return docs.select("doc_id", (F.col("doc_id") % 7).alias("seq"), F.expr("CASE doc_id % 7 WHEN 0 THEN 'set' WHEN 1 THEN 'delete' ELSE 'set' END").alias("op"), F.expr("CASE WHEN doc_id % 7 = 2 THEN 'note' ELSE 'lang' END").alias("tag"), F.lit("xx").alias("value"))
@@ -144,6 +155,7 @@ def _ab(f):
 
 REGISTERED = {
     "meta_wide": (lambda s, d: meta_wide(_meta(s, d), TAGS), f"{_M} SELECT doc_id, " + ", ".join(f"string_agg(value, '; ' ORDER BY ord) FILTER (WHERE tag = '{t}') AS {t}" for t in TAGS) + " FROM meta GROUP BY doc_id"),
+    "title_fallback": (lambda s, d: title_fallback(_titles(s, d), ["updated", "full", "db"]).select("page_id", "title"), "SELECT page_id, coalesce(" + ", ".join(f"nullif(trim({x}), '')" for x in ("regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)", "regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1)", "url")) + ") AS title FROM pages"),
     "apply_meta_edits": (lambda s, d: apply_edits(_meta(s, d), _edits(s, d)), f"{_M}{_E} SELECT doc_id, tag, value FROM meta m WHERE NOT EXISTS (SELECT 1 FROM edits e WHERE e.doc_id = m.doc_id AND e.tag = m.tag) UNION ALL SELECT doc_id, tag, value FROM edits WHERE op <> 'delete'"),
     "multi_author_genre": (lambda s, d: multi_values(_meta(s, d).withColumnRenamed("doc_id", "key")), f"{_M} SELECT doc_id AS key, string_agg(value, '|' ORDER BY ord, value) AS names FROM meta GROUP BY doc_id"),
     "props_minus": (_ab(minus), f"{_A} SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.key = a.key AND b.name = a.name)"),

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import strip_bracketed_number
-from folio.sources.tables import lines, read_corpus, with_
+from folio.operators.search import _BASE, _HITS, search_hits
+from folio.sources.tables import doc_pages, lines, read_corpus, search_queries, with_
 
 UP_TO = (Window.unboundedPreceding, 0)
 
@@ -47,6 +48,17 @@ def chapter_of(pos: DataFrame, outline: DataFrame, depth: int = 3) -> DataFrame:
     return rows.select("doc_id", "pos", F.concat_ws(" / ", *parts).alias("chapter"))
 
 
+def hit_chapters(hits: DataFrame, outline: DataFrame) -> DataFrame:
+    """hits(doc_id, pos, ...) with the chapter of each; every position is looked up once, however many hits it has."""
+    return hits.join(chapter_of(hits.select("doc_id", "pos").distinct(), outline), ["doc_id", "pos"])
+
+
+def outline_tiered(outline: DataFrame) -> DataFrame:
+    """doc_id, ord, level, title of the first level that a document has any heading of."""
+    first = F.min("level").over(Window.partitionBy("doc_id"))
+    return outline.withColumn("first", first).where("level = first").select("doc_id", "ord", "level", "title")
+
+
 def links(pages: DataFrame) -> DataFrame:
     """page_id, ord, href, text of the anchors of html."""
     rx = F.lit(r'<a [^>]*href="([^"]*)"[^>]*>([^<]*)<')
@@ -122,11 +134,23 @@ def _positions(s, d):
     return positions(read_corpus(s, d, "documents").select("doc_id", "text"))
 
 
+def _hits(s, d):
+    """Hits of the search queries, with offsets in the document."""
+    pages = doc_pages(read_corpus(s, d, "documents").select("doc_id", "text"))
+    hits = search_hits(pages, search_queries(s)).join(pages.select("doc_id", "page_no", "start"), ["doc_id", "page_no"])
+    return hits.select("doc_id", (F.col("start") + F.col("pos")).alias("pos"), "query_id")
+
+
 _RX = r"""'<a [^>]*href="([^"]*)"[^>]*>([^<]*)<'"""
 _LK = f"links AS (SELECT page_id, CAST(i - 1 AS INTEGER) AS ord, href, text FROM (SELECT page_id, unnest(regexp_extract_all(html, {_RX}, 1)) AS href, unnest(regexp_extract_all(html, {_RX}, 2)) AS text, generate_subscripts(regexp_extract_all(html, {_RX}, 1), 1) AS i FROM pages))"
 _AN = r"anchors AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^/?#]*)', 1) AS path FROM pages)"
 _H = "heads AS (SELECT doc_id, line_no AS ord, start AS pos, line_no % 3 + 1 AS level, line AS title FROM lines WHERE len < 40 AND len > 0)"
 _L = with_("lines").rstrip()
+_HIT = """spots AS (SELECT doc_id, query_id, CAST(start + pos AS BIGINT) AS pos FROM (SELECT doc_id, page_no, query_id, pos FROM hits WHERE hit_no < k - 1) JOIN doc_pages USING (doc_id, page_no)),
+x AS (SELECT p.doc_id, p.pos, max(h.pos) FILTER (WHERE level = 1) AS p1, max(h.pos) FILTER (WHERE level = 2) AS p2, max(h.pos) FILTER (WHERE level = 3) AS p3,
+  arg_max(title, h.pos) FILTER (WHERE level = 1) AS t1, arg_max(title, h.pos) FILTER (WHERE level = 2) AS t2, arg_max(title, h.pos) FILTER (WHERE level = 3) AS t3
+  FROM (SELECT DISTINCT doc_id, pos FROM spots) p LEFT JOIN heads h ON h.doc_id = p.doc_id AND h.pos <= p.pos GROUP BY p.doc_id, p.pos)
+SELECT doc_id, pos, query_id, concat_ws(' / ', t1, CASE WHEN NOT coalesce(p1 > p2, false) THEN t2 END, CASE WHEN NOT (coalesce(p1 > p3, false) OR coalesce(p2 > p3, false)) THEN t3 END) AS chapter FROM spots JOIN x USING (doc_id, pos)"""
 
 REGISTERED = {
     "extract_headings": (lambda s, d: extract_headings(read_corpus(s, d, "pages")), "SELECT page_id, CAST(i - 1 AS INTEGER) AS ord, left(trim(t), 150) AS title FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)</h[1-6]>', 1)) AS t, generate_subscripts(regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)</h[1-6]>', 1), 1) AS i FROM pages)"),
@@ -136,6 +160,8 @@ x AS (SELECT p.doc_id, p.pos, max(h.pos) FILTER (WHERE level = 1) AS p1, max(h.p
   arg_max(title, h.pos) FILTER (WHERE level = 1) AS t1, arg_max(title, h.pos) FILTER (WHERE level = 2) AS t2, arg_max(title, h.pos) FILTER (WHERE level = 3) AS t3
   FROM positions p LEFT JOIN heads h ON h.doc_id = p.doc_id AND h.pos <= p.pos GROUP BY p.doc_id, p.pos)
 SELECT doc_id, pos, concat_ws(' / ', t1, CASE WHEN NOT coalesce(p1 > p2, false) THEN t2 END, CASE WHEN NOT (coalesce(p1 > p3, false) OR coalesce(p2 > p3, false)) THEN t3 END) AS chapter FROM x"""),
+    "hit_chapters": (lambda s, d: hit_chapters(_hits(s, d), line_headings(_lines(s, d))), f"{_BASE}, {_HITS}, {_H}, {_HIT}"),
+    "outline_tiered": (lambda s, d: outline_tiered(line_headings(_lines(s, d))), f"{_L}, {_H} SELECT doc_id, ord, level, title FROM heads QUALIFY level = min(level) OVER (PARTITION BY doc_id)"),
     "classify_links": (lambda s, d: classify_links(_links(s, d)), f"WITH {_LK} SELECT page_id, ord, href, CASE WHEN href[1] = '#' THEN 'internal' WHEN regexp_matches(href, '^https?:') THEN 'external' WHEN href[1] = '/' THEN 'site' ELSE 'unknown' END AS kind FROM links"),
     "resolve_links": (lambda s, d: resolve_links(_links(s, d), _anchors(s, d)), f"WITH {_LK}, {_AN} SELECT page_id, ord, href, target FROM links LEFT JOIN (SELECT path, min(page_id) AS target FROM anchors GROUP BY path) ON href = path"),
     "broken_links": (lambda s, d: broken_links(_links(s, d), _anchors(s, d)), f"WITH {_LK}, {_AN} SELECT * FROM links WHERE href NOT IN (SELECT path FROM anchors)"),
