@@ -20,16 +20,36 @@ def script_census(docs: DataFrame) -> DataFrame:
     return found.cube("source", F.col("x.script").alias("script")).agg(F.count_if("x.has").alias("docs"))
 
 
+def _bigrams(docs: DataFrame, key: str) -> DataFrame:
+    """key, bigram: each pair of neighbouring code points of the texts."""
+    chars = docs.select(key, F.split(F.lower("text"), "").alias("c")).where(F.size("c") > 1)
+    n = F.size("c") - 1
+    return chars.select(key, F.explode(F.zip_with(F.slice("c", 1, n), F.slice("c", 2, n), lambda a, b: F.concat(a, b))).alias("bigram"))
+
+
 def bigram_profiles(docs: DataFrame, top: int = 50) -> DataFrame:
     """lang, rank, bigram, n: the most frequent pairs of code points of each language."""
-    chars = docs.select("lang", F.split(F.lower("text"), "").alias("c")).where(F.size("c") > 1)
-    n = F.size("c") - 1
-    rows = chars.select("lang", F.explode(F.zip_with(F.slice("c", 1, n), F.slice("c", 2, n), lambda a, b: F.concat(a, b))).alias("bigram"))
-    counts = rows.groupBy("lang", "bigram").agg(F.count("*").alias("n"))
+    counts = _bigrams(docs, "lang").groupBy("lang", "bigram").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "bigram"))
     return counts.withColumn("rank", rank).where(F.col("rank") <= top).select("lang", "rank", "bigram", "n")
 
 
+def detect_language(docs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """doc_id, lang_pred, score: the profile with the largest cosine; ties to the smaller name.
+
+    Documents that share no pair with any profile give no row. A profile is a bounded list for
+    each language, so it is broadcast; counts are summed by document before they meet it."""
+    counts = _bigrams(docs, "doc_id").groupBy("doc_id", "bigram").agg(F.count("*").alias("q"))
+    profiles = profiles.where("lang IS NOT NULL")
+    norms = profiles.groupBy("lang").agg(F.sum(F.col("n") * F.col("n")).alias("nn"))
+    dots = counts.join(F.broadcast(profiles.select("lang", "bigram", "n")), "bigram").groupBy("doc_id", "lang").agg(F.sum(F.col("q") * F.col("n")).alias("d"))
+    own = counts.groupBy("doc_id").agg(F.sum(F.col("q") * F.col("q")).alias("qq"))
+    score = F.round(F.col("d") / F.sqrt("qq") / F.sqrt("nn"), 6).alias("score")
+    scored = dots.join(own, "doc_id").join(F.broadcast(norms), "lang").select("doc_id", "lang", score)
+    best = scored.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "lang")).alias("b"))
+    return best.select("doc_id", F.col("b.lang").alias("lang_pred"), (-F.col("b.s")).alias("score"))
+
+
 def vocab(docs: DataFrame) -> DataFrame:
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
     return docs.select(F.explode(words).alias("word")).distinct()
@@ -94,6 +114,13 @@ def _pattern_rows() -> str:
 REGISTERED = {
     "script_census": (lambda s, d: script_census(_docs(s, d)), "WITH x AS (SELECT source, k AS script, regexp_matches(text, rx) AS has FROM documents, (VALUES " + ", ".join(f"('{k}', '{rx}')" for k, rx in SCRIPTS.items()) + ") v(k, rx)) SELECT source, script, count(*) FILTER (WHERE has) AS docs FROM x GROUP BY CUBE (source, script)"),
     "train_bigram_profiles": (lambda s, d: bigram_profiles(_docs(s, d)), "WITH a AS (SELECT doc_id, lang, unnest(string_split(lower(text), '')) AS x, generate_subscripts(string_split(lower(text), ''), 1) AS i FROM documents), b AS (SELECT lang, x || lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS bigram FROM a), c AS (SELECT lang, bigram, count(*) AS n FROM b WHERE bigram IS NOT NULL GROUP BY ALL) SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, bigram) AS INTEGER) AS rank, bigram, n FROM c QUALIFY rank <= 50"),
+    "detect_language": (lambda s, d: detect_language(_docs(s, d), bigram_profiles(_docs(s, d))), """WITH a AS (SELECT doc_id, lang, unnest(string_split(lower(text), '')) AS x, generate_subscripts(string_split(lower(text), ''), 1) AS i FROM documents),
+b AS (SELECT doc_id, lang, x || lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS bigram FROM a),
+p AS (SELECT lang, bigram, count(*) AS n FROM b WHERE bigram IS NOT NULL GROUP BY lang, bigram QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, bigram) <= 50),
+q AS (SELECT doc_id, bigram, count(*) AS q FROM b WHERE bigram IS NOT NULL GROUP BY ALL),
+s AS (SELECT doc_id, lang, round(CAST(sum(q * n) AS DOUBLE) / sqrt(CAST(any_value(qq) AS DOUBLE)) / sqrt(CAST(any_value(nn) AS DOUBLE)), 6) AS score
+  FROM q JOIN p USING (bigram) JOIN (SELECT doc_id, sum(q * q) AS qq FROM q GROUP BY doc_id) USING (doc_id) JOIN (SELECT lang, sum(n * n) AS nn FROM p GROUP BY lang) USING (lang) WHERE lang IS NOT NULL GROUP BY doc_id, lang)
+SELECT doc_id, lang AS lang_pred, score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1"""),
     "hyphenate_vocab": (lambda s, d: hyphenate(vocab(_docs(s, d)), patterns(s)), f"WITH {_V}, {_pattern_rows()}, g AS (SELECT word, i, txt, digits FROM (SELECT word, '.' || word || '.' AS p, unnest(range(1, length(word) + 3)) AS i FROM vocab WHERE length(word) > 3) w JOIN pats ON substring(w.p, CAST(i AS INTEGER), length(txt)) = txt), h AS (SELECT word, CAST(i + j - 3 AS INTEGER) AS pos, digit FROM (SELECT word, i, unnest(digits) AS digit, generate_subscripts(digits, 1) AS j FROM g)) SELECT word, pos FROM h GROUP BY word, pos HAVING max(digit) % 2 = 1 AND pos BETWEEN 2 AND length(word) - 2"),
     "suffix_lookup": (lambda s, d: suffix_lookup(vocab(_docs(s, d)), s.createDataFrame(list(SUFFIXES), "suffix string, value int")), f"WITH {_V}, {_R} SELECT word, suffix, value FROM vocab JOIN rules ON ends_with(word, suffix) QUALIFY row_number() OVER (PARTITION BY word ORDER BY length(suffix) DESC) = 1"),
 }
