@@ -31,12 +31,27 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the least id."""
-    groups = near_duplicates(docs.select("doc_id", "text"))
-    gone = written(groups.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2")), "near-gone")
+    """One document of each group of near duplicates stays, and every document without words.
+
+    The one is the first by id (null ids last), then by the text's hash; of repeated rows of
+    that id and text the first by the other columns."""
+    ids = ["doc_id", "t1", "t2"]
+    groups = near_duplicates(docs.select("doc_id", "text")).where("n_shingles > 0")
+    found = written(groups.groupBy("component", *ids).agg(F.count("*").alias("n")), "near-ids")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *ids, "n")).alias("x"))
+    first = written(first.select("component", *[F.col(f"x.{c}").alias(f"_{c}") for c in (*ids, "n")]), "near-first")
     t1, t2 = fingerprint(F.coalesce("text", F.lit("")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (t1 == F.col("_t1")) & (t2 == F.col("_t2"))
-    return docs.join(gone, same, "left_anti").select(*COLUMNS)
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2"))
+    theirs = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (t1 == F.col("_t1")) & (t2 == F.col("_t2"))
+    gone = found.join(first, same, "left_anti").select(*[F.col(c).alias(f"_{c}") for c in ids])
+    repeated = first.where("_n > 1").select(*[f"_{c}" for c in ids])
+    if not repeated.limit(1).count():
+        return docs.join(written(gone, "near-gone"), theirs, "left_anti").select(*COLUMNS)
+    alone = docs.join(written(gone.unionByName(repeated), "near-gone"), theirs, "left_anti").select(*COLUMNS)
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    ordered = F.struct(*[x for c in rest for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))])
+    once = docs.join(repeated, theirs).groupBy("_doc_id", "_t1", "_t2").agg(F.min(ordered).alias("x"))
+    return alone.unionByName(once.select(F.col("_doc_id").alias("doc_id"), *[f"x.{c}" for c in rest]))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

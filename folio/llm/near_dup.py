@@ -196,14 +196,16 @@ def _against_pivots(active: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, t1, t2 for every row of docs(doc_id, text).
+    """doc_id, n_shingles, component_id, kept, t1, t2, component for every row of docs(doc_id, text).
 
     Two texts are linked when den * |A & B| >= num * |A | B| for their sets of k-word shingles
     (A-Z lower-cased; a shorter text is one shingle; without words: none, and no link).
     component_id is the least doc_id reachable; kept says that it is the row's own. Repeated
     rows share one component; of rows with the same least id all are kept; a null id is
     never the least unless the component has no other, and then it is kept only if it stands
-    for itself (no words). An empty table gives no rows. Other columns aren't read.
+    for itself (no words). An empty table gives no rows. Other columns aren't read. component
+    numbers the components whatever their ids (null without words), so that those of null ids
+    or of repeated ids can be told apart.
 
     Rows with equal sets are one class, so copies cost nothing beyond their sketch. In a
     bucket of equal bands every class is first tried against the bucket's least class; what
@@ -250,19 +252,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
         labels = joined(_tiles(active, classes, texts, k, num, den).distinct(), labels)
     own = classes.select("node", "s1", "s2", "root")
     if labels is None:
-        roots = own.withColumn("component", F.col("root"))
+        roots = own.select("*", F.col("node").alias("label"), F.col("root").alias("component"))
     else:
         own = written(_labelled(own, labels), "near-own")
         roots = own.groupBy("label").agg(F.min("root").alias("component")).join(own, "label")
-    roots = written(roots.select("s1", "s2", "component"), "near-roots")
+    roots = written(roots.select("s1", "s2", "label", "component"), "near-roots")
     out = all_.select("doc_id", "n", "s1", "s2", "t1", "t2").join(roots, ["s1", "s2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     kept = (F.col("n") == 0) | (F.col("doc_id") == F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(kept, F.lit(False)).alias("kept"), "t1", "t2")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(kept, F.lit(False)).alias("kept"), "t1", "t2", F.col("label").alias("component"))
 
 
 def op3_near_dup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4).drop("t1", "t2")
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4).drop("t1", "t2", "component")
 
 
 def similarity_sql(k: int) -> str:

@@ -280,3 +280,21 @@ def test_pipeline_against_brute_force(spark):
     assert set(alone["doc_id"]) == set(groups["component_id"])
     out = corpus_pipeline.run(spark, SF).toPandas()
     assert len(out) and out.groupby(["shard", "bin"])["size"].sum().max() <= 4096
+
+
+def test_pipeline_keeps_one_row_of_each_group_whatever_its_ids(spark):
+    words = lambda x, n=30: " ".join(f"{x}{i}" for i in range(n))
+    rows_ = [
+        (None, words("unique"), "en", "a", 1), (None, words("other"), "en", "a", 2),  # null ids without copies
+        (None, words("null"), "en", "a", 3), (None, words("null"), "de", "a", 3), (None, words("null", 31), "en", "a", 4),  # a group of null ids only
+        (None, words("mixed"), "en", "a", 5), (9, words("mixed"), "en", "a", 5), (7, words("mixed", 31), "en", "a", 6),  # the least id stays
+        (1, words("again"), "fr", None, 7), (1, words("again"), None, "b", 7), (1, words("again"), "fr", "b", 7), (1, words("again"), "fr", "b", 7),  # repeated rows
+        (1, words("same"), "en", "a", 8),  # an id used twice
+        (2, "", "en", "a", 0), (2, "", "en", "a", 0), (None, None, "en", "a", 0),  # no words: no group
+    ]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long")
+    out = [tuple(r) for r in corpus_pipeline.near_dups(spark, docs, SF).collect()]
+    nulls = [r for r in out if r[0] is None and r[1] and r[1].startswith("null0")]
+    assert len(nulls) == 1 and nulls[0] in ((None, words("null"), "de", "a", 3), rows_[4])
+    assert Counter(out) == Counter([rows_[0], rows_[1], nulls[0], rows_[7], rows_[10], rows_[12], *rows_[13:]])
+    assert corpus_pipeline.near_dups(spark, docs.where("false"), SF).count() == 0
