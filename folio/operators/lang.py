@@ -55,12 +55,19 @@ def vocab(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(words).alias("word")).distinct()
 
 
+def _longest(rules: DataFrame, name: str) -> int:
+    """Length of the longest entry of a small table, 1 at least."""
+    return max(rules.agg(F.max(F.length(name))).first()[0] or 1, 1)
+
+
 def hyphenate(words: DataFrame, patterns: DataFrame) -> DataFrame:
-    """word, pos: break points by patterns(txt, digits): the largest digit at a gap, odd means a break, two letters stay on both sides."""
-    n = F.length("word")
+    """word, pos: break points by patterns(txt, digits): the largest digit at a gap, odd means a break, two letters stay on both sides.
+
+    Substrings are as long as the longest pattern, edge marks included."""
+    n, most = F.length("word"), _longest(patterns, "txt")
     padded = F.concat(F.lit("."), "word", F.lit("."))
     rows = words.where(n > 3).select("word", padded.alias("p"), (n + 2).alias("m"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("i")).select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(6), F.col("m") - F.col("i") + 1))).alias("k"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("i")).select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.col("m") - F.col("i") + 1))).alias("k"))
     rows = rows.select("word", "i", F.substr("p", F.col("i"), F.col("k")).alias("txt"))
     hits = rows.join(F.broadcast(patterns), "txt").select("word", "i", F.posexplode("digits").alias("j", "digit"))
     best = hits.groupBy("word", (F.col("i") + F.col("j") - 2).alias("pos")).agg(F.max("digit").alias("digit"))
@@ -69,7 +76,7 @@ def hyphenate(words: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def suffix_lookup(words: DataFrame, rules: DataFrame) -> DataFrame:
     """word, suffix, value of the longest rule that ends the word."""
-    rows = words.select("word", F.explode(F.sequence(F.lit(1), F.least(F.lit(6), F.length("word")))).alias("k")).select("word", F.expr("right(word, k)").alias("suffix"))
+    rows = words.select("word", F.explode(F.sequence(F.lit(1), F.least(F.lit(_longest(rules, "suffix")), F.length("word")))).alias("k")).select("word", F.expr("right(word, k)").alias("suffix"))
     hit = rows.join(F.broadcast(rules), "suffix")
     return hit.groupBy("word").agg(F.max_by(F.struct("suffix", "value"), F.length("suffix")).alias("x")).select("word", "x.suffix", "x.value")
 
