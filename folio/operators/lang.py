@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folio.sources.tables import read_corpus
 
 #: Unicode ranges of the scripts told apart.
-SCRIPTS = {"rtl": "[\\x{0590}-\\x{08FF}]", "cjk": "[\\x{3040}-\\x{30FF}\\x{4E00}-\\x{9FFF}]", "devanagari": "[\\x{0900}-\\x{097F}]", "bengali": "[\\x{0980}-\\x{09FF}]", "latin_accents": "[\\x{00C0}-\\x{017F}]"}
+SCRIPTS = {"rtl": "[\\x{0590}-\\x{08FF}]", "cjk": "[\\x{3040}-\\x{30FF}\\x{4E00}-\\x{9FFF}]", "devanagari": "[\\x{0900}-\\x{097F}]", "bengali": "[\\x{0980}-\\x{09FF}]", "gujarati": "[\\x{0A80}-\\x{0AFF}]", "oriya": "[\\x{0B00}-\\x{0B7F}]", "tamil": "[\\x{0B80}-\\x{0BFF}]", "telugu": "[\\x{0C00}-\\x{0C7F}]", "kannada": "[\\x{0C80}-\\x{0CFF}]", "malayalam": "[\\x{0D00}-\\x{0D7F}]", "latin_accents": "[\\x{00C0}-\\x{017F}]"}
 #: Hyphenation patterns as letters and digits, and suffix rules.
 PATTERNS = (".ch4", "1ti", "4ing.", "n1t", "e1r", "h1e", "a1t", "o1n", "r2e", "s1s", "2th", "i1n", "t1l", "d1e", "a2n", "1ble", "o2u", "1sh", "e2a", "2nd.")
 SUFFIXES = (("s", 1), ("es", 2), ("ing", 3), ("tion", 4), ("ed", 5), ("er", 6), ("en", 7), ("ung", 8), ("eux", 9), ("ly", 10))

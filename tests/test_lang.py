@@ -1,4 +1,4 @@
-"""Hyphenation patterns and suffix rules of any length, on small tables."""
+"""Hyphenation patterns and suffix rules of any length, and the scripts told apart, on small tables."""
 
 from folio.operators import lang
 
@@ -22,3 +22,11 @@ def test_long_suffixes(spark):
     got = sorted(map(tuple, lang.suffix_lookup(words, rules).collect()))
     assert got == [("internationalization", "nationalization", 3), ("ization", "ization", 1), ("nation", "ation", 2)]
     assert lang.suffix_lookup(words, rules.where("false")).count() == 0
+
+
+def test_every_script_is_counted(spark):
+    texts = {"rtl": "שלום", "cjk": "日本", "devanagari": "हिन्दी", "bengali": "বাংলা", "gujarati": "ગુજરાતી", "oriya": "ଓଡ଼ିଆ", "tamil": "தமிழ்", "telugu": "తెలుగు", "kannada": "ಕನ್ನಡ", "malayalam": "മലയാളം", "latin_accents": "é"}
+    docs = spark.createDataFrame([*texts.items(), ("plain", "abc")], "source string, text string")
+    got = {(r["source"], r["script"]): r["docs"] for r in lang.script_census(docs).collect()}
+    assert {k for k, n in got.items() if n and None not in k} == {(s, s) for s in texts}
+    assert {s: got[None, s] for s in texts} == dict.fromkeys(texts, 1) and got[None, None] == len(texts)
