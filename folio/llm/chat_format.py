@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import table
+from folio.llm.common import count_words, table
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: What opens or is a control string, in this template and in common others.
@@ -44,14 +44,16 @@ def format_chat(turns: DataFrame, parts: str | None = None, train_roles: tuple[s
     turns has conv_id, turn, role and text, or, with `parts`, a column of that name that holds
     array<struct<kind, text, ref, tokens>>. Parts of kind image, audio or document become
     `<|kind|>` placeholders in their order; `attachments` lists them as (ordinal, kind, ref,
-    tokens), and `expanded_tokens` is the sum of their tokens. Any other kind counts as text.
+    tokens), and `expanded_tokens` adds their tokens, to which a placeholder expands (null: 0), to
+    the words of the texts. Any other kind, null too, counts as text.
     `loss_spans` are (start, length) in code points of `formatted`, one for each turn whose
     role is in train_roles.
 
     A null text, role or part list counts as empty; a null conv_id is a conversation of its
     own; turns with the same number, repeated rows too, follow in the order of role and body;
     a null turn comes first. An empty table gives no rows. Other columns are not looked at.
-    One shuffle, by conversation; a conversation is one cell of the result by nature.
+    Texts of any length are escaped whole. One shuffle, by conversation; a conversation is
+    one cell of the result by nature.
     """
     content = F.col(parts) if parts else text_part(F.col("text"))
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce(content, F.array()).alias("parts") if parts else content.alias("parts"))
@@ -61,7 +63,8 @@ def format_chat(turns: DataFrame, parts: str | None = None, train_roles: tuple[s
     rows = rows.withColumns({"no": F.row_number().over(order), "until": F.sum(F.length("piece")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
     start = F.col("until") - F.length("piece") + F.length("head")
     rows = rows.withColumn("span", F.when(F.col("role").isin(*train_roles), F.struct(start.cast("long").alias("start"), F.length("body").cast("long").alias("length"))))
-    one = F.struct("no", "piece", "span", "att")
+    spoken = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + F.when(p["kind"].isin(*KINDS), F.coalesce(p["tokens"].cast("long"), F.lit(0))).otherwise(count_words(p["text"])))
+    one = F.struct("no", "piece", "span", "att", spoken.alias("tokens"))
     convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(one), lambda a, b: a["no"] - b["no"]).alias("t"), F.count("*").alias("n_turns"))
     att = F.flatten(F.transform("t", lambda x: x["att"]))
     return convs.select(
@@ -70,14 +73,23 @@ def format_chat(turns: DataFrame, parts: str | None = None, train_roles: tuple[s
         "n_turns",
         F.filter(F.transform("t", lambda x: x["span"]), lambda s: s.isNotNull()).alias("loss_spans"),
         F.transform(att, lambda p, i: F.struct(i.alias("ordinal"), p["kind"].alias("kind"), p["ref"].alias("ref"), p["tokens"].alias("tokens"))).alias("attachments"),
-        F.aggregate(att, F.lit(0).cast("long"), lambda a, p: a + F.coalesce(p["tokens"].cast("long"), F.lit(0))).alias("expanded_tokens"),
+        F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("expanded_tokens"),
     )
 
 
 def parse_chat(formatted: Column) -> Column:
-    """array<struct<role, text>> read back from a formatted conversation (placeholders stay as they are)."""
+    """array<struct<role, text, parts>> read back from a formatted conversation.
+
+    `parts` is array<struct<kind, text>>: texts unescaped, attachments with a null text, so that a
+    text that spells a placeholder and a placeholder are told apart; neighbouring texts come
+    back as one, empty ones not at all. `text` is the turn in one string, placeholders as they are."""
+    mark = [f"<\\|{k}\\|>" for k in KINDS]
+    edges = "|".join([f"(?={m})" for m in mark] + [f"(?<={m})" for m in mark])
+    body = lambda p: F.substring_index(F.substring_index(p, TEXT, -1), END, 1)
+    part = lambda x: F.when(F.startswith(x, F.lit("<|")), F.struct(F.substr(x, F.lit(3), F.length(x) - 4).alias("kind"), F.lit(None).cast("string").alias("text"))).otherwise(F.struct(F.lit("text").alias("kind"), unescape(x).alias("text")))
     pieces = F.filter(F.split(formatted, r"<\|turn\|>", -1), lambda p, i: i > 0)
-    return F.transform(pieces, lambda p: F.struct(unescape(F.substring_index(p, TEXT, 1)).alias("role"), unescape(F.substring_index(F.substring_index(p, TEXT, -1), END, 1)).alias("text")))
+    parts = lambda p: F.transform(F.filter(F.split(body(p), edges, -1), lambda x: x != ""), part)
+    return F.transform(pieces, lambda p: F.struct(unescape(F.substring_index(p, TEXT, 1)).alias("role"), unescape(body(p)).alias("text"), parts(p).alias("parts")))
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
@@ -117,6 +129,6 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum({len(TURN + TEXT + END)} + length({_sql_escape('role')}) + length({_sql_escape('text')})) AS BIGINT) AS formatted_chars,
-  CAST(0 AS BIGINT) AS expanded_tokens
+  CAST(sum(len(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))) AS BIGINT) AS expanded_tokens
 FROM t GROUP BY conv_id
 """

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import small_batches, table
+from folio.llm.common import table
 from folio.llm.quality import learnable
 
 #: Buckets of n-grams, code points scored at once, and about how many documents of each language are learned from.
@@ -110,14 +110,13 @@ def identify(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
     there is nothing to learn from. Equal texts get equal values; lang, source and doc_id are
     no inputs of a prediction. An empty table stays empty, other columns pass through.
     """
-    small_batches(docs.sparkSession)
     langs, prob = fit_languages(learn_from.select("doc_id", "text", "lang"))
     docs = docs.drop("lang_pred", "score")
     if not langs:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
     has = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    docs = docs.withColumn("_p", language(docs.sparkSession, langs, prob, F.col("text")))
-    return docs.withColumns({"lang_pred": F.when(has, F.col("_p.lang")).otherwise("und"), "score": F.when(has, F.col("_p.score")).otherwise(0.0)}).drop("_p")
+    out = docs.select(F.struct("*").alias("row"), has.alias("has"), language(docs.sparkSession, langs, prob, F.col("text")).alias("p"))
+    return out.select("row.*", F.when(F.col("has"), F.col("p.lang")).otherwise("und").alias("lang_pred"), F.when(F.col("has"), F.col("p.score")).otherwise(0.0).alias("score"))
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

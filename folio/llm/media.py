@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from folio.llm.common import scratch, small_batches, table
+from folio.llm.common import scratch, table
 
 BLOCK = 512  # of tar
 WIDTH = 64
 SCHEMA = "archive string, offset long, member string, media binary"
-MANIFEST = "_manifest.json"
+MANIFESTS, INDEX = "_manifests", ".idx"
 
 
 def _at(path: str) -> tuple[pafs.FileSystem, str]:
@@ -36,19 +36,22 @@ def _at(path: str) -> tuple[pafs.FileSystem, str]:
 class Written(WriterCommitMessage):
     archive: str
     size: int
-    marks: list[int]
 
 
 @dataclass
 class ByteRange(InputPartition):
+    """Members of the archive that begin at the marks from the first at or after start to before the first at or after end."""
+
     archive: str
     start: int
     end: int
+    size: int
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    """Each task writes one tar file of its own name; the manifest, written at commit, lists the
-    files of the tasks that succeeded, with the offset of a member every `mark_bytes` or so."""
+    """Each task writes one tar file of its own name and, beside it, an index: the offset of a
+    member every `mark_bytes` or so. A commit adds one file to the folder of manifests, which
+    names the archives of the tasks that succeeded and their sizes; it appears whole or not at all."""
 
     def __init__(self, path: str, mark_bytes: int):
         self.path, self.mark_bytes = path, mark_bytes
@@ -71,25 +74,24 @@ class ArchiveWriter(DataSourceArrowWriter):
                     out.write(b"\0" * (pad := -len(raw) % BLOCK))
                     at += len(head) + len(raw) + pad
             out.write(b"\0" * 2 * BLOCK)
-        return Written(name, at, marks)
+        with fs.open_output_stream(f"{root}/{name}{INDEX}") as out:
+            out.write(np.array(marks, np.int64).tobytes())
+        return Written(name, at)
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, root = _at(self.path)
-        fs.create_dir(root, recursive=True)
-        try:
-            with fs.open_input_stream(f"{root}/{MANIFEST}") as f:
-                held = json.loads(f.read())
-        except FileNotFoundError:
-            held = []
-        held += [[m.archive, m.size, m.marks] for m in messages if m and m.size]
-        with fs.open_output_stream(f"{root}/{MANIFEST}") as f:
-            f.write(json.dumps(held).encode())
+        fs.create_dir(f"{root}/{MANIFESTS}", recursive=True)
+        name = f"{uuid.uuid4().hex}.json"
+        with fs.open_output_stream(f"{root}/{name}.part") as f:
+            f.write(json.dumps([[m.archive, m.size] for m in messages if m and m.size]).encode())
+        fs.move(f"{root}/{name}.part", f"{root}/{MANIFESTS}/{name}")
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, root = _at(self.path)
         for m in messages:
             if m:
                 fs.delete_file(f"{root}/{m.archive}")
+                fs.delete_file(f"{root}/{m.archive}{INDEX}")
 
 
 class _Window:
@@ -126,21 +128,23 @@ class ArchiveReader(DataSourceReader):
         self.path, self.range_bytes, self.batch_bytes, self.tries = path, range_bytes, batch_bytes, tries
 
     def partitions(self) -> list[ByteRange]:
-        """Ranges of about range_bytes that begin and end at marks."""
+        """Ranges of about range_bytes; the driver knows names and sizes only, offsets are for the tasks to look up."""
         fs, root = _at(self.path)
-        try:
-            with fs.open_input_stream(f"{root}/{MANIFEST}") as f:
-                held = json.loads(f.read())
-        except FileNotFoundError:
-            held = []
+        files = fs.get_file_info(pafs.FileSelector(f"{root}/{MANIFESTS}", allow_not_found=True))
         out = []
-        for archive, size, marks in held:
-            start = 0
-            for mark in [*marks[1:], size]:
-                if mark - start >= self.range_bytes or mark == size:
-                    out.append(ByteRange(archive, start, mark))
-                    start = mark
-        return out or [ByteRange("", 0, 0)]
+        for file in sorted(files, key=lambda f: f.path):
+            with fs.open_input_stream(file.path) as f:
+                for archive, size in json.loads(f.read()):
+                    out += [ByteRange(archive, at, min(at + self.range_bytes, size), size) for at in range(0, size, self.range_bytes)]
+        return out or [ByteRange("", 0, 0, 0)]
+
+    def bounds(self, part: ByteRange) -> tuple[int, int]:
+        """Offsets of the first member of the range and of the first one behind it."""
+        fs, root = _at(self.path)
+        with fs.open_input_stream(f"{root}/{part.archive}{INDEX}") as f:
+            marks = np.append(np.frombuffer(f.read(), np.int64), part.size)
+        first, last = np.searchsorted(marks, [part.start, part.end])
+        return int(marks[first]), int(marks[last])
 
     def member(self, window: _Window, at: int) -> tuple[str, bytes, int]:
         """Name, media and end of the member at an offset. A bad header or a short read is tried again from that offset."""
@@ -155,13 +159,15 @@ class ArchiveReader(DataSourceReader):
                     raise
 
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
-        window, at = _Window(f"{self.path}/{part.archive}", 1 << 20, self.tries), part.start
+        if not part.size:
+            return
+        window, (at, end) = _Window(f"{self.path}/{part.archive}", 1 << 20, self.tries), self.bounds(part)
         rows, size = [], 0
-        while at < part.end:
+        while at < end:
             name, media, after = self.member(window, at)
             rows.append((part.archive, at, name, media))
             size, at = size + len(media), after
-            if size >= self.batch_bytes or at >= part.end or len(rows) >= 1000:
+            if size >= self.batch_bytes or at >= end or len(rows) >= 1000:
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["archive", "offset", "member", "media"])
                 rows, size = [], 0
@@ -277,10 +283,10 @@ def media_column(docs: DataFrame) -> DataFrame:
     """FEATURES of every row of docs(doc_id, text): texts go to archives in the shared folder, and come back through the source.
 
     A null text is an empty one, which is one row of zeros. Repeated rows are members of their
-    own; equal texts have equal values but for `offset`. An empty table gives no rows. Other
-    columns aren't read. Nothing is shuffled; a task holds one batch of members.
+    own; equal texts have equal values but for `offset`. A text of any length is one member. An
+    empty table gives no rows. Other columns aren't read. Nothing is shuffled; a task holds
+    one batch of texts and one of members.
     """
-    small_batches(docs.sparkSession)
     path = scratch(docs.sparkSession, "media")
     write_media(docs, path)
     return media_features(read_media(docs.sparkSession, path))

@@ -7,14 +7,14 @@ from math import ceil, log
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import count_words, fingerprint, running_sum, table, written
+from folio.llm.common import count_words, row_key, running_sum, slots_for, table, written
 
 #: Weights by the rank of the source, over and over.
 WEIGHTS = (3, 1, 2)
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """source, weight, source_size, target of each source of sizes(source, size).
+    """source, source_rank, weight, source_size, target of each source of sizes(source, size).
 
     Sources rank by code point, null last. `share` times all sizes is dealt by weight; a
     target stops at `most` times its source's size and the excess is dealt again by weight.
@@ -30,53 +30,66 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: int = 2, weights:
     s = s.withColumn("level", (F.lit(share) * F.col("total") - F.col("stopped")) / F.col("rest"))
     free = F.when(F.col("ratio") > F.col("level"), F.struct("ratio", "rank", "level"))
     s = s.withColumn("cut", F.min(free).over(every)["level"])
-    return s.select("source", "weight", "source_size", F.coalesce(F.least(F.col("weight") * F.col("cut"), F.col("cap").cast("double")), F.col("cap").cast("double")).alias("target"))
+    return s.select("source", F.col("rank").alias("source_rank"), "weight", "source_size", F.coalesce(F.least(F.col("weight") * F.col("cut"), F.col("cap").cast("double")), F.col("cap").cast("double")).alias("target"))
 
 
-def schedule(docs: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS, seed: str = "") -> DataFrame:
-    """For each row of docs(doc_id, text, source): doc_id, r1, r2, size, source_size, target, weight, until, copies.
+#: What a document's place in the queue hangs on; rows that agree in all of it are interchangeable.
+TURN = ["virtual", "source_rank", "key", "r1", "r2", "copy"]
 
-    `until` is the source's running size up to and with the document, in the order of
-    md5(seed, doc_id); copy j of it (from 0) finishes at (j * source_size + until) / weight of
-    virtual time. Truncating the range-sorted copies at the total budget is the same as
-    cutting each source at its target; the copy at the cut is taken when at least half of it
-    fits, so a source misses its target by half a document at most.
+
+def queue(docs: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS, seed: str = "") -> DataFrame:
+    """The copies that the mixture takes: doc_id, r1, r2, size, source_size, target, weight, copy, virtual, taken.
+
+    A source's documents queue in the order of md5(seed, doc_id), `most` times over. `virtual`
+    is the virtual time at which a copy is half served: the source's words up to its middle
+    divided by the source's weight. All copies are put in that order, and the order is cut
+    where the middle of a copy lies beyond `share` times all words: `taken` is 1 up to there,
+    0 behind. A source whose queue ends before leaves its share to the others, which is what
+    `target` says in closed form. Source targets are met but for half a document and what the
+    others' halves leave over. Ties go by source, md5, and the row's fingerprint.
     """
-    r1, r2 = fingerprint(*[F.col(c) for c in docs.columns])
+    r1, r2 = row_key(docs)
     work = docs.select("doc_id", "source", r1.alias("r1"), r2.alias("r2"), count_words(F.col("text")).alias("size"), F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"))
     work = written(work, "mix-sizes")
     rows = work.count()
-    digits = max(2, ceil(log(max(rows, 1) / 2_000 + 1, 16)))
-    targets = written(source_targets(work, share, most, weights), "mix-targets").withColumnRenamed("source", "_source")
-    queued = running_sum(work, ["source"], ["key", "r1", "r2"], "size", "until", F.substring("key", 1, digits))
-    queued = queued.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left")
-    taken = [F.when(2 * (j * F.col("source_size") + F.col("until")) - F.col("size") <= 2 * F.col("target"), 1).otherwise(0) for j in range(most)]
-    return queued.select("doc_id", "r1", "r2", "size", "source_size", "target", "weight", "until", sum(taken, F.lit(0)).alias("copies"))
+    digits = min(15, max(2, ceil(log(max(rows, 1) / 2_000 + 1, 16))))
+    targets = written(source_targets(work, share, most, weights), "mix-targets")
+    queued = running_sum(work, ["source"], ["key", "r1", "r2"], "size", "until", F.conv(F.substring("key", 1, digits), 16, 10).cast("long"), 16**digits)
+    theirs = targets.withColumnsRenamed({"source": "_source"})
+    queued = queued.join(theirs, F.col("source").eqNullSafe(F.col("_source")), "left").drop("source", "_source").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+    middle = (2 * (F.col("copy") * F.col("source_size") + F.col("until")) - F.col("size")) / 2
+    queued = written(queued.withColumn("virtual", middle / F.col("weight")), "mix-queue")
+    # the level is where the closed form expects the cut: words flow evenly over virtual time up to it
+    level = targets.agg(F.max(F.col("target") / F.col("weight")).alias("level"), F.sum("source_size").alias("words")).first()
+    slots, t = slots_for(rows * most), F.col("virtual") / F.lit(level["level"] or 1.0)
+    slot = F.floor(slots * F.when(t <= 1, t).otherwise(2 - 1 / t))
+    total = running_sum(queued, [], TURN, "size", "total", slot, 2 * slots + 1)
+    return total.withColumn("taken", F.when(2 * F.col("total") - F.col("size") <= 2 * share * F.lit(level["words"] or 0), 1).otherwise(0)).drop("total", "key", "until", "source_rank")
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS, seed: str = "") -> DataFrame:
-    """The mixture itself: a row of docs for each copy taken, range-sorted by virtual finish time.
+    """The mixture itself: a row of docs for each copy taken, range-sorted by virtual time.
 
-    Columns are those of docs. Rows that are equal in every column share their copies. Sizes
-    are words (null text: 0, never repeated on their own account; such rows are kept as often
-    as their place in the queue says). A null source is the last source; an empty table stays
-    empty; no id needs to be unique. The queue works on narrow rows; texts are shuffled twice,
-    to their copies and into the order of the mixture.
+    Columns are those of docs, of any name and type. Rows that are equal in every column share
+    their copies. Sizes are words; rows without words are taken as often as their place in the
+    queue says. A null source is the last source; an empty table stays empty; no id needs to be
+    unique. The queue works on narrow rows; texts, of any length, are shuffled twice: to their
+    copies and into the order of the mixture.
     """
-    plan = schedule(docs, share, most, weights, seed)
-    copies = plan.where("copies > 0").select(F.col("r1").alias("_c1"), F.col("r2").alias("_c2"), F.explode(F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda j: (j * F.col("source_size") + F.col("until")) / F.col("weight"))).alias("_finish"))
-    r1, r2 = fingerprint(*[F.col(c) for c in docs.columns])
-    once = docs.withColumns({"_r1": r1, "_r2": r2}).dropDuplicates(["_r1", "_r2"])
-    both = once.join(copies, (F.col("_r1") == F.col("_c1")) & (F.col("_r2") == F.col("_c2")))
+    copies = queue(docs, share, most, weights, seed).where("taken = 1").select(F.col("r1").alias("c1"), F.col("r2").alias("c2"), "virtual")
+    r1, r2 = row_key(docs)
+    once = docs.select(F.struct("*").alias("row"), r1.alias("r1"), r2.alias("r2")).dropDuplicates(["r1", "r2"])
+    both = once.join(copies, (F.col("r1") == F.col("c1")) & (F.col("r2") == F.col("c2")))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return both.repartitionByRange(n, "_finish").sortWithinPartitions("_finish", "_r1").select(*docs.columns)
+    return both.repartitionByRange(n, "virtual").sortWithinPartitions("virtual", "r1").select("row.*")
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
-    plan = schedule(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), (F.col("until") / F.col("weight")).alias("virtual_finish"))
-    return out.repartitionByRange(n, "virtual_finish").sortWithinPartitions("virtual_finish")
+    copies = queue(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    one = copies.groupBy("doc_id", "r1", "r2").agg(*[F.first(c).alias(c) for c in ("size", "source_size", "target")], F.sum("taken").alias("n"), F.min("virtual").alias("virtual"), F.count_if(F.col("copy") == 0).alias("same"))
+    one = one.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("same").cast("int"))))  # repeated rows: a row each, their copies dealt as evenly as they go
+    extra = (F.col("turn") <= F.col("n") % F.col("same")).cast("long")
+    return one.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.floor(F.col("n") / F.col("same")) + extra)).cast("long").alias("taken"), "virtual")
 
 
 SQL = r"""
@@ -88,10 +101,11 @@ s3 AS (SELECT *, 2 * CAST(source_size AS DOUBLE) / weight AS ratio FROM s2),
 s4 AS (SELECT *, CAST(coalesce(sum(2 * source_size) OVER (ORDER BY ratio, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS stopped,
   CAST(sum(weight) OVER (ORDER BY ratio, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS rest FROM s3),
 s5 AS (SELECT *, (CAST(1.5 AS DOUBLE) * total - stopped) / rest AS level FROM s4),
-s6 AS (SELECT source, weight, source_size, coalesce(least(weight * (SELECT arg_min(level, (ratio, rank)) FROM s5 WHERE ratio > level), CAST(2 * source_size AS DOUBLE)), CAST(2 * source_size AS DOUBLE)) AS target FROM s5),
-q AS (SELECT w.*, CAST(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')) ROWS UNBOUNDED PRECEDING) AS BIGINT) AS until FROM w)
-SELECT doc_id, size, source_size, target,
-  CAST(size * (CASE WHEN 2 * until - size <= 2 * target THEN 1 ELSE 0 END + CASE WHEN 2 * (source_size + until) - size <= 2 * target THEN 1 ELSE 0 END) AS BIGINT) AS taken,
-  until / CAST(weight AS DOUBLE) AS virtual_finish
-FROM q JOIN s6 ON q.source IS NOT DISTINCT FROM s6.source
+s6 AS (SELECT source, rank, weight, source_size, total, coalesce(least(weight * (SELECT arg_min(level, (ratio, rank)) FROM s5 WHERE ratio > level), CAST(2 * source_size AS DOUBLE)), CAST(2 * source_size AS DOUBLE)) AS target FROM s5),
+q AS (SELECT w.*, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key, CAST(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')) ROWS UNBOUNDED PRECEDING) AS BIGINT) AS until FROM w),
+c AS (SELECT q.*, s6.rank, source_size, target, total, copy, CAST(2 * (copy * source_size + until) - size AS DOUBLE) / 2 / weight AS virtual
+  FROM q JOIN s6 ON q.source IS NOT DISTINCT FROM s6.source, (VALUES (0), (1)) v(copy)),
+t AS (SELECT *, CAST(sum(size) OVER (ORDER BY virtual, rank, key, copy ROWS UNBOUNDED PRECEDING) AS BIGINT) AS up FROM c)
+SELECT doc_id, size, source_size, target, CAST(sum(CASE WHEN 2 * up - size <= CAST(3 AS DOUBLE) * total THEN size ELSE 0 END) AS BIGINT) AS taken, min(virtual) AS virtual
+FROM t GROUP BY doc_id, size, source_size, target
 """

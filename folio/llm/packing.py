@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import count_words, fingerprint, lower_ascii, slots_for, table, written
 
+#: Equal rows that one task numbers.
+CHUNK = 10_000
 OUT = "doc_id long, piece int, size long, source string, shard int, bin int, position int, start long, bin_used long"
 
 
@@ -60,7 +62,7 @@ class Bins:
 
 def _pack(capacity: int, per_source: int):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "k1", "k2", "piece", "rid"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["size", "k1", "k2", "piece", "turn"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
         bins, held = Bins(capacity, per_source), defaultdict(int)
         put = [bins.put(n, s, c) for n, s, c in zip(pdf["size"], pdf["source"].fillna("\0"), zip(pdf["c1"], pdf["c2"], strict=True), strict=True)]
         at = [b for b, _ in put]
@@ -82,19 +84,24 @@ def pack(docs: DataFrame, capacity: int = 4096, per_source: int = 8, shard_rows:
     duplicate cluster (equal texts but for A-Z case and white space) nor more than
     `per_source` pieces of one source (null is a source). Pieces are dealt by hash over shards
     of about `shard_rows`, whatever their source or cluster, and packed there by decreasing
-    size; (shard, bin) names a bin. Every piece is placed: repeated rows and ties are pieces
-    of their own, null ids too; an empty table gives an empty one. Other columns aren't read.
+    size; (shard, bin) names a bin. The bins hang on the rows alone, not on their order, files
+    or partitions. Every piece is placed: repeated rows and ties are pieces of their own, null
+    ids too; an empty table gives an empty one. Other columns aren't read.
     """
     clean = F.btrim(F.regexp_replace(lower_ascii(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+", " "))
     c1, c2 = fingerprint(clean)
-    rows = docs.select("doc_id", "source", (count_words(F.col("text")) + 1).alias("tokens"), c1.alias("c1"), c2.alias("c2")).withColumn("rid", F.monotonically_increasing_id())
-    pieces = F.expr(f"sequence(0, cast((tokens - 1) div {capacity} AS int))")
-    rows = rows.select("*", F.explode(pieces).alias("piece"))
-    k1, k2 = fingerprint(F.col("doc_id"), F.col("c1"))
+    k1, k2 = fingerprint(F.col("doc_id"), F.col("source"), F.col("text"))
+    rows = docs.select("doc_id", "source", (count_words(F.col("text")) + 1).alias("tokens"), c1.alias("c1"), c2.alias("c2"), k1.alias("k1"), k2.alias("k2"))
+    # equal rows are numbered by counting them, in chunks so that no task makes all of a large group
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("same"))
+    chunk = F.explode(F.expr(f"sequence(0, cast((same - 1) div {CHUNK} AS int))"))
+    rows = rows.select("*", chunk.alias("chunk")).repartition("k1", "k2", "chunk")
+    rows = rows.select("*", F.explode(F.expr(f"sequence(chunk * {CHUNK}, cast(least(same, (chunk + 1L) * {CHUNK}) - 1 AS int))")).alias("turn"))
+    rows = rows.select("*", F.explode(F.expr(f"sequence(0, cast((tokens - 1) div {capacity} AS int))")).alias("piece"))
     rows = rows.withColumn("size", F.least(F.lit(capacity), F.col("tokens") - F.col("piece") * capacity))
-    rows = written(rows.withColumns({"k1": k1, "k2": k2}).drop("tokens"), "pack-pieces")
+    rows = written(rows.drop("tokens", "same", "chunk"), "pack-pieces")
     shards = slots_for(rows.count(), shard_rows, 1)
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("k1", "k2", "piece", "rid"), F.lit(shards)).cast("int"))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("k1", "k2", "piece", "turn"), F.lit(shards)).cast("int"))
     return rows.groupBy("shard").applyInPandas(_pack(capacity, per_source), OUT)
 
 

@@ -3,54 +3,64 @@
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import small_batches, table
+from folio.llm.common import table
 
-#: Bounds of what the classifier is fitted on: labelled rows of each class, and code points of one of their texts.
-FIT_ROWS, FIT_CHARS = 2_000, 20_000
-DICT_BYTES, LEVEL = 65_536, 3
+#: Bounds of what the classifier is fitted on: labelled rows of each class, and bytes of their texts (the text that passes the bound is the last).
+FIT_ROWS, FIT_BYTES = 2_000, 16 << 20
+#: Size of a dictionary, compression level, and folds of the rows that the curve is fitted over.
+DICT_BYTES, LEVEL, FOLDS = 65_536, 3, 3
 
 
 @dataclass(frozen=True)
-class QualityModel:
-    """Two dictionaries, and the logistic curve from the size difference to a probability of class 1."""
+class Dictionaries:
+    """Content of the dictionaries of good and of bad text; empty: none."""
 
     good: bytes
     bad: bytes
+
+    def packers(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
+        """Compressors with the good and with the bad dictionary, for use in one thread."""
+        return _packer(self.good), _packer(self.bad)
+
+
+@dataclass(frozen=True)
+class QualityModel:
+    """Two dictionaries, and the logistic curve from the size difference to a probability of class 1."""
+
+    words: Dictionaries
     slope: float
     intercept: float
 
-    def differences(self, texts: list[str]) -> np.ndarray:
-        """(size under bad - size under good) / sqrt(bytes + 1) of each whole text."""
-        packers = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) if d else zstandard.ZstdCompressor(level=LEVEL) for d in (self.good, self.bad)]
-        out = np.empty(len(texts))
-        for i, t in enumerate(texts):
-            raw = (t or "").encode()
-            good, bad = (len(p.compress(raw)) for p in packers)
-            out[i] = (bad - good) / np.sqrt(len(raw) + 1)
-        return out
+    def curve(self, differences: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * differences + self.intercept, -30, 30)))
+
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.differences(texts) + self.intercept, -30, 30)))
+def _packer(content: bytes) -> zstandard.ZstdCompressor:
+    if not content:
+        return zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
+    held = zstandard.ZstdCompressionDict(content)  # of a trained dictionary, or of raw content
+    held.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_dict_id=False)
 
 
-def _once_said(texts: list[str]) -> list[bytes]:
-    """The texts without the lines that several of them share, which say nothing about quality."""
-    seen = Counter(x for t in texts for x in set(t.split("\n")))
-    return [b for t in texts if len(b := "\n".join(x for x in t.split("\n") if seen[x] == 1).encode()) > 8]
+def differences(packers: tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor], texts: list[str | None]) -> np.ndarray:
+    """(size under bad - size under good) / sqrt(bytes + 1) of each whole text."""
+    good, bad = packers
+    raw = [(t or "").encode() for t in texts]
+    return np.array([(len(bad.compress(r)) - len(good.compress(r))) / np.sqrt(len(r) + 1) for r in raw])
 
 
 def _dictionary(samples: list[bytes], total: int) -> bytes:
-    """A zstandard dictionary trained on about `total` bytes of the samples; none if they are too few to train on."""
+    """A zstandard dictionary trained on about `total` bytes of the samples; where they are too few to train on, their last bytes themselves."""
     chosen, n = [], 0
     for s in samples:
         chosen.append(s)
@@ -58,9 +68,16 @@ def _dictionary(samples: list[bytes], total: int) -> bytes:
         if n >= total:
             break
     try:
-        return zstandard.train_dictionary(DICT_BYTES, chosen).as_bytes() if len(chosen) >= 8 else b""
+        return zstandard.train_dictionary(DICT_BYTES, chosen).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"\n".join(chosen)[-DICT_BYTES:]
+
+
+def build_dictionaries(good: list[str], bad: list[str]) -> Dictionaries:
+    """From equal bytes of both classes (the smaller class gives the bound), so that neither compresses better for its size."""
+    raw = [[b for t in texts if (b := t.encode())] for texts in (good, bad)]
+    total = min(sum(map(len, r)) for r in raw)
+    return Dictionaries(*(_dictionary(r, total) for r in raw)) if total else Dictionaries(b"", b"")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -77,40 +94,59 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 0.0), float(w[1])
 
 
+def _sample(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
+    """doc_id, text, quality of the rows to fit on: of each class the first by hash of the id, FIT_ROWS and about FIT_BYTES of them at most."""
+    marked = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    chosen = [marked.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS) for q in (0, 1)]
+    ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * FIT_ROWS rows at most
+    once = docs.where("text IS NOT NULL").join(ids, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    before = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    held = once.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0))).where(F.col("before") < FIT_BYTES)
+    rows = held.select("doc_id", "text", "quality").toPandas()
+    return rows.sort_values("doc_id", key=lambda s: s.map(lambda i: zlib.crc32(f"fit {i}".encode())), ignore_index=True)
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
     """Fits on labels(doc_id, quality) of docs(doc_id, text).
 
-    Of each class the FIT_ROWS labelled ids that come first by hash are used, as far as their
-    text has at most FIT_CHARS code points; this bounded sample is all that goes to the
-    driver. Two thirds of it make the dictionaries, from equal bytes of both classes; the
-    curve is fitted on the last third, which no dictionary has seen. Labels other than 0 and
-    1 and null ids are left out; an id with several labels counts as the lowest of them.
-    With no rows of a class the score is the smoothed share of class 1 (0.5 without labels).
+    Of each class the FIT_ROWS labelled ids that come first by hash are used, as far as
+    their whole texts have about FIT_BYTES; this bounded sample is all that goes to the driver.
+    The curve is fitted on differences of every row under dictionaries of the other FOLDS - 1
+    folds, then the dictionaries are built from all rows. Labels other than 0 and 1, null ids
+    and null texts are left out; an id with several labels counts as the lowest of them, one
+    with several texts as the least of them. Where a class has no row, or only one with text, the score is the
+    smoothed share of class 1 (0.5 without labels), as there is nothing to compare.
     """
-    marked = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = [marked.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS) for q in (0, 1)]
-    ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * FIT_ROWS rows at most
-    rows = docs.where(F.length("text") <= FIT_CHARS).join(ids, "doc_id").select("doc_id", "text", "quality").dropDuplicates(["doc_id"]).toPandas()
-    rows = rows.sort_values("doc_id", key=lambda s: s.map(lambda i: zlib.crc32(f"fit {i}".encode())), ignore_index=True)
-    part = rows["doc_id"].map(lambda i: zlib.crc32(f"part {i}".encode()) % 3) if len(rows) else rows["doc_id"]
-    texts = [_once_said(rows["text"][(part != 2) & (rows["quality"] == q)].tolist()) for q in (0, 1)]
-    total = min(sum(map(len, t)) for t in texts)
-    model = QualityModel(_dictionary(texts[1], total), _dictionary(texts[0], total), 0.0, 0.0)
-    held = rows[part == 2] if len(rows) else rows
-    y = held["quality"].to_numpy(float)
-    if not (model.good and model.bad and 0 < y.sum() < len(y)):
-        p = (rows["quality"].sum() + 1) / (len(rows) + 2)
-        return QualityModel(b"", b"", 0.0, float(np.log(p / (1 - p))))
-    return QualityModel(model.good, model.bad, *_logistic(model.differences(held["text"].tolist()), y))
-
-
-def quality_score(model: QualityModel, text: Column) -> Column:
-    """Probability of class 1 of each whole text; null counts as empty. The model, of about 2 * DICT_BYTES, goes with the task."""
+    rows = _sample(docs, labels)
+    y = rows["quality"].to_numpy(float)
+    texts = rows["text"].tolist()
+    pick = lambda keep, q: [t for t, k, c in zip(texts, keep, y, strict=True) if k and c == q]
+    fold, x = np.zeros(len(y), int), np.zeros(len(y))
+    for q in (0, 1):  # folds of equal shares of each class
+        own = np.flatnonzero(y == q)
+        fold[own] = np.arange(len(own)) % FOLDS
+    if min((y == 0).sum(), (y == 1).sum()) < 2:
+        p = (y.sum() + 1) / (len(y) + 2)
+        return QualityModel(Dictionaries(b"", b""), 0.0, float(np.log(p / (1 - p))))
+    for k in range(FOLDS):
+        own = fold == k
+        x[own] = differences(build_dictionaries(pick(~own, 1), pick(~own, 0)).packers(), [t for t, o in zip(texts, own, strict=True) if o])
+    every = np.ones(len(y), bool)
+    return QualityModel(build_dictionaries(pick(every, 1), pick(every, 0)), *_logistic(x, y))
+
+
+def quality_score(spark: SparkSession, model: QualityModel, text: Column) -> Column:
+    """Probability of class 1 of each whole text; null counts as empty. The model, about 2 * DICT_BYTES, is broadcast;
+    a task makes its compressors once."""
+    shared = spark.sparkContext.broadcast((model.words.good, model.words.bad, model.slope, model.intercept))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        good, bad, slope, intercept = shared.value
+        own = QualityModel(Dictionaries(good, bad), slope, intercept)
+        packers = own.words.packers()
         for texts in batches:
-            yield pd.Series(model.scores(texts.tolist()))
+            yield pd.Series(own.curve(differences(packers, texts.tolist())))
 
     return score(text)
 
@@ -126,9 +162,8 @@ def classify(docs: DataFrame, fit_on: DataFrame, labels: DataFrame, threshold: f
     Every row is scored by its whole text alone; repeated rows get equal scores, an empty
     table stays empty. Labels of the held-out fold (crc32 mod 5 = 0) are never learned from.
     """
-    small_batches(docs.sparkSession)
     model = fit_quality(fit_on.select("doc_id", "text"), labels.select("doc_id", "quality").where(learnable(F.col("doc_id"), 5, 0)))
-    scored = docs.drop("score", "predicted").withColumn("score", quality_score(model, F.col("text")))
+    scored = docs.drop("score", "predicted").withColumn("score", quality_score(docs.sparkSession, model, F.col("text")))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

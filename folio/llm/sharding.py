@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import fingerprint, hashed_slot, running_sum, slots_for, table, written
+from folio.llm.common import fingerprint, hashed_slot, rank_by_hash, running_sum, slots_for, table, written
 
 GROUP = ["g1", "g2"]
+#: Rows of a group that one task numbers.
+NUMBERED = 5_000
 
 
-def _choose(n: Column, pairs: list[tuple[int, int]]) -> Column:
-    """n mapped through at most as many pairs as there are shards."""
-    return F.coalesce(*[F.when(n == a, F.lit(b)) for a, b in pairs]) if pairs else F.lit(0)
+def _of(values: list[int], at: Column) -> Column:
+    """The value at a place in a short list: one number for each shard or pair of shards."""
+    return F.lit(values)[at]
 
 
 def _loads(df: DataFrame, shards: int) -> list[int]:
@@ -23,80 +25,133 @@ def _loads(df: DataFrame, shards: int) -> list[int]:
     return [found.get(i, 0) for i in range(shards)]
 
 
-def propagate(linked: DataFrame, capacity: list[int], rounds: int = 8) -> DataFrame:
-    """linked(g1, g2, k1, k2, label, ...) with labels moved towards each group's most frequent label.
-
-    A group is a clique, so what a document's neighbours hold most is what its group holds
-    most: votes are counts by (group, label). A round moves documents out of shards that have
-    room into their group's first shard that has room, as far as the room goes; a group larger
-    than a shard so fills one shard after another. Ends when nothing wants to move.
+def quotas(wishes: dict[tuple[int, int], int], loads: list[int], capacity: list[int]) -> dict[tuple[int, int], int]:
+    """How many documents may move between each pair of shards, so that no shard ends above its capacity.
+
+    What leaves a shard makes room for what comes. Beginning with all wishes, the inflow of
+    each shard that would be too full is cut in proportion, until none is: flows in circles
+    stay, between full shards too."""
+    flow = {k: float(n) for k, n in wishes.items()}
+    for _ in range(1_000):
+        over = False
+        for b in range(len(capacity)):
+            into = sum(f for (_, t), f in flow.items() if t == b)
+            excess = loads[b] + into - sum(f for (a, _), f in flow.items() if a == b) - capacity[b]
+            if excess > 1e-6 and into > 0:
+                over = True
+                keep = max(0.0, 1 - excess / into)
+                flow = {(a, t): f * keep if t == b else f for (a, t), f in flow.items()}
+        if not over:
+            break
+    whole = {k: int(f + 1e-6) for k, f in flow.items()}
+    over = [loads[b] - capacity[b] + sum(f if t == b else -f for (a, t), f in whole.items() if b in (a, t)) for b in range(len(capacity))]
+    changed = True
+    while changed:  # rounding down what leaves leaves some shards too full, and room in others
+        changed = False
+        for (a, b), f in whole.items():
+            step = max(-f, min(wishes[a, b] - f, -over[b])) if over[b] else 0
+            if step:
+                whole[a, b], changed = f + step, True
+                over[b], over[a] = over[b] + step, over[a] - step
+    return {k: f for k, f in whole.items() if f}
+
+
+def propagate(cells: DataFrame, capacity: list[int], rounds: int = 10) -> DataFrame:
+    """cells(g1, g2, label, n) after the documents have moved: n of a group's documents are in shard `label`.
+
+    The documents of a group are neighbours of each other and alike, so a cell stands for all
+    of its documents, and the join of a document with its neighbours is one of the group's
+    cells, as many as there are shards at most. In each round the documents want to go where
+    most of their neighbours are, among shards that can take any: those with room, and those
+    that others wished to leave in the round before. `quotas` says how many may go between
+    each pair of shards; a group larger than a shard fills one after another. Ends when
+    nothing moves any more, or after `rounds`.
     """
     shards = len(capacity)
-    for _ in range(rounds):
-        loads = _loads(linked, shards)
-        room = [max(0, c - n) for c, n in zip(capacity, loads, strict=True)]
-        full = [i for i in range(shards) if not room[i]]
-        open_ = ~F.col("label").isin(full) if full else F.lit(True)
-        turn = F.pmod(F.col("label") + F.col("g1"), F.lit(shards))  # ties: another order of shards for each group
-        votes = linked.where(open_).groupBy(*GROUP, "label").agg(F.count("*").alias("n"))
-        best = votes.groupBy(*GROUP).agg(F.max(F.struct("n", turn.alias("turn"), "label"))["label"].alias("best"))
-        best = written(best.select(F.col("g1").alias("b1"), F.col("g2").alias("b2"), "best"), "shard-votes")
-        wanted = linked.join(best, (F.col("g1") == F.col("b1")) & (F.col("g2") == F.col("b2")), "left").drop("b1", "b2")
-        wanted = written(wanted.withColumn("moves", (open_ & F.col("best").isNotNull() & (F.col("best") != F.col("label"))).cast("int")), "shard-wishes")
-        asked = wanted.agg(F.sum("moves")).first()[0]
-        if not asked:
-            return linked
-        movers = wanted.where("moves = 1").withColumn("one", F.lit(1))
-        movers = running_sum(movers, ["best"], ["k1", "k2", "rid"], "one", "rank", hashed_slot(["k1", "k2", "rid"], slots_for(asked))).drop("one")
-        movers = movers.withColumn("label", F.when(F.col("rank") <= _choose(F.col("best"), [*enumerate(room)]), F.col("best")).otherwise(F.col("label")))
-        linked = written(wanted.where("moves = 0").select(*linked.columns).unionByName(movers.select(*linked.columns)), "shard-labels")
-    return linked
-
-
-def shard(docs: DataFrame, shards: int = 16, rounds: int = 8) -> DataFrame:
+    loads = {r["label"]: r["n"] for r in cells.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    loads = [loads.get(i, 0) for i in range(shards)]
+    takes = list(range(shards))
+    group = Window.partitionBy(*GROUP)
+    for turn in range(rounds):
+        tie = F.xxhash64(F.lit(turn), *GROUP, "label")  # another order of shards for each group and round
+        full = F.col("n") >= _of(capacity, F.col("label"))
+        best = F.max(F.when(F.col("label").isin(takes) & ~full, F.struct("n", tie.alias("tie"), "label"))).over(group)["label"]
+        wanted = written(cells.withColumn("best", F.when(full, F.col("label")).otherwise(F.coalesce(best, "label"))), "shard-wishes")
+        movers = wanted.where("best <> label")
+        asked = {(r["label"], r["best"]): (r["n"], r["cells"]) for r in movers.groupBy("label", "best").agg(F.sum("n").alias("n"), F.count("*").alias("cells")).collect()}
+        may = quotas({k: n for k, (n, _) in asked.items()}, loads, capacity)
+        for (a, b), n in may.items():
+            loads[a], loads[b] = loads[a] - n, loads[b] + n
+        before, takes = takes, [i for i in range(shards) if loads[i] < capacity[i] or any(a == i for a, _ in asked)]
+        if not may:
+            if before == takes:
+                break
+            continue
+        slots = slots_for(max(c for _, c in asked.values()), least=1)
+        order = ["h", *GROUP]
+        ranked = running_sum(movers.withColumn("h", F.xxhash64(F.lit(turn), *GROUP)), ["label", "best"], order, "n", "upto", hashed_slot(order, slots), slots)
+        quota = _of([may.get((a, b), 0) for a in range(shards) for b in range(shards)], F.col("label") * shards + F.col("best"))
+        ranked = ranked.withColumn("goes", F.greatest(F.lit(0), F.least("n", quota - (F.col("upto") - F.col("n")))).cast("long"))
+        moved = ranked.select(*GROUP, F.explode(F.array(F.struct("label", (F.col("n") - F.col("goes")).alias("n")), F.struct(F.col("best").alias("label"), F.col("goes").alias("n")))).alias("x")).select(*GROUP, "x.label", "x.n")
+        every = wanted.where("best = label").select(*GROUP, "label", "n").unionByName(moved)
+        cells = written(every.where("n > 0").groupBy(*GROUP, "label").agg(F.sum("n").alias("n")), "shard-cells")
+    return cells
+
+
+def cut_edges(placed: DataFrame) -> DataFrame:
+    """edges, cut: links between documents of equal texts in placed(g1, g2, shard), and those whose ends are in different shards."""
+    cells = placed.groupBy(*GROUP, "shard").agg(F.count("*").cast("double").alias("n"))
+    sums = cells.groupBy(*GROUP).agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
+    return sums.agg(F.sum((F.col("s") * F.col("s") - F.col("s")) / 2).alias("edges"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("cut"))
+
+
+def shard(docs: DataFrame, shards: int = 16, rounds: int = 10) -> DataFrame:
     """doc_id, size, text_crc32, g1, g2, shard, slot for every row of docs(doc_id, text).
 
     Law `rows`: counts of the shards are at most one apart. Links: rows with equal texts (a
-    null text is an empty one). Rows begin in the shard of a hash; linked rows move by
-    `propagate`; the others then fill what each shard has left, staying where they began as
-    long as there is room. slot numbers each shard's rows from 0 without gaps.
-
-    Repeated rows and null ids are rows like any others; an empty table gives an empty one.
-    No step holds a group or a shard in one task: votes are partial sums, ranks are two-level
-    running sums, and a large group's join is between two written tables. Only counts by
-    shard go to the driver. Texts aren't shuffled.
+    null text is an empty one). Linked rows are dealt round robin over the shards, and move by
+    `propagate`; the others begin in the shard of a hash and stay as long as there is room, or
+    fill what is left. slot numbers each shard's rows from 0 without gaps.
+
+    Repeated rows and null ids are rows like any others, ties go by the row's fingerprint; an empty table gives an empty one.
+    Other columns aren't read. Texts, of any length, are hashed whole and never shuffled.
+    No step holds a group or a shard in one task: groups are counted by partial sums, ranks are
+    running sums in levels, and a large group's join is between two written tables. Only counts by
+    shard and pair of shards go to the driver.
     """
     text = F.coalesce("text", F.lit(""))
     g1, g2 = fingerprint(text)
     work = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), g1.alias("g1"), g2.alias("g2"))
     k1, k2 = fingerprint(F.col("doc_id"), F.col("g1"), F.col("g2"))
-    work = written(work.withColumns({"k1": k1, "k2": k2, "rid": F.monotonically_increasing_id(), "label": F.pmod(k1, F.lit(shards)).cast("int")}), "shard-rows")
+    work = written(work.withColumns({"k1": k1, "k2": k2, "one": F.lit(1)}), "shard-rows")
     rows = work.count()
     capacity = [rows // shards + (i < rows % shards) for i in range(shards)]
-    groups = written(work.groupBy(*GROUP).agg(F.count("*").alias("n")).where("n > 1").select(F.col("g1").alias("b1"), F.col("g2").alias("b2")), "shard-groups")
+    order = ["k1", "k2"]
+    groups = written(work.groupBy(*GROUP).agg(F.count("*").alias("n")).where("n > 1"), "shard-groups")
+    dealt = running_sum(groups, [], GROUP, "n", "upto", hashed_slot(GROUP, slots_for(rows)), slots_for(rows))
+    # of the linked rows number `upto - n` to `upto - 1`, every shards-th begins in the same shard
+    upto = lambda x, i: F.floor((x + (shards - 1 - i)) / shards)
+    counts = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: F.struct(i.alias("label"), (upto(F.col("upto"), i) - upto(F.col("upto") - F.col("n"), i)).alias("n")))
+    cells = written(dealt.select(*GROUP, F.explode(counts).alias("x")).select(*GROUP, "x.label", "x.n").where("n > 0"), "shard-cells")
+    cells = propagate(cells, capacity, rounds)
+    ends = Window.partitionBy(*GROUP).orderBy("label").rowsBetween(Window.unboundedPreceding, 0)
+    ends = cells.withColumn("end", F.sum("n").over(ends)).groupBy(*GROUP).agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("end", "label"))).alias("ends"))
+    ends = written(ends.select(F.col("g1").alias("b1"), F.col("g2").alias("b2"), F.col("n").alias("of"), "ends"), "shard-ends")
     same = (F.col("g1") == F.col("b1")) & (F.col("g2") == F.col("b2"))
-    linked = written(work.join(groups, same, "left_semi"), "shard-linked")
-    alone = written(work.join(groups, same, "left_anti").withColumn("one", F.lit(1)), "shard-alone")
-    # hashing may begin a shard with more linked rows than it may hold: those beyond its capacity count as unlinked
-    order = ["k1", "k2", "rid"]
-    if any(n > c for n, c in zip(_loads(linked, shards), capacity, strict=True)):
-        ranked = written(running_sum(linked.withColumn("one", F.lit(1)), ["label"], order, "one", "rank", hashed_slot(order, slots_for(rows))).withColumn("over", F.col("rank") > _choose(F.col("label"), [*enumerate(capacity)])), "shard-over")
-        alone = written(alone.unionByName(ranked.where("over").select(*alone.columns)), "shard-alone")
-        linked = ranked.where("NOT over").select(*linked.columns)
-    linked = propagate(linked, capacity, rounds)
+    linked = written(work.join(ends, same).drop("b1", "b2"), "shard-linked")
+    alone = written(work.join(ends, same, "left_anti").withColumn("label", F.pmod("k1", F.lit(shards)).cast("int")), "shard-alone")
+    columns = [*work.columns, "label"]
+    linked = running_sum(linked, GROUP, order, "one", "rank", F.pmod(F.xxhash64(F.lit("slot"), *order), F.ceil(F.col("of") / NUMBERED)), -(-rows // NUMBERED))
+    linked = written(linked.withColumn("label", F.filter("ends", lambda e: F.col("rank") <= e["end"])[0]["label"]).select(*columns), "shard-labels")
     left = [c - n for c, n in zip(capacity, _loads(linked, shards), strict=True)]
-    ranked = written(running_sum(alone, ["label"], order, "one", "rank", hashed_slot(order, slots_for(rows))).withColumn("stays", F.col("rank") <= _choose(F.col("label"), [*enumerate(left)])), "shard-ranks")
-    stay, moved = ranked.where("stays").select(*linked.columns), ranked.where("NOT stays").select(*alone.columns)
+    ranked = written(rank_by_hash(alone, ["label"], order, rows).withColumn("stays", F.col("rank") <= _of(left, F.col("label"))), "shard-ranks")
+    stay, moved = ranked.where("stays").select(*columns), ranked.where("NOT stays").select(*columns)
     gaps = [n - m for n, m in zip(left, _loads(stay, shards), strict=True)]
-    ends, at = [], 0
-    for i, g in enumerate(gaps):
-        at += g
-        ends.append((at, i))
-    moved = running_sum(moved, [], order, "one", "rank", hashed_slot(order, slots_for(rows)))
-    moved = moved.withColumn("label", F.coalesce(*[F.when(F.col("rank") <= e, F.lit(i)) for e, i in ends]))
-    placed = reduce(DataFrame.unionByName, [linked, stay, moved.select(*linked.columns)])
-    placed = written(placed.withColumn("one", F.lit(1)), "shard-placed")
-    out = running_sum(placed, ["label"], order, "one", "rank", hashed_slot(order, slots_for(rows)))
+    moved = rank_by_hash(moved, [], order, rows)
+    ends = F.lit([(sum(gaps[: i + 1])) for i in range(shards)])
+    moved = moved.withColumn("label", F.size(F.filter(ends, lambda e: e < F.col("rank"))))
+    placed = written(reduce(DataFrame.unionByName, [linked, stay, moved.select(*columns)]), "shard-placed")
+    out = rank_by_hash(placed, ["label"], order, rows)
     return out.select("doc_id", "size", "text_crc32", "g1", "g2", F.col("label").alias("shard"), (F.col("rank") - 1).cast("long").alias("slot"))
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import os
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -60,7 +61,7 @@ def test_empty_tables(spark, edge):
     vec = spark.createDataFrame([], "vec_id long, embedding array<float>")
     outs = [
         line_dedup.dedup_lines(none), near_dup.near_duplicates(none), quality.classify(none, none, spark.createDataFrame([], "doc_id long, quality int")), langid.identify(none, none),
-        media.media_column(none), chat_format.format_chat(turns), packing.pack(none), mixing.schedule(none), mixing.mix(none), sharding.shard(none), ann.neighbours(vec, "vec_id", "embedding", F.col("vec_id") % 50 == 0),
+        media.media_column(none), chat_format.format_chat(turns), packing.pack(none), mixing.queue(none), mixing.mix(none), sharding.shard(none), ann.neighbours(vec, "vec_id", "embedding", F.col("vec_id") % 50 == 0),
     ]
     assert [o.count() for o in outs] == [0] * len(outs)
 
@@ -138,8 +139,36 @@ def test_nearest_recall_and_edge(spark):
         hits, n = hits + len(want & set(mine["vec_id"])), n + 5
     assert hits / n >= 0.9
     bad = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0]), (50, [0.0, 1.0])]
-    out = ann.neighbours(spark.createDataFrame(bad, "vec_id long, embedding array<float>"), "vec_id", "embedding", F.col("vec_id") % 50 == 0)
-    assert sorted(map(tuple, out.collect())) == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 50, 0.0), (50, 1, 0, 0.0), (50, 2, 1, 0.0), (50, 3, 2, 0.0)]
+    for names in (("vec_id", "embedding"), ("v", "d"), ("id", "asked"), ("list", "codes")):
+        df = spark.createDataFrame(bad, f"{names[0]} long, {names[1]} array<float>")
+        out = ann.neighbours(df, *names, F.col(names[0]) % 50 == 0)
+        assert sorted(map(tuple, out.collect())) == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 50, 0.0), (50, 1, 0, 0.0), (50, 2, 1, 0.0), (50, 3, 2, 0.0)]
+    huge = spark.createDataFrame([(0, [1e300, 1e300]), (1, [1e-300, 1e-300]), (2, [1e300, -1e300])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], round(r["score"], 9)) for r in ann.neighbours(huge, "vec_id", "embedding", F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 1.0), (2, 0.0)]
+
+
+def test_nearest_where_the_codes_decide(spark):
+    """20,000 vectors without clusters: recall, how much is reranked, and independence of partitions."""
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(20_000, 32)).astype(np.float32)
+    v[10_000:] += 0.8 * v[:10_000]
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": v.tolist()}), "vec_id long, embedding array<float>")
+    found = ann.search(df, "vec_id", "embedding", F.col("vec_id") % 100 == 0)
+    cost = found.agg(F.sum("reranked").alias("r"), F.sum("visited").alias("v")).first()
+    assert cost["r"] < 0.1 * cost["v"] and cost["v"] < 0.9 * 200 * len(v)
+    got = ann.neighbours(df, "vec_id", "embedding", F.col("vec_id") % 100 == 0).toPandas()
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, len(v), 100):
+        s = u @ u[q]
+        s[q] = -9
+        hits += len(set(np.argsort(-s)[:5]) & set(got.vec_id[got.query_id == q]))
+    assert hits / 1_000 >= 0.9
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    again = ann.neighbours(df.repartition(5), "vec_id", "embedding", F.col("vec_id") % 100 == 0).toPandas()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    key = ["query_id", "rank"]
+    pd.testing.assert_frame_equal(got.sort_values(key, ignore_index=True), again.sort_values(key, ignore_index=True))
 
 
 def test_quality_held_out_and_edge(spark, edge):
@@ -153,6 +182,22 @@ def test_quality_held_out_and_edge(spark, edge):
     assert len(scored) == len(EDGE_ROWS) and scored["score"].between(0, 1).all() and scored["score"].nunique() == 1
 
 
+def test_quality_on_few_labels_and_long_texts_equals_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    long = docs.where("doc_id < 3").select((F.col("doc_id") + 10_000).alias("doc_id"), F.repeat("text", F.lit(300)).alias("text"))
+    docs = docs.select("doc_id", "text").unionByName(long).unionByName(spark.createDataFrame([(20_000, None), (20_001, "")], "doc_id long, text string"))
+    labels = labels.select("doc_id", "quality").unionByName(spark.createDataFrame([(10_000, 1), (10_001, 0), (20_000, 1)], "doc_id long, quality int"))
+    model = quality.fit_quality(docs, labels.where(quality.learnable(F.col("doc_id"), 5, 0)))
+    assert 10_000 in set(quality._sample(docs, labels)["doc_id"])
+    out = quality.classify(docs, docs, labels).toPandas()
+    assert out["score"].nunique() > 150 and out["score"].between(0, 1).all()
+    for r in docs.collect():
+        raw = (r["text"] or "").encode()
+        good, bad = (len(p.compress(raw)) for p in model.words.packers())
+        want = 1 / (1 + np.exp(-np.clip(model.slope * (bad - good) / np.sqrt(len(raw) + 1) + model.intercept, -30, 30)))
+        assert abs(out["score"][out["doc_id"] == r["doc_id"]].iloc[0] - want) < 1e-12
+
+
 def test_language_held_out_and_edge(spark, edge):
     sf = "/root/testdata/sf0.01"
     out = langid.op5_language_id(spark, sf).toPandas().merge(pd.read_parquet(f"{sf}/documents.parquet"), on="doc_id")
@@ -162,6 +207,31 @@ def test_language_held_out_and_edge(spark, edge):
     assert und == {1, 2, 3, 8, 9} and got["score"].between(0, 1).all()
 
 
+def test_language_equals_brute_force(spark):
+    texts = {"de": ["der Hund und die Katze", "das ist ein Haus"], "en": ["the dog and the cat", "this is a house"], "fr": ["le chien et le chat", "c'est une maison là"]}
+    learn = [(i, t, k) for k, ts in texts.items() for i, t in enumerate(ts)]
+    ask = [(i, t) for i, t in enumerate(["the house", "ein Hund", "une chatte", "ß", "x" * 40, "Das Haus is une"])]
+    out = langid.identify(spark.createDataFrame(ask, "doc_id long, text string"), spark.createDataFrame(learn, "doc_id long, text string, lang string")).toPandas()
+
+    def grams(text):
+        c = [ord(x) for x in f" {text.lower()} "]
+        for n in (1, 2, 3):
+            for i in range(len(c) - n + 1):
+                if n > 1 or i < len(c) - 2:  # single marks: those of the text and the leading space
+                    h = sum((c[i + k] + k + 1) * int(langid._MULTIPLIERS[k]) for k in range(n)) % 2**64
+                    yield (((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) % 2**64) >> 49
+    counts = {k: Counter(g for t in ts for g in grams(t) if True) for k, ts in texts.items()}
+    for i, t in ask:
+        held = {}
+        for k, c in counts.items():
+            total = sum(c.values()) + 0.5 * langid.BUCKETS
+            held[k] = sum(np.log((c[g] + 0.5) / total) for g in grams(t))
+        best = max(held, key=held.get)
+        post = 1 / sum(np.exp(x - held[best]) for x in held.values())
+        row = out[out["doc_id"] == i].iloc[0]
+        assert row["lang_pred"] == best and abs(row["score"] - post) < 1e-3
+
+
 def test_long_texts_are_cut_without_loss():
     text = "abc déf " * 90_000
     pieces = list(langid._pieces([text, "x"]))
@@ -180,6 +250,10 @@ def test_media_round_trip_and_retry(spark, edge, tmp_path):
     media.write_media(edge, f"file://{tmp_path}/m")
     small = media.read_media(spark, f"file://{tmp_path}/m", range_bytes=1, batch_bytes=1)
     assert small.count() == len(EDGE_ROWS)
+    media.write_media(edge.limit(2), f"file://{tmp_path}/m")  # a second commit adds to the first
+    assert media.read_media(spark, f"file://{tmp_path}/m", range_bytes=700).count() == len(EDGE_ROWS) + 2
+    names = {r["archive"] for r in small.collect()}
+    assert all((tmp_path / "m" / f"{n}.idx").exists() for n in names)
     reader = media.ArchiveReader(f"file://{tmp_path}/m", 1 << 20, 1 << 20, 3)
     part = next(p for p in reader.partitions() if p.archive)
 
@@ -196,6 +270,28 @@ def test_media_round_trip_and_retry(spark, edge, tmp_path):
     assert name.endswith(".png") and body[:4] == b"\x89PNG" and after % 512 == 0
 
 
+def test_media_query_equals_brute_force(spark):
+    out = media.op6_media(spark, SF).toPandas().set_index("doc_id")
+    for r in pd.read_parquet(f"{SF}/documents.parquet").itertuples():
+        raw = (r.text or "").encode()
+        pad = raw + b"\0" * (max(64, len(raw) + -len(raw) % 64) - len(raw))
+        m = out.loc[r.doc_id]
+        cols = np.frombuffer(pad, np.uint8).reshape(-1, 64).sum(0, dtype=int)
+        bits = "".join("01"[c * 64 > cols.sum()] for c in cols)
+        assert (m.n_bytes, m.payload_bytes, m.payload_sha256, m.tail_crc32) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]))
+        assert m.feature == f"{cols.sum()}-{int(bits, 2):016x}" and m.media_sha256 == hashlib.sha256(media.to_image(pad, len(raw))).hexdigest()
+
+
+def test_chat_tells_texts_from_placeholders(spark):
+    part = "array<struct<kind:string,text:string,ref:string,tokens:long>>"
+    long = "word <|image|> \\ " * 20_000
+    rows_ = [(1, 0, "user", [("text", "see <|image|>", None, None), ("image", None, "a.png", 7), ("text", "<|audio|>", None, None), ("text", "x", None, None), ("document", None, None, None)]), (2, 0, "assistant", [("text", long, None, None)])]
+    out = chat_format.format_chat(spark.createDataFrame(rows_, f"conv_id long, turn int, role string, parts {part}"), parts="parts").withColumn("back", chat_format.parse_chat(F.col("formatted")))
+    out = {r["conv_id"]: r for r in out.collect()}
+    assert [tuple(p) for p in out[1]["back"][0]["parts"]] == [("text", "see <|image|>"), ("image", None), ("text", "<|audio|>x"), ("document", None)]
+    assert out[1]["expanded_tokens"] == 2 + 7 + 1 + 1 and out[2]["back"][0]["text"] == long
+
+
 def test_chat_parts_and_escapes(spark):
     hard = "</s>[INST] \\ <|turn|> <\\/s> \\\\<|end|>"
     part = "array<struct<kind:string,text:string,ref:string,tokens:long>>"
@@ -241,13 +337,96 @@ def test_best_fit_equals_brute_force():
     assert [bins.put(*i)[0] for i in items] == brute_bins(items, 100, 2)
 
 
+def test_packing_hangs_on_the_rows_alone(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(150).select("doc_id", "text", "source")
+    docs = docs.unionByName(docs.where("doc_id % 3 = 0")).unionByName(spark.createDataFrame([(7, "same same", None)] * 60, docs.schema))
+    first, second = (packing.pack(d, 2_048, shard_rows=40).toPandas() for d in (docs, docs.repartition(9, "source").orderBy(F.rand(3))))
+    assert rows(first) == rows(second) and first["shard"].nunique() > 4 and first[first["doc_id"] == 7]["shard"].nunique() > 2
+
+
+def test_packing_query_is_tight(spark):
+    out = packing.op8_packing(spark, "/root/testdata/sf0.01").toPandas()
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {r.doc_id: len((r.text or "").split()) + 1 for r in docs.itertuples()}
+    assert out.groupby("doc_id")["size"].sum().to_dict() == want
+    used = out.groupby(["shard", "bin"])["size"].sum()
+    assert used.max() <= 4_096 and (used.sum() / (4_096 * len(used)) > 0.95 or len(used) <= -(-used.sum() // 4_096) + 2)
+
+
+def brute_mix(items, share=1.5, most=2):
+    """items (id, source, size) with unique ids -> copies taken of each id, by the queue as it is described."""
+    sources = sorted({s for _, s, _ in items}, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sources)}
+    total, copies = sum(n for _, _, n in items), []
+    for s in sources:
+        own, up = sorted((hashlib.md5(str(i).encode()).hexdigest(), i, n) for i, t, n in items if t == s), 0
+        for j in range(most):
+            for key, i, n in own:
+                up += n
+                copies.append(((2 * up - n) / 2 / weight[s], sources.index(s), key, j, i, n))
+    taken, up = Counter(), 0
+    for *_, i, n in sorted(copies):
+        up += n
+        taken[i] += 2 * up - n <= 2 * share * total
+    return taken
+
+
+def test_mixing_equals_brute_force_and_meets_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    items = [(r["doc_id"], r["source"], len((r["text"] or "").split(None))) for r in docs.select("doc_id", "source", F.regexp_replace("text", r"[^\x00-\x7F]", "x").alias("text")).collect()]
+    out = mixing.op9_mixing(spark, "/root/testdata/sf0.01").toPandas()
+    want, size = brute_mix(items), {i: n for i, _, n in items}
+    assert all(r.size == size[r.doc_id] and r.taken == r.size * want[r.doc_id] for r in out.itertuples())
+    source = {i: s for i, s, _ in items}
+    for s, g in out.groupby(out["doc_id"].map(source)):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= g["size"].max() and g["target"].iloc[0] <= 2 * g["source_size"].iloc[0] + 1e-6
+    assert abs(out["taken"].sum() - 1.5 * out["size"].sum()) <= out["size"].max()
+
+
 def test_mixing_edge(spark, edge):
-    plan = mixing.schedule(edge).toPandas()
-    assert len(plan) == len(EDGE_ROWS) and plan["copies"].between(0, 2).all()
-    for _, g in plan.groupby("target"):
-        assert abs((g["size"] * g["copies"]).sum() - g["target"].iloc[0]) <= g["size"].max() / 2 + 1e-6
+    plan = mixing.queue(edge).toPandas()
+    assert len(plan) == 2 * len(EDGE_ROWS) and set(plan["taken"]) == {0, 1}
+    taken = (plan["size"] * plan["taken"]).sum()
+    assert abs(taken - 1.5 * plan["size"][plan["copy"] == 0].sum()) <= plan["size"].max()
     mixed = mixing.mix(edge)
-    assert mixed.columns == edge.columns and mixed.count() == plan["copies"].sum()
+    assert mixed.columns == edge.columns and mixed.count() == plan["taken"].sum()
+    same = spark.createDataFrame([(1, "a b", "x")] * 7 + [(2, "c", "y")], "doc_id long, text string, source string")
+    assert mixing.mix(same).count() == mixing.queue(same).where("taken = 1").count()
+
+
+@pytest.fixture(scope="module")
+def clashing(edge):
+    """Columns with names that operators might use inside, and of types that can't be compared."""
+    extra = {c: F.lit(f"own {c}") for c in ("_r1", "_n", "_d1", "_p", "_slot", "_total", "row", "v", "r2", "kept", "virtual", "copy", "c1", "h1", "drop", "has", "p")}
+    return edge.withColumns(extra | {"m": F.create_map(F.lit("k"), F.array(F.create_map(F.lit(1), F.col("text")))), "a.b": F.lit(1)})
+
+
+def test_columns_of_clashing_names_pass_through(spark, clashing):
+    labels = spark.createDataFrame([(4, 1), (6, 0)], "doc_id long, quality int")
+    outs = {
+        "lines": line_dedup.dedup_lines(clashing, batches=2), "lang": langid.identify(clashing, clashing), "quality": quality.classify(clashing, clashing, labels), "mix": mixing.mix(clashing),
+    }
+    for name, out in outs.items():
+        for r in out.select(*[f"`{c}`" for c in clashing.columns if c not in ("score", "n_lines")]).collect():
+            assert all(r[c] == f"own {c}" for c in ("_r1", "_n", "_d1", "_p", "_slot", "row", "v", "p")), name
+            assert r["m"] == {"k": [{1: r["text"]}]} and r["a.b"] == 1
+    assert packing.pack(clashing).count() >= len(EDGE_ROWS) and near_dup.near_duplicates(clashing).count() == sharding.shard(clashing, 3).count() == len(EDGE_ROWS)
+    assert media.media_column(clashing).count() == len(EDGE_ROWS)
+
+
+def test_line_runs_go_on_in_another_session(spark, tmp_path):
+    batch = lambda xs: spark.createDataFrame([(x, -x, n) for x, n in xs], "h1 long, h2 long, n long")
+    runs = line_dedup.LineRuns(spark, f"file://{tmp_path}/runs", 5, buckets=3)
+    runs.add(batch([(1, 2), (2, 6), (3, 1)]))
+    runs.add(batch([(1, 2), (2, 1), (4, 1)]))
+    assert [len(x) for x in runs.levels] == [0, 1]  # compacted
+    runs.close()
+    again = line_dedup.LineRuns.open(spark, f"file://{tmp_path}/runs")
+    again.add(batch([(1, 1), (4, 3)]))
+    assert {tuple(r) for r in again.frequent().collect()} == {(1, -1), (2, -2)}
+    plan = batch([(1, 1)]).repartition(3, "h1", "h2").join(again._read(again.levels[1][0]).hint("merge"), ["h1", "h2"], "left_anti")._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and plan.split("Physical Plan")[1].count("Exchange") == 1  # the batch moves, the run doesn't
+    again.close()
 
 
 def test_sharding_laws(spark, edge):
@@ -260,6 +439,43 @@ def test_sharding_laws(spark, edge):
     assert len(apart) <= 6  # 60 equal texts in shards of 12 or 13
 
 
+def test_sharding_brings_links_together_without_any_slack(spark):
+    out = sharding.shard(spark.createDataFrame([(i, f"t{i // 2}") for i in range(800)], "doc_id long, text string"), 16)
+    cut = sharding.cut_edges(out).first()
+    assert cut["edges"] == 400 and cut["cut"] <= 20 and set(out.groupBy("shard").count().toPandas()["count"]) == {50}
+
+
+def test_quotas_keep_capacity():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        n = int(rng.integers(2, 8))
+        capacity = rng.integers(0, 50, n).tolist()
+        loads = [int(rng.integers(0, c + 1)) for c in capacity]
+        wishes = {}
+        for a in range(n):
+            left = loads[a]
+            for b in range(n):
+                if a != b and left and rng.random() < 0.5:
+                    wishes[a, b] = int(rng.integers(1, left + 1))
+                    left -= wishes[a, b]
+        may = sharding.quotas(wishes, loads, capacity)
+        for (a, b), f in may.items():
+            assert 0 < f <= wishes[a, b]
+            loads[a], loads[b] = loads[a] - f, loads[b] + f
+        assert all(x <= c for x, c in zip(loads, capacity, strict=True))
+    assert sharding.quotas({(0, 1): 9, (1, 2): 9, (2, 0): 9}, [10] * 3, [10] * 3) == {(0, 1): 9, (1, 2): 9, (2, 0): 9}
+
+
+def test_words_of_very_long_texts_are_hashed_alike(monkeypatch):
+    from folio.llm import shingles
+
+    text = "ab Cd " * 500 + "e" * 300 + " " + "f g " * 400
+    whole = Shingler(3).words(text)
+    monkeypatch.setattr(shingles, "PIECE", 256)
+    cut = Shingler(3).words(text)
+    assert len(cut) == len(whole) == len(text.split()) and (np.delete(cut, 1000) == np.delete(whole, 1000)).all()
+
+
 def test_pipeline_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = corpus_pipeline.quality(spark, docs, SF).toPandas()
@@ -275,11 +491,45 @@ def test_pipeline_against_brute_force(spark):
         ascii_only = [x for x in r.text.split("\n")]
         want = "\n".join(x for x in ascii_only if not key(x) or len(held[key(x)]) < 10)
         assert deduped.loc[r.doc_id, "text"] == want and deduped.loc[r.doc_id, "n_chars"] == len(want)
-    alone = corpus_pipeline.near_dups(spark, docs, SF).toPandas()
-    groups = near_dup.near_duplicates(docs).toPandas()
-    assert set(alone["doc_id"]) == set(groups["component_id"])
+
+
+def test_pipeline_rows_equal_brute_force(spark):
+    """run() on whole tables, every stage in plain Python but for the scores and the dictionaries behind them."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    scores = quality.classify(docs, docs, spark.read.parquet(f"{SF}/labels.parquet")).select("doc_id", "score").toPandas()
+    keep = set(scores["doc_id"][scores["score"] >= 0.3])
+    rows_ = [r for r in docs.toPandas().itertuples() if r.doc_id in keep]
+    key = lambda x: x.strip(" \t\n\v\f\r").translate({c: c + 32 for c in range(65, 91)})
+    held = defaultdict(set)
+    for r in rows_:
+        for x in (r.text or "").split("\n"):
+            held[key(x)].add(r.doc_id)
+    text = {r.doc_id: "\n".join(x for x in (r.text or "").split("\n") if not key(x) or len(held[key(x)]) < 10) for r in rows_}
+    words = {i: [w for w in re.split(r"[\x20\x09-\x0D]+", t.translate({c: c + 32 for c in range(65, 91)})) if w] for i, t in text.items()}
+    sets = {i: frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) for i, w in words.items() if w}
+    near = {i: i for i in sets}
+
+    def top(x):
+        while near[x] != x:
+            x = near[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            x, y = sorted((top(a), top(b)))
+            near[y] = x
+    alone = [i for i in text if i not in sets or top(i) == i]
+    source = {r.doc_id: r.source for r in rows_}
+    size = {i: len(words[i]) for i in alone}
+    taken = brute_mix([(i, source[i], size[i]) for i in alone])
+    want = Counter()
+    for i, n in taken.items():
+        for piece in range(-(-(size[i] + 1) // 4096)):
+            want[i, piece, min(4096, size[i] + 1 - piece * 4096), source[i]] += n
     out = corpus_pipeline.run(spark, SF).toPandas()
-    assert len(out) and out.groupby(["shard", "bin"])["size"].sum().max() <= 4096
+    assert Counter(zip(out["doc_id"], out["piece"], out["size"], out["source"])) == +want
+    for _, b in out.groupby(["shard", "bin"]):
+        assert b["size"].sum() <= 4096 and b["doc_id"].value_counts().max() == 1 and b["source"].value_counts().max() <= 8
 
 
 def test_pipeline_keeps_one_row_of_each_group_whatever_its_ids(spark):
