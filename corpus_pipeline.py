@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import fingerprint, table, written
+from folio.llm.common import fingerprint, mark, release, table, written
 from folio.llm.line_dedup import dedup_lines
 from folio.llm.mixing import mix
 from folio.llm.near_dup import near_duplicates
@@ -65,12 +65,15 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("line_dedup", lines), ("near_dup", near_dups), ("mixing", mixture), ("packing", packed)]
-#: SQL can't express the classifier; the pipeline is tested against a brute-force version.
+#: SQL can't express the classifier; the rows of run() are tested against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Rows of the last stage. What a stage has put into the shared folder goes as soon as its own rows are written,
+    and those as soon as the next stage's are; the last table stays for the caller."""
+    docs, since = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, since, keep=tuple(docs.inputFiles()))
     return docs
