@@ -43,11 +43,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}"
 
 
-def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
-    """Deletes what `scratch` has named since it had named `since` paths (see `mark`), but for those that hold a path of `keep`.
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes what `scratch` has named since it had named `since` paths (see `mark`), but for the last one.
 
-    Call it once the last result that reads these tables has been written."""
-    for root in [r for r in _live[since:] if not any(k.startswith(r) for k in keep)]:
+    Call it once the table in that last one has been written and nothing else will be read."""
+    for root in _live[since:-1]:
         at, fs = _file_system(spark, root)
         fs.delete(at, True)
         _live.remove(root)
