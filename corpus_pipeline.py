@@ -75,5 +75,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, since = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-        release(spark, since, keep=tuple(docs.inputFiles()))
+        release(spark, since)
     return docs
