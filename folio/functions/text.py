@@ -33,16 +33,26 @@ def split_trim(c: Column, delim: str) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    """Named entities; &amp; comes last, so that its result isn't decoded again."""
+    """Numeric and named entities; &amp; comes last, so that its result isn't decoded again."""
+    # a numeric entity stands between pieces: its digits are read as a number, its code point written out
+    pieces = F.split(c, "(?=&#)|(?<=;)", -1)
+    dec, hexa = (lambda x: F.regexp_extract(x, "&#([0-9]{1,7});$", 1)), (lambda x: F.regexp_extract(x, "&#[xX]([0-9a-fA-F]{1,6});$", 1))
+    code = lambda x: F.coalesce(F.nullif(dec(x), F.lit("")).cast("int"), F.conv(F.nullif(hexa(x), F.lit("")), 16, 10).cast("int"))
+    valid = lambda x: F.coalesce(code(x).between(1, 0x10FFFF) & ~code(x).between(0xD800, 0xDFFF), F.lit(False))
+    char = lambda x: F.decode(F.unhex(F.lpad(F.hex(code(x)), 8, "0")), "UTF-32")
+    c = F.array_join(F.transform(pieces, lambda x: F.when(valid(x), F.concat(F.substring_index(x, "&#", 1), char(x))).otherwise(x)), "")
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         c = F.replace(c, F.lit(name), F.lit(char))
     return c
 
 
 def natural_key(c: Column) -> Column:
-    """Sort key: case ignored, digit runs by value (up to 20 digits), spaces and leading zeros ignored."""
+    """Sort key: case ignored, digit runs of any length by value, spaces and leading zeros ignored."""
     runs = F.regexp_extract_all(F.lower(F.regexp_replace(c, " ", "")), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
-    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(F.regexp_replace(x, "^0+", ""), 20, "0")).otherwise(x)), "")
+    digits = lambda x: F.regexp_replace(x, "^0+", "")
+    # the number of digits first, so that a longer number comes later
+    by_value = lambda x: F.concat(F.lpad(F.length(digits(x)).cast("string"), 10, "0"), digits(x))
+    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), by_value(x)).otherwise(x)), "")
 
 
 def truncate_meta(c: Column, most: int = 2000) -> Column:
@@ -52,3 +62,17 @@ def truncate_meta(c: Column, most: int = 2000) -> Column:
 def strip_bracketed_number(c: Column) -> Column:
     """12 for '[12]' or '12', else null: whether a link's text is the number of a note."""
     return F.nullif(F.regexp_extract(c, r"^\s*\[?\s*(\d+)\s*\]?\s*$", 1), F.lit("")).try_cast("int")
+
+
+#: Code points that count as punctuation.
+PUNCT = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127), 0xA6, 0x60C, 0x60D, 0x60E, 0x60F, 0x61F, 0x66D, 0x6DD, 0x6DE, 0x6E9, 0xFD3E, 0xFD3F, 0x621)))
+
+
+def count_chars(c: Column, chars: str) -> Column:
+    """How many code points of c are among chars."""
+    return F.length(c) - F.length(F.translate(c, chars, ""))
+
+
+def reorder_indic(c: Column) -> Column:
+    """The vowel sign that is drawn before its consonant but typed behind it, put back behind it."""
+    return F.regexp_replace(c, "([\u093F\u09BF\u09C7\u09C8])([\u0904-\u0939\u0985-\u09B9])", "$2$1")

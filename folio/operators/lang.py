@@ -50,6 +50,17 @@ def detect_language(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     return best.select("doc_id", F.col("b.lang").alias("lang_pred"), (-F.col("b.s")).alias("score"))
 
 
+def encoding_validity(files: DataFrame) -> DataFrame:
+    """kind, valid, bom, files of files(kind, content): whether the bytes are UTF-8, and whether a mark of byte order leads them."""
+    head = F.hex(F.substring("content", 1, 3))
+    return files.groupBy("kind", F.is_valid_utf8(F.col("content").cast("string")).alias("valid"), (head.like("EFBBBF%") | head.like("FFFE%") | head.like("FEFF%")).alias("bom")).agg(F.count("*").alias("files"))
+
+
+def locale_names(meta: DataFrame, locales: DataFrame) -> DataFrame:
+    """doc_id, number of meta(doc_id, lang) by locales(code, number); null for an unknown code."""
+    return meta.join(locales, F.col("lang") == F.col("code"), "left").select("doc_id", "number")
+
+
 def vocab(docs: DataFrame) -> DataFrame:
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
     return docs.select(F.explode(words).alias("word")).distinct()
@@ -118,7 +129,18 @@ def _pattern_rows() -> str:
     return "pats AS (SELECT * FROM (VALUES " + ", ".join(rows) + ") v(txt, digits))"
 
 
+_FILES = {1: "FF", 2: "EFBBBF", 3: "C3"}
+
+
+def _files(s, d):
+    """Texts as bytes, some with a mark of byte order or a torn character in front."""
+    lead = F.element_at(F.array(F.lit(""), *[F.lit(v) for v in _FILES.values()]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return _docs(s, d).select(F.col("lang").alias("kind"), F.unhex(F.concat(lead, F.hex(F.encode("text", "UTF-8")))).alias("content"))
+
+
 REGISTERED = {
+    "encoding_validity": (lambda s, d: encoding_validity(_files(s, d)), "SELECT lang AS kind, doc_id % 4 NOT IN (1, 3) AS valid, doc_id % 4 = 2 AS bom, count(*) AS files FROM documents GROUP BY ALL"),
+    "locale_names": (lambda s, d: locale_names(_docs(s, d), s.createDataFrame([("en", 9), ("fr", 12), ("de", 7)], "code string, number int")), "SELECT doc_id, number FROM documents LEFT JOIN (VALUES ('en', 9), ('fr', 12), ('de', 7)) v(code, number) ON lang = code"),
     "script_census": (lambda s, d: script_census(_docs(s, d)), "WITH x AS (SELECT source, k AS script, regexp_matches(text, rx) AS has FROM documents, (VALUES " + ", ".join(f"('{k}', '{rx}')" for k, rx in SCRIPTS.items()) + ") v(k, rx)) SELECT source, script, count(*) FILTER (WHERE has) AS docs FROM x GROUP BY CUBE (source, script)"),
     "train_bigram_profiles": (lambda s, d: bigram_profiles(_docs(s, d)), "WITH a AS (SELECT doc_id, lang, unnest(string_split(lower(text), '')) AS x, generate_subscripts(string_split(lower(text), ''), 1) AS i FROM documents), b AS (SELECT lang, x || lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS bigram FROM a), c AS (SELECT lang, bigram, count(*) AS n FROM b WHERE bigram IS NOT NULL GROUP BY ALL) SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, bigram) AS INTEGER) AS rank, bigram, n FROM c QUALIFY rank <= 50"),
     "detect_language": (lambda s, d: detect_language(_docs(s, d), bigram_profiles(_docs(s, d))), """WITH a AS (SELECT doc_id, lang, unnest(string_split(lower(text), '')) AS x, generate_subscripts(string_split(lower(text), ''), 1) AS i FROM documents),

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import strip_bracketed_number
+from folio.functions.text import SPACES, norm_spaces, strip_bracketed_number
 from folio.operators.search import _BASE, _HITS, search_hits
+from folio.operators.paging import positions
 from folio.sources.tables import doc_pages, lines, read_corpus, search_queries, with_
 
 UP_TO = (Window.unboundedPreceding, 0)
@@ -24,28 +25,31 @@ def line_headings(rows: DataFrame, short: int = 40) -> DataFrame:
     return rows.select("doc_id", F.col("line_no").alias("ord"), F.col("start").alias("pos"), (F.col("line_no") % 3 + 1).alias("level"), F.col("line").alias("title"))
 
 
-def outline_parents(outline: DataFrame, depth: int = 6) -> DataFrame:
-    """doc_id, ord, level, parent: the last earlier heading of a lower level. One sort for each document."""
+def _levels(outline: DataFrame) -> list[int]:
+    """The levels in use, in order: a number for each, so any depth of outline."""
+    return sorted(r["level"] for r in outline.select("level").distinct().collect() if r["level"] is not None)
+
+
+def outline_parents(outline: DataFrame) -> DataFrame:
+    """doc_id, ord, level, parent, child_no: the last earlier heading of a lower level, and the number of the heading among its parent's. One sort for each document."""
     w = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col("level") == k, F.col("ord")), ignorenulls=True).over(w).alias(f"l{k}") for k in range(1, depth)]
-    parent = F.greatest(F.lit(-1), *[F.when(F.col("level") > k, F.coalesce(f"l{k}", F.lit(-1))) for k in range(1, depth)])
-    return outline.select("doc_id", "ord", "level", *last).select("doc_id", "ord", "level", F.nullif(parent, F.lit(-1)).alias("parent"))
+    above = [F.when(F.col("level") > k, F.last(F.when(F.col("level") == k, F.col("ord")), ignorenulls=True).over(w)) for k in _levels(outline)]
+    rows = outline.select("doc_id", "ord", "level", F.greatest(F.lit(None).cast("int"), *above, F.lit(None).cast("int")).alias("parent"))
+    return rows.withColumn("child_no", F.row_number().over(Window.partitionBy("doc_id", "parent").orderBy("ord")) - 1)
 
 
-def chapter_of(pos: DataFrame, outline: DataFrame, depth: int = 3) -> DataFrame:
-    """doc_id, pos, chapter: titles of the enclosing headings, `A / B`, of strictly growing level."""
+def chapter_of(pos: DataFrame, outline: DataFrame) -> DataFrame:
+    """doc_id, pos, chapter: titles of the enclosing headings, `A / B`, of strictly growing level, of any depth."""
     rows = outline.select("doc_id", "pos", F.lit(0).alias("kind"), "level", "title").unionByName(pos.select("doc_id", "pos", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("title")))
     w = Window.partitionBy("doc_id").orderBy("pos", "kind").rowsBetween(*UP_TO)
-    at = [F.last(F.when(F.col("level") == k, F.struct("pos", "title")), ignorenulls=True).over(w).alias(f"l{k}") for k in range(1, depth + 1)]
+    levels = _levels(outline)
+    at = [F.last(F.when(F.col("level") == k, F.struct("pos", "title")), ignorenulls=True).over(w).alias(f"l{i}") for i, k in enumerate(levels)]
     rows = rows.select("*", *at).where("kind = 1")
-    parts = []
-    for k in range(1, depth + 1):  # a heading counts unless a lower level came after it
-        later = [F.coalesce(F.col(f"l{j}.pos") > F.col(f"l{k}.pos"), F.lit(False)) for j in range(1, k)]
-        alive = F.lit(True)
-        for x in later:
-            alive = alive & ~x
-        parts.append(F.when(alive, F.col(f"l{k}.title")))
-    return rows.select("doc_id", "pos", F.concat_ws(" / ", *parts).alias("chapter"))
+    parts, last = [], F.lit(-1).cast("long")
+    for i in range(len(levels)):  # a heading counts unless one of a lower level came after it
+        parts.append(F.when(F.col(f"l{i}.pos") >= last, F.col(f"l{i}.title")))
+        last = F.greatest(last, F.col(f"l{i}.pos"))
+    return rows.select("doc_id", "pos", F.concat_ws(" / ", *parts).alias("chapter") if parts else F.lit("").alias("chapter"))
 
 
 def hit_chapters(hits: DataFrame, outline: DataFrame) -> DataFrame:
@@ -78,7 +82,8 @@ def resolve_links(rows: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def broken_links(rows: DataFrame, anchors: DataFrame) -> DataFrame:
-    return rows.join(anchors.select("path").distinct(), rows["href"] == F.col("path"), "left_anti")
+    """The links within the site (`#x`, `/x`) that name no page."""
+    return rows.where(F.col("href").rlike("^[#/]")).join(anchors.select("path").distinct(), rows["href"] == F.col("path"), "left_anti")
 
 
 def link_degrees(rows: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -96,6 +101,59 @@ def note_refs(rows: DataFrame) -> DataFrame:
     return refs.withColumn("n", first).where("n = 1").select("page_id", "num", "href")
 
 
+def notes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """refs(doc_id, num, line_no, target) and notes(doc_id, num, line_no, line) of lines: line 9 n + 8 is the body of note n, referred to from line 3 n."""
+    bodies = rows.where("line_no % 9 = 8").select("doc_id", F.floor(F.col("line_no") / 9).cast("int").alias("num"), "line_no", "line")
+    return bodies.select("doc_id", "num", (3 * F.col("num")).alias("line_no"), F.col("line_no").alias("target")), bodies
+
+
+def resolve_notes(refs: DataFrame, rows: DataFrame, most: int = 250) -> DataFrame:
+    """doc_id, num, body: the target line and those behind it up to the next note or an empty line, joined by spaces; cut at `most` and marked `...`."""
+    nxt = F.lead("target").over(Window.partitionBy("doc_id").orderBy("target"))
+    span = refs.select("doc_id", "num", "target", nxt.alias("next"))
+    j = rows.select("doc_id", "line_no", "line").join(span, "doc_id").where((F.col("line_no") >= F.col("target")) & (F.col("next").isNull() | (F.col("line_no") < F.col("next"))))
+    held = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    j = j.withColumn("stop", F.min(F.when(F.trim("line") == "", F.col("line_no"))).over(Window.partitionBy("doc_id", "target")))
+    body = F.array_join("h.line", " ")
+    out = j.where("stop IS NULL OR line_no < stop").groupBy("doc_id", "num").agg(held.alias("h"))
+    return out.select("doc_id", "num", F.when(F.length(body) > most, F.concat(F.left(body, F.lit(most)), F.lit("..."))).otherwise(body).alias("body"))
+
+
+def allowed_notes(refs: DataFrame, asides: DataFrame) -> DataFrame:
+    """The references whose target is one of asides(doc_id, target)."""
+    return refs.join(asides, ["doc_id", "target"], "left_semi")
+
+
+def reflow_text(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """doc_id, page_no, html: paragraphs of the lines that drop_running_heads kept: spaces normalised, quotes made plain, markup escaped."""
+    text = norm_spaces(F.translate("line", "\u2018\u2019\u201c\u201d", "''\"\""))
+    for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(raw), F.lit(entity))
+    j = kept.select("doc_id", "page_no", F.col("block_no").alias("line_no")).join(rows.select("doc_id", "line_no", text.alias("p")), ["doc_id", "line_no"]).where("trim(p) <> ''")
+    return j.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "p"))).alias("h")).select("doc_id", "page_no", F.array_join(F.transform("h", lambda x: F.concat(F.lit("<p>"), x["p"], F.lit("</p>"))), "").alias("html"))
+
+
+def size_ladder(styles: DataFrame) -> DataFrame:
+    """key, h1 to h6: thresholds at sixths between the default and the largest size of styles(key, size, is_default); null without a default or where it is the larger."""
+    s = styles.groupBy("key").agg(F.max("size").alias("most"), F.max(F.when(F.col("is_default"), F.col("size"))).alias("base"))
+    step = F.floor((F.col("most") - F.col("base")) / 6)
+    return s.select("key", *[F.when(F.col("most") >= F.col("base"), F.col("base") + step * (6 - k)).alias(f"h{k}") for k in range(1, 7)])
+
+
+def first_refs(rows: DataFrame) -> DataFrame:
+    """page_id, n, href: distinct targets of a page in first-seen order."""
+    once = rows.groupBy("page_id", "href").agg(F.min("ord").alias("ord"))
+    return once.select("page_id", (F.row_number().over(Window.partitionBy("page_id").orderBy("ord")) - 1).alias("n"), "href")
+
+
+def resolve_relations(rels: DataFrame, catalog: DataFrame) -> DataFrame:
+    """id, name of image and thumbnail rels(archive, id, type, target): the first entry of its archive that contains the target."""
+    target = F.regexp_replace("target", r"^(\./|/)", "")
+    own = rels.where(F.col("type").rlike("image|thumbnail")).select("archive", "id", target.alias("target"))
+    j = own.join(catalog, "archive").where(F.contains("name", F.col("target")))
+    return j.groupBy("id").agg(F.min_by("name", "entry_no").alias("name"))
+
+
 def drop_running_heads(blocks: DataFrame) -> DataFrame:
     """blocks(doc_id, page_no, block_no, n_lines, n_chars) without short single lines at the ends of pages of three blocks or more."""
     page = ["doc_id", "page_no"]
@@ -129,8 +187,6 @@ def _anchors(s, d):
 
 
 def _positions(s, d):
-    from folio.operators.paging import positions
-
     return positions(read_corpus(s, d, "documents").select("doc_id", "text"))
 
 
@@ -152,9 +208,35 @@ x AS (SELECT p.doc_id, p.pos, max(h.pos) FILTER (WHERE level = 1) AS p1, max(h.p
   FROM (SELECT DISTINCT doc_id, pos FROM spots) p LEFT JOIN heads h ON h.doc_id = p.doc_id AND h.pos <= p.pos GROUP BY p.doc_id, p.pos)
 SELECT doc_id, pos, query_id, concat_ws(' / ', t1, CASE WHEN NOT coalesce(p1 > p2, false) THEN t2 END, CASE WHEN NOT (coalesce(p1 > p3, false) OR coalesce(p2 > p3, false)) THEN t3 END) AS chapter FROM spots JOIN x USING (doc_id, pos)"""
 
+_NOTE = "bodies AS (SELECT doc_id, CAST(line_no // 9 AS INTEGER) AS num, line_no AS target, line FROM lines WHERE line_no % 9 = 8)"
+_KEPT = "kept AS (SELECT doc_id, line_no // 20 AS page_no, line_no FROM lines QUALIFY NOT (count(*) OVER (PARTITION BY doc_id, line_no // 20) >= 3 AND ((row_number() OVER (PARTITION BY doc_id, line_no // 20 ORDER BY line_no) = 1 AND len < 20) OR (row_number() OVER (PARTITION BY doc_id, line_no // 20 ORDER BY line_no DESC) = 1 AND len < 10))))"
+_CAT = "cat AS (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS archive, page_id AS entry_no, regexp_extract(url, '^[a-z]+://[^/]+(.*)$', 1) AS name FROM pages)"
+
+
+def _refs(s, d):
+    return notes(_lines(s, d))[0]
+
+
+def _catalog(s, d):
+    host, rest = F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1), F.regexp_extract("url", r"^[a-z]+://[^/]+(.*)$", 1)
+    return read_corpus(s, d, "pages").select(host.alias("archive"), F.col("page_id").alias("entry_no"), rest.alias("name"))
+
+
+def _rels(s, d):
+    kind = F.when(F.col("entry_no") % 2 == 0, "x/image").when(F.col("entry_no") % 3 == 0, "x/thumbnail").otherwise("x/style")
+    return _catalog(s, d).select("archive", F.col("entry_no").alias("id"), kind.alias("type"), F.concat(F.lit("."), F.regexp_extract("name", "^/[^/?#]*", 0)).alias("target"))
+
+
 REGISTERED = {
+    "note_refs": (lambda s, d: note_refs(_links(s, d).unionByName(read_corpus(s, d, "pages").select("page_id", F.explode(F.array(F.lit(900), F.lit(901), F.lit(902))).alias("ord")).select("page_id", "ord", F.concat(F.lit("#n"), ((F.col("page_id") + F.col("ord")) % 2).cast("string")).alias("href"), F.concat(F.lit("["), (F.col("ord") - 899).cast("string"), F.lit("]")).alias("text")))), f"WITH {_LK}, a AS (SELECT page_id, ord, href, text FROM links UNION ALL SELECT page_id, o, '#n' || ((page_id + o) % 2), '[' || (o - 899) || ']' FROM pages, (VALUES (900), (901), (902)) v(o)) SELECT page_id, TRY_CAST(regexp_extract(text, '^\\s*\\[?\\s*(\\d+)\\s*\\]?\\s*$', 1) AS INTEGER) AS num, href FROM a WHERE TRY_CAST(regexp_extract(text, '^\\s*\\[?\\s*(\\d+)\\s*\\]?\\s*$', 1) AS INTEGER) IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY ord) = 1"),
+    "resolve_notes": (lambda s, d: resolve_notes(_refs(s, d), _lines(s, d)), f"{_L}, {_NOTE}, n AS (SELECT *, lead(target) OVER (PARTITION BY doc_id ORDER BY target) AS nxt FROM bodies), j AS (SELECT n.doc_id, num, target, l.line_no, l.line, min(CASE WHEN trim(l.line) = '' THEN l.line_no END) OVER (PARTITION BY n.doc_id, target) AS stop FROM n JOIN lines l ON l.doc_id = n.doc_id AND l.line_no >= target AND (nxt IS NULL OR l.line_no < nxt)), b AS (SELECT doc_id, num, string_agg(line, ' ' ORDER BY line_no) AS body FROM j WHERE stop IS NULL OR line_no < stop GROUP BY doc_id, num) SELECT doc_id, num, CASE WHEN length(body) > 250 THEN left(body, 250) || '...' ELSE body END AS body FROM b"),
+    "allowed_notes": (lambda s, d: allowed_notes(_refs(s, d), notes(_lines(s, d))[1].where(F.length("line") > 20).select("doc_id", F.col("line_no").alias("target"))).select("doc_id", "num"), f"{_L}, {_NOTE} SELECT doc_id, num FROM bodies WHERE length(line) > 20"),
+    "reflow_text": (lambda s, d: reflow_text(_lines(s, d), drop_running_heads(blocks_of(_lines(s, d)))), f"{_L}, {_KEPT}, t AS (SELECT doc_id, CAST(page_no AS INTEGER) AS page_no, line_no, replace(replace(replace(translate(translate(line, chr(8216) || chr(8217) || chr(8220) || chr(8221), chr(39) || chr(39) || chr(34) || chr(34)), '{SPACES}', '{' ' * len(SPACES)}'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS p FROM kept JOIN lines USING (doc_id, line_no)) SELECT doc_id, page_no, string_agg('<p>' || p || '</p>', '' ORDER BY line_no) AS html FROM t WHERE trim(p) <> '' GROUP BY doc_id, page_no"),
+    "size_ladder": (lambda s, d: size_ladder(read_corpus(s, d, "part").select(F.col("p_brand").alias("key"), F.col("p_size").alias("size"), (F.col("p_partkey") % 5 == 0).alias("is_default"))), "WITH a AS (SELECT p_brand AS key, max(p_size) AS most, max(p_size) FILTER (WHERE p_partkey % 5 = 0) AS base FROM part GROUP BY p_brand) SELECT key, " + ", ".join(f"CASE WHEN most >= base THEN CAST(base + (most - base) // 6 * {6 - k} AS BIGINT) END AS h{k}" for k in range(1, 7)) + " FROM a"),
+    "first_image_refs": (lambda s, d: first_refs(_links(s, d)), f"WITH {_LK}, o AS (SELECT page_id, href, min(ord) AS ord FROM links GROUP BY ALL) SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY ord) - 1 AS INTEGER) AS n, href FROM o"),
+    "resolve_relations": (lambda s, d: resolve_relations(_rels(s, d), _catalog(s, d)), f"WITH {_CAT}, r AS (SELECT archive, entry_no AS id, regexp_extract(name, '^/([^/?#]*)', 1) AS target FROM cat WHERE entry_no % 2 = 0 OR entry_no % 3 = 0) SELECT id, arg_min(name, entry_no) AS name FROM r JOIN cat USING (archive) WHERE contains(name, target) GROUP BY id"),
     "extract_headings": (lambda s, d: extract_headings(read_corpus(s, d, "pages")), "SELECT page_id, CAST(i - 1 AS INTEGER) AS ord, left(trim(t), 150) AS title FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)</h[1-6]>', 1)) AS t, generate_subscripts(regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)</h[1-6]>', 1), 1) AS i FROM pages)"),
-    "outline_parents": (lambda s, d: outline_parents(line_headings(_lines(s, d))), f"{_L}, {_H} SELECT h.doc_id, h.ord, h.level, (SELECT max(p.ord) FROM heads p WHERE p.doc_id = h.doc_id AND p.ord < h.ord AND p.level < h.level) AS parent FROM heads h"),
+    "outline_parents": (lambda s, d: outline_parents(line_headings(_lines(s, d))), f"{_L}, {_H}, o AS (SELECT h.doc_id, h.ord, h.level, (SELECT max(p.ord) FROM heads p WHERE p.doc_id = h.doc_id AND p.ord < h.ord AND p.level < h.level) AS parent FROM heads h) SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, parent ORDER BY ord) - 1 AS INTEGER) AS child_no FROM o"),
     "chapter_of": (lambda s, d: chapter_of(_positions(s, d), line_headings(_lines(s, d))), f"""{_L}, {_H}, positions AS (SELECT doc_id, CAST(unnest(list_append(range(0, length(text), 250), length(text) + 1)) AS BIGINT) AS pos FROM documents),
 x AS (SELECT p.doc_id, p.pos, max(h.pos) FILTER (WHERE level = 1) AS p1, max(h.pos) FILTER (WHERE level = 2) AS p2, max(h.pos) FILTER (WHERE level = 3) AS p3,
   arg_max(title, h.pos) FILTER (WHERE level = 1) AS t1, arg_max(title, h.pos) FILTER (WHERE level = 2) AS t2, arg_max(title, h.pos) FILTER (WHERE level = 3) AS t3
@@ -164,7 +246,7 @@ SELECT doc_id, pos, concat_ws(' / ', t1, CASE WHEN NOT coalesce(p1 > p2, false)
     "outline_tiered": (lambda s, d: outline_tiered(line_headings(_lines(s, d))), f"{_L}, {_H} SELECT doc_id, ord, level, title FROM heads QUALIFY level = min(level) OVER (PARTITION BY doc_id)"),
     "classify_links": (lambda s, d: classify_links(_links(s, d)), f"WITH {_LK} SELECT page_id, ord, href, CASE WHEN href[1] = '#' THEN 'internal' WHEN regexp_matches(href, '^https?:') THEN 'external' WHEN href[1] = '/' THEN 'site' ELSE 'unknown' END AS kind FROM links"),
     "resolve_links": (lambda s, d: resolve_links(_links(s, d), _anchors(s, d)), f"WITH {_LK}, {_AN} SELECT page_id, ord, href, target FROM links LEFT JOIN (SELECT path, min(page_id) AS target FROM anchors GROUP BY path) ON href = path"),
-    "broken_links": (lambda s, d: broken_links(_links(s, d), _anchors(s, d)), f"WITH {_LK}, {_AN} SELECT * FROM links WHERE href NOT IN (SELECT path FROM anchors)"),
+    "broken_links": (lambda s, d: broken_links(_links(s, d), _anchors(s, d)), f"WITH {_LK}, {_AN} SELECT * FROM links WHERE href[1] IN ('#', '/') AND href NOT IN (SELECT path FROM anchors)"),
     "link_graph": (lambda s, d: link_degrees(_links(s, d), _anchors(s, d)), f"WITH {_LK}, {_AN}, e AS (SELECT page_id, target FROM links JOIN (SELECT path, min(page_id) AS target FROM anchors GROUP BY path) ON href = path) SELECT page_id, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i) AS BIGINT) AS n_in FROM (SELECT page_id, 1 AS o, 0 AS i FROM e UNION ALL SELECT target, 0, 1 FROM e) GROUP BY page_id"),
     "drop_running_heads": (lambda s, d: drop_running_heads(blocks_of(_lines(s, d))), f"{_L}, b AS (SELECT doc_id, line_no // 20 AS page_no, line_no AS block_no, 1 AS n_lines, len AS n_chars FROM lines) SELECT * FROM b QUALIFY NOT (count(*) OVER (PARTITION BY doc_id, page_no) >= 3 AND ((row_number() OVER (PARTITION BY doc_id, page_no ORDER BY block_no) = 1 AND n_chars < 20) OR (row_number() OVER (PARTITION BY doc_id, page_no ORDER BY block_no DESC) = 1 AND n_chars < 10)))"),
     "doc_stats": (lambda s, d: doc_stats(read_corpus(s, d, "documents")), "SELECT source, lang, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) FILTER (WHERE trim(text) = '') AS empty FROM documents GROUP BY ROLLUP (source, lang)"),
