@@ -48,7 +48,7 @@ def changed(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def set_defaults(a: DataFrame, defaults: DataFrame) -> DataFrame:
     """a, and the defaults whose name is missing for a key."""
-    every = a.select("key").distinct().join(F.broadcast(defaults))
+    every = a.select("key").distinct().crossJoin(defaults)
     return a.unionByName(every.join(a, ["key", "name"], "left_anti").select("key", "name", "value"))
 
 
@@ -97,6 +97,36 @@ def multi_values(items: DataFrame, most: int = 19) -> DataFrame:
     return items.groupBy("key").agg(F.array_join(F.slice(held, 1, most), "|").alias("names"))
 
 
+def missing_fonts(used: DataFrame, available: DataFrame) -> DataFrame:
+    """font: the distinct fonts of used(font) that aren't among available(font)."""
+    return used.distinct().join(available, "font", "left_anti")
+
+
+def manifest_lookup(items: DataFrame, refs: DataFrame) -> DataFrame:
+    """archive, href, entry_no of refs(archive, href): the first of items(archive, href, entry_no) with that href; null if there is none."""
+    first = items.groupBy("archive", "href").agg(F.min("entry_no").alias("entry_no"))
+    return refs.join(first, ["archive", "href"], "left")
+
+
+#: Leading bytes of file formats, and the extensions that go with them.
+SIGNATURES = {"jpg": ("FFD8FF", ("jpg", "jpeg")), "png": ("89504E470D0A1A0A", ("png",)), "bmp": ("424D", ("bmp",)), "cbr": ("526172211A07", ("cbr", "rar")), "cbz": ("504B0304", ("cbz", "zip"))}
+
+
+def format_census(files: DataFrame) -> DataFrame:
+    """ext, sniffed, agrees, n of files(path, content): the extension, the format that the first bytes tell, and whether they agree."""
+    ext, head = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)), F.hex(F.substring("content", 1, 12))
+    riff = head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250")
+    sniffed = F.coalesce(F.when(riff, "webp"), *[F.when(head.startswith(sig), k) for k, (sig, _) in SIGNATURES.items()], F.lit("unknown"))
+    rows = files.select(ext.alias("ext"), sniffed.alias("sniffed"))
+    agrees = F.coalesce(*[F.when(F.col("sniffed") == k, F.col("ext").isin(*e)) for k, (_, e) in (SIGNATURES | {"webp": ("", ("webp",))}).items()], F.lit(False))
+    return rows.groupBy("ext", "sniffed", agrees.alias("agrees")).agg(F.count("*").alias("n"))
+
+
+def with_group_fn(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
+    """Rows that the caller's fn(pandas frame) returns for each group: a hook for logic of one page or image; a group must fit in a task."""
+    return df.groupBy(*keys).applyInPandas(fn, schema)
+
+
 TAGS = ["lang", "source", "n_chars"]
 
 
@@ -134,6 +164,11 @@ def _catalog(s, d):
     return p.select(F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1).alias("archive"), F.col("page_id").alias("entry_no"), F.concat(F.regexp_extract("url", r"^[a-z]+://[^/]+(.*)$", 1), kind).alias("name"))
 
 
+def _fonts(s, d, which="true"):
+    """Names that stand for fonts: those that books use, or those that are at hand."""
+    return read_corpus(s, d, "part").where(which).select(F.concat_ws(" ", "p_brand", F.col("p_size").cast("string")).alias("font"))
+
+
 def _parts(s, d):
     p = read_corpus(s, d, "part")
     kind = F.element_at(F.array(F.lit("markup"), F.lit("flow"), F.lit("resource")), (F.col("p_partkey") % 3 + 1).cast("int"))
@@ -164,7 +199,9 @@ REGISTERED = {
     "props_changed": (_ab(changed), f"{_A} SELECT b.key, b.name, b.value FROM b LEFT JOIN a USING (key, name) WHERE a.value IS DISTINCT FROM b.value"),
     "set_defaults": (lambda s, d: set_defaults(_other(s, d), s.createDataFrame([("p_type", "none"), ("p_font", "serif")], "name string, value string")), f"{_A}, d AS (SELECT * FROM (VALUES ('p_type', 'none'), ('p_font', 'serif')) v(name, value)) SELECT * FROM b UNION ALL SELECT k.key, d.name, d.value FROM (SELECT DISTINCT key FROM b) k, d WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.key = k.key AND b.name = d.name)"),
     "typed_props": (lambda s, d: typed(_other(s, d)), f"{_A} SELECT key, name, TRY_CAST(CASE WHEN regexp_full_match(value, '[+-]?[0-9]+') THEN value END AS INTEGER) AS number FROM b"),
-    "catalog_pages": (lambda s, d: catalog_pages(_catalog(s, d)).groupBy("archive").agg(F.count("*").alias("n"), F.max("page_no").alias("last")), f"{_C} SELECT archive, count(*) AS n, CAST(count(*) - 1 AS INTEGER) AS last FROM c WHERE regexp_matches(lower(name), '[.](jpg|jpeg|png|gif|webp|bmp)$') GROUP BY archive"),
+    "catalog_pages": (lambda s, d: catalog_pages(_catalog(s, d)), None),
+    "missing_fonts": (lambda s, d: missing_fonts(_fonts(s, d), _fonts(s, d, "p_partkey % 3 = 0")), "WITH f AS (SELECT p_brand || ' ' || p_size AS font, p_partkey FROM part) SELECT DISTINCT font FROM f WHERE font NOT IN (SELECT font FROM f WHERE p_partkey % 3 = 0)"),
+    "manifest_lookup": (lambda s, d: manifest_lookup(_catalog(s, d).select("archive", F.col("name").alias("href"), "entry_no"), _catalog(s, d).select("archive", F.col("name").alias("href")).distinct()), f"{_C} SELECT archive, name AS href, min(entry_no) AS entry_no FROM c GROUP BY archive, name"),
     "cover_candidate": (lambda s, d: cover_candidate(_catalog(s, d)), f"{_C} SELECT archive, arg_min(name, (CASE WHEN contains(lower(name), 'cover') THEN 0 WHEN contains(lower(name), 'thumb') THEN 1 ELSE 2 END, entry_no)) AS name FROM c WHERE regexp_matches(lower(name), '[.](jpg|jpeg|png|gif|webp|bmp)$') GROUP BY archive"),
     "write_manifest": (lambda s, d: manifest(read_corpus(s, d, "documents")), "SELECT doc_id, md5(text) AS md5 FROM documents"),
     "verify_manifest": (lambda s, d: verify_manifest(manifest(read_corpus(s, d, "documents").where("doc_id % 11 <> 0")), manifest(read_corpus(s, d, "documents").withColumn("text", F.when(F.col("doc_id") % 13 == 0, "").otherwise(F.col("text"))).where("doc_id % 17 <> 0"))), "SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'missing' WHEN doc_id % 17 = 0 THEN 'extra' ELSE 'changed' END AS status FROM documents WHERE NOT (doc_id % 11 = 0 AND doc_id % 17 = 0) AND (doc_id % 11 = 0 OR doc_id % 17 = 0 OR (doc_id % 13 = 0 AND text <> ''))"),

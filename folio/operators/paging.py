@@ -32,12 +32,45 @@ def page_of(pos: DataFrame, ranges: DataFrame) -> DataFrame:
     return pos.join(hit.select("doc_id", "pos", "page_no"), ["doc_id", "pos"], "left").withColumn("page_no", F.coalesce("page_no", F.lit(-1)))
 
 
-def nearest_page(pos: DataFrame, ranges: DataFrame) -> DataFrame:
-    """doc_id, pos, page_no: the last page that begins at or before the position (as-of, one sort for each document)."""
-    both = pos.select("doc_id", "pos", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("page_no"))
-    both = both.unionByName(ranges.select("doc_id", F.col("start").alias("pos"), F.lit(0).alias("kind"), "page_no"))
-    last = F.last("page_no", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("page_no", last).where("kind = 1").select("doc_id", "pos", "page_no")
+def nearest_page(pos: DataFrame, ranges: DataFrame, direction: int = 0) -> DataFrame:
+    """doc_id, pos, page_no: the page that holds a position; with direction 1 the next one, with -1 the one before, as far as there are any.
+
+    A position between two pages belongs to the later one, or with -1 to the earlier; one behind the last page to the last.
+    As-of by one sort for each document; ranges(doc_id, page_no, start, end), end exclusive, pages from 0."""
+    both = pos.select("doc_id", "pos", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("page_no"), F.lit(None).cast("long").alias("end"))
+    both = both.unionByName(ranges.select("doc_id", F.col("start").alias("pos"), F.lit(0).alias("kind"), "page_no", F.col("end").cast("long").alias("end")))
+    w = Window.partitionBy("doc_id").orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("kind") == 0, F.struct("page_no", "end")), ignorenulls=True).over(w)
+    most = F.max("page_no").over(Window.partitionBy("doc_id"))
+    rows = both.withColumns({"p": last, "most": most}).where("kind = 1 AND most IS NOT NULL")
+    held = F.col("pos") < F.col("p.end")
+    here = F.coalesce(F.col("p.page_no"), F.lit(-1))
+    at = F.when(held, here + direction).otherwise(here if direction < 0 else here + 1)
+    return rows.select("doc_id", "pos", F.when(~held & (here == F.col("most")), here).otherwise(F.greatest(F.lit(0), F.least(at, "most"))).alias("page_no"))
+
+
+def paginate_heights(rows: DataFrame, page_height: int) -> DataFrame:
+    """doc_id, page_no, start, end of rows(doc_id, line_no, start, end, before, after): heights may differ.
+
+    Lines fill a page up to page_height from its first line's start. A page is forced before a line marked always (2) before, or
+    behind one marked always after unless either says avoid (1). A line that begins above the end of the last one, a table cell, is skipped.
+    One fold over the lines of a document."""
+    kind = "struct<first:bigint,last:bigint,after:int,pages:array<struct<start:bigint,end:bigint>>>"
+    line = F.array_sort(F.collect_list(F.struct("line_no", "start", "end", "before", "after")))
+    empty = F.lit(None).cast(kind)
+
+    def step(acc, x):
+        begin = F.struct(x["start"].alias("first"), x["end"].alias("last"), x["after"].alias("after"), F.coalesce(acc["pages"], F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("pages"))
+        done = F.array_append(acc["pages"], F.struct(acc["first"].alias("start"), acc["last"].alias("end")))
+        forced = (x["before"] == 2) | ((acc["after"] == 2) & (x["before"] != 1))
+        split = F.struct(x["start"].alias("first"), x["end"].alias("last"), x["after"].alias("after"), done.alias("pages"))
+        longer = F.struct(acc["first"].alias("first"), x["end"].alias("last"), x["after"].alias("after"), acc["pages"].alias("pages"))
+        skip = x["start"] < acc["last"]
+        return F.when(acc.isNull(), begin).when(skip, acc).when((x["end"] - acc["first"] > page_height) | forced, split).otherwise(longer).cast(kind)
+
+    held = rows.groupBy("doc_id").agg(line.alias("h")).select("doc_id", F.aggregate("h", empty, step).alias("a"))
+    pages = F.array_append(F.col("a.pages"), F.struct(F.col("a.first").alias("start"), F.col("a.last").alias("end")))
+    return held.select("doc_id", F.posexplode(pages).alias("page_no", "p")).select("doc_id", "page_no", "p.start", "p.end")
 
 
 def page_start(ranges: DataFrame) -> DataFrame:
@@ -84,7 +117,10 @@ b AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, seg ORDER BY line_no) -
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_line) - 1 AS INTEGER) AS page_no, first_line, n_lines FROM c"""),
     "page_text": (lambda s, d: doc_pages(_docs(s, d)), f"{_P} SELECT * FROM doc_pages"),
     "page_of": (lambda s, d: page_of(positions(_docs(s, d)), doc_pages(_docs(s, d))), f'{_P}, {_POS} SELECT p.doc_id, pos, coalesce(page_no, -1) AS page_no FROM positions p LEFT JOIN doc_pages g ON g.doc_id = p.doc_id AND start <= pos AND pos < "end"'),
-    "nearest_page": (lambda s, d: nearest_page(positions(_docs(s, d)), doc_pages(_docs(s, d))), f"{_P}, {_POS} SELECT p.doc_id, pos, max(page_no) AS page_no FROM positions p JOIN doc_pages g ON g.doc_id = p.doc_id AND start <= pos GROUP BY ALL"),
+    "nearest_page": (lambda s, d: nearest_page(positions(_docs(s, d)), doc_pages(_docs(s, d))), f"{_P}, {_POS} SELECT p.doc_id, pos, CAST(least(max(page_no) FILTER (WHERE start <= pos) + CASE WHEN pos < max(\"end\") FILTER (WHERE start <= pos) THEN 0 ELSE 1 END, max(page_no)) AS INTEGER) AS page_no FROM positions p JOIN doc_pages g ON g.doc_id = p.doc_id GROUP BY p.doc_id, pos"),
+    "paginate_heights": (lambda s, d: paginate_heights(lines(_docs(s, d)).select("doc_id", "line_no", (F.col("line_no") * 10).cast("long").alias("start"), (F.col("line_no") * 10 + 10).cast("long").alias("end"), F.when(F.col("line_no") % 37 == 0, 2).otherwise(0).alias("before"), F.lit(0).alias("after")), 200), f"""{_L}, a AS (SELECT *, sum(CASE WHEN line_no % 37 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS seg FROM lines),
+b AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, seg ORDER BY line_no) - 1) // 20 AS part FROM a), c AS (SELECT doc_id, min(line_no) * 10 AS start, max(line_no) * 10 + 10 AS "end" FROM b GROUP BY doc_id, seg, part)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS page_no, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end" FROM c"""),
     "page_start": (lambda s, d: page_start(doc_pages(_docs(s, d))), f"{_P} SELECT doc_id, page_no, start FROM doc_pages"),
     "reading_ratio": (lambda s, d: reading_ratio(positions(_docs(s, d)), _docs(s, d)), f"WITH {_POS} SELECT doc_id, pos, round(least(1.0, pos / CAST(greatest(length(text), 1) AS DOUBLE)), 6) AS ratio FROM positions JOIN documents USING (doc_id)"),
     "segment_text": (lambda s, d: segment_text(_docs(s, d)), f"WITH {_SEN} SELECT * FROM sen"),

@@ -52,6 +52,42 @@ def local_min(a: DataFrame, b: DataFrame, radius: int = 2) -> DataFrame:
     return best.groupBy("image_id").agg(F.sum("d").alias("sse"))
 
 
+#: The hat-shaped weights of a window of 7.
+HAT = (1, 2, 3, 4, 3, 2, 1)
+
+
+def image_ssim(a: DataFrame, b: DataFrame) -> DataFrame:
+    """image_id, ssim in dB of red: weighted moments of each pixel's window of 7 by 7, clipped at the edges; too dark windows count as equal.
+
+    Columns, then rows: two sums over 7 neighbours, each within a line of pixels, instead of 49 copies."""
+    j = a.select(*KEY, F.col("r").cast("long").alias("p")).join(b.select(*KEY, F.col("r").cast("long").alias("q")), KEY)
+    rows = j.select(*KEY, F.lit(1).cast("long").alias("w"), "p", "q", (F.col("p") * F.col("p")).alias("pp"), (F.col("p") * F.col("q")).alias("pq"), (F.col("q") * F.col("q")).alias("qq"))
+    for by, along in (("y", "x"), ("x", "y")):
+        o = Window.partitionBy("image_id", by).orderBy(along)
+        sums = [sum((h * F.coalesce(F.lag(c, 3 - i).over(o) if i < 3 else F.lead(c, i - 3).over(o) if i > 3 else F.col(c), F.lit(0)) for i, h in enumerate(HAT)), F.lit(0)).alias(c) for c in ("w", "p", "q", "pp", "pq", "qq")]
+        rows = rows.select(*KEY, *sums)
+    n, x, y = (F.col(c).cast("double") for c in ("w", "p", "q"))
+    c1, c2, xx, yy = 20 * n * n, 60 * n * n, x * x, y * y
+    num = (2 * F.greatest(F.lit(0.0), F.col("pq") * n - x * y) + c2) / 256
+    den = (F.col("pp") * n - xx + F.col("qq") * n - yy + c2) / 256
+    one = F.when(xx + yy >= 64 * n * n, (2 * x * y + c1) * F.floor(num) / ((xx + yy + c1) * F.floor(den))).otherwise(1.0)
+    s = rows.groupBy("image_id").agg(F.avg(F.round(one, 9).cast("decimal(20,9)")).cast("double").alias("s"))
+    return s.select("image_id", F.when(F.col("s") < 1, F.round(-10 * F.log10(1 - F.col("s")), 5)).otherwise(99.0).alias("ssim"))
+
+
+def to_luma(r, g, b):
+    return F.expr(f"({r} + {g} + {b}) div 3")
+
+
+def diff_map(a: DataFrame, b: DataFrame) -> DataFrame:
+    """image_id, x, y, r: the difference of red, scaled so that the image's largest becomes 255."""
+    d = F.abs(F.col("r") - F.col("r2"))
+    rows = _both(a, b).select(*KEY, d.alias("d"))
+    most = rows.groupBy("image_id").agg(F.max("d").alias("most"))
+    factor = F.expr("CASE WHEN most > 0 THEN 16711680 div most ELSE 0 END")
+    return rows.join(most, "image_id").select(*KEY, F.floor((F.col("d") * factor + 32768) / 65536).alias("r"))
+
+
 def _a(s, d):
     return pixels(read_corpus(s, d, "embeddings"))
 
@@ -66,6 +102,15 @@ _J = "FROM pixels a JOIN pixels_b b USING (image_id, x, y)"
 REGISTERED = {
     "edge_map": (lambda s, d: edge_map(_a(s, d)), f"{_P} SELECT image_id, x, y, coalesce(abs((r + g + b) // 3 - lag((r + g + b) // 3) OVER (PARTITION BY image_id, y ORDER BY x)) > 8, false) AS edge FROM pixels"),
     "image_psnr": (_ab(image_psnr), f"{_P} SELECT image_id, CASE WHEN sum((a.r - b.r) * (a.r - b.r)) = 0 THEN 99.0 ELSE round(10 * log10(CAST(255 * 255 AS DOUBLE) * count(*) * 3 / sum((a.r - b.r) * (a.r - b.r))), 6) END AS psnr {_J} GROUP BY image_id"),
+    "image_ssim": (_ab(image_ssim), f"""{_P}, j AS (SELECT a.image_id, a.x, a.y, CAST(1 AS BIGINT) AS w, CAST(a.r AS BIGINT) AS p, CAST(b.r AS BIGINT) AS q {_J}),
+h AS (SELECT i - 4 AS o, v AS h FROM (SELECT unnest([1, 2, 3, 4, 3, 2, 1]) AS v, unnest(range(1, 8)) AS i)),
+k AS (SELECT a.image_id, a.x, a.y, sum(u.h * t.h) AS w, sum(u.h * t.h * b.p) AS p, sum(u.h * t.h * b.q) AS q, sum(u.h * t.h * b.p * b.p) AS pp, sum(u.h * t.h * b.p * b.q) AS pq, sum(u.h * t.h * b.q * b.q) AS qq
+  FROM j a, h u, h t JOIN j b ON b.image_id = a.image_id AND b.x = a.x + u.o AND b.y = a.y + t.o GROUP BY a.image_id, a.x, a.y),
+f AS (SELECT image_id, w::DOUBLE AS n, p::DOUBLE AS x, q::DOUBLE AS y, pp::DOUBLE AS pp, pq::DOUBLE AS pq, qq::DOUBLE AS qq FROM k),
+o AS (SELECT image_id, CASE WHEN x * x + y * y >= 64 * n * n THEN (2 * x * y + 20 * n * n) * floor((2 * greatest(0, pq * n - x * y) + 60 * n * n) / 256) / ((x * x + y * y + 20 * n * n) * floor((pp * n - x * x + qq * n - y * y + 60 * n * n) / 256)) ELSE 1 END AS s FROM f),
+m AS (SELECT image_id, CAST(avg(round(s, 9)) AS DOUBLE) AS s FROM o GROUP BY image_id)
+SELECT image_id, CASE WHEN s < 1 THEN round(-10 * log10(1 - s), 5) ELSE 99.0 END AS ssim FROM m"""),
+    "diff_map": (_ab(diff_map), f"{_P}, d AS (SELECT image_id, x, y, abs(a.r - b.r) AS d {_J}), m AS (SELECT *, max(d) OVER (PARTITION BY image_id) AS most FROM d) SELECT image_id, x, y, CAST(floor((d * CASE WHEN most > 0 THEN 16711680 // most ELSE 0 END + 32768) / 65536.0::DOUBLE) AS BIGINT) AS r FROM m"),
     "diff_stats": (_ab(diff_stats), f"{_P} SELECT image_id, " + ", ".join(f"max(abs(a.{c} - b.{c})) AS max_{c}" for c in "rgb") + f" {_J} GROUP BY image_id"),
     "similar_within": (_ab(lambda a, b: similar_within(a, b, 1)), f"{_P} SELECT image_id, bool_and(greatest(abs(a.r - b.r), abs(a.g - b.g), abs(a.b - b.b)) <= 1) AS similar {_J} GROUP BY image_id"),
     "color_histogram": (lambda s, d: color_histogram(_a(s, d)), f"{_P} SELECT image_id, r, g, b, count(*) AS n FROM pixels GROUP BY ALL"),

@@ -21,10 +21,10 @@ def search_pages(pages: DataFrame, queries: DataFrame, first: int | None = None,
 
 
 def _gate(pages: DataFrame, queries: DataFrame) -> DataFrame:
-    """Pages with each query they contain: the cheap test before anything is split. The queries are a stated, small set."""
+    """Pages with each query they contain: the cheap test before anything is split. The queries are a stated set: Spark broadcasts them if they are small."""
     q = queries.select("query_id", fold(F.col("q")).alias("q")).where(F.length("q") > 0)
     p = pages.withColumn("text", fold(F.col("text")))
-    return p.join(F.broadcast(q), F.contains(F.col("text"), F.col("q")))
+    return p.join(q, F.contains(F.col("text"), F.col("q")))
 
 
 def search_hits(pages: DataFrame, queries: DataFrame) -> DataFrame:
@@ -36,6 +36,48 @@ def search_hits(pages: DataFrame, queries: DataFrame) -> DataFrame:
     return rows.select(*PAGE, "query_id", "hit_no", "pos", (F.col("pos") + F.col("n")).alias("end"))
 
 
+def search_previews(pages: DataFrame, queries: DataFrame, words: int = 7) -> DataFrame:
+    """doc_id, page_no, query_id, no, preview, hits: a window of text around hits, and how many hits it holds.
+
+    A window reaches `words` spaces to both sides of its first hit; what is missing on the
+    left, at the page's start or the end of the window before, is added on the right. A hit inside
+    the window makes it reach the next space behind the hit, if it did not; another one opens
+    the next window. Newlines show as spaces. One fold over the hits of a page and query."""
+    spaces = F.transform(F.split("text", " ", -1), F.length)
+    upto = F.transform(F.sequence(F.lit(1), F.size("lens") - 1), lambda i: F.aggregate(F.slice("lens", 1, i), F.lit(0), lambda a, x: a + x) + i - 1)
+    texts = pages.select(*PAGE, "text", spaces.alias("lens")).select(*PAGE, "text", F.length("text").alias("size"), F.when(F.size("lens") > 1, upto).otherwise(F.array().cast("array<int>")).alias("sp"))
+    hits = search_hits(pages, queries).join(queries.select("query_id", F.length("q").alias("m")), "query_id")
+    hits = hits.groupBy(*PAGE, "query_id", "m").agg(F.sort_array(F.collect_list(F.col("pos").cast("int"))).alias("at"))
+    rows = hits.join(texts, PAGE)
+
+    def opened(pos, after):
+        """Start and end of the window around pos; `after`: where the window before it ended, and one."""
+        left = F.filter("sp", lambda x: (x < pos) & (x > F.greatest(F.lit(0), after)))
+        enough = F.size(left) >= words
+        start = F.when(enough, F.element_at(left, F.greatest(F.size(left) - words + 1, F.lit(1)))).otherwise(F.greatest(F.lit(0), F.least(after, pos - 1)))
+        right = F.filter("sp", lambda x: x > pos + F.col("m"))
+        want = F.lit(words) + F.when(enough, 0).otherwise(words - F.size(left))
+        return start, F.when(F.size(right) >= want, F.element_at(right, want)).otherwise(F.col("size"))
+
+    def step(acc, pos):
+        last = F.element_at(acc, -1)
+        inside = (pos >= last["start"]) & (pos <= last["end"])
+        reach = F.greatest(last["end"], pos + F.col("m"))
+        behind = F.filter("sp", lambda x: x >= reach)
+        longer = F.when((reach < F.col("size")) & (F.size(behind) > 0), F.element_at(behind, 1)).otherwise(reach)
+        grown = F.struct(last["start"].alias("start"), longer.alias("end"), (last["hits"] + 1).alias("hits"))
+        start, end = opened(pos, last["end"] + 1)
+        fresh = F.struct(start.alias("start"), end.alias("end"), F.lit(1).alias("hits"))
+        return F.when(inside, F.array_append(F.slice(acc, 1, F.size(acc) - 1), grown)).otherwise(F.array_append(acc, fresh))
+
+    start, end = opened(F.col("at")[0], F.lit(0))
+    first = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(1).alias("hits")))
+    rows = rows.withColumn("first", first.cast("array<struct<start:int,end:int,hits:int>>"))
+    held = F.aggregate(F.slice("at", 2, F.size("at")), F.col("first"), lambda a, x: step(a, x).cast("array<struct<start:int,end:int,hits:int>>"))
+    rows = rows.select(*PAGE, "query_id", "text", F.posexplode(held).alias("no", "w"))
+    return rows.select(*PAGE, "query_id", "no", F.translate(F.substr("text", F.col("w.start") + 1, F.col("w.end") - F.col("w.start")), "\n", " ").alias("preview"), F.col("w.hits").alias("hits"))
+
+
 def search_counter(pages: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, pages, chars that a search for each query looks at."""
     held = pages.agg(F.count("*").alias("pages"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
@@ -55,8 +97,9 @@ def cross_page_hits(pages: DataFrame, queries: DataFrame) -> DataFrame:
     nxt = F.lead("text").over(Window.partitionBy("doc_id").orderBy("page_no"))
     p = pages.select(*PAGE, fold(F.col("text")).alias("text"), fold(nxt).alias("next")).where("next IS NOT NULL")
     q = queries.select("query_id", fold(F.col("q")).alias("q")).where(F.length("q") > 1)
-    j = p.join(F.broadcast(q)).withColumns({"m": F.length("q"), "tail": F.right("text", F.length("q") - 1), "head": F.left("next", F.length("q") - 1)})
-    j = j.where(F.contains(F.concat("tail", "head"), F.col("q")))
+    edge = F.length("q") - 1
+    j = p.join(q, F.contains(F.concat(F.right("text", edge), F.left("next", edge)), F.col("q")))
+    j = j.withColumns({"m": F.length("q"), "tail": F.right("text", edge), "head": F.left("next", edge)})
     at = F.filter(F.sequence(F.lit(0), F.length("tail") - 1), lambda i: F.substr(F.concat("tail", "head"), i + 1, F.col("m")) == F.col("q"))
     return j.where(F.length("tail") > 0).select(*PAGE, "query_id", F.explode(at).alias("i"), "text", "tail").select(*PAGE, "query_id", (F.length("text") - F.length("tail") + F.col("i")).alias("pos"))
 
@@ -81,7 +124,7 @@ def phrase_page_index(pages: DataFrame, n: int = 3) -> DataFrame:
 def suggest(index: DataFrame, prefixes: DataFrame, k: int = 5) -> DataFrame:
     """prefix, rank, term, hits: the k most frequent terms of each prefix."""
     terms = index.groupBy("term").agg(F.sum("n").alias("hits"))
-    found = terms.join(F.broadcast(prefixes), F.startswith(F.col("term"), F.col("prefix")))
+    found = terms.join(prefixes, F.startswith(F.col("term"), F.col("prefix")))
     rank = F.row_number().over(Window.partitionBy("prefix").orderBy(F.desc("hits"), "term"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("prefix", "rank", "term", "hits")
 
@@ -109,12 +152,16 @@ _HITS = f"""hits AS (SELECT doc_id, page_no, query_id, CAST(i - 1 AS INTEGER) AS
 _BASE = with_("lines", "pages", "queries").rstrip()
 _WS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda x: x <> '')"
 
+#: Queries short enough to lie across two pages, whose joint isn't written.
+CROSS = ((1, ".t"), (2, "en"), (3, "es"), (4, "e."), (5, "st"), (6, ".a"), (7, ".l"), (8, ".d"))
+
 REGISTERED = {
     "search_pages": (_q(search_pages), f"{_BASE} SELECT doc_id, page_no, query_id FROM doc_pages JOIN queries ON contains({_FOLD.format('text')}, q)"),
     "search_hits": (_q(search_hits), f"{_BASE}, {_HITS} SELECT doc_id, page_no, query_id, hit_no, pos, pos + n AS \"end\" FROM hits WHERE hit_no < k - 1"),
+    "search_previews": (_q(search_previews), None),
     "search_counter": (_q(search_counter), f"{_BASE} SELECT query_id, count(*) AS pages, CAST(sum(length(text)) AS BIGINT) AS chars FROM doc_pages, queries GROUP BY query_id"),
     "search_flexible_ws": (_q(flexible_hits), f"{_BASE}, p AS (SELECT doc_id, page_no, query_id, len(string_split({_FOLD.format('regexp_replace(text, chr(91) || chr(32) || chr(13) || chr(10) || chr(9) || chr(160) || chr(8232) || chr(8233) || chr(93) || chr(43), chr(32), chr(103))')}, q)) - 1 AS n FROM doc_pages, queries) SELECT * FROM p WHERE n > 0"),
-    "search_cross_page": (_q(cross_page_hits), f"""{_BASE}, j AS (SELECT doc_id, page_no, {_FOLD.format('text')} AS text, {_FOLD.format('lead(text) OVER (PARTITION BY doc_id ORDER BY page_no)')} AS nxt FROM doc_pages),
+    "search_cross_page": (lambda s, d: cross_page_hits(_pages(s, d), s.createDataFrame(list(CROSS), "query_id int, q string")), f"""{with_('lines', 'pages').rstrip()}, queries(query_id, q) AS (VALUES {str(CROSS)[1:-1]}), j AS (SELECT doc_id, page_no, {_FOLD.format('text')} AS text, {_FOLD.format('lead(text) OVER (PARTITION BY doc_id ORDER BY page_no)')} AS nxt FROM doc_pages),
 t AS (SELECT doc_id, page_no, query_id, q, length(text) AS n, right(text, length(q) - 1) AS a, left(nxt, length(q) - 1) AS b FROM j, queries WHERE nxt IS NOT NULL AND length(q) > 1)
 SELECT doc_id, page_no, query_id, CAST(n - length(a) + i AS INTEGER) AS pos FROM (SELECT *, unnest(range(length(a))) AS i FROM t) WHERE substring(a || b, CAST(i AS INTEGER) + 1, length(q)) = q"""),
     "term_page_index": (lambda s, d: term_page_index(_pages(s, d)), f"{with_('lines', 'pages')} SELECT term, doc_id, page_no, count(*) AS n FROM (SELECT doc_id, page_no, unnest({_WS}) AS term FROM doc_pages) GROUP BY ALL"),

@@ -43,10 +43,16 @@ def commands(events: DataFrame) -> DataFrame:
     return events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", cmd.alias("cmd"), F.when(F.col("event_type") == "error", 4).otherwise(0).alias("result"), (F.col("event_id") % 2).alias("flag"))
 
 
-def pixels(vectors: DataFrame) -> DataFrame:
-    """image_id, x, y, r, g, b: one image for each label, one row of pixels for each vector."""
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    rows = vectors.select(F.col("label").alias("image_id"), rank.alias("y"), "embedding").select("image_id", "y", F.posexplode("embedding").alias("x", "v"))
+def pixels(vectors: DataFrame, span: int = 10_000) -> DataFrame:
+    """image_id, x, y, r, g, b: one image for each label, one row of pixels for each vector, in the order of vec_id.
+
+    A label's rows are numbered in two levels, within ranges of `span` ids, so that no task holds a label."""
+    rows = vectors.select(F.col("label").alias("image_id"), "vec_id", F.floor(F.col("vec_id") / span).alias("part"), "embedding")
+    before = Window.partitionBy("image_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("image_id", "part").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    own = F.row_number().over(Window.partitionBy("image_id", "part").orderBy("vec_id")) - 1
+    rows = rows.withColumn("own", own).join(counts, ["image_id", "part"]).withColumn("y", (F.col("base") + F.col("own")).cast("int"))
+    rows = rows.select("image_id", "y", F.posexplode("embedding").alias("x", "v"))
     r = F.floor((F.col("v").cast("double") + 1) * 127.5).cast("int")
     return rows.select("image_id", "x", "y", r.alias("r"), (255 - r).alias("g"), (F.col("x") * F.col("y") % 256).alias("b"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folio.functions.text import fold
 from folio.sources.tables import commands, read_corpus, with_
 
 
@@ -52,6 +53,20 @@ def stream_tally(stream: DataFrame, late: str = "10 minutes", width: str = "1 ho
     return result_tally(stream.withWatermark("ts", late), width)
 
 
+def stream_search(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """doc_id, query_id of arriving docs(doc_id, text) and the stated queries(query_id, q) they contain: a stream-static join."""
+    q = queries.select("query_id", fold(F.col("q")).alias("q")).where(F.length("q") > 0)
+    return docs.join(q, F.contains(fold(F.col("text")), F.col("q"))).select("doc_id", "query_id")
+
+
+def stream_pairs(requests: DataFrame, responses: DataFrame, late: str = "10 minutes", within: str = "1 hour") -> DataFrame:
+    """user_id, request, answer, latency: every response of the user that follows a request within the time, both sides with watermarks."""
+    a = requests.select(F.col("user_id").alias("user"), F.col("event_id").alias("request"), F.col("ts").alias("asked")).withWatermark("asked", late)
+    b = responses.select("user_id", F.col("event_id").alias("answer"), F.col("ts").alias("said")).withWatermark("said", late)
+    near = (F.col("user") == F.col("user_id")) & (F.col("said") >= F.col("asked")) & (F.col("said") <= F.col("asked") + F.expr(f"INTERVAL {within}"))
+    return a.join(b, near).select("user_id", "request", "answer", (F.col("said").cast("double") - F.col("asked").cast("double")).alias("latency"))
+
+
 def dedup_stream(stream: DataFrame, ts: str, late: str = "1 day") -> DataFrame:
     """The first arrival of each text within the watermark."""
     return stream.withColumn("md5", F.md5("text")).withWatermark(ts, late).dropDuplicatesWithinWatermark(["md5"])
