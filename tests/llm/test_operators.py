@@ -299,7 +299,7 @@ def test_chat_parts_and_escapes(spark):
     out = chat_format.format_chat(spark.createDataFrame(data, f"conv_id long, turn int, role string, parts {part}"), parts="parts")
     out = {r["conv_id"]: r for r in out.withColumns({"back": chat_format.parse_chat(F.col("formatted")), "loss": chat_format.loss_text(F.col("formatted"), F.col("loss_spans"))}).collect()}
     assert [(t["role"], t["text"]) for t in out[1]["back"]] == [("user", hard + "<|image|><|audio|>"), ("assistant", hard)]
-    assert out[1]["loss"] == hard and out[1]["expanded_tokens"] == 95 and [(a["ordinal"], a["ref"]) for a in out[1]["attachments"]] == [(0, "a.png"), (1, "b.wav")]
+    assert out[1]["loss"] == hard and out[1]["expanded_tokens"] == 95 + 2 * len(hard.split()) and [(a["ordinal"], a["ref"]) for a in out[1]["attachments"]] == [(0, "a.png"), (1, "b.wav")]
     assert "</s>" not in out[1]["formatted"] and out[None]["loss"] == "" and out[None]["n_turns"] == 1
 
 
