@@ -55,6 +55,18 @@ def natural_key(c: Column) -> Column:
     return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), by_value(x)).otherwise(x)), "")
 
 
+#: The strong right-to-left code points (letters of Hebrew, Arabic and their neighbours).
+RTL = r"\x{5BE}\x{5C0}\x{5C3}\x{5D0}-\x{5F4}\x{608}\x{61B}-\x{64A}\x{66D}-\x{66F}\x{671}-\x{6D5}\x{6FA}-\x{8FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFE}"
+#: A run from one of them to before the next letter of another kind, or what lies between such runs.
+RTL_RUNS = rf"[{RTL}](?:[^\p{{L}}]|[{RTL}])*|[^{RTL}]+"
+
+
+def rtl_runs(c: Column) -> Column:
+    """Text in drawing order as text in reading order: each maximal right-to-left run reversed, signs and digits inside it too."""
+    runs = F.regexp_extract_all(c, F.lit(RTL_RUNS), F.lit(0))
+    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike(f"^[{RTL}]"), F.reverse(x)).otherwise(x)), "")
+
+
 def truncate_meta(c: Column, most: int = 2000) -> Column:
     return F.when(F.is_valid_utf8(c), F.left(c, F.lit(most))).otherwise("")
 
@@ -73,6 +85,10 @@ def count_chars(c: Column, chars: str) -> Column:
     return F.length(c) - F.length(F.translate(c, chars, ""))
 
 
+#: The vowel signs of Devanagari and Bengali that are drawn before their consonant, and the consonants.
+PRE_BASE = "([\u093F\u09BF\u09C7\u09C8])([\u0904-\u0939\u0985-\u09B9])"
+
+
 def reorder_indic(c: Column) -> Column:
     """The vowel sign that is drawn before its consonant but typed behind it, put back behind it."""
-    return F.regexp_replace(c, "([\u093F\u09BF\u09C7\u09C8])([\u0904-\u0939\u0985-\u09B9])", "$2$1")
+    return F.regexp_replace(c, PRE_BASE, "$2$1")

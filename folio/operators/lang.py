@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.sources.tables import read_corpus
+from folio.functions.text import PRE_BASE, PUNCT, RTL, RTL_RUNS, SPACES, count_chars, reorder_indic, rtl_runs
+from folio.sources.tables import lines, read_corpus, with_
 
 #: Unicode ranges of the scripts told apart.
 SCRIPTS = {"rtl": "[\\x{0590}-\\x{08FF}]", "cjk": "[\\x{3040}-\\x{30FF}\\x{4E00}-\\x{9FFF}]", "devanagari": "[\\x{0900}-\\x{097F}]", "bengali": "[\\x{0980}-\\x{09FF}]", "gujarati": "[\\x{0A80}-\\x{0AFF}]", "oriya": "[\\x{0B00}-\\x{0B7F}]", "tamil": "[\\x{0B80}-\\x{0BFF}]", "telugu": "[\\x{0C00}-\\x{0C7F}]", "kannada": "[\\x{0C80}-\\x{0CFF}]", "malayalam": "[\\x{0D00}-\\x{0D7F}]", "latin_accents": "[\\x{00C0}-\\x{017F}]"}
@@ -85,6 +86,26 @@ def hyphenate(words: DataFrame, patterns: DataFrame) -> DataFrame:
     return best.where((F.col("digit") % 2 == 1) & (F.col("pos") >= 2) & (F.col("pos") <= F.length("word") - 2)).select("word", "pos")
 
 
+#: Vowels, signs that are no consonants, and pairs that stay together, for languages without patterns.
+VOWELS, SIGNS, PAIRS = "aeiouyàáâäåæèéêëìíîïòóôöøùúûüýÿœаеёиоуыэюя", "ьъ", ("sh", "th", "ph", "ch")
+
+
+def hyphenate_rules(words: DataFrame) -> DataFrame:
+    """word, pos: breaks without patterns. A vowel that another follows anywhere later allows a break behind it, behind the
+    first of two consonants after it, or behind a consonant and its sign; two letters stay in front and at the end, and
+    nothing parts a pair."""
+    n, at = F.length("word"), F.sequence(F.lit(1), F.length("word"))
+    rows = words.where(n > 2).select("word", F.explode(at).alias("i")).where(F.col("i") < n - 1)
+    ch = lambda k: F.substr("word", F.col("i") + k, F.lit(1))
+    vowel, sign = (lambda c: F.contains(F.lit(VOWELS), c)), (lambda c: F.contains(F.lit(SIGNS), c))
+    consonant = lambda c: ~vowel(c) & ~sign(c)
+    later = F.length(F.translate(F.substr("word", F.col("i") + 1, n), VOWELS, "")) < n - F.col("i")
+    step = F.when(consonant(ch(F.lit(1))) & consonant(ch(F.lit(2))), 1).when(consonant(ch(F.lit(1))) & sign(ch(F.lit(2))), 2).otherwise(0)
+    rows = rows.where(vowel(ch(F.lit(0))) & later).select("word", (F.col("i") + step).alias("pos"))
+    pair = F.substr("word", F.col("pos"), F.lit(2))
+    return rows.where((F.col("pos") >= 2) & (n - F.col("pos") >= 2) & ~pair.isin(*PAIRS)).distinct()
+
+
 def suffix_lookup(words: DataFrame, rules: DataFrame) -> DataFrame:
     """word, suffix, value of the longest rule that ends the word."""
     rows = words.select("word", F.explode(F.sequence(F.lit(1), F.least(F.lit(_longest(rules, "suffix")), F.length("word")))).alias("k")).select("word", F.expr("right(word, k)").alias("suffix"))
@@ -129,6 +150,8 @@ def _pattern_rows() -> str:
     return "pats AS (SELECT * FROM (VALUES " + ", ".join(rows) + ") v(txt, digits))"
 
 
+#: Letters that stand for others, so that the corpus holds Devanagari and Hebrew.
+INDIC, HEBREW = ("iknt", "\u093f\u0915\u0928\u0924"), ("aeiourst", "\u05d0\u05d4\u05d9\u05e2\u05d5\u05e8\u05e9\u05ea")
 _FILES = {1: "FF", 2: "EFBBBF", 3: "C3"}
 
 
@@ -151,5 +174,11 @@ s AS (SELECT doc_id, lang, round(CAST(sum(q * n) AS DOUBLE) / sqrt(CAST(any_valu
   FROM q JOIN p USING (bigram) JOIN (SELECT doc_id, sum(q * q) AS qq FROM q GROUP BY doc_id) USING (doc_id) JOIN (SELECT lang, sum(n * n) AS nn FROM p GROUP BY lang) USING (lang) WHERE lang IS NOT NULL GROUP BY doc_id, lang)
 SELECT doc_id, lang AS lang_pred, score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1"""),
     "hyphenate_vocab": (lambda s, d: hyphenate(vocab(_docs(s, d)), patterns(s)), f"WITH {_V}, {_pattern_rows()}, g AS (SELECT word, i, txt, digits FROM (SELECT word, '.' || word || '.' AS p, unnest(range(1, length(word) + 3)) AS i FROM vocab WHERE length(word) > 3) w JOIN pats ON substring(w.p, CAST(i AS INTEGER), length(txt)) = txt), h AS (SELECT word, CAST(i + j - 3 AS INTEGER) AS pos, digit FROM (SELECT word, i, unnest(digits) AS digit, generate_subscripts(digits, 1) AS j FROM g)) SELECT word, pos FROM h GROUP BY word, pos HAVING max(digit) % 2 = 1 AND pos BETWEEN 2 AND length(word) - 2"),
+    "hyphenate_rules": (lambda s, d: hyphenate_rules(vocab(_docs(s, d))), f"""WITH {_V}, a AS (SELECT word, CAST(i AS INTEGER) AS i, [CASE WHEN contains('{VOWELS}', x) THEN 'v' WHEN contains('{SIGNS}', x) THEN 's' ELSE 'c' END FOR x IN string_split(word, '')] AS k FROM (SELECT word, unnest(range(1, length(word) - 1)) AS i FROM vocab WHERE length(word) > 2)),
+b AS (SELECT word, i + CASE WHEN k[i + 1] = 'c' AND k[i + 2] = 'c' THEN 1 WHEN k[i + 1] = 'c' AND k[i + 2] = 's' THEN 2 ELSE 0 END AS pos FROM a WHERE k[i] = 'v' AND list_contains(k[i + 1:], 'v'))
+SELECT DISTINCT word, pos FROM b WHERE pos >= 2 AND length(word) - pos >= 2 AND substring(word, pos, 2) NOT IN {PAIRS}"""),
+    "char_classes": (lambda s, d: _docs(s, d).select("doc_id", count_chars(F.col("text"), PUNCT).alias("puncts"), count_chars(F.col("text"), SPACES + " ").alias("spaces")), "SELECT doc_id, " + ", ".join(f"CAST(length(text) - length(translate(text, '{c}', '')) AS INTEGER) AS {n}" for c, n in ((PUNCT.replace("'", "''"), "puncts"), (SPACES + " ", "spaces"))) + " FROM documents"),
+    "reorder_indic": (lambda s, d: lines(_docs(s, d).withColumn("text", F.translate("text", INDIC[0], INDIC[1]))).select("doc_id", "line_no", reorder_indic(F.col("line")).alias("line")), f"{with_('lines')} SELECT doc_id, line_no, regexp_replace(translate(line, '{INDIC[0]}', '{INDIC[1]}'), '{PRE_BASE}', '\\2\\1', 'g') AS line FROM lines"),
+    "rtl_runs": (lambda s, d: lines(_docs(s, d).withColumn("text", F.translate("text", HEBREW[0], HEBREW[1]))).select("doc_id", "line_no", rtl_runs(F.col("line")).alias("line")), f"{with_('lines')}, t AS (SELECT doc_id, line_no, translate(line, '{HEBREW[0]}', '{HEBREW[1]}') AS line FROM lines) SELECT doc_id, line_no, array_to_string([CASE WHEN regexp_matches(x, '^[{RTL}]') THEN reverse(x) ELSE x END FOR x IN regexp_extract_all(line, '{RTL_RUNS}')], '') AS line FROM t"),
     "suffix_lookup": (lambda s, d: suffix_lookup(vocab(_docs(s, d)), s.createDataFrame(list(SUFFIXES), "suffix string, value int")), f"WITH {_V}, {_R} SELECT word, suffix, value FROM vocab JOIN rules ON ends_with(word, suffix) QUALIFY row_number() OVER (PARTITION BY word ORDER BY length(suffix) DESC) = 1"),
 }

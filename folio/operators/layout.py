@@ -6,6 +6,7 @@ in tenths of a point, whole numbers, so that gaps compare exactly.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +55,56 @@ def group_spans(boxes: DataFrame) -> DataFrame:
     return out.select(*PAGE, "span_no", F.array_join("h.part", "").alias("text"), "u0", "u1", "size", "bold", "top", "line_no")
 
 
+def nested_page(rows: DataFrame) -> DataFrame:
+    """doc_id, page_no, blocks: the lines(doc_id, page_no, block, line, text) of a page as an array of blocks, each an array of its lines' texts."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"])
+    blocks = rows.groupBy(*PAGE, "block").agg(texts.alias("lines"))
+    return blocks.groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "lines"))), lambda x: x["lines"]).alias("blocks"))
+
+
+#: What ends a line, a paragraph and a region in the flattened text of zones.
+ENDS = ("\n", "\x1f", "\x1d")
+
+
+def zone_text(rows: DataFrame) -> DataFrame:
+    """doc_id, text of lines(doc_id, region, para, line_no, line): every zone ends in its mark; a mark that is there already isn't added."""
+    ended = lambda c, end: F.when(c.endswith(end), c).otherwise(F.concat(c, F.lit(end)))
+    held = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, "t"))), lambda x: x["t"]), "")
+    rows = rows.withColumn("t", ended(F.coalesce("line", F.lit("")), ENDS[0]))
+    for by, k, end in ((["doc_id", "region", "para"], "line_no", ENDS[1]), (["doc_id", "region"], "para", ENDS[2])):
+        rows = rows.groupBy(*by).agg(held(k).alias("t")).withColumn("t", ended(F.col("t"), end))
+    return rows.groupBy("doc_id").agg(held("region").alias("text"))
+
+
+def covering_zones(zones: DataFrame, ranges: DataFrame) -> DataFrame:
+    """doc_id, kind, no, start, end: the largest of zones(doc_id, kind, no, up, up_no, start, end) that lie inside ranges(doc_id, lo, hi):
+    those whose parent (up, up_no) isn't inside."""
+    inside = zones.join(ranges, "doc_id").where((F.col("start") >= F.col("lo")) & (F.col("end") <= F.col("hi")))
+    above = inside.select("doc_id", F.col("kind").alias("up"), F.col("no").alias("up_no"), "lo", "hi")
+    return inside.join(above, ["doc_id", "up", "up_no", "lo", "hi"], "left_anti").select("doc_id", "kind", "no", "start", "end")
+
+
+def merge_overlapping_images(images: DataFrame) -> DataFrame:
+    """doc_id, page_no, x0, y0, x1, y1, n: rectangles of a page that meet are united, and what the union meets, until none meet.
+
+    A page's images are few, so that a page is one group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        boxes = []
+        for x0, y0, x1, y1 in pdf[["x0", "y0", "x1", "y1"]].sort_values(["x0", "y0", "x1", "y1"]).to_numpy():
+            box, meets = [x0, y0, x1, y1, 1], True
+            while meets:
+                meets = [b for b in boxes if b[0] < box[2] and box[0] < b[2] and b[1] < box[3] and box[1] < b[3]]
+                boxes = [b for b in boxes if b not in meets]
+                for b in meets:
+                    box = [min(box[0], b[0]), min(box[1], b[1]), max(box[2], b[2]), max(box[3], b[3]), box[4] + b[4]]
+            boxes.append(box)
+        out = pd.DataFrame(boxes, columns=["x0", "y0", "x1", "y1", "n"])
+        return out.assign(doc_id=pdf["doc_id"].iat[0], page_no=pdf["page_no"].iat[0])
+
+    return images.select(*PAGE, *[F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")]).groupBy(*PAGE).applyInPandas(run, "doc_id long, page_no int, x0 double, y0 double, x1 double, y1 double, n int")
+
+
 def group_lines_blocks(spans: DataFrame) -> DataFrame:
     """doc_id, page_no, block, line, spans, text: a new line where the baseline moves by more than 0.9 of the size, and with it a
     new block where it moves by more than 1.5 or back by more than half of it."""
@@ -179,7 +230,29 @@ hp AS (SELECT doc_id, page_no, chars, sizes, max(size) FILTER (WHERE rank = 1) A
 heads AS (SELECT doc_id, page_no, CASE WHEN chars >= 300 AND sizes > 1 AND 10 * n1 <= 3 * chars THEN s1 END AS h1, CASE WHEN chars >= 300 AND sizes > 1 AND 10 * n1 <= 3 * chars AND 10 * n2 < chars THEN s2 END AS h2 FROM hp)"""
 _SPOT = f"{_BASE}, {_HITS}, {_W0}, spots AS (SELECT doc_id, page_no, query_id, hit_no, start + pos AS pos0, start + pos + n AS end0 FROM hits JOIN doc_pages USING (doc_id, page_no) WHERE hit_no < k - 1)"
 
+
+
+def _zones(s, d):
+    """Lines in pages of twenty."""
+    rows = lines(read_corpus(s, d, "documents"))
+    page = F.floor(F.col("line_no") / 20).cast("int")
+    line = rows.select("doc_id", F.lit("line").alias("kind"), F.col("line_no").alias("no"), F.lit("page").alias("up"), page.alias("up_no"), "start", (F.col("start") + F.col("len")).alias("end"))
+    pages = line.groupBy("doc_id", F.col("up_no").alias("no")).agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return line.unionByName(pages.select("doc_id", F.lit("page").alias("kind"), "no", F.lit("text").alias("up"), F.lit(0).alias("up_no"), "start", "end"))
+
+
+def _images(s, d):
+    """Every fourth word box that stands for an image: as high as its size."""
+    return _boxes(s, d).where("idx % 4 = 0").select(*PAGE, F.col("u0").alias("x0"), (F.col("top") * 480).alias("y0"), F.col("u1").alias("x1"), (F.col("top") * 480 + 3 * F.col("size")).alias("y1"))
+
+
 REGISTERED = {
+    "nested_page": (lambda s, d: nested_page(group_lines_blocks(group_spans(_boxes(s, d)))).select(*PAGE, F.to_json("blocks").alias("blocks")), None),
+    "zone_text": (lambda s, d: zone_text(lines(read_corpus(s, d, "documents")).withColumns({"para": F.floor(F.col("line_no") / 5), "region": F.floor(F.col("line_no") / 20)})), f"""{_L}, p AS (SELECT doc_id, line_no // 20 AS region, line_no // 5 AS para, string_agg(line || chr(10), '' ORDER BY line_no) || chr(31) AS t FROM lines GROUP BY ALL),
+r AS (SELECT doc_id, region, string_agg(t, '' ORDER BY para) || chr(29) AS t FROM p GROUP BY ALL) SELECT doc_id, string_agg(t, '' ORDER BY region) AS text FROM r GROUP BY doc_id"""),
+    "covering_zones": (lambda s, d: covering_zones(_zones(s, d), read_corpus(s, d, "documents").select("doc_id", F.lit(100).alias("lo"), (F.length("text") - 100).alias("hi"))), f"""{_L}, z AS (SELECT doc_id, 'line' AS kind, line_no AS no, CAST(line_no // 20 AS INTEGER) AS up_no, start, start + len AS "end" FROM lines UNION ALL SELECT doc_id, 'page', CAST(line_no // 20 AS INTEGER), NULL, min(start), max(start + len) FROM lines GROUP BY doc_id, line_no // 20),
+i AS (SELECT z.* FROM z JOIN documents USING (doc_id) WHERE start >= 100 AND "end" <= length(text) - 100) SELECT doc_id, kind, no, start, "end" FROM i a WHERE NOT EXISTS (SELECT 1 FROM i b WHERE b.doc_id = a.doc_id AND b.kind = 'page' AND a.kind = 'line' AND b.no = a.up_no)"""),
+    "merge_overlapping_images": (lambda s, d: merge_overlapping_images(_images(s, d)), None),
     "group_spans": (lambda s, d: group_spans(_boxes(s, d)), f"{_L}, {_W0}, {_SPAN} SELECT * FROM spans"),
     "group_lines_blocks": (lambda s, d: group_lines_blocks(group_spans(_boxes(s, d))), f"""{_L}, {_W0}, {_SPAN}, a AS (SELECT *, lag(top) OVER ({_P} ORDER BY span_no) AS was FROM spans),
 b AS (SELECT *, (top - was) * 480 AS away FROM a), c AS (SELECT *, CASE WHEN was IS NULL OR abs(away) > 0.9::DOUBLE * size THEN 1 ELSE 0 END AS nl, CASE WHEN was IS NULL OR (abs(away) > 0.9::DOUBLE * size AND (away > 1.5::DOUBLE * size OR away < -0.5::DOUBLE * size)) THEN 1 ELSE 0 END AS nb FROM b),

@@ -21,10 +21,16 @@ def title_fallback(rows: DataFrame, names: list[str]) -> DataFrame:
 
 
 def apply_edits(meta: DataFrame, edits: DataFrame) -> DataFrame:
-    """(doc_id, tag, value) after edits(doc_id, seq, op, tag, value): the last edit of a key counts; op is set or delete."""
-    last = edits.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "tag").orderBy(F.desc("seq")))).where("n = 1")
-    kept = meta.select("doc_id", "tag", "value").join(last, ["doc_id", "tag"], "left_anti")
-    return kept.unionByName(last.where("op <> 'delete'").select("doc_id", "tag", "value"))
+    """(doc_id, tag, value) after edits(doc_id, seq, op, tag, value): the last set or delete of a key counts; each add behind it adds a value."""
+    key = ["doc_id", "tag"]
+    reset = F.max(F.when(F.col("op") != "add", F.col("seq"))).over(Window.partitionBy(*key))
+    live = edits.withColumn("reset", reset).where("reset IS NULL OR seq >= reset")
+    kept = meta.select(*key, "value").join(live.where("reset IS NOT NULL"), key, "left_anti")
+    return kept.unionByName(live.where("op <> 'delete'").select(*key, "value"))
+
+
+#: The words for true and for false.
+YES, NO = ("true", "TRUE", "yes", "YES", "1"), ("false", "FALSE", "no", "NO", "0")
 
 
 def minus(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -53,8 +59,16 @@ def set_defaults(a: DataFrame, defaults: DataFrame) -> DataFrame:
 
 
 def typed(props: DataFrame) -> DataFrame:
-    """Values read as a whole number, null where they are none."""
-    return props.select("key", "name", F.col("value").try_cast("int").alias("number"))
+    """key, name, number, color, flag: values read as a whole number, as #hex or 0xhex, and as a truth value; null where they are none."""
+    value = F.col("value")
+    digits = F.regexp_extract("value", "^(?:#|0x)([0-9a-fA-F]{1,8})$", 1)
+    flag = F.when(value.isin(*YES), True).when(value.isin(*NO), False)
+    return props.select("key", "name", value.try_cast("int").alias("number"), F.conv(F.nullif(digits, F.lit("")), 16, 10).cast("long").alias("color"), flag.alias("flag"))
+
+
+def with_defaults(props: DataFrame, number: int, color: int, flag: bool) -> DataFrame:
+    """typed(props), with what can't be read replaced by the defaults."""
+    return typed(props).fillna({"number": number, "color": color, "flag": flag})
 
 
 def catalog_pages(catalog: DataFrame) -> DataFrame:
@@ -143,8 +157,11 @@ def _titles(s, d):
 
 
 def _edits(s, d):
-    docs = read_corpus(s, d, "documents").where("doc_id % 7 < 3")
-    return docs.select("doc_id", (F.col("doc_id") % 7).alias("seq"), F.expr("CASE doc_id % 7 WHEN 0 THEN 'set' WHEN 1 THEN 'delete' ELSE 'set' END").alias("op"), F.expr("CASE WHEN doc_id % 7 = 2 THEN 'note' ELSE 'lang' END").alias("tag"), F.lit("xx").alias("value"))
+    """One edit a document; every fifth has an add behind it, every fourth an earlier one that a set or delete undoes."""
+    docs = read_corpus(s, d, "documents").where("doc_id % 7 < 4")
+    one = docs.select("doc_id", F.lit(1).alias("seq"), F.expr("CASE doc_id % 7 WHEN 1 THEN 'delete' WHEN 3 THEN 'add' ELSE 'set' END").alias("op"), F.expr("CASE WHEN doc_id % 7 = 2 THEN 'note' ELSE 'lang' END").alias("tag"), F.lit("xx").alias("value"))
+    more = [one.where(f"doc_id % {m} = 0").withColumns({"seq": F.lit(n), "op": F.lit("add"), "value": F.lit(v)}) for m, n, v in ((5, 2, "yy"), (4, 0, "zz"))]
+    return one.unionByName(more[0]).unionByName(more[1])
 
 
 def _props(s, d):
@@ -158,6 +175,13 @@ def _other(s, d):
     return a.unionByName(a.select("key").distinct().select("key", F.lit("added").alias("name"), F.lit("1").alias("value")))
 
 
+def _values(s, d):
+    """The other properties with a color for each brand and a truth value for each type, one in three of them unreadable."""
+    color = F.concat(F.lit("#"), F.lpad(F.lower(F.hex(F.col("key") * 7919 % 16777216)), 6, "0"))
+    word = F.element_at(F.array(F.lit("yes"), F.lit("FALSE"), F.lit("maybe")), (F.col("key") % 3 + 1).cast("int"))
+    return _other(s, d).withColumn("value", F.when(F.col("name") == "p_brand", color).when(F.col("name") == "p_type", word).otherwise(F.col("value")))
+
+
 def _catalog(s, d):
     p = read_corpus(s, d, "pages")
     kind = F.element_at(F.array(F.lit(".jpg"), F.lit(".png"), F.lit(".txt")), (F.col("page_id") % 3 + 1).cast("int"))
@@ -177,7 +201,8 @@ def _parts(s, d):
 
 _M = """WITH meta AS (SELECT doc_id, 0 AS ord, 'lang' AS tag, lang AS value FROM documents UNION ALL SELECT doc_id, 1, 'source', source FROM documents
 UNION ALL SELECT doc_id, 2, 'n_chars', CAST(n_chars AS VARCHAR) FROM documents UNION ALL SELECT doc_id, 9, 'n_chars', CAST(n_chars AS VARCHAR) FROM documents WHERE doc_id % 2 = 0)"""
-_E = ", edits AS (SELECT doc_id, CASE doc_id % 7 WHEN 1 THEN 'delete' ELSE 'set' END AS op, CASE WHEN doc_id % 7 = 2 THEN 'note' ELSE 'lang' END AS tag, 'xx' AS value FROM documents WHERE doc_id % 7 < 3)"
+_E = """, edit AS (SELECT doc_id, CASE doc_id % 7 WHEN 1 THEN 'delete' WHEN 3 THEN 'add' ELSE 'set' END AS op, CASE WHEN doc_id % 7 = 2 THEN 'note' ELSE 'lang' END AS tag, 'xx' AS value FROM documents WHERE doc_id % 7 < 4),
+adds AS (SELECT doc_id, tag, value FROM edit WHERE op <> 'delete' UNION ALL SELECT doc_id, tag, 'yy' FROM edit WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, tag, 'zz' FROM edit WHERE doc_id % 4 = 0 AND op = 'add')"""
 _A = """WITH a AS (SELECT p_partkey AS key, 'p_brand' AS name, p_brand AS value FROM part UNION ALL SELECT p_partkey, 'p_type', p_type FROM part UNION ALL SELECT p_partkey, 'p_size', CAST(p_size AS VARCHAR) FROM part),
 b0 AS (SELECT key, name, CASE WHEN key % 5 = 0 THEN value || '*' ELSE value END AS value FROM a WHERE NOT (key % 7 = 0 AND name = 'p_type')),
 b AS (SELECT * FROM b0 UNION ALL SELECT DISTINCT key, 'added', '1' FROM b0)"""
@@ -191,14 +216,15 @@ def _ab(f):
 REGISTERED = {
     "meta_wide": (lambda s, d: meta_wide(_meta(s, d), TAGS), f"{_M} SELECT doc_id, " + ", ".join(f"string_agg(value, '; ' ORDER BY ord) FILTER (WHERE tag = '{t}') AS {t}" for t in TAGS) + " FROM meta GROUP BY doc_id"),
     "title_fallback": (lambda s, d: title_fallback(_titles(s, d), ["updated", "full", "db"]).select("page_id", "title"), "SELECT page_id, coalesce(" + ", ".join(f"nullif(trim({x}), '')" for x in ("regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)", "regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1)", "url")) + ") AS title FROM pages"),
-    "apply_meta_edits": (lambda s, d: apply_edits(_meta(s, d), _edits(s, d)), f"{_M}{_E} SELECT doc_id, tag, value FROM meta m WHERE NOT EXISTS (SELECT 1 FROM edits e WHERE e.doc_id = m.doc_id AND e.tag = m.tag) UNION ALL SELECT doc_id, tag, value FROM edits WHERE op <> 'delete'"),
+    "apply_meta_edits": (lambda s, d: apply_edits(_meta(s, d), _edits(s, d)), f"{_M}{_E} SELECT doc_id, tag, value FROM meta m WHERE NOT EXISTS (SELECT 1 FROM edit e WHERE e.doc_id = m.doc_id AND e.tag = m.tag AND op <> 'add') UNION ALL SELECT doc_id, tag, value FROM adds"),
     "multi_author_genre": (lambda s, d: multi_values(_meta(s, d).withColumnRenamed("doc_id", "key")), f"{_M} SELECT doc_id AS key, string_agg(value, '|' ORDER BY ord, value) AS names FROM meta GROUP BY doc_id"),
     "props_minus": (_ab(minus), f"{_A} SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.key = a.key AND b.name = a.name)"),
     "props_union": (_ab(union), f"{_A} SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE b.key = a.key AND b.name = a.name)"),
     "props_intersect": (_ab(intersect), f"{_A} SELECT * FROM a WHERE EXISTS (SELECT 1 FROM b WHERE b.key = a.key AND b.name = a.name)"),
     "props_changed": (_ab(changed), f"{_A} SELECT b.key, b.name, b.value FROM b LEFT JOIN a USING (key, name) WHERE a.value IS DISTINCT FROM b.value"),
     "set_defaults": (lambda s, d: set_defaults(_other(s, d), s.createDataFrame([("p_type", "none"), ("p_font", "serif")], "name string, value string")), f"{_A}, d AS (SELECT * FROM (VALUES ('p_type', 'none'), ('p_font', 'serif')) v(name, value)) SELECT * FROM b UNION ALL SELECT k.key, d.name, d.value FROM (SELECT DISTINCT key FROM b) k, d WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.key = k.key AND b.name = d.name)"),
-    "typed_props": (lambda s, d: typed(_other(s, d)), f"{_A} SELECT key, name, TRY_CAST(CASE WHEN regexp_full_match(value, '[+-]?[0-9]+') THEN value END AS INTEGER) AS number FROM b"),
+    "typed_props": (lambda s, d: typed(_values(s, d)), f"""{_A}, v AS (SELECT key, name, CASE WHEN name = 'p_brand' THEN '#' || format('{{:06x}}', key * 7919 % 16777216) WHEN name = 'p_type' THEN ['yes', 'FALSE', 'maybe'][key % 3 + 1] ELSE value END AS value FROM b)
+SELECT key, name, TRY_CAST(CASE WHEN regexp_full_match(value, '[+-]?[0-9]+') THEN value END AS INTEGER) AS number, CASE WHEN value[1] = '#' THEN key * 7919 % 16777216 END AS color, CASE WHEN value IN ('yes', '1') THEN true WHEN value IN ('FALSE', '0') THEN false END AS flag FROM v"""),
     "catalog_pages": (lambda s, d: catalog_pages(_catalog(s, d)), None),
     "missing_fonts": (lambda s, d: missing_fonts(_fonts(s, d), _fonts(s, d, "p_partkey % 3 = 0")), "WITH f AS (SELECT p_brand || ' ' || p_size AS font, p_partkey FROM part) SELECT DISTINCT font FROM f WHERE font NOT IN (SELECT font FROM f WHERE p_partkey % 3 = 0)"),
     "manifest_lookup": (lambda s, d: manifest_lookup(_catalog(s, d).select("archive", F.col("name").alias("href"), "entry_no"), _catalog(s, d).select("archive", F.col("name").alias("href")).distinct()), f"{_C} SELECT archive, name AS href, min(entry_no) AS entry_no FROM c GROUP BY archive, name"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,11 +13,73 @@ KEY = ["image_id", "x", "y"]
 
 
 def edge_map(px: DataFrame, step: int = 8) -> DataFrame:
-    """image_id, x, y, edge: whether the luma differs from the left neighbour's by more than step."""
+    """image_id, x, y, edge: whether the luma differs from the left neighbour's by more than step; never in the border of 1 %."""
     luma = F.expr("(r + g + b) div 3")
     rows = px.withColumn("luma", luma)
     left = F.lag("luma").over(Window.partitionBy("image_id", "y").orderBy("x"))
-    return rows.select(*KEY, F.coalesce(F.abs(F.col("luma") - left) > step, F.lit(False)).alias("edge"))
+    rows = rows.select(*KEY, F.coalesce(F.abs(F.col("luma") - left) > step, F.lit(False)).alias("edge")).join(sizes(px), "image_id")
+    border = (100 * F.col("x") <= F.col("w")) | (100 * F.col("x") >= 99 * F.col("w")) | (F.col("y") <= F.expr("h div 100")) | (100 * F.col("y") >= 99 * F.col("h"))
+    return rows.select(*KEY, (F.col("edge") & ~border).alias("edge"))
+
+
+def sizes(px: DataFrame) -> DataFrame:
+    """image_id, w, h."""
+    return px.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+
+
+def crop_bounds(px: DataFrame) -> DataFrame:
+    """image_id, l, t, r, b in pixels: where each margin ends.
+
+    Strips (5 columns or 10 rows) are taken from each edge inwards, up to 90 % of the image and
+    without the margins of 5 %; one is white with fewer edge pixels than 1 % of its area. The
+    bound lies a strip before the first dark one; nothing is cut where the first is dark. Left,
+    top, right, bottom each leave out what the ones before have cut; a box that is turned
+    round stands for the whole side."""
+    edges = edge_map(px)
+    out = sizes(px).withColumns({"mx": F.ceil(F.col("w") * 5 / 100), "my": F.ceil(F.col("h") * 5 / 100), "lx": F.ceil(F.col("w") * 9 / 10), "ly": F.ceil(F.col("h") * 9 / 10)})
+    x, y, w, h = (F.col(c) for c in "xywh")
+    #            bound, step, strip of a pixel, strips, from, to (of the other axis)
+    scans = (
+        ("l", 5, F.floor(x / 5), F.ceil(F.col("lx") / 5), y, F.col("my"), h - F.col("my")),
+        ("t", 10, F.floor(y / 10), F.ceil(F.col("ly") / 10), x, F.col("l"), w - F.col("mx")),
+        ("r", 5, F.floor((w - 1 - x) / 5), F.ceil(F.col("lx") / 5) - 1, y, F.col("t"), h - F.col("my")),
+        ("b", 10, F.floor((h - 1 - y) / 10), F.ceil(F.col("ly") / 10) - 1, x, F.col("l"), F.col("r")),
+    )
+    for name, step, strip, strips, across, lo, hi in scans:
+        least = F.floor((hi - lo) * step / 100)
+        rows = edges.join(out, "image_id").where((across >= lo) & (across < hi) & (strip < strips))
+        dark = rows.groupBy("image_id", strip.alias("k"), least.alias("least")).agg(F.count_if("edge").alias("n")).where("n >= least")
+        first = dark.groupBy("image_id").agg(F.min("k").alias("k"))
+        out = out.join(first, "image_id", "left")
+        cut = step * F.greatest(F.when(least < 1, 0).otherwise(F.coalesce("k", strips)) - 1, F.lit(0))
+        out = out.withColumn(name, {"r": w - cut, "b": h - cut}.get(name, cut)).drop("k")
+    whole_x, whole_y = F.col("l") >= F.col("r"), F.col("t") >= F.col("b")
+    return out.select("image_id", *[F.when(turned, full).otherwise(F.col(c)).alias(c) for c, turned, full in (("l", whole_x, F.lit(0)), ("t", whole_y, F.lit(0)), ("r", whole_x, w), ("b", whole_y, h))])
+
+
+def segment_histogram(px: DataFrame, k: int = 4) -> DataFrame:
+    """image_id, value, n, segment, center of each luma value: weighted means of k segments in one dimension.
+
+    The histogram has 256 bins at most for each image, so the rounds run on it in a task: even
+    seeds, the nearest centre in order, whole-number centres, 6 rounds or less than 5 of movement."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("value")
+        value, n = pdf["value"].to_numpy(), pdf["n"].to_numpy()
+        lo, span = int(value[0]), int(value[-1] - value[0])
+        centers = np.array([lo + (2 * i + 1) * span // (2 * k) for i in range(k)])
+        for _ in range(6):
+            # of equally near centres the lower one
+            segment = np.abs(value[:, None] - centers[None]).argmin(1)
+            weight, total = np.bincount(segment, n, k).astype(int), np.bincount(segment, n * value, k).astype(int)
+            moved = np.where(weight > 0, (total + weight // 2) // np.maximum(weight, 1), centers)
+            shift, centers = np.abs(moved - centers).sum(), moved
+            if shift < 5:
+                break
+        return pdf.assign(segment=segment, center=centers[segment])[["image_id", "value", "n", "segment", "center"]]
+
+    bins = px.groupBy("image_id", F.expr("(r + g + b) div 3").alias("value")).agg(F.count("*").alias("n"))
+    return bins.select("image_id", F.col("value").cast("int"), "n").groupBy("image_id").applyInPandas(run, "image_id int, value int, n long, segment int, center int")
 
 
 def _both(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -100,7 +164,10 @@ _P = with_("pixels").rstrip()
 _J = "FROM pixels a JOIN pixels_b b USING (image_id, x, y)"
 
 REGISTERED = {
-    "edge_map": (lambda s, d: edge_map(_a(s, d)), f"{_P} SELECT image_id, x, y, coalesce(abs((r + g + b) // 3 - lag((r + g + b) // 3) OVER (PARTITION BY image_id, y ORDER BY x)) > 8, false) AS edge FROM pixels"),
+    "edge_map": (lambda s, d: edge_map(_a(s, d)), f"""{_P}, e AS (SELECT image_id, x, y, coalesce(abs((r + g + b) // 3 - lag((r + g + b) // 3) OVER (PARTITION BY image_id, y ORDER BY x)) > 8, false) AS edge, max(x) OVER (PARTITION BY image_id) + 1 AS w, max(y) OVER (PARTITION BY image_id) + 1 AS h FROM pixels)
+SELECT image_id, x, y, edge AND NOT (100 * x <= w OR 100 * x >= 99 * w OR y <= h // 100 OR 100 * y >= 99 * h) AS edge FROM e"""),
+    "crop_bounds": (lambda s, d: crop_bounds(_a(s, d)), None),
+    "segment_histogram": (lambda s, d: segment_histogram(_a(s, d)), None),
     "image_psnr": (_ab(image_psnr), f"{_P} SELECT image_id, CASE WHEN sum((a.r - b.r) * (a.r - b.r)) = 0 THEN 99.0 ELSE round(10 * log10(CAST(255 * 255 AS DOUBLE) * count(*) * 3 / sum((a.r - b.r) * (a.r - b.r))), 6) END AS psnr {_J} GROUP BY image_id"),
     "image_ssim": (_ab(image_ssim), f"""{_P}, j AS (SELECT a.image_id, a.x, a.y, CAST(1 AS BIGINT) AS w, CAST(a.r AS BIGINT) AS p, CAST(b.r AS BIGINT) AS q {_J}),
 h AS (SELECT i - 4 AS o, v AS h FROM (SELECT unnest([1, 2, 3, 4, 3, 2, 1]) AS v, unnest(range(1, 8)) AS i)),

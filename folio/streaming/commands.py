@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,21 +17,29 @@ def _user():
 
 
 def merge_equal_runs(frames: DataFrame) -> DataFrame:
-    """user_id, run, content, n: consecutive frames of equal content as one."""
+    """user_id, run, content, n, duration: consecutive frames of equal content as one; durations (microseconds) add up."""
     change = F.coalesce((F.col("content") != F.lag("content").over(_user())).cast("int"), F.lit(1))
     rows = frames.withColumn("change", change).withColumn("run", F.sum("change").over(_user().rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("user_id", "run").agg(F.min("content").alias("content"), F.count("*").alias("n"))
+    return rows.groupBy("user_id", "run").agg(F.min("content").alias("content"), F.count("*").alias("n"), F.sum("duration").alias("duration"))
+
+
+def frames(events: DataFrame) -> DataFrame:
+    """user_id, ts, event_id, content, duration: a frame lasts until the user's next one, the last one no time."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = events.select("user_id", "ts", "event_id", F.col("event_type").alias("content"), at.alias("at"))
+    return rows.withColumn("duration", F.coalesce(F.lead("at").over(_user()) - F.col("at"), F.lit(0))).drop("at")
 
 
 def pair_requests(cmds: DataFrame, request: int = 48) -> DataFrame:
-    """user_id, event_id, answer: a request whose next command of the user is its response, request + 1."""
-    nxt = cmds.select("user_id", "event_id", "cmd", F.lead("cmd").over(_user()).alias("next"), F.lead("event_id").over(_user()).alias("answer"))
-    return nxt.where((F.col("cmd") == request) & (F.col("next") == request + 1)).select("user_id", "event_id", "answer")
+    """user_id, event_id, answer, latency (microseconds): a request whose next command of the user is its response, request + 1."""
+    at = F.unix_micros("ts")
+    nxt = cmds.select("user_id", "event_id", "cmd", F.lead("cmd").over(_user()).alias("next"), F.lead("event_id").over(_user()).alias("answer"), (F.lead(at).over(_user()) - at).alias("latency"))
+    return nxt.where((F.col("cmd") == request) & (F.col("next") == request + 1)).select("user_id", "event_id", "answer", "latency")
 
 
-def result_tally(cmds: DataFrame, width: str = "1 hour") -> DataFrame:
-    """start, cmd, result, n in tumbling windows; works on a stream with a watermark too."""
-    return cmds.groupBy(F.window("ts", width).alias("w"), "cmd", "result").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "cmd", "result", "n")
+def result_tally(cmds: DataFrame, width: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """start, cmd, result, n in windows that tumble, or slide by `slide`; works on a stream with a watermark too."""
+    return cmds.groupBy(F.window("ts", width, slide).alias("w"), "cmd", "result").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "cmd", "result", "n")
 
 
 def resettable_counter(cmds: DataFrame) -> DataFrame:
@@ -67,6 +78,39 @@ def stream_pairs(requests: DataFrame, responses: DataFrame, late: str = "10 minu
     return a.join(b, near).select("user_id", "request", "answer", (F.col("said").cast("double") - F.col("asked").cast("double")).alias("latency"))
 
 
+def stream_counter(cmds: DataFrame) -> DataFrame:
+    """resettable_counter on a stream: a user's count is the state. Commands of a batch are taken in order of time; late ones count when they come."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        (total,) = state.get if state.exists else (0,)
+        pdf, out = pd.concat(list(batches)).sort_values(["ts", "event_id"]), []
+        for event, flag in zip(pdf["event_id"], pdf["flag"], strict=True):
+            total += 1
+            out.append((key[0], event, total))
+            total = 0 if flag == 0 else total
+        state.update((total,))
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "total"])
+
+    return cmds.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, total long", "total long", "append", "NoTimeout")
+
+
+def stream_runs(frames: DataFrame) -> DataFrame:
+    """merge_equal_runs on a stream: the open run is the state, a run is given out when another content follows it."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        no, content, n, duration = state.get if state.exists else (0, None, 0, 0)
+        pdf, out = pd.concat(list(batches)).sort_values(["ts", "event_id"]), []
+        for what, took in zip(pdf["content"], pdf["duration"], strict=True):
+            if n and what != content:
+                out.append((key[0], no, content, n, duration))
+            no, n, duration = (no, n + 1, duration + took) if n and what == content else (no + 1, 1, took)
+            content = what
+        state.update((int(no), content, int(n), int(duration)))
+        yield pd.DataFrame(out, columns=["user_id", "run", "content", "n", "duration"]).astype({"user_id": "int64", "run": "int64", "n": "int64", "duration": "int64"})
+
+    return frames.groupBy("user_id").applyInPandasWithState(run, "user_id long, run long, content string, n long, duration long", "run long, content string, n long, duration long", "append", "NoTimeout")
+
+
 def dedup_stream(stream: DataFrame, ts: str, late: str = "1 day") -> DataFrame:
     """The first arrival of each text within the watermark."""
     return stream.withColumn("md5", F.md5("text")).withWatermark(ts, late).dropDuplicatesWithinWatermark(["md5"])
@@ -80,9 +124,10 @@ _W = "OVER (PARTITION BY user_id ORDER BY ts, event_id)"
 _C = with_("commands").rstrip()
 
 REGISTERED = {
-    "merge_equal_runs": (lambda s, d: merge_equal_runs(read_corpus(s, d, "events").withColumnRenamed("event_type", "content")), f"WITH a AS (SELECT *, CASE WHEN event_type = lag(event_type) {_W} THEN 0 ELSE 1 END AS c FROM events), b AS (SELECT *, CAST(sum(c) {_W[:-1]} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM a) SELECT user_id, run, min(event_type) AS content, count(*) AS n FROM b GROUP BY user_id, run"),
-    "pair_requests": (lambda s, d: pair_requests(_c(s, d)), f"{_C} SELECT user_id, event_id, answer FROM (SELECT *, lead(cmd) {_W} AS nxt, lead(event_id) {_W} AS answer FROM commands) WHERE cmd = 48 AND nxt = 49"),
+    "merge_equal_runs": (lambda s, d: merge_equal_runs(frames(read_corpus(s, d, "events"))), f"WITH a AS (SELECT *, coalesce(lead(epoch_us(ts)) {_W} - epoch_us(ts), 0) AS took, CASE WHEN event_type = lag(event_type) {_W} THEN 0 ELSE 1 END AS c FROM events), b AS (SELECT *, CAST(sum(c) {_W[:-1]} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM a) SELECT user_id, run, min(event_type) AS content, count(*) AS n, CAST(sum(took) AS BIGINT) AS duration FROM b GROUP BY user_id, run"),
+    "pair_requests": (lambda s, d: pair_requests(_c(s, d)), f"{_C} SELECT user_id, event_id, answer, latency FROM (SELECT *, lead(epoch_us(ts)) {_W} - epoch_us(ts) AS latency, lead(cmd) {_W} AS nxt, lead(event_id) {_W} AS answer FROM commands) WHERE cmd = 48 AND nxt = 49"),
     "result_tally": (lambda s, d: result_tally(_c(s, d)).withColumn("start", F.unix_timestamp("start")), f"{_C} SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, cmd, result, count(*) AS n FROM commands GROUP BY ALL"),
+    "result_tally_sliding": (lambda s, d: result_tally(_c(s, d), slide="30 minutes").withColumn("start", F.unix_timestamp("start")), f"{_C} SELECT CAST(floor(epoch(ts) / 1800) * 1800 - back AS BIGINT) AS start, cmd, result, count(*) AS n FROM commands, (VALUES (0), (1800)) v(back) GROUP BY ALL"),
     "resettable_counter": (lambda s, d: resettable_counter(_c(s, d)), f"{_C}, g AS (SELECT *, coalesce(sum(CASE WHEN flag = 0 THEN 1 ELSE 0 END) {_W[:-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM commands) SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, g ORDER BY ts, event_id) AS total FROM g"),
     "reading_sessions": (lambda s, d: reading_sessions(_c(s, d)).withColumn("start", F.unix_timestamp("start")), f"{_C}, a AS (SELECT *, CASE WHEN ts < lag(ts) {_W} + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS c FROM commands), b AS (SELECT *, sum(c) {_W[:-1]} ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n FROM b GROUP BY user_id, s"),
 }

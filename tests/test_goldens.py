@@ -6,7 +6,7 @@ from functools import cmp_to_key
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
-from folio.operators import meta, outline, paging, search, styles
+from folio.operators import lang, layout, meta, outline, paging, raster, search, styles
 from folio.streaming import commands
 
 
@@ -138,3 +138,99 @@ def test_stream_search_and_pairs_equal_batch(spark, tmp_path):
     cmds = spark.createDataFrame(events, "event_id long, user_id long, cmd int, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     pairs = lambda d: commands.stream_pairs(d.where("cmd = 48"), d.where("cmd = 49"))
     assert _streamed(spark, tmp_path, cmds, pairs, "pairs") == sorted(map(tuple, pairs(cmds).collect())) == [(7, 1, 2, 9.0)]
+
+
+def test_crop_bounds_of_drawn_pages(spark):
+    def page(no, w, h, ink):
+        return [(no, x, y, *([0] * 3 if ink(x, y) else [255] * 3)) for y in range(h) for x in range(w)]
+
+    box = lambda x, y: 20 <= x < 44 and 20 <= y < 35 and (x + y) % 2 == 0
+    rows = page(1, 64, 50, box) + page(2, 64, 50, lambda x, y: False) + page(3, 200, 200, lambda x, y: 60 <= x < 150 and 50 <= y < 120 and x % 2 == 0)
+    rows += page(4, 200, 200, lambda x, y: x % 2 == 0)
+    px = spark.createDataFrame(rows, "image_id int, x int, y int, r int, g int, b int")
+    got = {r["image_id"]: (r["l"], r["t"], r["r"], r["b"]) for r in raster.crop_bounds(px).collect()}
+    assert got == {i: scanned([r for r in rows if r[0] == i]) for i in (1, 2, 3, 4)}
+    assert got[3] == (55, 40, 155, 130) and got[4] == (0, 0, 200, 200)
+
+
+def scanned(rows):
+    """The four margins of one image in plain Python, strip by strip."""
+    lum = {(x, y): (r + g + b) // 3 for _, x, y, r, g, b in rows}
+    w, h = max(x for x, _ in lum) + 1, max(y for _, y in lum) + 1
+    inner = lambda x, y: w < 100 * x < 99 * w and h // 100 < y and 100 * y < 99 * h
+    edge = {(x, y) for x, y in lum if inner(x, y) and abs(lum[x, y] - lum[x - 1, y]) > 8}
+    up = lambda a, b: -(-a // b)
+    mx, my, lx, ly = up(w * 5, 100), up(h * 5, 100), up(w * 9, 10), up(h * 9, 10)
+
+    def scan(strips, step):
+        whites = 0
+        for k, (xs, ys) in enumerate(strips):
+            if sum((x, y) in edge for x in xs for y in ys) < len(xs) * len(ys) // 100:
+                whites += 1
+            else:
+                return step * max(k - 1, 0)
+        return step * max(whites - 1, 0)
+
+    left = scan([(range(x, x + 5), range(my, h - my)) for x in range(0, lx, 5)], 5)
+    top = scan([(range(left, w - mx), range(y, y + 10)) for y in range(0, ly, 10)], 10)
+    right = w - scan([(range(x, x + 5), range(top, h - my)) for x in range(w - 5, w - lx, -5)], 5)
+    bottom = h - scan([(range(left, right), range(y, y + 10)) for y in range(h - 10, h - ly, -10)], 10)
+    return *((left, top, right, bottom) if left < right else (0, top, w, bottom)),
+
+
+def test_segments_of_values(spark):
+    px = [(1, x, 0, 7, 7, 7) for x in range(5)] + [(2, x, 0, v, v, v) for x, v in enumerate([10] * 30 + [12] * 10 + [200] * 20)]
+    out = raster.segment_histogram(spark.createDataFrame(px, "image_id int, x int, y int, r int, g int, b int"), 2)
+    assert sorted((r["image_id"], r["value"], r["n"], r["segment"], r["center"]) for r in out.collect()) == [(1, 7, 5, 0, 7), (2, 10, 30, 0, 11), (2, 12, 10, 0, 11), (2, 200, 20, 1, 200)]
+
+
+def test_images_that_meet(spark):
+    rows = [(1, 0, 0, 0, 10, 10), (1, 0, 8, 8, 20, 20), (1, 0, 18, 0, 30, 9), (1, 0, 40, 40, 50, 50), (1, 1, 0, 0, 5, 5), (1, 1, 0, 0, 5, 5)]
+    out = layout.merge_overlapping_images(spark.createDataFrame(rows, "doc_id long, page_no int, x0 int, y0 int, x1 int, y1 int"))
+    assert sorted((r["page_no"], r["x0"], r["y0"], r["x1"], r["y1"], r["n"]) for r in out.collect()) == [(0, 0, 0, 30, 20, 3), (0, 40, 40, 50, 50, 1), (1, 0, 0, 5, 5, 2)]
+
+
+def test_nested_page(spark):
+    rows = [(1, 0, 0, 1, "b"), (1, 0, 0, 0, "a"), (1, 0, 1, 2, "c"), (1, 1, 0, 0, "d")]
+    out = layout.nested_page(spark.createDataFrame(rows, "doc_id long, page_no int, block int, line int, text string"))
+    assert {r["page_no"]: r["blocks"] for r in out.collect()} == {0: [["a", "b"], ["c"]], 1: [["d"]]}
+
+
+def test_reading_order(spark):
+    he, sign = "אבג", "िकत"
+    row = spark.range(1).select(*[T.rtl_runs(F.lit(t)) for t in (f"ab {he}, 12 c", he, "abc", "")], T.reorder_indic(F.lit(sign))).first()
+    assert tuple(row) == ("ab  21 ," + he[::-1] + "c", he[::-1], "abc", "", "कित")
+
+
+def test_breaks_without_patterns(spark):
+    words = spark.createDataFrame([("basket",), ("father",), ("radio",), ("bcd",), ("письмо",)], "word string")
+    assert sorted(map(tuple, lang.hyphenate_rules(words).collect())) == [("basket", 3), ("radio", 2), ("письмо", 4)]
+
+
+def test_edits_in_order(spark):
+    meta_ = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, "a", "x")], "doc_id long, tag string, value string")
+    edits = [(1, 1, "add", "y"), (1, 2, "add", "z"), (2, 1, "add", "y"), (2, 2, "set", "s"), (2, 3, "add", "t"), (3, 1, "set", "s"), (3, 2, "delete", "")]
+    out = meta.apply_edits(meta_, spark.createDataFrame([(d, "a", n, op, v) for d, n, op, v in edits], "doc_id long, tag string, seq int, op string, value string"))
+    assert sorted((r["doc_id"], r["value"]) for r in out.collect()) == [(1, "x"), (1, "y"), (1, "z"), (2, "s"), (2, "t")]
+
+
+def test_typed_values(spark):
+    rows = spark.createDataFrame([("1", "a", "1"), ("2", "a", "#00ff10"), ("3", "a", "0xA"), ("4", "a", "NO"), ("5", "a", "#x")], "key string, name string, value string")
+    got = [tuple(r)[2:] for r in meta.typed(rows).orderBy("key").collect()]
+    assert got == [(1, None, True), (None, 0xFF10, None), (None, 10, None), (None, None, False), (None, None, None)]
+    assert meta.with_defaults(rows.where("key = '5'"), 4, 5, True).select("number", "color", "flag").first() == (4, 5, True)
+
+
+def test_stateful_streams_equal_batch(spark, tmp_path):
+    rows = [(i, f"2024-01-01 00:{i % 60:02d}:{i // 60:02d}", i % 3, "ab"[i * i % 7 % 2], i * 5 % 4, 1) for i in range(90)]
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, content string, flag long, duration long").withColumn("ts", F.to_timestamp("ts"))
+    for part, cut in enumerate(("ts < '2024-01-01 00:20:00'", "ts >= '2024-01-01 00:20:00'")):
+        df.where(cut).coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    for name, f in (("count", commands.stream_counter), ("runs", commands.stream_runs)):
+        q = f(stream).writeStream.format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/at-{name}").start()
+        q.awaitTermination()
+    assert sorted(map(tuple, spark.table("count").collect())) == sorted(map(tuple, commands.resettable_counter(df).collect()))
+    batch = commands.merge_equal_runs(df)
+    closed = batch.join(batch.groupBy("user_id").agg(F.max("run").alias("last")), "user_id").where("run < last").select("user_id", "run", "content", "n", "duration")
+    assert sorted(map(tuple, spark.table("runs").collect())) == sorted(map(tuple, closed.collect()))
