@@ -35,7 +35,7 @@ def crop_bounds(px: DataFrame) -> DataFrame:
     bound lies a strip before the first dark one; nothing is cut where the first is dark. Left,
     top, right, bottom each leave out what the ones before have cut; a box that is turned
     round stands for the whole side."""
-    edges = edge_map(px)
+    edges = edge_map(px).where("edge")
     out = sizes(px).withColumns({"mx": F.ceil(F.col("w") * 5 / 100), "my": F.ceil(F.col("h") * 5 / 100), "lx": F.ceil(F.col("w") * 9 / 10), "ly": F.ceil(F.col("h") * 9 / 10)})
     x, y, w, h = (F.col(c) for c in "xywh")
     #            bound, step, strip of a pixel, strips, from, to (of the other axis)
@@ -48,15 +48,22 @@ def crop_bounds(px: DataFrame) -> DataFrame:
     for name, step, strip, strips, across, lo, hi in scans:
         least = F.floor((hi - lo) * step / 100)
         rows = edges.join(out, "image_id").where((across >= lo) & (across < hi) & (strip < strips))
-        dark = rows.groupBy("image_id", strip.alias("k"), least.alias("least")).agg(F.count_if("edge").alias("n")).where("n >= least")
+        dark = rows.groupBy("image_id", strip.alias("k"), least.alias("least")).agg(F.count("*").alias("n")).where("n >= least")
         first = dark.groupBy("image_id").agg(F.min("k").alias("k"))
         out = out.join(first, "image_id", "left")
         cut = step * F.greatest(F.when(least < 1, 0).otherwise(F.coalesce("k", strips)) - 1, F.lit(0))
         out = out.withColumn(name, {"r": w - cut, "b": h - cut}.get(name, cut)).drop("k")
+        # a row for each image; each bound reads the ones before twice, so they are settled
+        out = _settled(out)
     whole_x, whole_y = F.col("l") >= F.col("r"), F.col("t") >= F.col("b")
     return out.select("image_id", *[F.when(turned, full).otherwise(F.col(c)).alias(c) for c, turned, full in (("l", whole_x, F.lit(0)), ("t", whole_y, F.lit(0)), ("r", whole_x, w), ("b", whole_y, h))])
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """df as a checkpoint where the session names a folder for them, else as it is."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 def segment_histogram(px: DataFrame, k: int = 4) -> DataFrame:
     """image_id, value, n, segment, center of each luma value: weighted means of k segments in one dimension.
 
