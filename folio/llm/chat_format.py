@@ -34,8 +34,17 @@ def text_part(text: Column) -> Column:
 
 
 def _flatten(parts: Column) -> Column:
-    """The visitor: text is escaped; an image, audio or document part becomes its placeholder."""
-    return F.array_join(F.transform(parts, lambda p: F.when(p["kind"].isin(*KINDS), F.concat(F.lit("<|"), p["kind"], F.lit("|>"))).otherwise(F.coalesce(escape(p["text"]), F.lit("")))), "")
+    """The visitor: an image, audio or document part becomes its placeholder; texts that follow each
+    other are joined first and escaped as one, so that no control string arises where two meet."""
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("open"))
+    mark = lambda p: F.concat(F.lit("<|"), p["kind"], F.lit("|>"))
+
+    def visit(a: Column, p: Column) -> Column:
+        closed = F.struct(F.concat(a["done"], escape(a["open"]), mark(p)).alias("done"), F.lit("").alias("open"))
+        more = F.struct(a["done"].alias("done"), F.concat(a["open"], F.coalesce(p["text"], F.lit(""))).alias("open"))
+        return F.when(p["kind"].isin(*KINDS), closed).otherwise(more)
+
+    return F.aggregate(parts, start, visit, lambda a: F.concat(a["done"], escape(a["open"])))
 
 
 def format_chat(turns: DataFrame, parts: str | None = None, train_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -47,7 +56,7 @@ def format_chat(turns: DataFrame, parts: str | None = None, train_roles: tuple[s
     tokens), and `expanded_tokens` adds their tokens, to which a placeholder expands (null: 0), to
     the words of the texts. Any other kind, null too, counts as text.
     `loss_spans` are (start, length) in code points of `formatted`, one for each turn whose
-    role is in train_roles.
+    role is in train_roles. Neighbouring texts are one text to the escape and to `parse_chat`.
 
     A null text, role or part list counts as empty; a null conv_id is a conversation of its
     own; turns with the same number, repeated rows too, follow in the order of role and body;
@@ -55,9 +64,9 @@ def format_chat(turns: DataFrame, parts: str | None = None, train_roles: tuple[s
     Texts of any length are escaped whole. One shuffle, by conversation; a conversation is
     one cell of the result by nature.
     """
-    content = F.col(parts) if parts else text_part(F.col("text"))
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce(content, F.array()).alias("parts") if parts else content.alias("parts"))
-    rows = rows.withColumns({"head": F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT)), "body": _flatten(F.col("parts")), "att": F.filter("parts", lambda p: p["kind"].isin(*KINDS))})
+    content = F.coalesce(F.col(parts), F.array()) if parts else text_part(F.col("text"))
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), content.alias("parts"), *([] if parts else ["text"]))
+    rows = rows.withColumns({"head": F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT)), "body": _flatten(F.col("parts")) if parts else escape(F.coalesce("text", F.lit(""))), "att": F.filter("parts", lambda p: p["kind"].isin(*KINDS))})
     rows = rows.withColumn("piece", F.concat("head", "body", F.lit(END)))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "body")
     rows = rows.withColumns({"no": F.row_number().over(order), "until": F.sum(F.length("piece")).over(order.rowsBetween(Window.unboundedPreceding, 0))})

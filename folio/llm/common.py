@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,11 +20,11 @@ SPAN = 1_024
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir. Where that is unset: the warehouse, or in local mode a temporary folder."""
+    """The folder the cluster names in spark.checkpoint.dir. Where that is unset: a temporary folder in local mode, an error on a cluster."""
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base
-    if not spark.sparkContext.master.startswith("local"):
-        return f"{spark.conf.get('spark.sql.warehouse.dir')}/_folio"
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="folio-"))
     return _own[0]

@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,24 +27,26 @@ PIVOTS, PIVOT_ROUNDS = 4, 2
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, t1, t2 (of the text), n (shingles), s1, s2 (of the set), registers, bands of each row."""
+    """doc_id, t1, t2 (of the text), n (shingles), s1, s2 (of the set), registers, bands of each row.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Ids stay Arrow columns, so that large ones beside nulls come through whole. A task holds one
+    Arrow batch (64 MB by Spark's default) and the sets of a million characters or of one text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
-        for pdf in batches:
-            for part in blocks(pdf["text"].map(lambda t: len(t or "")).tolist(), 1_000_000):
-                p = pdf.iloc[part]
-                sets = [shingler.set_of(t) for t in p["text"]]
+        for batch in batches:
+            for part in blocks(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist(), 1_000_000):
+                p = batch.slice(part.start, part.stop - part.start)
+                sets = [shingler.set_of(t) for t in p.column("text").to_pylist()]
                 regs = sketch(sets)
-                yield pd.DataFrame({
-                    "doc_id": p["doc_id"].to_numpy(), "t1": p["t1"].to_numpy(), "t2": p["t2"].to_numpy(), "n": [len(s) for s in sets],
-                    "s1": np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64),
-                    "s2": np.array([mix64(s + np.uint64(1)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64),
-                    "registers": [r.tobytes() for r in regs], "bands": list(band_keys(regs, ROWS)),
-                }).astype({"doc_id": "Int64"})
+                s1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+                s2 = np.array([mix64(s + np.uint64(1)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+                own = [pa.array([len(s) for s in sets], pa.int64()), pa.array(s1), pa.array(s2), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array(list(band_keys(regs, ROWS)), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([p.column(c) for c in ("doc_id", "t1", "t2")] + own, names=["doc_id", "t1", "t2", "n", "s1", "s2", "registers", "bands"])
 
     t1, t2 = fingerprint(F.coalesce("text", F.lit("")))
-    return docs.select("doc_id", "text", t1.alias("t1"), t2.alias("t2")).mapInPandas(run, "doc_id long, t1 long, t2 long, n long, s1 long, s2 long, registers binary, bands array<long>")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", t1.alias("t1"), t2.alias("t2"))
+    return docs.mapInArrow(run, "doc_id long, t1 long, t2 long, n long, s1 long, s2 long, registers binary, bands array<long>")
 
 
 def _maybe(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -91,23 +95,24 @@ def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs with den * |intersection| >= num * |union|, on the full shingle sets. Texts
-    travel, not sets, as they are smaller; the set of the last `a` is kept for its next pair."""
+    travel, not sets, as they are smaller, and stay in their Arrow batch; a task holds two sets,
+    and that of the last `a` is kept for its next pair."""
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, last, a = Shingler(k), None, None
-        for pdf in batches:
+        for batch in batches:
             keep = []
-            for node, x, y in zip(pdf["a"], pdf["sa"], pdf["sb"], strict=True):
+            for node, x, y in zip(batch.column("a").to_pylist(), batch.column("sa"), batch.column("sb"), strict=True):
                 if node != last:
-                    last, a = node, shingler.set_of(x)
-                keep.append(_linked(a, shingler.set_of(y), num, den))
-            yield pdf.loc[keep, ["a", "b"]]
+                    last, a = node, shingler.set_of(x.as_py())
+                keep.append(_linked(a, shingler.set_of(y.as_py()), num, den))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     held = texts.join(written(used, "near-used"), "node", "left_semi")
     for s in "ba":
         pairs = pairs.join(held.select(F.col("node").alias(s), F.col("text").alias(f"s{s}")), s)
-    return pairs.mapInPandas(compare, "a long, b long")
+    return pairs.mapInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -138,21 +143,42 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
+def _likely_in_tile(lo: pd.DataFrame, hi: pd.DataFrame, least: float) -> Iterator[tuple[int, int]]:
+    """Places (in lo, in hi) of the members whose labels differ and whose registers don't rule out a similarity of `least`."""
+    x, y = (np.frombuffer(b"".join(d["registers"]), np.uint16).reshape(-1, M) for d in (lo, hi))
+    ll, hl = lo["label"].to_numpy(), hi["label"].to_numpy()
+    band = int(np.flatnonzero(band_keys(x[:1], ROWS)[0] == lo["key"].iat[0])[0]) if len(x) else 0
+    for at in range(0, len(x), 64):
+        near = (x[at : at + 64, None, :] == y[None]).sum(2) >= 0.55 * M
+        r, c = np.nonzero(near & (ll[at : at + 64, None] != hl[None]))
+        # a pair that agrees in an earlier band too is left to the bucket of that band
+        before = (x[at + r, : band * ROWS] == y[c, : band * ROWS]).reshape(len(r), band, ROWS).all(2).any(1)
+        r, c = r[~before], c[~before]
+        ok = likely(x[at + r], y[c], lo["n"].to_numpy(float)[at + r], hi["n"].to_numpy(float)[c], least)
+        yield from zip((at + r[ok]).tolist(), c[ok].tolist(), strict=True)
+
+
 def _tiles(rows: DataFrame, classes: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links across components in buckets of any size: each bucket is dealt into blocks of about
-    TILE members (fewer, if their texts are long), and each pair of blocks is one group, so a task holds two blocks. All pairs
-    of a tile whose labels differ are looked at by registers, the likely ones by their sets;
-    what a tile has already joined is skipped, so it returns fewer links than it has labels."""
+    TILE members (fewer, if their texts are long), and each pair of blocks is one group, so a task holds two blocks.
+    Registers go through all tiles first, and say which members may have a partner in which tile;
+    only the texts of those are sent to it, where the likely pairs are verified by their sets.
+    What a tile has already joined is skipped, so it returns fewer links than it has labels."""
     rows = rows.join(classes.select("node", "n", "registers"), "node")
     held = rows.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)).cast("int").alias("blocks"))
-    rows = rows.join(held, "key").join(texts, "node")
+    rows = rows.join(held, "key")
     rows = rows.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    rows = rows.withColumns({"p": F.least("i", "j"), "q": F.greatest("i", "j")})
+    rows = written(rows.withColumns({"p": F.least("i", "j"), "q": F.greatest("i", "j")}).drop("blocks", "j"), "near-tiles")
+
+    def sift(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = pdf[pdf["i"] == pdf["p"]], pdf[pdf["i"] == pdf["q"]]
+        pairs = list(_likely_in_tile(lo, hi, num / den))
+        found = {lo["node"].iat[r] for r, _ in pairs} | {hi["node"].iat[c] for _, c in pairs}
+        return pdf.loc[pdf["node"].isin(found), ["key", "p", "q", "node"]]
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = pdf[pdf["i"] == pdf["p"]], pdf[pdf["i"] == pdf["q"]]
-        x, y = (np.frombuffer(b"".join(d["registers"]), np.uint16).reshape(-1, M) for d in (lo, hi))
         shingler, sets, up, out = Shingler(k), {}, {}, []
         text = dict(zip(pdf["node"], pdf["text"], strict=True))
 
@@ -167,21 +193,15 @@ def _tiles(rows: DataFrame, classes: DataFrame, texts: DataFrame, k: int, num: i
             return label
 
         ll, hl = lo["label"].to_numpy(), hi["label"].to_numpy()
-        band = int(np.flatnonzero(band_keys(x[:1], ROWS)[0] == pdf["key"].iat[0])[0]) if len(x) else 0
-        for at in range(0, len(x), 64):
-            near = (x[at : at + 64, None, :] == y[None]).sum(2) >= 0.55 * M
-            r, c = np.nonzero(near & (ll[at : at + 64, None] != hl[None]))
-            # a pair that agrees in an earlier band too is left to the bucket of that band
-            before = (x[at + r, : band * ROWS] == y[c, : band * ROWS]).reshape(len(r), band, ROWS).all(2).any(1)
-            r, c = r[~before], c[~before]
-            ok = likely(x[at + r], y[c], lo["n"].to_numpy(float)[at + r], hi["n"].to_numpy(float)[c], num / den)
-            for r_, c_ in zip(at + r[ok], c[ok], strict=True):
-                if (s := top(ll[r_])) != (t := top(hl[c_])) and _linked(of(a := lo["node"].iat[r_]), of(b := hi["node"].iat[c_]), num, den):
-                    up[s] = t
-                    out.append((a, b))
+        for r, c in _likely_in_tile(lo, hi, num / den):
+            if (s := top(ll[r])) != (t := top(hl[c])) and _linked(of(a := lo["node"].iat[r]), of(b := hi["node"].iat[c]), num, den):
+                up[s] = t
+                out.append((a, b))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("key", "p", "q").applyInPandas(tile, "a long, b long")
+    at = ["key", "p", "q"]
+    some = written(rows.groupBy(*at).applyInPandas(sift, "key long, p int, q int, node long"), "near-sifted")
+    return rows.join(some, [*at, "node"]).join(texts, "node").groupBy(*at).applyInPandas(tile, "a long, b long")
 
 
 def _against_pivots(active: DataFrame) -> DataFrame:
@@ -203,7 +223,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     component_id is the least doc_id reachable; kept says that it is the row's own. Repeated
     rows share one component; of rows with the same least id all are kept; a null id is
     never the least unless the component has no other, and then it is kept only if it stands
-    for itself (no words). An empty table gives no rows. Other columns aren't read. component
+    for itself (no words). Ids of any size come through whole. An empty table gives no rows. Other columns aren't read. component
     numbers the components whatever their ids (null without words), so that those of null ids
     or of repeated ids can be told apart.
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,17 +62,20 @@ class Bins:
 
 
 def _pack(capacity: int, per_source: int):
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "k1", "k2", "piece", "turn"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
+    def pack(rows: pa.Table) -> pa.Table:
+        # ids stay Arrow columns: as pandas' nullable longs, large ones would be rounded
+        rows = rows.take(pc.sort_indices(rows, [("size", "descending"), *[(c, "ascending") for c in ("k1", "k2", "piece", "turn")]]))
         bins, held = Bins(capacity, per_source), defaultdict(int)
-        put = [bins.put(n, s, c) for n, s, c in zip(pdf["size"], pdf["source"].fillna("\0"), zip(pdf["c1"], pdf["c2"], strict=True), strict=True)]
-        at = [b for b, _ in put]
+        size, source, c1, c2 = (rows.column(c).to_pylist() for c in ("size", "source", "c1", "c2"))
+        put = [bins.put(n, s, c) for n, s, c in zip(size, source, zip(c1, c2, strict=True), strict=True)]
         position = []
-        for b in at:
+        for b, _ in put:
             position.append(held[b])
             held[b] += 1
-        used = [capacity - bins.residual[b] for b in at]
-        return pdf.assign(bin=at, start=[s for _, s in put], position=position, bin_used=used)[[f.split()[0] for f in OUT.split(", ")]]
+        made = {"bin": [b for b, _ in put], "start": [s for _, s in put], "position": position, "bin_used": [capacity - bins.residual[b] for b, _ in put]}
+        kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+        out = [(name, kinds[kind]) for name, kind in (f.split() for f in OUT.split(", "))]
+        return pa.table({name: pa.array(made[name], kind) if name in made else rows.column(name).cast(kind) for name, kind in out})
 
     return pack
 
@@ -86,12 +90,12 @@ def pack(docs: DataFrame, capacity: int = 4096, per_source: int = 8, shard_rows:
     of about `shard_rows`, whatever their source or cluster, and packed there by decreasing
     size; (shard, bin) names a bin. The bins hang on the rows alone, not on their order, files
     or partitions. Every piece is placed: repeated rows and ties are pieces of their own, null
-    ids too; an empty table gives an empty one. Other columns aren't read.
+    ids too, and ids of any size come through whole; an empty table gives an empty one. Other columns aren't read.
     """
     clean = F.btrim(F.regexp_replace(lower_ascii(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+", " "))
     c1, c2 = fingerprint(clean)
     k1, k2 = fingerprint(F.col("doc_id"), F.col("source"), F.col("text"))
-    rows = docs.select("doc_id", "source", (count_words(F.col("text")) + 1).alias("tokens"), c1.alias("c1"), c2.alias("c2"), k1.alias("k1"), k2.alias("k2"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), (count_words(F.col("text")) + 1).alias("tokens"), c1.alias("c1"), c2.alias("c2"), k1.alias("k1"), k2.alias("k2"))
     # equal rows are numbered by counting them, in chunks so that no task makes all of a large group
     rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("same"))
     chunk = F.explode(F.expr(f"sequence(0, cast((same - 1) div {CHUNK} AS int))"))
@@ -102,7 +106,7 @@ def pack(docs: DataFrame, capacity: int = 4096, per_source: int = 8, shard_rows:
     rows = written(rows.drop("tokens", "same", "chunk"), "pack-pieces")
     shards = slots_for(rows.count(), shard_rows, 1)
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("k1", "k2", "piece", "turn"), F.lit(shards)).cast("int"))
-    return rows.groupBy("shard").applyInPandas(_pack(capacity, per_source), OUT)
+    return rows.groupBy("shard").applyInArrow(_pack(capacity, per_source), OUT)
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:
