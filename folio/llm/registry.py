@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.llm import ann, chat_format, langid, line_dedup, media, mixing, near_dup, packing, quality, sharding
+from folio.llm import ann, chat_format, fim, importance, langid, line_dedup, media, mixing, near_dup, packing, quality, sharding, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_packing": packing.op8_packing,
         "op9_mixing": mixing.op9_mixing,
         "op10_sharding": sharding.op10_sharding,
+        "op11_warc": warc.op11_warc,
+        "op12_fill_in_middle": fim.op12_fill_in_middle,
+        "op13_importance": importance.op13_importance,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op3_near_dup": near_dup.SQL, "op7_chat_formatting": chat_format.SQL, "op9_mixing": mixing.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op3_near_dup": near_dup.SQL, "op7_chat_formatting": chat_format.SQL, "op9_mixing": mixing.SQL, "op11_warc": warc.SQL, "op12_fill_in_middle": fim.SQL, "op13_importance": importance.SQL}
