@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +76,92 @@ def paginate_heights(rows: DataFrame, page_height: int) -> DataFrame:
     return held.select("doc_id", F.posexplode(pages).alias("page_no", "p")).select("doc_id", "page_no", "p.start", "p.end")
 
 
+#: Kinds of events of a document's fold.
+LINE, NOTE, NOTE_END = 0, 1, 2
+#: Fixed value: what separates the notes of a page from its lines.
+MARGIN = 12
+WITH_NOTES = "doc_id long, page_no int, start long, height long, frag_no int, note_id long, note_start long, note_height long"
+
+
+def fold_with_notes(events: Iterable[tuple], page_height: int, margin: int = MARGIN) -> Iterator[tuple]:
+    """(page_no, start, height, fragments) of a document's events (kind, note_id, start, end, before, after) in order: see `paginate_with_notes`."""
+    page, first, begun, last, before_last, after = 0, None, None, None, None, 0  # of the open page: first line's start; last line's start and end; the end before it
+    foot, behind, held, top, bottom = 0, 0, [], None, None  # height of its notes, end of the page before, its fragments; the open fragment
+
+    def closed(end: int | None) -> tuple:
+        nonlocal page, foot, behind, held
+        out = (page, behind if first is None else first, 0 if first is None else end - first, held)
+        page, foot, behind, held = page + 1, 0, out[1] + out[2], []
+        return out
+
+    def flush(note: int) -> None:
+        nonlocal foot, top, bottom
+        if top is not None and 0 < bottom - top < page_height:
+            held.append((note, top, bottom - top))
+            foot += bottom - top
+        top = bottom = None
+
+    for kind, note, start, end, split_before, split_after in events:
+        notes = margin + foot if foot else 0
+        if kind == LINE:
+            if first is not None and start < last:
+                continue
+            forced = split_before == 2 or after == 2 and split_before != 1
+            if first is not None and (forced or end - first + notes > page_height):
+                yield closed(last)
+                first = None
+            before_last = None if first is None else last
+            first, begun, last, after = start if first is None else first, start, end, split_after
+        elif kind == NOTE:
+            more = end - (start if top is None else top) + (0 if foot else margin)
+            if (0 if first is None else last - first) + notes + more > page_height:
+                if top is not None:
+                    flush(note)
+                    if first is not None or held:
+                        yield closed(last)
+                    first = last = before_last = None
+                elif before_last is not None:
+                    yield closed(before_last)
+                    first, before_last = begun, None
+                elif held:
+                    yield closed(last)
+                    first = last = None
+                top = start
+            top, bottom = start if top is None else top, end
+        else:
+            flush(note)
+    if first is not None or held:
+        yield closed(last)
+
+
+def paginate_with_notes(rows: DataFrame, refs: DataFrame, notes: DataFrame, page_height: int, margin: int = MARGIN) -> DataFrame:
+    """WITH_NOTES: pages of rows(doc_id, line_no, start, end, before, after) that hold the notes of their lines too.
+
+    refs(doc_id, line_no, ord, note_id) are the references of lines, notes(doc_id, note_id, k, start, end) the
+    lines of notes. Only a note's first reference in a document takes space. Lines fill a page as
+    `paginate_heights` has it; a page's notes stand below a margin. A note whose first line has no room takes
+    its line along to the next page, unless that is the page's first; one that has begun goes on, as
+    another fragment, on a next page. Each page is a row for each of its fragments, or one with nulls. A
+    fragment as high as a page isn't shown. What is left behind the last line gets a page of its own.
+
+    One fold over the lines and notes of a document, in linear time and with the state of one page."""
+    once = refs.groupBy("doc_id", "note_id").agg(F.min(F.struct("line_no", "ord")).alias("x")).select("doc_id", "note_id", "x.*")
+    held = once.join(notes, ["doc_id", "note_id"]).select("doc_id", "line_no", "ord", F.lit(NOTE).alias("kind"), "k", "note_id", "start", "end")
+    ends = held.groupBy("doc_id", "line_no", "ord", "note_id").agg(F.max("k").alias("k")).withColumns({"kind": F.lit(NOTE_END), "start": F.lit(None).cast("long"), "end": F.lit(None).cast("long")})
+    own = rows.select("doc_id", "line_no", F.lit(-1).alias("ord"), F.lit(LINE).alias("kind"), F.lit(0).alias("k"), F.lit(None).cast("long").alias("note_id"), "start", "end", "before", "after")
+    events = own.unionByName(held.unionByName(ends), allowMissingColumns=True)
+
+    def fold(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(c, "ascending") for c in ("line_no", "ord", "kind", "k")])
+        found = fold_with_notes(zip(*(t.column(c).to_pylist() for c in ("kind", "note_id", "start", "end", "before", "after")), strict=True), page_height, margin)
+        flat = [(doc, no, start, height, i if fragments else None, *f) for doc in (t.column("doc_id")[0].as_py(),) for no, start, height, fragments in found for i, f in enumerate(fragments or [(None, None, None)])]
+        kinds = [pa.int32() if f.endswith(" int") else pa.int64() for f in WITH_NOTES.split(", ")]
+        columns = zip(*flat, strict=True) if flat else [()] * len(kinds)
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in WITH_NOTES.split(", ")])
+
+    return events.groupBy("doc_id").applyInArrow(fold, WITH_NOTES)
+
+
 def page_start(ranges: DataFrame) -> DataFrame:
     return ranges.groupBy("doc_id", "page_no").agg(F.min("start").alias("start"))
 
@@ -102,6 +191,16 @@ def text_between(docs: DataFrame, ranges: DataFrame, pages: DataFrame) -> DataFr
     return j.select("doc_id", "page_no", F.substr("text", (lo - F.col("start") + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
 
 
+def _noted(s, d):
+    """Lines of height 10; every seventh refers to the note of its length's rest by eleven, the longer ones to a second; a note has up to 31 lines of height 8."""
+    rows = lines(_docs(s, d))
+    ours = rows.select("doc_id", "line_no", (F.col("line_no") * 10).cast("long").alias("start"), (F.col("line_no") * 10 + 10).cast("long").alias("end"), F.when(F.col("line_no") % 37 == 0, 2).otherwise(0).alias("before"), F.lit(0).alias("after"))
+    refs = rows.where("line_no % 7 = 3").select("doc_id", "line_no", F.posexplode(F.when(F.col("len") > 60, F.array(F.col("len") % 11, F.col("len") % 5)).otherwise(F.array(F.col("len") % 11))).alias("ord", "note_id")).withColumn("note_id", F.col("note_id").cast("long"))
+    notes = refs.select("doc_id", "note_id").distinct().select("doc_id", "note_id", F.explode(F.sequence(F.lit(0), (F.col("note_id") * 3).cast("int"))).alias("k"))
+    notes = notes.select("doc_id", "note_id", "k", *[(F.col("note_id") * 1000 + (F.col("k") + i) * 8).alias(c) for i, c in enumerate(("start", "end"))])
+    return ours, refs, notes
+
+
 def _docs(s, d):
     return read_corpus(s, d, "documents").select("doc_id", "text")
 
@@ -111,7 +210,28 @@ _POS = "positions AS (SELECT doc_id, CAST(unnest(list_append(range(0, length(tex
 _SEN = r"sen AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS sentence_no, s AS sentence FROM (SELECT doc_id, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?\n]+'), lambda y: trim(y, ' ')), lambda y: y <> '') AS x FROM documents)))"
 _SEN = _SEN.replace(r"\n", "' || chr(10) || '")
 
+#: The fold as a recursion over a document's events: fs, fe are the open fragment, pe is the end before the last line; op, oh a page that closes, fp, fn, fa, fh a fragment that does.
+_WITH_NOTES = f"""{_L.replace("WITH ", "WITH RECURSIVE ", 1)}, refs AS (SELECT doc_id, line_no, CAST(0 AS INTEGER) AS ord, len % 11 AS note_id FROM lines WHERE line_no % 7 = 3 UNION ALL SELECT doc_id, line_no, 1, len % 5 FROM lines WHERE line_no % 7 = 3 AND len > 60),
+once AS (SELECT doc_id, note_id, min((line_no, ord)) AS x FROM refs GROUP BY ALL), n AS (SELECT doc_id, note_id, x[1] AS line_no, x[2] AS ord, unnest(range(note_id * 3 + 1)) AS k FROM once),
+ev AS (SELECT doc_id, line_no, -1 AS ord, 0 AS kind, 0 AS k, NULL AS note_id, line_no * 10 AS s, line_no * 10 + 10 AS e, line_no % 37 = 0 AS forced FROM lines UNION ALL SELECT doc_id, line_no, ord, 1, k, note_id, note_id * 1000 + k * 8, note_id * 1000 + k * 8 + 8, false FROM n
+  UNION ALL SELECT doc_id, x[1], x[2], 2, 0, note_id, NULL, NULL, false FROM once UNION ALL SELECT DISTINCT doc_id, 1000000000, 0, 3, 0, NULL, NULL, NULL, false FROM lines),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, ord, kind, k) AS i FROM ev),
+st AS (SELECT DISTINCT doc_id, 0::BIGINT AS i, 0::BIGINT AS page, NULL::BIGINT AS ps, NULL::BIGINT AS ls, NULL::BIGINT AS le, NULL::BIGINT AS pe, 0::BIGINT AS foot, 0::BIGINT AS beh, NULL::BIGINT AS fs, NULL::BIGINT AS fe, NULL::BIGINT AS op, NULL::BIGINT AS oh, NULL::BIGINT AS pno, NULL::BIGINT AS fn, NULL::BIGINT AS fa, NULL::BIGINT AS fh, NULL::BIGINT AS fp FROM lines
+UNION ALL SELECT doc_id, i, page + shut::INT,
+  CASE WHEN act IN ('start', 'new') THEN s WHEN act = 'take' THEN ls WHEN act IN ('spill', 'leave') THEN NULL ELSE ps END, CASE WHEN kind = 0 AND act <> 'skip' THEN s ELSE ls END, CASE WHEN kind = 0 AND act <> 'skip' THEN e WHEN act IN ('spill', 'leave') THEN NULL ELSE le END,
+  CASE WHEN act = 'add' THEN le WHEN act IN ('skip', 'on', 'alone', 'end') THEN pe END, CASE WHEN shut THEN 0 ELSE foot END + CASE WHEN act = 'end' AND fs IS NOT NULL AND fe - fs < 200 THEN fe - fs ELSE 0 END, CASE WHEN shut THEN p0 + ph ELSE beh END,
+  CASE WHEN act IN ('take', 'spill', 'leave', 'alone') THEN s WHEN act = 'on' THEN coalesce(fs, s) WHEN kind < 1 THEN fs END, CASE WHEN kind = 1 THEN e WHEN kind < 1 THEN fe END,
+  CASE WHEN shut THEN p0 END, CASE WHEN shut THEN ph END, CASE WHEN shut THEN page END, CASE WHEN frag THEN note_id END, CASE WHEN frag THEN fs END, CASE WHEN frag THEN fe - fs END, CASE WHEN frag THEN page END
+  FROM (SELECT *, CASE WHEN ps IS NULL THEN beh ELSE ps END AS p0, CASE WHEN ps IS NULL THEN 0 WHEN act = 'take' THEN pe - ps ELSE le - ps END AS ph, act IN ('new', 'take') OR (act IN ('spill', 'leave', 'last') AND (ps IS NOT NULL OR foot > 0 OR (act = 'spill' AND fe - fs < 200))) AS shut, act IN ('spill', 'end') AND fs IS NOT NULL AND fe - fs < 200 AS frag FROM (
+    SELECT st.*, o.i AS i2, kind, note_id, s, e, CASE WHEN kind = 3 THEN 'last' WHEN kind = 2 THEN 'end'
+      WHEN kind = 0 THEN CASE WHEN ps IS NULL THEN 'start' WHEN s < le THEN 'skip' WHEN forced OR e - ps + CASE WHEN foot > 0 THEN 12 + foot ELSE 0 END > 200 THEN 'new' ELSE 'add' END
+      WHEN coalesce(le - ps, 0) + CASE WHEN foot > 0 THEN 12 + foot ELSE 12 END + e - coalesce(fs, s) <= 200 THEN 'on' WHEN fs IS NOT NULL THEN 'spill' WHEN ps IS NOT NULL AND pe IS NOT NULL THEN 'take' WHEN foot > 0 THEN 'leave' ELSE 'alone' END AS act
+    FROM (SELECT * EXCLUDE (op, oh, pno, fn, fa, fh, fp) FROM st) st JOIN o ON o.doc_id = st.doc_id AND o.i = st.i + 1) q) t(doc_id, i0, page, ps, ls, le, pe, foot, beh, fs, fe, i, kind, note_id, s, e, act, p0, ph, shut, frag))
+SELECT a.doc_id, CAST(pno AS INTEGER) AS page_no, op AS start, oh AS height, CAST(CASE WHEN b.fp IS NOT NULL THEN row_number() OVER (PARTITION BY a.doc_id, pno ORDER BY b.i) - 1 END AS INTEGER) AS frag_no, b.fn AS note_id, b.fa AS note_start, b.fh AS note_height
+FROM st a LEFT JOIN (SELECT doc_id, i, fp, fn, fa, fh FROM st WHERE fp IS NOT NULL) b ON b.doc_id = a.doc_id AND b.fp = a.pno WHERE pno IS NOT NULL"""
+
 REGISTERED = {
+    "paginate_with_notes": (lambda s, d: paginate_with_notes(*_noted(s, d), 200), _WITH_NOTES),
     "paginate": (lambda s, d: paginate(lines(_docs(s, d)).withColumn("force", F.col("line_no") % 37 == 0)), f"""{_L}, a AS (SELECT *, sum(CASE WHEN line_no % 37 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS seg FROM lines),
 b AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, seg ORDER BY line_no) - 1) // 20 AS part FROM a), c AS (SELECT doc_id, min(line_no) AS first_line, count(*) AS n_lines FROM b GROUP BY doc_id, seg, part)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_line) - 1 AS INTEGER) AS page_no, first_line, n_lines FROM c"""),
