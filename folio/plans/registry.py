@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from folio.operators import lang, layout, meta, outline, paging, raster, search, styles
+from folio.operators import lang, layout, meta, outline, paging, palette, raster, search, styles
 from folio.streaming import commands
 
-MODULES = (search, paging, layout, meta, styles, outline, lang, raster, commands)
+MODULES = (search, paging, layout, meta, styles, outline, lang, raster, palette, commands)
 
 
 def queries() -> dict:
