@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,31 +60,25 @@ def fill_in_middle(docs: DataFrame, plain_rate: int = 10, spm_rate: int = 20, ma
 
 
 def pieces(output: Column, form: Column, marks: tuple[str, str, str] = MARKS) -> Column:
-    """struct<prefix, middle, suffix> of an output; null if it is plain. The marks are found once each, as no piece holds one."""
-    p, s, m = _checked(marks)
-    body = F.substring_index(output, m, 1)
-    spm = form == "spm"
-    one = F.when(spm, F.substring_index(body, p, 1)).otherwise(F.substring_index(body, s, 1))
-    one = F.substring(one, F.when(spm, len(s)).otherwise(len(p)) + 1, F.length(one))
-    two = F.when(spm, F.substring_index(body, p, -1)).otherwise(F.substring_index(body, s, -1))
-    return F.when(form != "plain", F.struct(F.when(spm, two).otherwise(one).alias("prefix"), F.substring_index(output, m, -1).alias("middle"), F.when(spm, one).otherwise(two).alias("suffix")))
+    """struct<prefix, middle, suffix> of an output; null if it is plain. No piece holds a mark, so one split finds all."""
+    at = F.split(output, "|".join(re.escape(m) for m in _checked(marks)), -1)
+    parts = lambda x, p, s: F.struct(x[p].alias("prefix"), x[3].alias("middle"), x[s].alias("suffix"))
+    # a list of one, so that the split is made once for all three
+    return F.transform(F.array(at), lambda x: F.when(form == "psm", parts(x, 1, 2)).when(form == "spm", parts(x, 2, 1)))[0]
 
 
 def restore(output: Column, form: Column, marks: tuple[str, str, str] = MARKS) -> Column:
     """The text that an output was made of."""
-    x = pieces(output, form, marks)
-    return F.when(form == "plain", output).otherwise(F.concat(x["prefix"], x["middle"], x["suffix"]))
+    joined = F.transform(F.array(pieces(output, form, marks)), lambda x: F.concat(x["prefix"], x["middle"], x["suffix"]))[0]
+    return F.coalesce(joined, output)
 
 
 def op12_fill_in_middle(spark, sf_dir: str) -> DataFrame:
     out = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    out = out.withColumn("x", pieces(F.col("output"), F.col("form")))
-    restored = F.when(F.col("form") == "plain", F.col("output")).otherwise(F.concat("x.prefix", "x.middle", "x.suffix"))
-    return out.select(
-        "doc_id", "n", "form",
-        F.length("x.prefix").cast("long").alias("prefix_chars"), F.length("x.middle").cast("long").alias("middle_chars"),
-        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(restored.cast("binary"), 256).alias("restored_sha256"),
-    )
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    chars = lambda p: F.struct(F.length(p["prefix"]).cast("long").alias("prefix_chars"), F.length(p["middle"]).cast("long").alias("middle_chars"), digest(F.concat(p["prefix"], p["middle"], p["suffix"])).alias("restored"))
+    out = out.withColumn("x", F.transform(F.array(pieces(F.col("output"), F.col("form"))), chars)[0]).select("doc_id", "n", "form", "x", digest(F.col("output")).alias("output_sha256"))
+    return out.select("doc_id", "n", "form", "x.prefix_chars", "x.middle_chars", "output_sha256", F.coalesce("x.restored", "output_sha256").alias("restored_sha256"))
 
 
 SQL = rf"""
