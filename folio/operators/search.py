@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import SPACES, fold, quoted
+from folio.sources.shared import cut
 from folio.sources.tables import doc_pages, read_corpus, search_queries, with_
 
 PAGE = ["doc_id", "page_no"]
@@ -20,11 +21,54 @@ def search_pages(pages: DataFrame, queries: DataFrame, first: int | None = None,
     return _gate(pages, queries).select(*PAGE, "query_id")
 
 
+#: Queries up to which every page is held against every one; characters of the grams by which pages and more queries meet.
+FEW, GRAM = 64, 3
+
+
 def _gate(pages: DataFrame, queries: DataFrame) -> DataFrame:
-    """Pages with each query they contain: the cheap test before anything is split. The queries are a stated set: Spark broadcasts them if they are small."""
+    """Pages with each query they contain: the cheap test before anything is split. FEW queries are broadcast; more
+    are met by their rarest gram, so that a page is held against those alone whose gram it has."""
     q = queries.select("query_id", fold(F.col("q")).alias("q")).where(F.length("q") > 0)
     p = pages.withColumn("text", fold(F.col("text")))
-    return p.join(q, F.contains(F.col("text"), F.col("q")))
+    if queries.limit(FEW + 1).count() <= FEW:
+        return p.join(F.broadcast(q), F.contains(F.col("text"), F.col("q")))
+    q = cut(q, "queries")
+    found = cut(page_grams(p, q), "grams")
+    keys = gram_keys(q, found.groupBy("gram").agg(F.count("*").alias("n")))
+    near = found.join(cut(keys, "keys"), "gram").select(*PAGE, "query_id", "q").distinct()
+    return p.join(near, PAGE).where(F.contains("text", F.col("q")))
+
+
+def with_grams(rows: DataFrame, text: str, sizes: list[int]) -> DataFrame:
+    """rows with `gram`: a row for each distinct run of so many characters of a text, for each of the sizes."""
+    rows = rows.withColumn("_chars", F.split(text, ""))
+    run = lambda n: F.transform(F.sequence(F.lit(0), F.size("_chars") - n), lambda i: F.concat(*[F.get("_chars", i + j) for j in range(n)]))
+    runs = [F.when(F.size("_chars") >= n, F.array_distinct(run(n))).otherwise(F.array().cast("array<string>")) for n in sizes]
+    return rows.withColumn("gram", F.explode(F.concat(*runs))).drop("_chars")
+
+
+def query_grams(queries: DataFrame) -> DataFrame:
+    """query_id, q, gram: the grams of each query; a shorter one than GRAM is a gram itself."""
+    size = F.least(F.length("q"), F.lit(GRAM))
+    parts = [with_grams(queries.where(size == n), "q", [n]) for n in range(1, GRAM + 1)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("query_id", "q", "gram")
+
+
+def gram_sizes(queries: DataFrame) -> list[int]:
+    return sorted(r["n"] for r in queries.select(F.least(F.length("q"), F.lit(GRAM)).alias("n")).distinct().collect())
+
+
+def page_grams(pages: DataFrame, queries: DataFrame) -> DataFrame:
+    """doc_id, page_no, gram: the distinct grams of each page that any query has."""
+    known = query_grams(queries).select("gram").distinct()
+    return with_grams(pages, "text", gram_sizes(queries)).select(*PAGE, "gram").join(known, "gram", "left_semi")
+
+
+def gram_keys(queries: DataFrame, counts: DataFrame) -> DataFrame:
+    """query_id, q, gram: of each query the gram with the least of counts(gram, n). A query with a gram that isn't counted has no row: no text holds it."""
+    rows = query_grams(queries).join(counts, "gram", "left")
+    best = rows.groupBy("query_id", "q").agg(F.min(F.struct("n", "gram")).alias("x"), F.bool_and(F.col("n").isNotNull()).alias("all"))
+    return best.where("all").select("query_id", "q", "x.gram")
 
 
 def search_hits(pages: DataFrame, queries: DataFrame) -> DataFrame:
@@ -121,12 +165,54 @@ def phrase_page_index(pages: DataFrame, n: int = 3) -> DataFrame:
     return each.groupBy("phrase").agg(F.count("*").alias("pages"), F.sum("n").alias("hits")).where("pages > 1")
 
 
+#: Characters of the prefixes that are listed; longer ones are looked up among the terms that share so many. Parts in which the terms of a prefix are ranked first.
+STEM, PARTS = 16, 64
+
+
+def term_counts(index: DataFrame) -> DataFrame:
+    """term, hits of a term_page_index."""
+    return index.groupBy("term").agg(F.sum("n").alias("hits"))
+
+
+def term_prefixes(terms: DataFrame) -> DataFrame:
+    """terms with `prefix`: a row for each prefix of up to STEM characters, the empty one too."""
+    return terms.withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.length("term"), F.lit(STEM))), lambda i: F.left("term", i))))
+
+
+def _top(rows: DataFrame, k: int) -> DataFrame:
+    """prefix, rank, term, hits: the k most frequent of rows(prefix, term, hits), ranked in PARTS of each prefix and then among those left."""
+    best = [F.desc("hits"), "term"]
+    part = F.row_number().over(Window.partitionBy("prefix", F.pmod(F.xxhash64("term"), F.lit(PARTS))).orderBy(*best))
+    rows = rows.withColumn("part", part).where(F.col("part") <= k)
+    rank = F.row_number().over(Window.partitionBy("prefix").orderBy(*best))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("prefix", "rank", "term", "hits")
+
+
+def prefix_index(terms: DataFrame, k: int = 5) -> DataFrame:
+    """prefix, rank, term, hits: the k most frequent of terms(term, hits) for every prefix of up to STEM characters."""
+    return _top(term_prefixes(terms), k)
+
+
+def grow_prefix_index(terms: DataFrame, index: DataFrame, batch: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """terms and their prefix_index once batch(term, hits) has come: only lists of prefixes that the batch touches are made anew."""
+    both = cut(terms.unionByName(batch).groupBy("term").agg(F.sum("hits").alias("hits")), "terms")
+    touched = cut(term_prefixes(batch).select("prefix").distinct(), "touched")
+    anew = _top(term_prefixes(both).join(touched, "prefix", "left_semi"), k)
+    return both, index.join(touched, "prefix", "left_anti").unionByName(anew)
+
+
+def lookup(index: DataFrame, terms: DataFrame, prefixes: DataFrame, k: int = 5) -> DataFrame:
+    """prefix, rank, term, hits for prefixes(prefix): lists of the index by equal prefix; longer prefixes than STEM meet the terms of an equal stem."""
+    short = prefixes.where(F.length("prefix") <= STEM).join(index, "prefix").select("prefix", "rank", "term", "hits")
+    long = prefixes.where(F.length("prefix") > STEM).withColumn("stem", F.left("prefix", F.lit(STEM)))
+    long = terms.withColumn("stem", F.left("term", F.lit(STEM))).join(long, "stem").where(F.startswith(F.col("term"), F.col("prefix")))
+    return short.unionByName(_top(long.select("prefix", "term", "hits"), k))
+
+
 def suggest(index: DataFrame, prefixes: DataFrame, k: int = 5) -> DataFrame:
-    """prefix, rank, term, hits: the k most frequent terms of each prefix."""
-    terms = index.groupBy("term").agg(F.sum("n").alias("hits"))
-    found = terms.join(prefixes, F.startswith(F.col("term"), F.col("prefix")))
-    rank = F.row_number().over(Window.partitionBy("prefix").orderBy(F.desc("hits"), "term"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("prefix", "rank", "term", "hits")
+    """prefix, rank, term, hits: the k most frequent terms of each prefix. Only lists that are asked for are made; `lookup` reads stored ones."""
+    terms, prefixes = cut(term_counts(index), "terms"), prefixes.select("prefix").distinct()
+    return lookup(_top(term_prefixes(terms).join(prefixes, "prefix", "left_semi"), k), terms, prefixes, k)
 
 
 def hit_count_matrix(hits: DataFrame, docs: DataFrame) -> DataFrame:
@@ -155,7 +241,28 @@ _WS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda x: x
 #: Queries short enough to lie across two pages, whose joint isn't written.
 CROSS = ((1, ".t"), (2, "en"), (3, "es"), (4, "e."), (5, "st"), (6, ".a"), (7, ".l"), (8, ".d"))
 
+def _pack(s, d):
+    """The distinct words of the benchmark texts, cut to twelve characters, as queries."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    q = read_corpus(s, d, "benchmark").select(F.explode(words).alias("q")).select(F.left("q", F.lit(12)).alias("q")).distinct()
+    return q.select(F.xxhash64("q").alias("query_id"), "q")
+
+
+def _halves(s, d):
+    """The index of the terms of even documents, grown by those of the odd ones."""
+    index = cut(term_page_index(_pages(s, d)), "terms")
+    terms = [term_counts(index.where(F.col("doc_id") % 2 == i)) for i in (0, 1)]
+    return grow_prefix_index(terms[0], cut(prefix_index(terms[0]), "lists"), terms[1])[1]
+
+
+_PACK = f"pack AS (SELECT DISTINCT left(w, 12) AS q FROM (SELECT unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS w FROM benchmark)), fp AS (SELECT doc_id, page_no, {_FOLD.format('text')} AS t FROM doc_pages), hp AS (SELECT doc_id, page_no, q, t, {_FOLD.format('q')} AS f FROM fp JOIN pack ON contains(t, {_FOLD.format('q')}))"
+_TERMS = f"t AS (SELECT term, count(*) AS hits FROM (SELECT unnest({_WS}) AS term FROM doc_pages) GROUP BY term), pre AS (SELECT left(term, CAST(i AS INTEGER)) AS prefix, term, hits FROM (SELECT *, unnest(range(least(length(term), 16) + 1)) AS i FROM t))"
+
 REGISTERED = {
+    "search_pages_pack": (lambda s, d: (lambda q: search_pages(_pages(s, d), q).join(q, "query_id").select(*PAGE, "q"))(cut(_pack(s, d))), f"{with_('lines', 'pages').rstrip()}, {_PACK} SELECT doc_id, page_no, q FROM hp"),
+    "search_hits_pack": (lambda s, d: (lambda q: search_hits(_pages(s, d), q).join(q, "query_id").groupBy("q").agg(F.count("*").alias("hits"), F.sum("pos").alias("pos")))(cut(_pack(s, d))), f"{with_('lines', 'pages').rstrip()}, {_PACK}, z AS (SELECT q, length(f) AS n, unnest(list_transform(string_split(t, f), lambda x: length(x))) AS len, generate_subscripts(string_split(t, f), 1) AS i, len(string_split(t, f)) AS k, doc_id, page_no FROM hp), y AS (SELECT q, i, k, sum(len) OVER (PARTITION BY q, doc_id, page_no ORDER BY i) + (i - 1) * n AS pos FROM z) SELECT q, count(*) AS hits, CAST(sum(pos) AS BIGINT) AS pos FROM y WHERE i < k GROUP BY q"),
+    "prefix_index": (lambda s, d: prefix_index(term_counts(term_page_index(_pages(s, d)))), f"{with_('lines', 'pages').rstrip()}, {_TERMS} SELECT prefix, CAST(row_number() OVER (PARTITION BY prefix ORDER BY hits DESC, term) AS INTEGER) AS rank, term, hits FROM pre QUALIFY rank <= 5"),
+    "grow_prefix_index": (_halves, f"{with_('lines', 'pages').rstrip()}, {_TERMS} SELECT prefix, CAST(row_number() OVER (PARTITION BY prefix ORDER BY hits DESC, term) AS INTEGER) AS rank, term, hits FROM pre QUALIFY rank <= 5"),
     "search_pages": (_q(search_pages), f"{_BASE} SELECT doc_id, page_no, query_id FROM doc_pages JOIN queries ON contains({_FOLD.format('text')}, q)"),
     "search_hits": (_q(search_hits), f"{_BASE}, {_HITS} SELECT doc_id, page_no, query_id, hit_no, pos, pos + n AS \"end\" FROM hits WHERE hit_no < k - 1"),
     "search_previews": (_q(search_previews), None),
