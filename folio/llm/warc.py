@@ -259,7 +259,8 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     an empty payload. Payloads are compared by their SHA-1 and size.
 
     One shuffle of the payloads: a join by digest with the responses' own rows, which are aggregated
-    without any payload; both sides are such that Spark may split a payload that many rows have.
+    without any payload; both sides are such that Spark may split a payload that many rows have. Where
+    rows are repeated wholly, another one for them.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
@@ -279,6 +280,8 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     out = lambda df, rid, typ: df.select("page_id", rid.alias("record_id"), typ.alias("record_type"), "url", F.when(typ == "revisit", F.col("response")).alias("refers_to"), "digest", F.when(typ == "response", F.col("payload")).alias("payload"), "size")
     repeated = is_top & (F.col("same") > 1)
     plain = out(both.where(~repeated), record, kind)
+    if not first.where("same > 1").limit(1).count():
+        return plain
     # rows that repeat the response's own are all alike: one gives its payload, the others are made by number, in chunks
     one = both.where(repeated).groupBy("digest").agg(*[F.first(c).alias(c) for c in ("page_id", "url", "payload", "size", "same", "response")])
     one = written(one, "warc-repeated")
