@@ -6,11 +6,12 @@ in tenths of a point, whole numbers, so that gaps compare exactly.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.operators.intervals import meeting
 from folio.operators.search import _BASE, _HITS, search_hits
+from folio.sources.shared import cut
 from folio.sources.tables import doc_pages, lines, read_corpus, search_queries, with_
 
 PAGE = ["doc_id", "page_no"]
@@ -79,30 +80,62 @@ def zone_text(rows: DataFrame) -> DataFrame:
 def covering_zones(zones: DataFrame, ranges: DataFrame) -> DataFrame:
     """doc_id, kind, no, start, end: the largest of zones(doc_id, kind, no, up, up_no, start, end) that lie inside ranges(doc_id, lo, hi):
     those whose parent (up, up_no) isn't inside."""
-    inside = zones.join(ranges, "doc_id").where((F.col("start") >= F.col("lo")) & (F.col("end") <= F.col("hi")))
+    # a zone is met where it begins; the range takes in its own end, where an empty zone may lie
+    spots, wide = zones.withColumn("_next", F.col("start") + 1), ranges.select("doc_id", "lo", "hi", (F.col("hi") + 1).alias("_upto"))
+    inside = meeting(spots, wide, ["doc_id"], ("start", "_next"), ("lo", "_upto"), 4096).where(F.col("end") <= F.col("hi"))
     above = inside.select("doc_id", F.col("kind").alias("up"), F.col("no").alias("up_no"), "lo", "hi")
     return inside.join(above, ["doc_id", "up", "up_no", "lo", "hi"], "left_anti").select("doc_id", "kind", "no", "start", "end")
 
 
-def merge_overlapping_images(images: DataFrame) -> DataFrame:
-    """doc_id, page_no, x0, y0, x1, y1, n: rectangles of a page that meet are united, and what the union meets, until none meet.
-
-    A page's images are few, so that a page is one group."""
+#: Levels of cells, each twice as wide as the one before; the width of the first.
+LEVELS, CELL = 16, 8.0
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        boxes = []
-        for x0, y0, x1, y1 in pdf[["x0", "y0", "x1", "y1"]].sort_values(["x0", "y0", "x1", "y1"]).to_numpy():
-            box, meets = [x0, y0, x1, y1, 1], True
-            while meets:
-                meets = [b for b in boxes if b[0] < box[2] and box[0] < b[2] and b[1] < box[3] and box[1] < b[3]]
-                boxes = [b for b in boxes if b not in meets]
-                for b in meets:
-                    box = [min(box[0], b[0]), min(box[1], b[1]), max(box[2], b[2]), max(box[3], b[3]), box[4] + b[4]]
-            boxes.append(box)
-        out = pd.DataFrame(boxes, columns=["x0", "y0", "x1", "y1", "n"])
-        return out.assign(doc_id=pdf["doc_id"].iat[0], page_no=pdf["page_no"].iat[0])
 
-    return images.select(*PAGE, *[F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")]).groupBy(*PAGE).applyInPandas(run, "doc_id long, page_no int, x0 double, y0 double, x1 double, y1 double, n int")
+def merge_overlapping_images(images: DataFrame) -> DataFrame:
+    """doc_id, page_no, x0, y0, x1, y1, n: rectangles of a page that meet are united, and what the union meets, until none meet; n counts the images.
+
+    Rounds, until nothing meets any more: rectangles that meet the one before them, in the order of x and then in
+    that of y, are united; when that changes nothing, each goes to the first of those that it meets. These are found by
+    cell: a rectangle lies in the cells, four at most, of the level whose cells are as wide as itself, and
+    looks in the cells around it of that level and of wider ones. What is united in a round must be
+    united at last, so the order doesn't matter. Rectangles without area meet nothing."""
+    xy = ["x0", "y0", "x1", "y1"]
+    meets = lambda a, b: (F.col(f"{a}x0") < F.col(f"{b}x1")) & (F.col(f"{b}x0") < F.col(f"{a}x1")) & (F.col(f"{a}y0") < F.col(f"{b}y1")) & (F.col(f"{b}y0") < F.col(f"{a}y1"))
+    outline = [(F.min if c.endswith("0") else F.max)(c).alias(c) for c in xy] + [F.sum("n").alias("n")]
+
+    def chained(rows: DataFrame, order: list[str]) -> DataFrame:
+        w = Window.partitionBy(*PAGE).orderBy(*order)
+        rows = rows.select("*", *[F.lag(c).over(w).alias(f"p{c}") for c in xy])
+        rows = rows.withColumn("new", F.coalesce((~meets("", "p")).cast("int"), F.lit(1)))
+        rows = rows.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return rows.groupBy(*PAGE, "island").agg(*outline).drop("island")
+
+    def hopped(rows: DataFrame) -> DataFrame | None:
+        rows = cut(rows.withColumn("id", F.monotonically_increasing_id()), "numbered")
+        size = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+        own = rows.where("x0 < x1 AND y0 < y1").withColumn("level", F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.ceil(F.log2(size / CELL)))).cast("int"))
+        span = lambda c: F.sequence(*[F.floor(F.col(f"{c}{i}") / (F.pow(F.lit(2.0), "at") * CELL)) for i in (0, 1)])
+        cells = lambda df: df.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
+        seek = cells(own.withColumn("at", F.explode(F.sequence(F.col("level"), F.lit(LEVELS))))).select(*PAGE, "at", "cx", "cy", *[F.col(c).alias(f"p{c}") for c in (*xy, "id")])
+        near = cells(own.withColumn("at", F.col("level"))).join(seek, [*PAGE, "at", "cx", "cy"]).where(meets("", "p") & (F.col("id") != F.col("pid")))
+        # either of a pair may be the one that seeks
+        to = cut(near.select(F.explode(F.array(F.struct("id", F.col("pid").alias("to")), F.struct(F.col("pid").alias("id"), F.col("id").alias("to")))).alias("x")).groupBy("x.id").agg(F.min("x.to").alias("to")), "links")
+        if not to.limit(1).count():
+            return None
+        rows = rows.join(to, "id", "left").withColumn("to", F.least("id", F.coalesce("to", "id")))
+        return rows.groupBy(*PAGE, "to").agg(*outline).drop("to")
+
+    boxes = images.select(*PAGE, *[F.col(c).cast("double").alias(c) for c in xy])
+    now = cut(boxes.groupBy(*PAGE, *xy).agg(F.count("*").alias("n")), "boxes")
+    before = now.count()
+    while True:
+        now = cut(chained(chained(now, xy), ["y0", "x0", "y1", "x1"]), "boxes")
+        if (left := now.count()) < before:
+            before = left
+        elif (joined := hopped(now)) is None:
+            return now.withColumn("n", F.col("n").cast("int"))
+        else:
+            now = joined
 
 
 def group_lines_blocks(spans: DataFrame) -> DataFrame:
@@ -134,10 +167,41 @@ def text_in_rect(boxes: DataFrame, rects: DataFrame) -> DataFrame:
     return out.select(*PAGE, "rect_id", "n", F.array_join("h.ch", " ").alias("text"))
 
 
-def glyph_at(boxes: DataFrame, points: DataFrame) -> DataFrame:
-    """doc_id, page_no, at, ch, idx: the last box at or before ordinal `at` of points(doc_id, page_no, at)."""
-    near = boxes.join(points, PAGE).where(F.col("idx") <= F.col("at")).groupBy(*PAGE, "at").agg(F.max_by(F.struct("ch", "idx"), "idx").alias("g"))
-    return near.select(*PAGE, "at", "g.ch", "g.idx")
+def glyph_at(boxes: DataFrame, points: DataFrame, forward: bool = False) -> DataFrame:
+    """doc_id, page_no, at, ch, idx: the last box at or before ordinal `at` of points(doc_id, page_no, at), or the first at or behind it; newlines are skipped.
+
+    One sort of a page's boxes and ordinals."""
+    both = boxes.where("ch <> '\n'").select(*PAGE, "idx", "ch", F.lit(0).alias("kind")).unionByName(points.select(*PAGE, F.col("at").alias("idx"), F.lit(None).cast("string").alias("ch"), F.lit(1).alias("kind")))
+    order = Window.partitionBy(*PAGE).orderBy(*([F.desc("idx")] if forward else ["idx"]), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    near = F.last(F.when(F.col("kind") == 0, F.struct("ch", "idx")), ignorenulls=True).over(order)
+    found = both.withColumn("g", near).where("kind = 1 AND g IS NOT NULL")
+    return found.select(*PAGE, F.col("idx").alias("at"), "g.ch", "g.idx")
+
+
+def glyph_near(boxes: DataFrame, points: DataFrame, cell: int = 200, extent: int = 8_000) -> DataFrame:
+    """doc_id, page_no, point_id, ch, idx, dist: the box nearest to each of points(doc_id, page_no, point_id, x, y), 0 away if it
+    holds the point; newlines are skipped, of equally near boxes the first counts. dist is the squared distance.
+
+    boxes(doc_id, page_no, idx, ch, x0, y0, x1, y1) and points are in whole units on pages of up to `extent`. A
+    grid of cells holds the boxes; a point looks at its cell and the eight around it, where any box nearer than
+    a cell's width must be. Points that find none so near look again in a grid of double width, until one covers the page."""
+    own = boxes.where("ch <> '\n'").select(*PAGE, "idx", "ch", "x0", "y0", "x1", "y1")
+    left, found = points.select(*PAGE, "point_id", "x", "y"), None
+    out = lambda p, lo, hi: F.greatest(F.lit(0), F.col(lo) - F.col(p), F.col(p) - F.col(hi))
+    dist = (out("x", "x0", "x1") * out("x", "x0", "x1") + out("y", "y0", "y1") * out("y", "y0", "y1")).cast("long")
+    while True:
+        at = lambda c: F.floor(F.col(c) / cell)  # noqa: E731, B023
+        grid = own.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
+        near = left.withColumn("cx", F.explode(F.sequence(at("x") - 1, at("x") + 1))).withColumn("cy", F.explode(F.sequence(at("y") - 1, at("y") + 1)))
+        hit = near.join(grid, [*PAGE, "cx", "cy"]).groupBy(*PAGE, "point_id").agg(F.min(F.struct(dist.alias("dist"), "idx", "ch")).alias("g"))
+        last = cell > extent
+        hit = cut(hit if last else hit.where(F.col("g.dist") <= cell * cell), "near")
+        found = hit if found is None else found.unionByName(hit)
+        if last:
+            return found.select(*PAGE, "point_id", "g.ch", "g.idx", "g.dist")
+        left, cell = cut(left.join(hit, [*PAGE, "point_id"], "left_anti"), "far"), cell * 2
+        if not left.limit(1).count():
+            return found.select(*PAGE, "point_id", "g.ch", "g.idx", "g.dist")
 
 
 def explode_word_boxes(boxes: DataFrame) -> DataFrame:
@@ -180,14 +244,17 @@ def label_spans(spans: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def search_hit_boxes(hits: DataFrame, boxes: DataFrame) -> DataFrame:
     """doc_id, page_no, query_id, hit_no, top, u0, u1: what a hit (offsets in the document) covers, one box for each line."""
-    j = hits.join(boxes, PAGE).where((F.col("pos0") < F.col("pos") + F.length("ch")) & (F.col("pos") < F.col("end0")))
+    words = boxes.select(*PAGE, "top", "u0", "u1", "pos", (F.col("pos") + F.length("ch")).alias("_upto"))
+    j = meeting(hits.select(*PAGE, "query_id", "hit_no", "pos0", "end0"), words, PAGE, ("pos0", "end0"), ("pos", "_upto"), 32)
     return j.groupBy(*PAGE, "query_id", "hit_no", "top").agg(F.min("u0").alias("u0"), F.max("u1").alias("u1"))
 
 
 def hit_spans_columns(hits: DataFrame, boxes: DataFrame, middle: int = 3000) -> DataFrame:
     """doc_id, page_no, query_id, hit_no, a, b of hits that begin left of the middle and go on right of it: left edges of the words that hold the hit's start and end."""
     both = hits.select(*PAGE, "query_id", "hit_no", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("pos0").alias("at")), F.struct(F.lit("b").alias("side"), F.col("end0").alias("at")))).alias("x"))
-    j = both.select(*PAGE, "query_id", "hit_no", "x.side", "x.at").join(boxes.select(*PAGE, "pos", "u0", "ch"), PAGE).where((F.col("pos") <= F.col("at")) & (F.col("at") <= F.col("pos") + F.length("ch")))
+    ends = both.select(*PAGE, "query_id", "hit_no", "x.side", "x.at", (F.col("x.at") + 1).alias("_next"))
+    words = boxes.select(*PAGE, "pos", "u0", (F.col("pos") + F.length("ch") + 1).alias("_upto"))
+    j = meeting(ends, words, PAGE, ("at", "_next"), ("pos", "_upto"), 32)
     side = lambda s: F.max(F.when(F.col("side") == s, F.struct("pos", "u0")))["u0"].alias(s)
     return j.groupBy(*PAGE, "query_id", "hit_no").agg(side("a"), side("b")).where((F.col("a") < middle) & (F.col("b") > middle))
 
@@ -241,18 +308,41 @@ def _zones(s, d):
     return line.unionByName(pages.select("doc_id", F.lit("page").alias("kind"), "no", F.lit("text").alias("up"), F.lit(0).alias("up_no"), "start", "end"))
 
 
+def _whole(s, d):
+    """Word boxes in tenths of a point."""
+    top = F.round(F.col("top") * 4800).cast("int")
+    return _boxes(s, d).select(*PAGE, "idx", "ch", F.col("u0").alias("x0"), top.alias("y0"), F.col("u1").alias("x1"), (top + 10 * F.col("size")).alias("y1"))
+
+
+def _points(s, d):
+    """Five points of each page."""
+    spots = _boxes(s, d).select(*PAGE).distinct().select(*PAGE, F.explode(F.sequence(F.lit(0), F.lit(4))).alias("point_id"))
+    return spots.select("*", F.pmod(F.col("page_no") * 977 + F.col("point_id") * 1301, F.lit(6000)).cast("int").alias("x"), F.pmod(F.col("doc_id") * 313 + F.col("point_id") * 877, F.lit(4800)).cast("int").alias("y"))
+
+
 def _images(s, d):
     """Every fourth word box that stands for an image: as high as its size."""
     return _boxes(s, d).where("idx % 4 = 0").select(*PAGE, F.col("u0").alias("x0"), (F.col("top") * 480).alias("y0"), F.col("u1").alias("x1"), (F.col("top") * 480 + 3 * F.col("size")).alias("y1"))
 
 
+#: Rounds of least labels over what meets, in SQL: boxes of a round are the unions of the labels of the one before.
+_UNITED = f"""{_L.replace("WITH ", "WITH RECURSIVE ", 1)}, {_W0}, i AS (SELECT doc_id, page_no, u0::DOUBLE AS x0, top * 480 AS y0, u1::DOUBLE AS x1, top * 480 + 3 * size AS y1, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY u0, top, u1, size) AS id FROM boxes WHERE idx % 4 = 0),
+r AS (SELECT doc_id, page_no, id, x0, y0, x1, y1, 0 AS turn FROM i UNION ALL SELECT doc_id, page_no, id, x0, y0, x1, y1, turn + 1 FROM (
+  SELECT a.doc_id, a.page_no, a.id, min(b.x0) AS x0, min(b.y0) AS y0, max(b.x1) AS x1, max(b.y1) AS y1, any_value(a.turn) AS turn, any_value(a.x0) AS ax, any_value(a.y0) AS ay, any_value(a.x1) AS bx, any_value(a.y1) AS by_ FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND (a.id = b.id OR (a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)) GROUP BY ALL) WHERE turn < 60),
+l AS (SELECT doc_id, page_no, id, x0, y0, x1, y1 FROM r WHERE turn = 60)
+SELECT doc_id, page_no, x0, y0, x1, y1, CAST(count(*) AS INTEGER) AS n FROM l GROUP BY ALL"""
+
 REGISTERED = {
     "nested_page": (lambda s, d: nested_page(group_lines_blocks(group_spans(_boxes(s, d)))).select(*PAGE, F.to_json("blocks").alias("blocks")), None),
     "zone_text": (lambda s, d: zone_text(lines(read_corpus(s, d, "documents")).withColumns({"para": F.floor(F.col("line_no") / 5), "region": F.floor(F.col("line_no") / 20)})), f"""{_L}, p AS (SELECT doc_id, line_no // 20 AS region, line_no // 5 AS para, string_agg(line || chr(10), '' ORDER BY line_no) || chr(31) AS t FROM lines GROUP BY ALL),
 r AS (SELECT doc_id, region, string_agg(t, '' ORDER BY para) || chr(29) AS t FROM p GROUP BY ALL) SELECT doc_id, string_agg(t, '' ORDER BY region) AS text FROM r GROUP BY doc_id"""),
     "covering_zones": (lambda s, d: covering_zones(_zones(s, d), read_corpus(s, d, "documents").select("doc_id", F.lit(100).alias("lo"), (F.length("text") - 100).alias("hi"))), f"""{_L}, z AS (SELECT doc_id, 'line' AS kind, line_no AS no, CAST(line_no // 20 AS INTEGER) AS up_no, start, start + len AS "end" FROM lines UNION ALL SELECT doc_id, 'page', CAST(line_no // 20 AS INTEGER), NULL, min(start), max(start + len) FROM lines GROUP BY doc_id, line_no // 20),
 i AS (SELECT z.* FROM z JOIN documents USING (doc_id) WHERE start >= 100 AND "end" <= length(text) - 100) SELECT doc_id, kind, no, start, "end" FROM i a WHERE NOT EXISTS (SELECT 1 FROM i b WHERE b.doc_id = a.doc_id AND b.kind = 'page' AND a.kind = 'line' AND b.no = a.up_no)"""),
-    "merge_overlapping_images": (lambda s, d: merge_overlapping_images(_images(s, d)), None),
+    "merge_overlapping_images": (lambda s, d: merge_overlapping_images(_images(s, d)), _UNITED),
+    "glyph_near": (lambda s, d: glyph_near(_whole(s, d), _points(s, d)), f"""{_L}, {_W0}, w AS (SELECT doc_id, page_no, idx, ch, u0 AS x0, CAST(round(top * 4800) AS INTEGER) AS y0, u1 AS x1, CAST(round(top * 4800) AS INTEGER) + 10 * size AS y1 FROM boxes),
+p AS (SELECT doc_id, page_no, CAST(k AS INTEGER) AS point_id, (page_no * 977 + k * 1301) % 6000 AS x, (doc_id * 313 + k * 877) % 4800 AS y FROM (SELECT DISTINCT doc_id, page_no FROM boxes), range(5) u(k)),
+j AS (SELECT p.doc_id, p.page_no, point_id, idx, ch, greatest(0, x0 - x, x - x1) AS dx, greatest(0, y0 - y, y - y1) AS dy FROM p JOIN w USING (doc_id, page_no))
+SELECT doc_id, page_no, point_id, ch, idx, CAST(dx * dx + dy * dy AS BIGINT) AS dist FROM j QUALIFY row_number() OVER (PARTITION BY doc_id, page_no, point_id ORDER BY dx * dx + dy * dy, idx) = 1"""),
     "group_spans": (lambda s, d: group_spans(_boxes(s, d)), f"{_L}, {_W0}, {_SPAN} SELECT * FROM spans"),
     "group_lines_blocks": (lambda s, d: group_lines_blocks(group_spans(_boxes(s, d))), f"""{_L}, {_W0}, {_SPAN}, a AS (SELECT *, lag(top) OVER ({_P} ORDER BY span_no) AS was FROM spans),
 b AS (SELECT *, (top - was) * 480 AS away FROM a), c AS (SELECT *, CASE WHEN was IS NULL OR abs(away) > 0.9::DOUBLE * size THEN 1 ELSE 0 END AS nl, CASE WHEN was IS NULL OR (abs(away) > 0.9::DOUBLE * size AND (away > 1.5::DOUBLE * size OR away < -0.5::DOUBLE * size)) THEN 1 ELSE 0 END AS nb FROM b),

@@ -109,13 +109,15 @@ def notes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def resolve_notes(refs: DataFrame, rows: DataFrame, most: int = 250) -> DataFrame:
     """doc_id, num, body: the target line and those behind it up to the next note or an empty line, joined by spaces; cut at `most` and marked `...`."""
-    nxt = F.lead("target").over(Window.partitionBy("doc_id").orderBy("target"))
-    span = refs.select("doc_id", "num", "target", nxt.alias("next"))
-    j = rows.select("doc_id", "line_no", "line").join(span, "doc_id").where((F.col("line_no") >= F.col("target")) & (F.col("next").isNull() | (F.col("line_no") < F.col("next"))))
+    # as-of: a line belongs to the last target at or before it; one sort of a document's lines and targets
+    both = rows.select("doc_id", "line_no", "line", F.lit(1).alias("kind")).unionByName(refs.select("doc_id", F.col("target").alias("line_no"), F.lit(None).cast("string").alias("line"), F.lit(0).alias("kind")).distinct())
+    w = Window.partitionBy("doc_id").orderBy("line_no", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    j = both.withColumn("target", F.last(F.when(F.col("kind") == 0, F.col("line_no")), ignorenulls=True).over(w)).where("kind = 1 AND target IS NOT NULL")
+    stops = j.where("trim(line) = ''").groupBy("doc_id", "target").agg(F.min("line_no").alias("stop"))
     held = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    j = j.withColumn("stop", F.min(F.when(F.trim("line") == "", F.col("line_no"))).over(Window.partitionBy("doc_id", "target")))
     body = F.array_join("h.line", " ")
-    out = j.where("stop IS NULL OR line_no < stop").groupBy("doc_id", "num").agg(held.alias("h"))
+    bodies = j.join(stops, ["doc_id", "target"], "left").where("stop IS NULL OR line_no < stop").groupBy("doc_id", "target").agg(held.alias("h"))
+    out = refs.select("doc_id", "num", "target").join(bodies, ["doc_id", "target"])
     return out.select("doc_id", "num", F.when(F.length(body) > most, F.concat(F.left(body, F.lit(most)), F.lit("..."))).otherwise(body).alias("body"))
 
 

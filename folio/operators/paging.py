@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.operators.intervals import meeting
 from folio.sources.tables import doc_pages, lines, read_corpus, with_
 
 
@@ -29,12 +30,18 @@ def positions(docs: DataFrame, every: int = 250) -> DataFrame:
     return docs.select("doc_id", F.explode(F.array_append(F.filter(F.sequence(F.lit(0), n, F.lit(every)), lambda i: i < n), n + 1).cast("array<long>")).alias("pos"))
 
 
-def page_of(pos: DataFrame, ranges: DataFrame) -> DataFrame:
-    """doc_id, pos, page_no: the page with start <= pos < end, -1 if there is none. The equal key keeps the range join local."""
-    hit = pos.join(ranges.select("doc_id", "page_no", "start", "end"), "doc_id").where((F.col("start") <= F.col("pos")) & (F.col("pos") < F.col("end")))
+def page_of(pos: DataFrame, ranges: DataFrame, width: int = 1024) -> DataFrame:
+    """doc_id, pos, page_no: the page with start <= pos < end, -1 if there is none. A position meets the pages of its stretch of the document alone."""
+    own, pages = pos.select("doc_id", "pos", (F.col("pos") + 1).alias("_next")), ranges.select("doc_id", "page_no", "start", "end")
+    hit = meeting(own, pages, ["doc_id"], ("pos", "_next"), ("start", "end"), width)
     return pos.join(hit.select("doc_id", "pos", "page_no"), ["doc_id", "pos"], "left").withColumn("page_no", F.coalesce("page_no", F.lit(-1)))
 
 
+def spread_no(pages: DataFrame, columns: int = 2) -> DataFrame:
+    """pages(..., page_no) with `spread`: the number of the screen that shows a page beside others, from 0; -1 for a page that isn't known."""
+    return pages.withColumn("spread", F.when(F.col("page_no") < 0, -1).otherwise(F.floor(F.col("page_no") / columns)).cast("int"))
+
+
 def nearest_page(pos: DataFrame, ranges: DataFrame, direction: int = 0) -> DataFrame:
     """doc_id, pos, page_no: the page that holds a position; with direction 1 the next one, with -1 the one before, as far as there are any.
 
@@ -184,9 +191,9 @@ def middle_unit(units: DataFrame) -> DataFrame:
     return units.join(n, "doc_id").where(F.col("sentence_no") == F.ceil(F.col("n") / 2) - 1).select("doc_id", "sentence_no", "sentence")
 
 
-def text_between(docs: DataFrame, ranges: DataFrame, pages: DataFrame) -> DataFrame:
-    """doc_id, page_no, part: what ranges(doc_id, a, b) cover of each page, clipped to it."""
-    j = pages.join(ranges, "doc_id").where((F.col("start") < F.col("b")) & (F.col("a") < F.col("end")))
+def text_between(docs: DataFrame, ranges: DataFrame, pages: DataFrame, width: int = 4096) -> DataFrame:
+    """doc_id, page_no, part: what ranges(doc_id, a, b) cover of each page, clipped to it. A page meets the ranges of its stretch of the document alone."""
+    j = meeting(pages, ranges.select("doc_id", "a", "b"), ["doc_id"], ("start", "end"), ("a", "b"), width)
     lo, hi = F.greatest("a", "start"), F.least("b", "end")
     return j.select("doc_id", "page_no", F.substr("text", (lo - F.col("start") + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
 
@@ -237,6 +244,7 @@ b AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, seg ORDER BY line_no) -
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_line) - 1 AS INTEGER) AS page_no, first_line, n_lines FROM c"""),
     "page_text": (lambda s, d: doc_pages(_docs(s, d)), f"{_P} SELECT * FROM doc_pages"),
     "page_of": (lambda s, d: page_of(positions(_docs(s, d)), doc_pages(_docs(s, d))), f'{_P}, {_POS} SELECT p.doc_id, pos, coalesce(page_no, -1) AS page_no FROM positions p LEFT JOIN doc_pages g ON g.doc_id = p.doc_id AND start <= pos AND pos < "end"'),
+    "spread_of": (lambda s, d: spread_no(page_of(positions(_docs(s, d)), doc_pages(_docs(s, d)))), f'{_P}, {_POS} SELECT p.doc_id, pos, coalesce(page_no, -1) AS page_no, CAST(CASE WHEN page_no IS NULL THEN -1 ELSE page_no // 2 END AS INTEGER) AS spread FROM positions p LEFT JOIN doc_pages g ON g.doc_id = p.doc_id AND start <= pos AND pos < "end"'),
     "nearest_page": (lambda s, d: nearest_page(positions(_docs(s, d)), doc_pages(_docs(s, d))), f"{_P}, {_POS} SELECT p.doc_id, pos, CAST(least(max(page_no) FILTER (WHERE start <= pos) + CASE WHEN pos < max(\"end\") FILTER (WHERE start <= pos) THEN 0 ELSE 1 END, max(page_no)) AS INTEGER) AS page_no FROM positions p JOIN doc_pages g ON g.doc_id = p.doc_id GROUP BY p.doc_id, pos"),
     "paginate_heights": (lambda s, d: paginate_heights(lines(_docs(s, d)).select("doc_id", "line_no", (F.col("line_no") * 10).cast("long").alias("start"), (F.col("line_no") * 10 + 10).cast("long").alias("end"), F.when(F.col("line_no") % 37 == 0, 2).otherwise(0).alias("before"), F.lit(0).alias("after")), 200), f"""{_L}, a AS (SELECT *, sum(CASE WHEN line_no % 37 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS seg FROM lines),
 b AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, seg ORDER BY line_no) - 1) // 20 AS part FROM a), c AS (SELECT doc_id, min(line_no) * 10 AS start, max(line_no) * 10 + 10 AS "end" FROM b GROUP BY doc_id, seg, part)
