@@ -6,6 +6,8 @@ in tenths of a point, whole numbers, so that gaps compare exactly.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,13 +91,16 @@ def covering_zones(zones: DataFrame, ranges: DataFrame) -> DataFrame:
 
 #: Levels of cells, each twice as wide as the one before; the width of the first.
 LEVELS, CELL = 16, 8.0
+#: Rectangles of a page that one fold takes.
+FOLD = 512
 
 
 def merge_overlapping_images(images: DataFrame) -> DataFrame:
     """doc_id, page_no, x0, y0, x1, y1, n: rectangles of a page that meet are united, and what the union meets, until none meet; n counts the images.
 
-    Rounds, until nothing meets any more: rectangles that meet the one before them, in the order of x and then in
-    that of y, are united; when that changes nothing, each goes to the first of those that it meets. These are found by
+    Rounds, until nothing meets any more: on a page of up to FOLD rectangles each takes in those before it that it
+    meets; on one of more, those that meet the one before them, in the order of x and then in that of y, are
+    united; when that makes few fewer, each goes to the first of those that it meets. These are found by
     cell: a rectangle lies in the cells, four at most, of the level whose cells are as wide as itself, and
     looks in the cells around it of that level and of wider ones. What is united in a round must be
     united at last, so the order doesn't matter. Rectangles without area meet nothing."""
@@ -110,7 +115,22 @@ def merge_overlapping_images(images: DataFrame) -> DataFrame:
         rows = rows.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         return rows.groupBy(*PAGE, "island").agg(*outline).drop("island")
 
-    def hopped(rows: DataFrame) -> DataFrame | None:
+    def folded(rows: DataFrame) -> DataFrame:
+        """One fold over a page's few boxes: each takes in those before it that it meets."""
+        kind = "array<struct<x0:double,y0:double,x1:double,y1:double,n:bigint>>"
+        meet = lambda a, b: (a["x0"] < b["x1"]) & (b["x0"] < a["x1"]) & (a["y0"] < b["y1"]) & (b["y0"] < a["y1"])
+        union = lambda a, b: F.struct(*[(F.least if c.endswith("0") else F.greatest)(a[c], b[c]).alias(c) for c in xy], (a["n"] + b["n"]).alias("n"))
+        step = lambda acc, x: F.array_append(F.filter(acc, lambda b: ~meet(b, x)), F.aggregate(F.filter(acc, lambda b: meet(b, x)), x, union)).cast(kind)
+        held = rows.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*xy, "n"))).alias("h"))
+        return held.select(*PAGE, F.explode(F.aggregate("h", F.array().cast(kind), step)).alias("b")).select(*PAGE, "b.*")
+
+    def gathered(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("on_page", F.count("*").over(Window.partitionBy(*PAGE)))
+        few, many = rows.where(F.col("on_page") <= FOLD).drop("on_page"), rows.where(F.col("on_page") > FOLD).drop("on_page")
+        return folded(few).unionByName(chained(chained(many, xy), ["y0", "x0", "y1", "x1"]))
+
+    def hopped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The boxes of pages where nothing meets, and those of the others after a hop."""
         rows = cut(rows.withColumn("id", F.monotonically_increasing_id()), "numbered")
         size = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
         own = rows.where("x0 < x1 AND y0 < y1").withColumn("level", F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.ceil(F.log2(size / CELL)))).cast("int"))
@@ -120,22 +140,23 @@ def merge_overlapping_images(images: DataFrame) -> DataFrame:
         near = cells(own.withColumn("at", F.col("level"))).join(seek, [*PAGE, "at", "cx", "cy"]).where(meets("", "p") & (F.col("id") != F.col("pid")))
         # either of a pair may be the one that seeks
         to = cut(near.select(F.explode(F.array(F.struct("id", F.col("pid").alias("to")), F.struct(F.col("pid").alias("id"), F.col("id").alias("to")))).alias("x")).groupBy("x.id").agg(F.min("x.to").alias("to")), "links")
-        if not to.limit(1).count():
-            return None
-        rows = rows.join(to, "id", "left").withColumn("to", F.least("id", F.coalesce("to", "id")))
-        return rows.groupBy(*PAGE, "to").agg(*outline).drop("to")
+        rows = cut(rows.join(to, "id", "left"), "hops")
+        open_ = rows.where("to IS NOT NULL").select(*PAGE).distinct()
+        moved = rows.join(open_, PAGE, "left_semi").withColumn("to", F.least("id", F.coalesce("to", "id")))
+        return rows.join(open_, PAGE, "left_anti").select(*PAGE, *xy, "n"), moved.groupBy(*PAGE, "to").agg(*outline).drop("to")
 
     boxes = images.select(*PAGE, *[F.col(c).cast("double").alias(c) for c in xy])
     now = cut(boxes.groupBy(*PAGE, *xy).agg(F.count("*").alias("n")), "boxes")
-    before = now.count()
-    while True:
-        now = cut(chained(chained(now, xy), ["y0", "x0", "y1", "x1"]), "boxes")
-        if (left := now.count()) < before:
-            before = left
-        elif (joined := hopped(now)) is None:
-            return now.withColumn("n", F.col("n").cast("int"))
-        else:
-            now = joined
+    done, before = [], now.count()
+    while before:
+        now = cut(gathered(now), "boxes")
+        before, last = now.count(), before
+        if before > 0.9 * last:
+            settled, now = hopped(now)
+            done.append(settled)
+            now = cut(now, "open")
+            before = now.count()
+    return reduce(DataFrame.unionByName, done, now).withColumn("n", F.col("n").cast("int"))
 
 
 def group_lines_blocks(spans: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import natural_key
+from folio.sources.manifest import verified, write_manifest
+from folio.sources.shared import new_path
 from folio.sources.tables import read_corpus
 
 
@@ -42,8 +44,9 @@ def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
-    """All names; the left value wins."""
-    return a.join(b.withColumnRenamed("value", "other"), ["key", "name"], "full").select("key", "name", F.coalesce("value", "other").alias("value"))
+    """All names; the left value wins, a null one too."""
+    j = a.withColumn("_left", F.lit(True)).join(b.withColumnRenamed("value", "other"), ["key", "name"], "full")
+    return j.select("key", "name", F.when(F.col("_left"), F.col("value")).otherwise(F.col("other")).alias("value"))
 
 
 def changed(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -98,11 +101,12 @@ def verify_manifest(now: DataFrame, golden: DataFrame) -> DataFrame:
 
 
 def assemble_parts(parts: DataFrame) -> DataFrame:
-    """uid, name of parts(uid, kind, size): canonical names; empty resources and the first flow part are left out."""
-    first = parts.where("kind = 'flow'").agg(F.min("uid").alias("first"))
-    named = parts.select("uid", "kind", F.format_string("%s%05d", "kind", "uid").alias("name"), "size")
-    kept = named.where("NOT (kind = 'resource' AND size = 0)").join(F.broadcast(first))
-    return kept.where("NOT (kind = 'flow' AND uid = first)").select("uid", "name")
+    """uid, name of parts(uid, kind, size), or book, uid, name where they have a book: canonical names; empty resources and the first flow part of each book are left out."""
+    book = [c for c in parts.columns if c == "book"]
+    first = parts.where("kind = 'flow'").groupBy(*book).agg(F.min("uid").alias("uid")).withColumn("kind", F.lit("flow"))
+    named = parts.select(*book, "uid", "kind", F.format_string("%s%05d", "kind", "uid").alias("name"), "size")
+    kept = named.where("NOT (kind = 'resource' AND size = 0)")
+    return kept.join(first, [*book, "uid", "kind"], "left_anti").select(*book, "uid", "name")
 
 
 def multi_values(items: DataFrame, most: int = 19) -> DataFrame:
@@ -213,6 +217,13 @@ def _ab(f):
     return lambda s, d: f(_props(s, d), _other(s, d))
 
 
+def _listed(s, d):
+    """Documents written with a list of their files, and read back from those that are as the list says."""
+    path = new_path(s, "listed")
+    write_manifest(read_corpus(s, d, "documents").select("doc_id", "text"), path)
+    return verified(s, path).select("doc_id", F.md5("text").alias("md5"))
+
+
 REGISTERED = {
     "meta_wide": (lambda s, d: meta_wide(_meta(s, d), TAGS), f"{_M} SELECT doc_id, " + ", ".join(f"string_agg(value, '; ' ORDER BY ord) FILTER (WHERE tag = '{t}') AS {t}" for t in TAGS) + " FROM meta GROUP BY doc_id"),
     "title_fallback": (lambda s, d: title_fallback(_titles(s, d), ["updated", "full", "db"]).select("page_id", "title"), "SELECT page_id, coalesce(" + ", ".join(f"nullif(trim({x}), '')" for x in ("regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)", "regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1)", "url")) + ") AS title FROM pages"),
@@ -231,5 +242,7 @@ SELECT key, name, TRY_CAST(CASE WHEN regexp_full_match(value, '[+-]?[0-9]+') THE
     "cover_candidate": (lambda s, d: cover_candidate(_catalog(s, d)), f"{_C} SELECT archive, arg_min(name, (CASE WHEN contains(lower(name), 'cover') THEN 0 WHEN contains(lower(name), 'thumb') THEN 1 ELSE 2 END, entry_no)) AS name FROM c WHERE regexp_matches(lower(name), '[.](jpg|jpeg|png|gif|webp|bmp)$') GROUP BY archive"),
     "write_manifest": (lambda s, d: manifest(read_corpus(s, d, "documents")), "SELECT doc_id, md5(text) AS md5 FROM documents"),
     "verify_manifest": (lambda s, d: verify_manifest(manifest(read_corpus(s, d, "documents").where("doc_id % 11 <> 0")), manifest(read_corpus(s, d, "documents").withColumn("text", F.when(F.col("doc_id") % 13 == 0, "").otherwise(F.col("text"))).where("doc_id % 17 <> 0"))), "SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'missing' WHEN doc_id % 17 = 0 THEN 'extra' ELSE 'changed' END AS status FROM documents WHERE NOT (doc_id % 11 = 0 AND doc_id % 17 = 0) AND (doc_id % 11 = 0 OR doc_id % 17 = 0 OR (doc_id % 13 = 0 AND text <> ''))"),
+    "assemble_books": (lambda s, d: assemble_parts(_parts(s, d).join(read_corpus(s, d, "part").select(F.col("p_partkey").alias("uid"), F.col("p_brand").alias("book")), "uid")), "WITH p AS (SELECT p_brand AS book, p_partkey AS uid, ['markup', 'flow', 'resource'][p_partkey % 3 + 1] AS kind, CASE WHEN p_partkey % 10 = 0 THEN 0 ELSE p_size END AS size FROM part) SELECT book, uid, format('{}{:05d}', kind, uid) AS name FROM p WHERE NOT (kind = 'resource' AND size = 0) QUALIFY NOT (kind = 'flow' AND uid = min(CASE WHEN kind = 'flow' THEN uid END) OVER (PARTITION BY book))"),
+    "write_manifest": (_listed, "SELECT doc_id, md5(text) AS md5 FROM documents"),
     "assemble_parts": (lambda s, d: assemble_parts(_parts(s, d)), "WITH p AS (SELECT p_partkey AS uid, ['markup', 'flow', 'resource'][p_partkey % 3 + 1] AS kind, CASE WHEN p_partkey % 10 = 0 THEN 0 ELSE p_size END AS size FROM part) SELECT uid, format('{}{:05d}', kind, uid) AS name FROM p WHERE NOT (kind = 'resource' AND size = 0) AND NOT (kind = 'flow' AND uid = (SELECT min(uid) FROM p WHERE kind = 'flow'))"),
 }

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import SPACES, norm_spaces, strip_bracketed_number
+from folio.functions.text import SPACES, decode_entities, norm_spaces, strip_bracketed_number
 from folio.operators.search import _BASE, _HITS, search_hits
 from folio.operators.paging import positions
 from folio.sources.tables import doc_pages, lines, read_corpus, search_queries, with_
@@ -13,10 +13,26 @@ from folio.sources.tables import doc_pages, lines, read_corpus, search_queries,
 UP_TO = (Window.unboundedPreceding, 0)
 
 
+def plain(c: Column) -> Column:
+    """Text of a piece of html: tags go, entities are decoded, white space is collapsed."""
+    return F.trim(F.regexp_replace(decode_entities(F.regexp_replace(c, r"<[^>]*>", "")), r"[\s\x{A0}]+", " "))
+
+
+#: A heading ends at the next end tag of any heading, as browsers have it.
+HEADING = r"(?is)<h([1-6])(?:\s[^>]*)?>(.*?)</h[1-6]\s*>"
+#: An anchor with its target in either kind of quotes, and what it holds.
+ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*')[^>]*>(.*?)</a\s*>"""
+
+
+def _found(pattern: str) -> Column:
+    """(a, b): the two groups of each match in html."""
+    return F.arrays_zip(*[F.regexp_extract_all("html", F.lit(pattern), F.lit(i)).alias(c) for i, c in ((1, "a"), (2, "b"))])
+
+
 def extract_headings(pages: DataFrame, most: int = 150) -> DataFrame:
-    """page_id, ord, title of the h1 to h6 of html, in order."""
-    found = F.regexp_extract_all("html", F.lit(r"<h[1-6][^>]*>([^<]*)</h[1-6]>"), F.lit(1))
-    return pages.select("page_id", F.posexplode(found).alias("ord", "t")).select("page_id", "ord", F.left(F.trim("t"), F.lit(most)).alias("title"))
+    """page_id, ord, level, title of the h1 to h6 of html, in order; whatever the case of the tags and the markup inside."""
+    rows = pages.select("page_id", F.posexplode(_found(HEADING)).alias("ord", "x"))
+    return rows.select("page_id", "ord", F.col("x.a").cast("int").alias("level"), F.left(plain(F.col("x.b")), F.lit(most)).alias("title"))
 
 
 def line_headings(rows: DataFrame, short: int = 40) -> DataFrame:
@@ -64,10 +80,10 @@ def outline_tiered(outline: DataFrame) -> DataFrame:
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """page_id, ord, href, text of the anchors of html."""
-    rx = F.lit(r'<a [^>]*href="([^"]*)"[^>]*>([^<]*)<')
-    both = F.arrays_zip(F.regexp_extract_all("html", rx, F.lit(1)).alias("href"), F.regexp_extract_all("html", rx, F.lit(2)).alias("text"))
-    return pages.select("page_id", F.posexplode(both).alias("ord", "l")).select("page_id", "ord", "l.href", "l.text")
+    """page_id, ord, href, text of the anchors of html; whatever the case of the tags, the quotes and the markup inside."""
+    rows = pages.select("page_id", F.posexplode(_found(ANCHOR)).alias("ord", "x"))
+    href = F.substring("x.a", F.lit(2), F.length("x.a") - 2)
+    return rows.select("page_id", "ord", decode_entities(href).alias("href"), plain(F.col("x.b")).alias("text"))
 
 
 def classify_links(rows: DataFrame) -> DataFrame:
@@ -199,8 +215,19 @@ def _hits(s, d):
     return hits.select("doc_id", (F.col("start") + F.col("pos")).alias("pos"), "query_id")
 
 
-_RX = r"""'<a [^>]*href="([^"]*)"[^>]*>([^<]*)<'"""
-_LK = f"links AS (SELECT page_id, CAST(i - 1 AS INTEGER) AS ord, href, text FROM (SELECT page_id, unnest(regexp_extract_all(html, {_RX}, 1)) AS href, unnest(regexp_extract_all(html, {_RX}, 2)) AS text, generate_subscripts(regexp_extract_all(html, {_RX}, 1), 1) AS i FROM pages))"
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _sql_decoded(c: str) -> str:
+    for name, char in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&apos;", "chr(39)"), ("&nbsp;", "' '"), ("&amp;", "'&'")):
+        c = f"replace({c}, '{name}', {char})"
+    return c
+
+
+_PLAIN = lambda c: f"trim(regexp_replace({_sql_decoded(f"regexp_replace({c}, '<[^>]*>', '', 'g')")}, '\\s+', ' ', 'g'))"
+_ALL = lambda rx: f"unnest(regexp_extract_all(html, {_sql(rx)}, 1)) AS a, unnest(regexp_extract_all(html, {_sql(rx)}, 2)) AS b, generate_subscripts(regexp_extract_all(html, {_sql(rx)}, 1), 1) AS i"
+_LK = f"links AS (SELECT page_id, CAST(i - 1 AS INTEGER) AS ord, {_sql_decoded('substring(a, 2, length(a) - 2)')} AS href, {_PLAIN('b')} AS text FROM (SELECT page_id, {_ALL(ANCHOR)} FROM pages))"
 _AN = r"anchors AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^/?#]*)', 1) AS path FROM pages)"
 _H = "heads AS (SELECT doc_id, line_no AS ord, start AS pos, line_no % 3 + 1 AS level, line AS title FROM lines WHERE len < 40 AND len > 0)"
 _L = with_("lines").rstrip()
@@ -237,7 +264,7 @@ REGISTERED = {
     "size_ladder": (lambda s, d: size_ladder(read_corpus(s, d, "part").select(F.col("p_brand").alias("key"), F.col("p_size").alias("size"), (F.col("p_partkey") % 5 == 0).alias("is_default"))), "WITH a AS (SELECT p_brand AS key, max(p_size) AS most, max(p_size) FILTER (WHERE p_partkey % 5 = 0) AS base FROM part GROUP BY p_brand) SELECT key, " + ", ".join(f"CASE WHEN most >= base THEN CAST(base + (most - base) // 6 * {6 - k} AS BIGINT) END AS h{k}" for k in range(1, 7)) + " FROM a"),
     "first_image_refs": (lambda s, d: first_refs(_links(s, d)), f"WITH {_LK}, o AS (SELECT page_id, href, min(ord) AS ord FROM links GROUP BY ALL) SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY ord) - 1 AS INTEGER) AS n, href FROM o"),
     "resolve_relations": (lambda s, d: resolve_relations(_rels(s, d), _catalog(s, d)), f"WITH {_CAT}, r AS (SELECT archive, entry_no AS id, regexp_extract(name, '^/([^/?#]*)', 1) AS target FROM cat WHERE entry_no % 2 = 0 OR entry_no % 3 = 0) SELECT id, arg_min(name, entry_no) AS name FROM r JOIN cat USING (archive) WHERE contains(name, target) GROUP BY id"),
-    "extract_headings": (lambda s, d: extract_headings(read_corpus(s, d, "pages")), "SELECT page_id, CAST(i - 1 AS INTEGER) AS ord, left(trim(t), 150) AS title FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)</h[1-6]>', 1)) AS t, generate_subscripts(regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)</h[1-6]>', 1), 1) AS i FROM pages)"),
+    "extract_headings": (lambda s, d: extract_headings(read_corpus(s, d, "pages")), f"SELECT page_id, CAST(i - 1 AS INTEGER) AS ord, CAST(a AS INTEGER) AS level, left({_PLAIN('b')}, 150) AS title FROM (SELECT page_id, {_ALL(HEADING)} FROM pages)"),
     "outline_parents": (lambda s, d: outline_parents(line_headings(_lines(s, d))), f"{_L}, {_H}, o AS (SELECT h.doc_id, h.ord, h.level, (SELECT max(p.ord) FROM heads p WHERE p.doc_id = h.doc_id AND p.ord < h.ord AND p.level < h.level) AS parent FROM heads h) SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, parent ORDER BY ord) - 1 AS INTEGER) AS child_no FROM o"),
     "chapter_of": (lambda s, d: chapter_of(_positions(s, d), line_headings(_lines(s, d))), f"""{_L}, {_H}, positions AS (SELECT doc_id, CAST(unnest(list_append(range(0, length(text), 250), length(text) + 1)) AS BIGINT) AS pos FROM documents),
 x AS (SELECT p.doc_id, p.pos, max(h.pos) FILTER (WHERE level = 1) AS p1, max(h.pos) FILTER (WHERE level = 2) AS p2, max(h.pos) FILTER (WHERE level = 3) AS p3,

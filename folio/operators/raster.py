@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.sources.tables import other_pixels, pixels, read_corpus, with_
@@ -64,29 +62,33 @@ def _settled(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
 
 
-def segment_histogram(px: DataFrame, k: int = 4) -> DataFrame:
+def segment_histogram(px: DataFrame, k: int = 4, rounds: int = 6, still: int = 5) -> DataFrame:
     """image_id, value, n, segment, center of each luma value: weighted means of k segments in one dimension.
 
-    The histogram has 256 bins at most for each image, so the rounds run on it in a task: even
-    seeds, the nearest centre in order, whole-number centres, 6 rounds or less than 5 of movement."""
+    Even seeds, the nearest centre in order (of equally near ones the lower), whole-number centres, `rounds` rounds or
+    less than `still` of movement in all. A fold over the 256 bins, at most, of each image."""
+    bins = px.groupBy("image_id", F.expr("(r + g + b) div 3").cast("int").alias("value")).agg(F.count("*").alias("n"))
+    held = bins.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("bins"))
+    lo, span = F.col("bins")[0]["value"], F.element_at("bins", -1)["value"] - F.col("bins")[0]["value"]
+    seeds = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (lo + F.floor((2 * i + 1) * span / (2 * k))).cast("long"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("value")
-        value, n = pdf["value"].to_numpy(), pdf["n"].to_numpy()
-        lo, span = int(value[0]), int(value[-1] - value[0])
-        centers = np.array([lo + (2 * i + 1) * span // (2 * k) for i in range(k)])
-        for _ in range(6):
-            # of equally near centres the lower one
-            segment = np.abs(value[:, None] - centers[None]).argmin(1)
-            weight, total = np.bincount(segment, n, k).astype(int), np.bincount(segment, n * value, k).astype(int)
-            moved = np.where(weight > 0, (total + weight // 2) // np.maximum(weight, 1), centers)
-            shift, centers = np.abs(moved - centers).sum(), moved
-            if shift < 5:
-                break
-        return pdf.assign(segment=segment, center=centers[segment])[["image_id", "value", "n", "segment", "center"]]
+    def nearest(v: Column, centers: Column) -> Column:
+        away = F.transform(centers, lambda c: F.abs(v - c))
+        return (F.array_position(away, F.array_min(away)) - 1).cast("int")
 
-    bins = px.groupBy("image_id", F.expr("(r + g + b) div 3").alias("value")).agg(F.count("*").alias("n"))
-    return bins.select("image_id", F.col("value").cast("int"), "n").groupBy("image_id").applyInPandas(run, "image_id int, value int, n long, segment int, center int")
+    def round_(acc: Column, _: Column) -> Column:
+        zero = F.lit(0).cast("long")
+        placed = F.transform("bins", lambda b: F.struct(b["n"].alias("n"), b["value"].alias("value"), nearest(b["value"], acc["now"]).alias("at")))
+        sums = F.transform(F.array(placed), lambda p: F.transform(acc["now"], lambda c, i: F.aggregate(F.filter(p, lambda b: b["at"] == i), F.struct(zero.alias("n"), zero.alias("s")), lambda a, b: F.struct((a["n"] + b["n"]).alias("n"), (a["s"] + b["n"] * b["value"]).alias("s")), lambda a: F.when(a["n"] > 0, F.floor((a["s"] + F.floor(a["n"] / 2)) / a["n"])).otherwise(c))))[0]
+        moved = F.struct(acc["now"].alias("was"), sums.alias("now"))
+        done = F.aggregate(F.zip_with(acc["was"], acc["now"], lambda x, y: F.abs(x - y)), zero, lambda a, x: a + x) < still
+        return F.when(acc["was"].isNotNull() & done, acc).otherwise(moved)
+
+    start = F.struct(F.lit(None).cast("array<bigint>").alias("was"), seeds.alias("now"))
+    rows = held.select("image_id", "bins", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, round_).alias("x"))
+    placed = F.transform("bins", lambda b: F.struct(b["value"].alias("value"), b["n"].alias("n"), nearest(b["value"], F.col("x.was")).alias("segment")))
+    rows = rows.select("image_id", "x.now", F.explode(placed).alias("b"))
+    return rows.select("image_id", "b.*", F.get("now", F.col("b.segment")).cast("int").alias("center"))
 
 
 def _both(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -170,11 +172,22 @@ def _ab(f):
 _P = with_("pixels").rstrip()
 _J = "FROM pixels a JOIN pixels_b b USING (image_id, x, y)"
 
+#: Rounds of the weighted means, a row of centres for each image and round.
+_SEGMENTS = f"""{_P.replace("WITH ", "WITH RECURSIVE ", 1)}, h AS (SELECT image_id, (r + g + b) // 3 AS value, count(*) AS n FROM pixels GROUP BY ALL),
+st AS (SELECT image_id, 0 AS turn, NULL::BIGINT[] AS was, list_transform(range(4), lambda i: CAST(min(value) + (2 * i + 1) * (max(value) - min(value)) // 8 AS BIGINT)) AS now FROM h GROUP BY image_id UNION ALL
+  SELECT image_id, any_value(turn) + 1, any_value(now), list(CAST(CASE WHEN w > 0 THEN (t + w // 2) // w ELSE now[i] END AS BIGINT) ORDER BY i) FROM (
+    SELECT image_id, turn, now, i, coalesce(sum(n) FILTER (WHERE z = i), 0) AS w, coalesce(sum(n * value) FILTER (WHERE z = i), 0) AS t FROM (
+      SELECT st.*, value, n, list_position(list_transform(now, lambda c: abs(value - c)), list_min(list_transform(now, lambda c: abs(value - c)))) AS z FROM st JOIN h USING (image_id)
+      WHERE turn < 6 AND (was IS NULL OR list_sum(list_transform(range(1, 5), lambda j: abs(was[j] - now[j]))) >= 5)) q, range(1, 5) u(i) GROUP BY image_id, turn, now, i) GROUP BY image_id),
+f AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY turn DESC) = 1),
+a AS (SELECT image_id, value, n, now, list_position(list_transform(was, lambda c: abs(value - c)), list_min(list_transform(was, lambda c: abs(value - c)))) AS z FROM h JOIN f USING (image_id))
+SELECT image_id, CAST(value AS INTEGER) AS value, n, CAST(z - 1 AS INTEGER) AS segment, CAST(now[z] AS INTEGER) AS center FROM a"""
+
 REGISTERED = {
     "edge_map": (lambda s, d: edge_map(_a(s, d)), f"""{_P}, e AS (SELECT image_id, x, y, coalesce(abs((r + g + b) // 3 - lag((r + g + b) // 3) OVER (PARTITION BY image_id, y ORDER BY x)) > 8, false) AS edge, max(x) OVER (PARTITION BY image_id) + 1 AS w, max(y) OVER (PARTITION BY image_id) + 1 AS h FROM pixels)
 SELECT image_id, x, y, edge AND NOT (100 * x <= w OR 100 * x >= 99 * w OR y <= h // 100 OR 100 * y >= 99 * h) AS edge FROM e"""),
     "crop_bounds": (lambda s, d: crop_bounds(_a(s, d)), None),
-    "segment_histogram": (lambda s, d: segment_histogram(_a(s, d)), None),
+    "segment_histogram": (lambda s, d: segment_histogram(_a(s, d)), _SEGMENTS),
     "image_psnr": (_ab(image_psnr), f"{_P} SELECT image_id, CASE WHEN sum((a.r - b.r) * (a.r - b.r)) = 0 THEN 99.0 ELSE round(10 * log10(CAST(255 * 255 AS DOUBLE) * count(*) * 3 / sum((a.r - b.r) * (a.r - b.r))), 6) END AS psnr {_J} GROUP BY image_id"),
     "image_ssim": (_ab(image_ssim), f"""{_P}, j AS (SELECT a.image_id, a.x, a.y, CAST(1 AS BIGINT) AS w, CAST(a.r AS BIGINT) AS p, CAST(b.r AS BIGINT) AS q {_J}),
 h AS (SELECT i - 4 AS o, v AS h FROM (SELECT unnest([1, 2, 3, 4, 3, 2, 1]) AS v, unnest(range(1, 8)) AS i)),

@@ -17,6 +17,10 @@ PLAIN = ("display", "font-weight", "font-style", "text-decoration", "list-style-
 FONTS, MARGINS = ("font-family",), (*FIRST, "text-indent")
 
 
+#: More than a rule can have declarations: the order of declarations is that of (rule, declaration).
+BESIDE = 1 << 32
+
+
 def parse_style_rules(sheets: DataFrame) -> DataFrame:
     """page_id, selector, prop, value, ord of sheets(page_id, css): comments and `!important` go, white space is collapsed."""
     clean = F.regexp_replace("css", r"(?s)/\*.*?\*/", "")
@@ -26,7 +30,7 @@ def parse_style_rules(sheets: DataFrame) -> DataFrame:
     rows = rows.select("page_id", "r", tidy(F.substring_index("rule", "{", 1)).alias("selector"), F.posexplode(F.split(F.regexp_extract("rule", r"\{([^{}]*)\}", 1), ";", -1)).alias("k", "decl"))
     rows = rows.where(F.contains("decl", F.lit(":")))
     value = tidy(F.regexp_replace(F.regexp_extract("decl", r"(?s):(.*)$", 1), "!important", ""))
-    return rows.select("page_id", "selector", F.lower(tidy(F.substring_index("decl", ":", 1))).alias("prop"), value.alias("value"), (F.col("r") * 1000 + F.col("k")).cast("int").alias("ord"))
+    return rows.select("page_id", "selector", F.lower(tidy(F.substring_index("decl", ":", 1))).alias("prop"), value.alias("value"), (F.col("r").cast("long") * BESIDE + F.col("k")).alias("ord"))
 
 
 def expand_box_shorthand(decls: DataFrame) -> DataFrame:
@@ -112,7 +116,7 @@ _T = lambda c: f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
 _D = rf"""WITH sheets AS (SELECT page_id, array_to_string(regexp_extract_all(html, '(?s)<style[^>]*>(.*?)</style>', 1), '') || {_LIST}[page_id % 12 + 1] || {_LIST}[page_id * 5 % 12 + 1] AS css FROM pages),
 rl AS (SELECT page_id, unnest(rs) AS rule, generate_subscripts(rs, 1) - 1 AS r FROM (SELECT page_id, regexp_extract_all(regexp_replace(css, '(?s)/\*.*?\*/', '', 'g'), '([^{{}}]+)\{{([^{{}}]*)\}}') AS rs FROM sheets)),
 dc AS (SELECT page_id, r, {_T("split_part(rule, '{', 1)")} AS selector, unnest(ds) AS decl, generate_subscripts(ds, 1) - 1 AS k FROM (SELECT *, string_split(regexp_extract(rule, '\{{([^{{}}]*)\}}', 1), ';') AS ds FROM rl)),
-decls AS (SELECT page_id, selector, lower({_T("split_part(decl, ':', 1)")}) AS prop, {_T("regexp_replace(regexp_extract(decl, '(?s):(.*)$', 1), '!important', '', 'g')")} AS value, CAST(r * 1000 + k AS INTEGER) AS ord FROM dc WHERE contains(decl, ':'))"""
+decls AS (SELECT page_id, selector, lower({_T("split_part(decl, ':', 1)")}) AS prop, {_T("regexp_replace(regexp_extract(decl, '(?s):(.*)$', 1), '!important', '', 'g')")} AS value, CAST(r AS BIGINT) * 4294967296 + k AS ord FROM dc WHERE contains(decl, ':'))"""
 _F = ", ".join(f"'{p}'" for p in FIRST)
 _X = f""", long AS (SELECT page_id, selector, prop || '-' || side AS prop, v[CASE least(len(v), 4) WHEN 1 THEN a WHEN 2 THEN b WHEN 3 THEN c ELSE e END] AS value, ord
   FROM (SELECT *, string_split(value, ' ') AS v FROM decls WHERE prop IN ('margin', 'padding') AND selector <> 'body' AND value <> ''), (VALUES ('top', 1, 1, 1, 1), ('right', 1, 2, 2, 2), ('bottom', 1, 1, 3, 3), ('left', 1, 2, 2, 4)) s(side, a, b, c, e)),

@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folio.operators import paging, palette, search
+from folio.operators import layout, meta, outline, paging, palette, search, styles
+from folio.operators.intervals import meeting
+from folio.sources import manifest
 from folio.sources.tables import doc_pages
 
 SF = "/root/testdata/sf0.001"
@@ -131,3 +133,111 @@ def test_prefixes_longer_than_the_stem(spark):
     ask = spark.createDataFrame([("abcdefghijklmnopq",), ("abcdefghijklmnop",), ("",), ("x",)], "prefix string")
     got = search.lookup(search.prefix_index(terms, 2), terms, ask, 2).orderBy("prefix", "rank").collect()
     assert [tuple(r) for r in got] == [("", 1, "b", 9), ("", 2, "abcdefghijklmnopqz", 5), ("abcdefghijklmnop", 1, "abcdefghijklmnopqz", 5), ("abcdefghijklmnop", 2, "abcdefghijklmnopqr", 3), ("abcdefghijklmnopq", 1, "abcdefghijklmnopqz", 5), ("abcdefghijklmnopq", 2, "abcdefghijklmnopqr", 3)]
+
+
+def brute_union(boxes):
+    boxes = [(*b, 1) for b in boxes]
+    while True:
+        for i, a in enumerate(boxes):
+            j = next((j for j, b in enumerate(boxes) if j > i and a[0] < b[2] and b[0] < a[2] and a[1] < b[3] and b[1] < a[3]), None)
+            if j is not None:
+                b = boxes.pop(j)
+                boxes[i] = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]), a[4] + b[4])
+                break
+        else:
+            return sorted(boxes)
+
+
+@pytest.mark.parametrize("fold", [512, 3])
+def test_unions_of_images_equal_brute_force(spark, monkeypatch, fold):
+    monkeypatch.setattr(layout, "FOLD", fold)
+    rng = np.random.default_rng(2)
+    pages = {}
+    for page in range(3):
+        x, y = rng.integers(0, 2_000, (2, 60))
+        w, h = (rng.integers(0, 400, (2, 60)) ** (1 if page else 0.7)).astype(int)
+        pages[page] = [(float(a), float(b), float(a + c), float(b + d)) for a, b, c, d in zip(x, y, w, h)]
+    pages[3] = [(0.0, 0.0, 10.0, 1.0), (9.0, 0.0, 10.0, 10.0), (0.0, 9.0, 10.0, 10.0), (3.0, 3.0, 4.0, 4.0), (20.0, 20.0, 20.0, 30.0)] + [(50.0, 50.0, 60.0, 60.0)] * 5
+    rows = [(1, p, *b) for p, bs in pages.items() for b in bs]
+    got = layout.merge_overlapping_images(spark.createDataFrame(rows, "doc_id long, page_no int, x0 double, y0 double, x1 double, y1 double")).collect()
+    for p, bs in pages.items():
+        flat = [b for b in bs if b[0] < b[2] and b[1] < b[3]]
+        mine = sorted(tuple(r)[2:] for r in got if r["page_no"] == p)
+        assert [b for b in mine if b[0] < b[2] and b[1] < b[3]] == brute_union(flat)
+        assert sum(b[4] for b in mine) == len(bs)
+
+
+def test_nearest_glyphs_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    boxes = [(1, p, i, "\n" if i % 7 == 0 else f"c{i}", int(x), int(y), int(x + w), int(y + h)) for p in range(2) for i, (x, y, w, h) in enumerate(zip(*rng.integers(0, 6_000 if p else 300, (2, 40)), *rng.integers(1, 300, (2, 40))))]
+    points = [(1, p, k, int(x), int(y)) for p in range(2) for k, (x, y) in enumerate(rng.integers(0, 6_000, (50, 2)))] + [(2, 0, 0, 5, 5)]
+    got = layout.glyph_near(spark.createDataFrame(boxes, "doc_id long, page_no int, idx int, ch string, x0 int, y0 int, x1 int, y1 int"), spark.createDataFrame(points, "doc_id long, page_no int, point_id int, x int, y int"), cell=64).collect()
+    want = []
+    for d, p, k, x, y in points:
+        near = [(max(0, b[4] - x, x - b[6]) ** 2 + max(0, b[5] - y, y - b[7]) ** 2, b[2], b[3]) for b in boxes if (b[0], b[1]) == (d, p) and b[3] != "\n"]
+        if near:
+            far, idx, ch = min(near)
+            want.append((d, p, k, ch, idx, far))
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_glyphs_by_ordinal_skip_newlines_both_ways(spark):
+    boxes = spark.createDataFrame([(1, 0, 0, "a"), (1, 0, 1, "\n"), (1, 0, 2, "\n"), (1, 0, 3, "b")], "doc_id long, page_no int, idx int, ch string")
+    points = spark.createDataFrame([(1, 0, k) for k in range(5)], "doc_id long, page_no int, at int")
+    back = {r["at"]: r["ch"] for r in layout.glyph_at(boxes, points).collect()}
+    ahead = {r["at"]: r["ch"] for r in layout.glyph_at(boxes, points, forward=True).collect()}
+    assert back == {0: "a", 1: "a", 2: "a", 3: "b", 4: "b"} and ahead == {0: "a", 1: "b", 2: "b", 3: "b"}
+
+
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_meeting_intervals_equal_brute_force(spark, width):
+    rng = np.random.default_rng(width)
+    a, b = ([(int(k), i, int(lo), int(lo + n)) for i, (k, lo, n) in enumerate(zip(rng.integers(0, 3, 60), rng.integers(-50, 300, 60), rng.integers(-2, 40, 60)))] for _ in range(2))
+    got = meeting(spark.createDataFrame(a, "k long, i int, lo long, hi long"), spark.createDataFrame(b, "k long, j int, a long, b long"), ["k"], ("lo", "hi"), ("a", "b"), width).select("i", "j").collect()
+    want = [(x[1], y[1]) for x in a for y in b if x[0] == y[0] and x[2] < x[3] and y[2] < y[3] and x[2] < y[3] and y[2] < x[3]]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 20
+
+
+def test_long_documents_are_looked_up_in_stretches(spark):
+    n = 300_000
+    pages = spark.range(n // 20).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("page_no"), (F.col("id") * 800).alias("start"), (F.col("id") * 800 + 799).alias("end"))
+    pos = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), (F.col("id") * 40 + 1).alias("pos"))
+    got = paging.page_of(pos, pages).agg(F.count("*").alias("n"), F.sum("page_no").alias("s")).first()
+    assert (got["n"], got["s"]) == (n, 20 * sum(range(n // 20)))  # all pairs would be 4.5 billion rows
+    notes = spark.range(n // 10).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("num"), (F.col("id") * 10).alias("target"))
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").alias("line_no"), F.when(F.col("id") % 10 == 3, "").otherwise("x").alias("line"))
+    assert outline.resolve_notes(notes, rows).where("body = 'x x x'").count() == n // 10
+
+
+def test_rules_of_many_declarations_keep_their_order(spark):
+    css = ".a{" + "".join(f"p{i}:1;" for i in range(2_500)) + "color:red} .a{color:blue}"
+    got = styles.cascade(styles.parse_style_rules(spark.createDataFrame([(1, css)], "page_id long, css string"))).where("prop = 'color'").collect()
+    assert [r["value"] for r in got] == ["blue"]
+
+
+def test_headings_and_links_with_inner_markup(spark):
+    html = "<H2 id=x><b>bold</b> x &amp; y</H2><h3>\n a\n b </h3><header>no</header><h1>open <i>i</i></h2><A class='c' HREF='/p?a=1&amp;b'><img src=q>in <b>ner</b></A><a href=\"it's\">t</a><abbr href='/no'>n</abbr>"
+    page = spark.createDataFrame([(1, html)], "page_id long, html string")
+    assert [tuple(r)[2:] for r in outline.extract_headings(page).orderBy("ord").collect()] == [(2, "bold x & y"), (3, "a b"), (1, "open i")]
+    assert [tuple(r)[2:] for r in outline.links(page).orderBy("ord").collect()] == [("/p?a=1&b", "in ner"), ("it's", "t")]
+
+
+def test_torn_missing_and_extra_files_are_found(spark, tmp_path):
+    path = tmp_path / "out"
+    made = manifest.write_manifest(spark.range(40).repartition(4), f"file://{path}")
+    names = sorted(r["name"] for r in made.collect())
+    assert len(names) == 4 and manifest.verify_files(spark, f"file://{path}").count() == 0 and manifest.verified(spark, f"file://{path}").count() == 40
+    raw = (path / names[0]).read_bytes()
+    for crc in path.glob(".*.crc"):
+        crc.unlink()
+    (path / names[0]).write_bytes(raw[:-5])
+    (path / names[1]).write_bytes((path / names[1]).read_bytes()[:-5] + b"12345")
+    (path / names[2]).rename(path / "part-new.parquet")
+    got = {r["name"]: r["status"] for r in manifest.verify_files(spark, f"file://{path}").collect()}
+    assert got == {names[0]: "torn", names[1]: "changed", names[2]: "missing", "part-new.parquet": "extra"}
+
+
+def test_a_null_on_the_left_wins_too(spark):
+    kind = "key string, name string, value string"
+    got = meta.union(spark.createDataFrame([("1", "a", None)], kind), spark.createDataFrame([("1", "a", "x"), ("1", "b", "y")], kind)).orderBy("name").collect()
+    assert [tuple(r) for r in got] == [("1", "a", None), ("1", "b", "y")]
