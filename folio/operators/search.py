@@ -80,45 +80,65 @@ def search_hits(pages: DataFrame, queries: DataFrame) -> DataFrame:
     return rows.select(*PAGE, "query_id", "hit_no", "pos", (F.col("pos") + F.col("n")).alias("end"))
 
 
+def _spaces(pages: DataFrame) -> DataFrame:
+    """doc_id, page_no, at: where the spaces of each page are."""
+    rows = pages.select(*PAGE, F.posexplode(F.transform(F.split("text", " ", -1), F.length)).alias("i", "len"), F.size(F.split("text", " ", -1)).alias("k"))
+    upto = Window.partitionBy(*PAGE).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("at", (F.sum("len").over(upto) + F.col("i")).cast("int")).where(F.col("i") < F.col("k") - 1).select(*PAGE, "at")
+
+
+def _counted(hits: DataFrame, spaces: DataFrame) -> DataFrame:
+    """hits(doc_id, page_no, query_id, pos, m) with the spaces before pos, before pos + m, and up to pos + m: one sort of a page's hits and spaces."""
+    ends = [F.struct(F.col("pos").alias("at"), F.lit(-1).alias("kind"), F.lit(name).alias("name")) for name in ("before",)]
+    ends += [F.struct((F.col("pos") + F.col("m")).alias("at"), F.lit(kind).alias("kind"), F.lit(name).alias("name")) for kind, name in ((-1, "short"), (1, "behind"))]
+    asked = hits.select(*PAGE, "query_id", "pos", "m", F.explode(F.array(*ends)).alias("x")).select(*PAGE, "query_id", "pos", "m", "x.*")
+    both = asked.unionByName(spaces.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    upto = Window.partitionBy(*PAGE).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("n", F.sum((F.col("kind") == 0).cast("int")).over(upto).cast("int")).where("kind <> 0")
+    return both.groupBy(*PAGE, "query_id", "pos", "m").agg(*[F.max(F.when(F.col("name") == n, F.col("n"))).alias(n) for n in ("before", "short", "behind")])
+
+
 def search_previews(pages: DataFrame, queries: DataFrame, words: int = 7) -> DataFrame:
     """doc_id, page_no, query_id, no, preview, hits: a window of text around hits, and how many hits it holds.
 
     A window reaches `words` spaces to both sides of its first hit; what is missing on the
     left, at the page's start or the end of the window before, is added on the right. A hit inside
     the window makes it reach the next space behind the hit, if it did not; another one opens
-    the next window. Newlines show as spaces. One fold over the hits of a page and query."""
-    spaces = F.transform(F.split("text", " ", -1), F.length)
-    upto = F.transform(F.sequence(F.lit(1), F.size("lens") - 1), lambda i: F.aggregate(F.slice("lens", 1, i), F.lit(0), lambda a, x: a + x) + i - 1)
-    texts = pages.select(*PAGE, "text", spaces.alias("lens")).select(*PAGE, "text", F.length("text").alias("size"), F.when(F.size("lens") > 1, upto).otherwise(F.array().cast("array<int>")).alias("sp"))
-    hits = search_hits(pages, queries).join(queries.select("query_id", F.length("q").alias("m")), "query_id")
-    hits = hits.groupBy(*PAGE, "query_id", "m").agg(F.sort_array(F.collect_list(F.col("pos").cast("int"))).alias("at"))
-    rows = hits.join(texts, PAGE)
-
-    def opened(pos, after):
-        """Start and end of the window around pos; `after`: where the window before it ended, and one."""
-        left = F.filter("sp", lambda x: (x < pos) & (x > F.greatest(F.lit(0), after)))
+    the next window. Newlines show as spaces. One fold over the hits of a page and query, which looks at
+    `words` spaces beside each: how many come before a hit is counted in one sort."""
+    hits = cut(search_hits(pages, queries).join(queries.select("query_id", F.length("q").alias("m")), "query_id").select(*PAGE, "query_id", "m", F.col("pos").cast("int").alias("pos")), "hits")
+    texts = pages.join(hits.select(*PAGE).distinct(), PAGE, "left_semi")
+    spaces = cut(_spaces(texts), "spaces")
+    rows = _counted(hits, spaces).groupBy(*PAGE, "query_id", "m").agg(F.sort_array(F.collect_list(F.struct("pos", "before", "short", "behind"))).alias("at"))
+    held = spaces.groupBy(*PAGE).agg(F.sort_array(F.collect_list("at")).alias("sp"))
+    texts = texts.select(*PAGE, "text", F.length("text").alias("size")).join(held, PAGE, "left").withColumn("sp", F.coalesce("sp", F.array().cast("array<int>")))
+    rows = rows.join(texts, PAGE)
+
+    def opened(hit, after):
+        """Start and end of the window around a hit; `after`: where the window before it ended, and one."""
+        # places one by one: a slice of the page's spaces would go through all of them
+        near = F.transform(F.sequence(F.lit(1), F.lit(words)), lambda i: F.get("sp", hit["before"] - words - 1 + i))
+        left = F.filter(near, lambda x: x > F.greatest(F.lit(0), after))
         enough = F.size(left) >= words
-        start = F.when(enough, F.element_at(left, F.greatest(F.size(left) - words + 1, F.lit(1)))).otherwise(F.greatest(F.lit(0), F.least(after, pos - 1)))
-        right = F.filter("sp", lambda x: x > pos + F.col("m"))
-        want = F.lit(words) + F.when(enough, 0).otherwise(words - F.size(left))
-        return start, F.when(F.size(right) >= want, F.element_at(right, want)).otherwise(F.col("size"))
-
-    def step(acc, pos):
-        last = F.element_at(acc, -1)
-        inside = (pos >= last["start"]) & (pos <= last["end"])
-        reach = F.greatest(last["end"], pos + F.col("m"))
-        behind = F.filter("sp", lambda x: x >= reach)
-        longer = F.when((reach < F.col("size")) & (F.size(behind) > 0), F.element_at(behind, 1)).otherwise(reach)
+        start = F.when(enough, F.get(left, F.lit(0))).otherwise(F.greatest(F.lit(0), F.least(after, hit["pos"] - 1)))
+        end = F.get("sp", hit["behind"] + F.when(enough, words).otherwise(2 * words - F.size(left)) - 1)
+        return start, F.coalesce(end, "size")
+
+    def step(acc, hit):
+        last, reach = F.element_at(acc, -1), hit["pos"] + F.col("m")
+        inside = (hit["pos"] >= last["start"]) & (hit["pos"] <= last["end"])
+        # a window that reaches behind the hit ends at a space or where there are no more: it stays
+        longer = F.when(last["end"] >= reach, last["end"]).otherwise(F.coalesce(F.get("sp", hit["short"]), reach))
         grown = F.struct(last["start"].alias("start"), longer.alias("end"), (last["hits"] + 1).alias("hits"))
-        start, end = opened(pos, last["end"] + 1)
+        start, end = opened(hit, last["end"] + 1)
         fresh = F.struct(start.alias("start"), end.alias("end"), F.lit(1).alias("hits"))
         return F.when(inside, F.array_append(F.slice(acc, 1, F.size(acc) - 1), grown)).otherwise(F.array_append(acc, fresh))
 
+    kind = "array<struct<start:int,end:int,hits:int>>"
     start, end = opened(F.col("at")[0], F.lit(0))
-    first = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(1).alias("hits")))
-    rows = rows.withColumn("first", first.cast("array<struct<start:int,end:int,hits:int>>"))
-    held = F.aggregate(F.slice("at", 2, F.size("at")), F.col("first"), lambda a, x: step(a, x).cast("array<struct<start:int,end:int,hits:int>>"))
-    rows = rows.select(*PAGE, "query_id", "text", F.posexplode(held).alias("no", "w"))
+    rows = rows.withColumn("first", F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(1).alias("hits"))).cast(kind))
+    windows = F.aggregate(F.slice("at", 2, F.size("at")), F.col("first"), lambda a, x: step(a, x).cast(kind))
+    rows = rows.select(*PAGE, "query_id", "text", F.posexplode(windows).alias("no", "w"))
     return rows.select(*PAGE, "query_id", "no", F.translate(F.substr("text", F.col("w.start") + 1, F.col("w.end") - F.col("w.start")), "\n", " ").alias("preview"), F.col("w.hits").alias("hits"))
 
 
