@@ -18,17 +18,40 @@ def fold(c: Column) -> Column:
     return F.lower(norm_spaces(c))
 
 
+#: Ranges of capitals and how far away their small letters are (ASCII, Latin-1, Cyrillic, Greek, Armenian, Georgian).
+CAPITALS = ((0x41, 0x5A, 32), (0xC0, 0xDF, 32), (0x401, 0x401, 80), (0x410, 0x42F, 32), (0x390, 0x3AF, 32), (0x531, 0x556, 48), (0x10A0, 0x10C5, 48), (0x10C7, 0x10C7, 48), (0x10CD, 0x10CD, 48))
+#: Ranges of polytonic Greek whose capitals have the bit of value 8.
+POLYTONIC = ((0x1F00, 0x1F6F), (0x1F80, 0x1FEF))
+
+
+def _compat() -> tuple[str, str]:
+    table = {x: x + away for first, last, away in CAPITALS for x in range(first, last + 1)}
+    table |= {x: x & ~8 for first, last in POLYTONIC for x in range(first, last + 1) if x & 8}
+    return "".join(map(chr, table)), "".join(map(chr, table.values()))
+
+
+COMPAT = _compat()
+
+
+def fold_compat(c: Column) -> Column:
+    """Small letters by ranges of code points alone: the form of older indexes, in which letters outside the ranges stay."""
+    return F.translate(c, *COMPAT)
+
+
 def quoted(c: Column) -> Column:
     """A regular expression that matches the literal text of the column."""
     return F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
-def literal_pos(c: Column, q: Column) -> Column:
-    """Offset of the first occurrence in code points, -1 if there is none."""
-    return F.call_function("locate", q, c) - 1
+def literal_pos(c: Column, q: Column, start: int = 0) -> Column:
+    """Offset of the first occurrence at or behind start in code points, -1 if there is none."""
+    return F.call_function("locate", q, c, F.lit(start + 1)) - 1
 
 
-def split_trim(c: Column, delim: str) -> Column:
+def split_trim(c: Column, delim: str, trim: bool = True) -> Column:
+    """Pieces between delim (a regular expression), runs of spaces as one; with trim without spaces around them, and without empty ones."""
+    if not trim:
+        return F.transform(F.split(c, delim, -1), lambda x: F.regexp_replace(x, " +", " "))
     return F.filter(F.transform(F.split(c, delim, -1), lambda x: F.trim(F.regexp_replace(x, " +", " "))), lambda x: x != "")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import PRE_BASE, PUNCT, RTL, RTL_RUNS, SPACES, count_chars, reorder_indic, rtl_runs
+from folio.functions.text import COMPAT, PRE_BASE, PUNCT, RTL, RTL_RUNS, SPACES, count_chars, fold_compat, literal_pos, reorder_indic, rtl_runs, split_trim, truncate_meta
 from folio.sources.tables import lines, read_corpus, with_
 
 #: Unicode ranges of the scripts told apart.
@@ -162,6 +162,10 @@ def _files(s, d):
 
 
 REGISTERED = {
+    "fold_compat": (lambda s, d: _docs(s, d).select("doc_id", fold_compat(F.col("text")).alias("folded")), f"SELECT doc_id, translate(text, '{COMPAT[0]}', '{COMPAT[1]}') AS folded FROM documents"),
+    "literal_pos": (lambda s, d: _docs(s, d).select("doc_id", literal_pos(F.col("text"), F.lit("the")).alias("first"), literal_pos(F.col("text"), F.lit("e"), 100).alias("later")), "SELECT doc_id, CAST(strpos(text, 'the') - 1 AS INTEGER) AS first, CAST(CASE WHEN strpos(substring(text, 101), 'e') = 0 THEN -1 ELSE strpos(substring(text, 101), 'e') + 99 END AS INTEGER) AS later FROM documents"),
+    "split_trim": (lambda s, d: _docs(s, d).select("doc_id", F.array_join(split_trim(F.col("text"), "[.]"), "|").alias("kept"), F.size(split_trim(F.col("text"), "[.]", False)).alias("pieces")), "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, '.'), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'), ' ')), lambda x: x <> ''), '|') AS kept, CAST(len(string_split(text, '.')) AS INTEGER) AS pieces FROM documents"),
+    "truncate_meta": (lambda s, d: read_corpus(s, d, "pages").select("page_id", truncate_meta(F.col("html")).alias("head")), "SELECT page_id, left(html, 2000) AS head FROM pages"),
     "encoding_validity": (lambda s, d: encoding_validity(_files(s, d)), "SELECT lang AS kind, doc_id % 4 NOT IN (1, 3) AS valid, doc_id % 4 = 2 AS bom, count(*) AS files FROM documents GROUP BY ALL"),
     "locale_names": (lambda s, d: locale_names(_docs(s, d), s.createDataFrame([("en", 9), ("fr", 12), ("de", 7)], "code string, number int")), "SELECT doc_id, number FROM documents LEFT JOIN (VALUES ('en', 9), ('fr', 12), ('de', 7)) v(code, number) ON lang = code"),
     "script_census": (lambda s, d: script_census(_docs(s, d)), "WITH x AS (SELECT source, k AS script, regexp_matches(text, rx) AS has FROM documents, (VALUES " + ", ".join(f"('{k}', '{rx}')" for k, rx in SCRIPTS.items()) + ") v(k, rx)) SELECT source, script, count(*) FILTER (WHERE has) AS docs FROM x GROUP BY CUBE (source, script)"),

@@ -148,10 +148,20 @@ def image_ssim(a: DataFrame, b: DataFrame) -> DataFrame:
     return s.select("image_id", F.when(F.col("s") < 1, F.round(-10 * F.log10(1 - F.col("s")), 5)).otherwise(99.0).alias("ssim"))
 
 
-def to_luma(r, g, b):
+def to_luma(r: str, g: str, b: str) -> Column:
     return F.expr(f"({r} + {g} + {b}) div 3")
 
 
+def to_luma_709(r: str, g: str, b: str) -> Column:
+    """Luminance by the weights of BT.709, rounded: in ten-thousandths, so that it is exact."""
+    return F.expr(f"(2126 * {r} + 7152 * {g} + 722 * {b} + 5000) div 10000")
+
+
+def invert(px: DataFrame) -> DataFrame:
+    """px with each channel's distance from 255."""
+    return px.withColumns({c: 255 - F.col(c) for c in "rgb"})
+
+
 def diff_map(a: DataFrame, b: DataFrame) -> DataFrame:
     """image_id, x, y, r: the difference of red, scaled so that the image's largest becomes 255."""
     d = F.abs(F.col("r") - F.col("r2"))
@@ -184,6 +194,8 @@ a AS (SELECT image_id, value, n, now, list_position(list_transform(was, lambda c
 SELECT image_id, CAST(value AS INTEGER) AS value, n, CAST(z - 1 AS INTEGER) AS segment, CAST(now[z] AS INTEGER) AS center FROM a"""
 
 REGISTERED = {
+    "luma": (lambda s, d: _a(s, d).select(*KEY, to_luma("r", "g", "b").alias("mean"), to_luma_709("r", "g", "b").alias("luma")), f"{_P} SELECT image_id, x, y, CAST((r + g + b) // 3 AS BIGINT) AS mean, CAST((2126 * r + 7152 * g + 722 * b + 5000) // 10000 AS BIGINT) AS luma FROM pixels"),
+    "invert": (lambda s, d: invert(_a(s, d)), f"{_P} SELECT image_id, x, y, 255 - r AS r, 255 - g AS g, 255 - b AS b FROM pixels"),
     "edge_map": (lambda s, d: edge_map(_a(s, d)), f"""{_P}, e AS (SELECT image_id, x, y, coalesce(abs((r + g + b) // 3 - lag((r + g + b) // 3) OVER (PARTITION BY image_id, y ORDER BY x)) > 8, false) AS edge, max(x) OVER (PARTITION BY image_id) + 1 AS w, max(y) OVER (PARTITION BY image_id) + 1 AS h FROM pixels)
 SELECT image_id, x, y, edge AND NOT (100 * x <= w OR 100 * x >= 99 * w OR y <= h // 100 OR 100 * y >= 99 * h) AS edge FROM e"""),
     "crop_bounds": (lambda s, d: crop_bounds(_a(s, d)), None),
