@@ -2,6 +2,10 @@
 
 Quality filter, repeated lines, near duplicates (five-word shingles, similarity 0.8), mixture of
 sources, packing into bins. All stages but the last return the columns of documents.
+
+Every stage takes nulls in any column, texts of any length, ties and repeated rows as its
+operator's docstring says; an empty table gives an empty one; other columns than those of
+documents are left behind by the first stage. Ids are never changed, and null ones are ids of their own.
 """
 
 from __future__ import annotations
@@ -20,12 +24,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Null and empty texts are scored like any other; repeated rows share their fate."""
     return classify(docs, docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more go; n_chars follows the text."""
+    """Lines found in ten documents or more go; n_chars follows the text. A null text is one empty line, and comes out empty;
+    a document whose lines all go stays, with an empty text."""
     out = dedup_lines(docs.select(*COLUMNS))
     return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
@@ -55,12 +60,14 @@ def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at weights 3, 1, 2, ... share 150 % of all words; a document comes twice at most."""
+    """Sources at weights 3, 1, 2, ... share 150 % of all words; a document comes twice at most. A null source comes last;
+    rows equal in every column share their copies, and rows without words are taken as their place in the queue says."""
     return mix(docs.select(*COLUMNS))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and the bins of 4,096 words that hold them."""
+    """Pieces of documents and the bins of 4,096 words that hold them. Every row is placed: repeated
+    ones in different bins, a null or empty text as its end mark alone."""
     return pack(docs)
 
 
