@@ -19,9 +19,9 @@ def _of(values: list[int], at: Column) -> Column:
     return F.lit(values)[at]
 
 
-def _loads(df: DataFrame, shards: int) -> list[int]:
-    """Rows in each shard; the driver gets a number a shard."""
-    found = {r["label"]: r["n"] for r in df.groupBy("label").agg(F.count("*").alias("n")).collect()}
+def _loads(df: DataFrame, shards: int, n: Column | None = None) -> list[int]:
+    """Rows in each shard, or the sum n; the driver gets a number a shard."""
+    found = {r["label"]: r["n"] for r in df.groupBy("label").agg((F.count("*") if n is None else n).alias("n")).collect()}
     return [found.get(i, 0) for i in range(shards)]
 
 
@@ -56,48 +56,102 @@ def quotas(wishes: dict[tuple[int, int], int], loads: list[int], capacity: list[
     return {k: f for k, f in whole.items() if f}
 
 
-def propagate(cells: DataFrame, capacity: list[int], rounds: int = 10) -> DataFrame:
+def _votes(cells: DataFrame, edges: DataFrame) -> DataFrame:
+    """(g1, g2, label, n, votes, others): for each group and each shard where it or a neighbour has documents, its own documents there, its neighbours' ones by weight, and whether groups other than itself are among them."""
+    near = cells.select(F.col("g1").alias("b1"), F.col("g2").alias("b2"), "label", "n")
+    near = edges.join(near, ["b1", "b2"])
+    others = (F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))
+    near = near.select(F.col("a1").alias("g1"), F.col("a2").alias("g2"), "label", F.lit(0).cast("long").alias("n"), (F.col("w") * F.col("n")).alias("votes"), others.cast("int").alias("others"))
+    own = cells.select(*GROUP, "label", "n", F.lit(0).cast("long").alias("votes"), F.lit(0).alias("others"))
+    return near.unionByName(own).groupBy(*GROUP, "label").agg(F.sum("n").alias("n"), F.sum("votes").alias("votes"), F.max("others").alias("others"))
+
+
+def _wishes(votes: DataFrame, capacity: list[int], takes: list[int], turn: int) -> DataFrame:
+    """(g1, g2, label, best, n, ready): n documents of a group in shard `label` want to go to shard `best`.
+
+    A group fills the shards in the order of their votes, each up to its capacity: what lies in
+    later ones than it needs wants to go to the earlier ones that lack it. A group has a row for
+    each shard at most, so its window and arrays are short."""
+    group = Window.partitionBy(*GROUP)
+    full = F.col("n") >= _of(capacity, F.col("label"))
+    free = F.col("label").isin(takes)
+    votes = votes.withColumns({"free": free, "others": F.max("others").over(group) > 0, "of": F.sum("n").over(group), "open": F.coalesce(F.sum(F.when(free, F.col("votes"))).over(group), F.lit(0))})
+    # a shard that takes nobody comes last, unless the group has neighbours of other texts, and most are there
+    first = F.when(full, 2).when(F.col("free") | F.col("others") & (F.col("votes") > F.col("open")), 1).otherwise(0)
+    tie = F.xxhash64(F.lit(turn), *GROUP, "label")  # another order of shards for each group and round
+    votes = votes.withColumns({"first": first, "tie": tie, "bound": F.when(F.col("free") | full, _of(capacity, F.col("label"))).otherwise(F.col("n"))})
+    ranks = group.orderBy(F.desc("first"), F.desc("votes"), F.desc("n"), F.desc("tie")).rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.sum("bound").over(ranks)
+    votes = votes.withColumn("more", F.greatest(F.lit(0), F.least(F.col("bound"), F.col("of") - (upto - F.col("bound")))) - F.col("n"))
+    votes = votes.withColumns({"give": F.greatest(F.lit(0), -F.col("more")), "take": F.greatest(F.lit(0), F.col("more"))})
+    votes = votes.withColumns({"given": F.sum("give").over(ranks), "taken": F.sum("take").over(ranks)}).where("more <> 0")
+    sides = votes.groupBy(*GROUP, "others").agg(F.collect_list(F.struct("label", "give", "given", "take", "taken")).alias("x"))
+    flow = lambda a, b: F.struct(a["label"].alias("label"), b["label"].alias("best"), (F.least(a["given"], b["taken"]) - F.greatest(a["given"] - a["give"], b["taken"] - b["take"])).cast("long").alias("n"))
+    flows = F.flatten(F.transform("x", lambda a: F.transform("x", lambda b: flow(a, b))))
+    # two neighbours that change places every round would never meet: one of other texts' neighbours in two waits
+    ready = ~F.col("others") | (F.pmod(F.xxhash64(F.lit("ready"), F.lit(turn), *GROUP), F.lit(2)) == 0)
+    return sides.select(*GROUP, ready.alias("ready"), F.explode(F.filter(flows, lambda f: f["n"] > 0)).alias("f")).select(*GROUP, "ready", "f.label", "f.best", "f.n")
+
+
+def propagate(cells: DataFrame, edges: DataFrame, capacity: list[int], rounds: int = 10) -> DataFrame:
     """cells(g1, g2, label, n) after the documents have moved: n of a group's documents are in shard `label`.
 
-    The documents of a group are neighbours of each other and alike, so a cell stands for all
-    of its documents, and the join of a document with its neighbours is one of the group's
-    cells, as many as there are shards at most. In each round the documents want to go where
-    most of their neighbours are, among shards that can take any: those with room, and those
-    that others wished to leave in the round before. `quotas` says how many may go between
-    each pair of shards; a group larger than a shard fills one after another. Ends when
-    nothing moves any more, or after `rounds`.
+    edges(a1, a2, b1, b2, w): a document of group b is a neighbour of those of group a, with
+    weight w; both directions are given, and a group of several documents is its own neighbour.
+    The documents of a group are alike, so a cell stands for all of its documents. In each
+    round the edges are joined with their neighbours' cells, and the sums by shard are the
+    votes: documents want to go where most of their neighbours are, among shards that can take
+    any: those with room, and those that others wished to leave in the round before. `quotas`
+    says how many may go between each pair of shards; a group larger than a shard fills as many
+    as it needs. Ends when nothing wants to move any more, or after `rounds`.
     """
     shards = len(capacity)
-    loads = {r["label"]: r["n"] for r in cells.groupBy("label").agg(F.sum("n").alias("n")).collect()}
-    loads = [loads.get(i, 0) for i in range(shards)]
+    loads = _loads(cells, shards, F.sum("n"))
     takes = list(range(shards))
-    group = Window.partitionBy(*GROUP)
     for turn in range(rounds):
-        tie = F.xxhash64(F.lit(turn), *GROUP, "label")  # another order of shards for each group and round
-        full = F.col("n") >= _of(capacity, F.col("label"))
-        best = F.max(F.when(F.col("label").isin(takes) & ~full, F.struct("n", tie.alias("tie"), "label"))).over(group)["label"]
-        wanted = written(cells.withColumn("best", F.when(full, F.col("label")).otherwise(F.coalesce(best, "label"))), "shard-wishes")
-        movers = wanted.where("best <> label")
-        asked = {(r["label"], r["best"]): (r["n"], r["cells"]) for r in movers.groupBy("label", "best").agg(F.sum("n").alias("n"), F.count("*").alias("cells")).collect()}
+        wishes = written(_wishes(_votes(cells, edges), capacity, takes, turn), "shard-wishes")
+        found = wishes.groupBy("label", "best").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("ready"), F.col("n"))).alias("ready"), F.sum(F.col("ready").cast("long")).alias("cells")).collect()
+        asked = {(r["label"], r["best"]): (r["ready"], r["cells"]) for r in found if r["cells"]}
         may = quotas({k: n for k, (n, _) in asked.items()}, loads, capacity)
         for (a, b), n in may.items():
             loads[a], loads[b] = loads[a] - n, loads[b] + n
-        before, takes = takes, [i for i in range(shards) if loads[i] < capacity[i] or any(a == i for a, _ in asked)]
+        before, takes = takes, [i for i in range(shards) if loads[i] < capacity[i] or any(r["label"] == i for r in found)]
         if not may:
-            if before == takes:
+            if before == takes and all(r["ready"] == r["n"] for r in found):
                 break
             continue
         slots = slots_for(max(c for _, c in asked.values()), least=1)
         order = ["h", *GROUP]
-        ranked = running_sum(movers.withColumn("h", F.xxhash64(F.lit(turn), *GROUP)), ["label", "best"], order, "n", "upto", hashed_slot(order, slots), slots)
+        movers = wishes.where("ready").drop("ready").withColumn("h", F.xxhash64(F.lit(turn), *GROUP))
+        ranked = running_sum(movers, ["label", "best"], order, "n", "upto", hashed_slot(order, slots), slots)
         quota = _of([may.get((a, b), 0) for a in range(shards) for b in range(shards)], F.col("label") * shards + F.col("best"))
-        ranked = ranked.withColumn("goes", F.greatest(F.lit(0), F.least("n", quota - (F.col("upto") - F.col("n")))).cast("long"))
-        moved = ranked.select(*GROUP, F.explode(F.array(F.struct("label", (F.col("n") - F.col("goes")).alias("n")), F.struct(F.col("best").alias("label"), F.col("goes").alias("n")))).alias("x")).select(*GROUP, "x.label", "x.n")
-        every = wanted.where("best = label").select(*GROUP, "label", "n").unionByName(moved)
-        cells = written(every.where("n > 0").groupBy(*GROUP, "label").agg(F.sum("n").alias("n")), "shard-cells")
+        goes = F.greatest(F.lit(0), F.least("n", quota - (F.col("upto") - F.col("n")))).cast("long")
+        ends = F.array(F.struct("label", (-goes).alias("n")), F.struct(F.col("best").alias("label"), goes.alias("n")))
+        moved = ranked.where(goes > 0).select(*GROUP, F.explode(ends).alias("x")).select(*GROUP, "x.label", "x.n")
+        cells = written(cells.unionByName(moved).groupBy(*GROUP, "label").agg(F.sum("n").alias("n")).where("n > 0"), "shard-cells")
     return cells
 
 
+def _edges(work: DataFrame, groups: DataFrame, links: DataFrame | None) -> DataFrame:
+    """(a1, a2, b1, b2, w): groups of several documents with themselves, and links(a, b) between ids as weighted edges between groups, both ways."""
+    own = groups.where("n > 1").select(F.col("g1").alias("a1"), F.col("g2").alias("a2"), F.col("g1").alias("b1"), F.col("g2").alias("b2"), F.lit(1).cast("long").alias("w"))
+    if links is None:
+        return own
+    ids = written(work.where("doc_id IS NOT NULL").groupBy("doc_id", *GROUP).agg(F.count("*").alias("same")), "shard-ids")
+    end = lambda c: ids.select(F.col("doc_id").alias(c), F.col("g1").alias(f"{c}1"), F.col("g2").alias(f"{c}2"))
+    half = written(links.select("a", "b").join(end("a"), "a"), "shard-links")
+    pairs = half.join(end("b"), "b").where("a1 <> b1 OR a2 <> b2").select("a1", "a2", "b1", "b2")
+    both = pairs.unionByName(pairs.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2")))
+    return own.unionByName(both.groupBy("a1", "a2", "b1", "b2").agg(F.count("*").alias("w")))
+
+
+def cut_links(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """links, cut: rows of links(a, b) whose ids are both in placed(doc_id, shard), and those whose ends are in different shards."""
+    end = lambda c: placed.select(F.col("doc_id").alias(c), F.col("shard").alias(f"{c}_shard"))
+    both = links.select("a", "b").join(end("a"), "a").join(end("b"), "b")
+    return both.agg(F.count("*").alias("links"), F.count_if(F.col("a_shard") != F.col("b_shard")).alias("cut"))
+
+
 def cut_edges(placed: DataFrame) -> DataFrame:
     """edges, cut: links between documents of equal texts in placed(g1, g2, shard), and those whose ends are in different shards."""
     cells = placed.groupBy(*GROUP, "shard").agg(F.count("*").cast("double").alias("n"))
@@ -105,11 +159,14 @@ def cut_edges(placed: DataFrame) -> DataFrame:
     return sums.agg(F.sum((F.col("s") * F.col("s") - F.col("s")) / 2).alias("edges"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("cut"))
 
 
-def shard(docs: DataFrame, shards: int = 16, rounds: int = 10) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, rounds: int = 10, links: DataFrame | None = None) -> DataFrame:
     """doc_id, size, text_crc32, g1, g2, shard, slot for every row of docs(doc_id, text).
 
     Law `rows`: counts of the shards are at most one apart. Links: rows with equal texts (a
-    null text is an empty one). Linked rows are dealt round robin over the shards, and move by
+    null text is an empty one), and those of links(a, b), pairs of ids such as doc_id and
+    component_id of the near duplicates: one given twice counts twice, one with an id that is
+    null or not in docs counts for nothing, one of a repeated id counts for all its rows, and
+    equal texts share their links. Linked rows are dealt round robin over the shards, and move by
     `propagate`; the others begin in the shard of a hash and stay as long as there is room, or
     fill what is left. slot numbers each shard's rows from 0 without gaps.
 
@@ -127,13 +184,15 @@ def shard(docs: DataFrame, shards: int = 16, rounds: int = 10) -> DataFrame:
     rows = work.count()
     capacity = [rows // shards + (i < rows % shards) for i in range(shards)]
     order = ["k1", "k2"]
-    groups = written(work.groupBy(*GROUP).agg(F.count("*").alias("n")).where("n > 1"), "shard-groups")
+    groups = work.groupBy(*GROUP).agg(F.count("*").alias("n"))
+    edges = written(_edges(work, groups, links), "shard-edges")
+    groups = written(groups.where("n > 1") if links is None else groups.join(edges.select(F.col("a1").alias("g1"), F.col("a2").alias("g2")).distinct(), GROUP, "left_semi"), "shard-groups")
     dealt = running_sum(groups, [], GROUP, "n", "upto", hashed_slot(GROUP, slots_for(rows)), slots_for(rows))
     # of the linked rows number `upto - n` to `upto - 1`, every shards-th begins in the same shard
     upto = lambda x, i: F.floor((x + (shards - 1 - i)) / shards)
     counts = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: F.struct(i.alias("label"), (upto(F.col("upto"), i) - upto(F.col("upto") - F.col("n"), i)).alias("n")))
     cells = written(dealt.select(*GROUP, F.explode(counts).alias("x")).select(*GROUP, "x.label", "x.n").where("n > 0"), "shard-cells")
-    cells = propagate(cells, capacity, rounds)
+    cells = propagate(cells, edges, capacity, rounds)
     ends = Window.partitionBy(*GROUP).orderBy("label").rowsBetween(Window.unboundedPreceding, 0)
     ends = cells.withColumn("end", F.sum("n").over(ends)).groupBy(*GROUP).agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("end", "label"))).alias("ends"))
     ends = written(ends.select(F.col("g1").alias("b1"), F.col("g2").alias("b2"), F.col("n").alias("of"), "ends"), "shard-ends")

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import os
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -439,6 +440,50 @@ def test_sharding_laws(spark, edge):
     assert len(apart) <= 6  # 60 equal texts in shards of 12 or 13
 
 
+def test_sharding_fills_no_more_shards_than_a_large_group_needs(spark):
+    text = F.when(F.col("doc_id") < 350, "x").otherwise(F.col("doc_id").cast("string"))
+    out = sharding.shard(spark.range(1_000).withColumnRenamed("id", "doc_id").withColumn("text", text), 8)
+    assert sorted(out.where("doc_id < 350").groupBy("shard").count().toPandas()["count"]) == [100, 125, 125]
+    assert set(out.groupBy("shard").count().toPandas()["count"]) == {125}
+
+
+def test_sharding_follows_links_between_different_texts(spark):
+    docs = [(i, f"t{i}") for i in range(400)] + [(7, "t7"), (None, "n"), (None, None)]
+    rings = [(i, i // 4 * 4 + (i + 1) % 4) for i in range(200)]
+    links = spark.createDataFrame([*rings, (None, 3), (3, None), (5, 9_999), (6, 6)], "a long, b long")
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    out = sharding.shard(docs, 8, links=links).cache()
+    rows = out.toPandas()
+    sizes = rows.groupby("shard").size()
+    assert len(rows) == 403 and len(sizes) == 8 and sizes.max() - sizes.min() <= 1
+    assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in rows.groupby("shard"))
+    found = sharding.cut_links(out, spark.createDataFrame(rings, "a long, b long")).first()
+    at = rows.groupby("doc_id")["shard"].apply(list)
+    assert found["links"] == 202 and found["cut"] == sum(x != y for a, b in rings for x in at[a] for y in at[b])
+    assert found["cut"] < 101  # dealt at random, seven of eight are cut
+    assert sharding.shard(docs, 8, links=links.where("a < 0")).count() == 403
+
+
+def test_sharding_votes_against_brute_force(spark):
+    rng = random.Random(5)
+    cells = {(g, s): rng.randint(1, 9) for g in range(12) for s in range(4) if rng.random() < 0.6}
+    edges = {(a, b): rng.randint(1, 3) for a in range(12) for b in range(12) if rng.random() < 0.3}
+    want = {(g, s): [n, 0] for (g, s), n in cells.items()}
+    for (a, b), w in edges.items():
+        for s in range(4):
+            if (b, s) in cells:
+                want.setdefault((a, s), [0, 0])[1] += w * cells[b, s]
+    cell_rows = spark.createDataFrame([(g, -g, s, n) for (g, s), n in cells.items()], "g1 long, g2 long, label int, n long")
+    edge_rows = spark.createDataFrame([(a, -a, b, -b, w) for (a, b), w in edges.items()], "a1 long, a2 long, b1 long, b2 long, w long")
+    votes = sharding._votes(cell_rows, edge_rows)
+    assert {(r["g1"], r["label"]): [r["n"], r["votes"]] for r in votes.collect()} == want
+    leaves = {}
+    for r in sharding._wishes(votes, [20] * 4, [0, 1, 3], 2).collect():
+        assert r["label"] != r["best"] and r["best"] != 2 and r["n"] > 0
+        leaves[r["g1"], r["label"]] = leaves.get((r["g1"], r["label"]), 0) + r["n"]
+    assert leaves and all(n <= cells[k] for k, n in leaves.items())
+
+
 def test_sharding_brings_links_together_without_any_slack(spark):
     out = sharding.shard(spark.createDataFrame([(i, f"t{i // 2}") for i in range(800)], "doc_id long, text string"), 16)
     cut = sharding.cut_edges(out).first()
