@@ -462,6 +462,7 @@ def test_sharding_follows_links_between_different_texts(spark):
     assert found["links"] == 202 and found["cut"] == sum(x != y for a, b in rings for x in at[a] for y in at[b])
     assert found["cut"] < 101  # dealt at random, seven of eight are cut
     assert sharding.shard(docs, 8, links=links.where("a < 0")).count() == 403
+    assert sharding.shard(docs.where("doc_id < 0"), 8, links=links).count() == 0
 
 
 def test_sharding_votes_against_brute_force(spark):
