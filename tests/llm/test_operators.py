@@ -148,6 +148,25 @@ def test_nearest_recall_and_edge(spark):
     assert [(r["vec_id"], round(r["score"], 9)) for r in ann.neighbours(huge, "vec_id", "embedding", F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 1.0), (2, 0.0)]
 
 
+@pytest.mark.parametrize("kind", ["wide", "copies"])
+def test_nearest_where_codes_are_coarse_or_rows_are_copies(spark, kind):
+    """Vectors of many components, whose codes tell little, and groups of equal vectors, of which the smallest ids count."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(8_000, 384 if kind == "wide" else 100))
+    if kind == "copies":
+        v[:3_200], v[3_200:4_800] = v[0], v[3_200]
+        v = v[rng.permutation(len(v))]
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": v.tolist()}))
+    got = ann.neighbours(df, "vec_id", "embedding", F.col("vec_id") % 50 == 0).toPandas()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, len(v), 50):
+        s = np.round(u @ u[q], 12)
+        s[q] = -9
+        hits += len(set(np.argsort(-s, kind="stable")[:5]) & set(got.vec_id[got.query_id == q]))
+    assert hits / 800 >= 0.93
+
+
 def test_nearest_where_the_codes_decide(spark):
     """20,000 vectors without clusters: recall, how much is reranked, and independence of partitions."""
     rng = np.random.default_rng(11)
