@@ -82,11 +82,13 @@ def natural_key(c: Column) -> Column:
 RTL = r"\x{5BE}\x{5C0}\x{5C3}\x{5D0}-\x{5F4}\x{608}\x{61B}-\x{64A}\x{66D}-\x{66F}\x{671}-\x{6D5}\x{6FA}-\x{8FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFE}"
 #: A run from one of them to before the next letter of another kind, or what lies between such runs.
 RTL_RUNS = rf"[{RTL}](?:[^\p{{L}}]|[{RTL}])*|[^{RTL}]+"
+#: The same as one class of characters: a group repeated takes a frame of the stack for each character, so that long lines overflow it.
+_RTL_RUNS = rf"[{RTL}][{RTL}[^\p{{L}}]]*+|[^{RTL}]++"
 
 
 def rtl_runs(c: Column) -> Column:
     """Text in drawing order as text in reading order: each maximal right-to-left run reversed, signs and digits inside it too."""
-    runs = F.regexp_extract_all(c, F.lit(RTL_RUNS), F.lit(0))
+    runs = F.regexp_extract_all(c, F.lit(_RTL_RUNS), F.lit(0))
     return F.array_join(F.transform(runs, lambda x: F.when(x.rlike(f"^[{RTL}]"), F.reverse(x)).otherwise(x)), "")
 
 

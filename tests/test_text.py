@@ -1,5 +1,7 @@
 """Goldens on inline rows, and plans."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
@@ -47,3 +49,12 @@ def test_no_python_in_plans(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     plan = doc_pages(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_long_right_to_left_lines(spark):
+    """Lines whose runs are longer than the stack is deep."""
+    for part in ("\u05d0 ", "\u05d0\u05d4 12 ab "):
+        text = part * 20_000
+        got = spark.createDataFrame([(text,)], "t string").select(T.rtl_runs(F.col("t")).alias("t")).first()["t"]
+        want = re.sub("[\u05d0-\u05ea][\u05d0-\u05ea 0-9]*", lambda m: m[0][::-1], text)
+        assert got == want
