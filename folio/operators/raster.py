@@ -116,12 +116,16 @@ def color_histogram(px: DataFrame) -> DataFrame:
 
 
 def local_min(a: DataFrame, b: DataFrame, radius: int = 2) -> DataFrame:
-    """image_id, sse: for each pixel of a the least squared difference of red to b within the radius, summed."""
+    """image_id, sse: for each pixel of a the least squared difference of red to b within the radius, summed.
+
+    Pixels of b are copied to the columns beside them; along a column a window takes in the rows above and below."""
     steps = F.sequence(F.lit(-radius), F.lit(radius))
-    near = a.select("image_id", "x", "y", "r", F.explode(steps).alias("dx")).select("*", F.explode(steps).alias("dy"))
-    near = near.select("image_id", F.col("x").alias("ax"), F.col("y").alias("ay"), "r", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
-    j = near.join(b.select(*KEY, F.col("r").alias("r2")), KEY)
-    best = j.groupBy("image_id", "ax", "ay").agg(F.min((F.col("r") - F.col("r2")) * (F.col("r") - F.col("r2"))).alias("d"))
+    beside = b.select("image_id", "x", "y", F.col("r").alias("r2"), F.explode(steps).alias("dx")).select("image_id", (F.col("x") + F.col("dx")).alias("x"), "y", "r2")
+    both = a.select(*KEY, "r").unionByName(beside, allowMissingColumns=True)
+    around = Window.partitionBy("image_id", "x").orderBy("y").rangeBetween(-radius, radius)
+    rows = both.withColumn("near", F.collect_list("r2").over(around)).where(F.col("r").isNotNull() & (F.size("near") > 0))
+    d = F.array_min(F.transform("near", lambda r2: (F.col("r") - r2) * (F.col("r") - r2)))
+    best = rows.groupBy(*KEY).agg(F.min(d).alias("d"))
     return best.groupBy("image_id").agg(F.sum("d").alias("sse"))
 
 

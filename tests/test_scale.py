@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folio.operators import layout, meta, outline, paging, palette, search, styles
+from folio.operators import layout, meta, outline, paging, palette, raster, search, styles
 from folio.operators.intervals import meeting
 from folio.sources import manifest
 from folio.sources.tables import doc_pages
@@ -241,3 +241,25 @@ def test_a_null_on_the_left_wins_too(spark):
     kind = "key string, name string, value string"
     got = meta.union(spark.createDataFrame([("1", "a", None)], kind), spark.createDataFrame([("1", "a", "x"), ("1", "b", "y")], kind)).orderBy("name").collect()
     assert [tuple(r) for r in got] == [("1", "a", None), ("1", "b", "y")]
+
+
+def test_least_differences_equal_brute_force_without_a_copy_for_each_neighbour(spark):
+    """Images with gaps; the rows that are shuffled are no more than the pixels and their copies along one axis."""
+    rng = np.random.default_rng(4)
+    a, b = ([(i, x, y, int(r)) for i in range(2) for x in range(9) for y in range(11) for r in rng.integers(0, 256, 1) if rng.random() < 0.6] for _ in range(2))
+    made = [spark.createDataFrame(p, "image_id long, x int, y int, r int") for p in (a, b)]
+    out = raster.local_min(*made)
+    want = {}
+    for i, x, y, r in a:
+        near = [(r - r2) ** 2 for j, u, v, r2 in b if i == j and abs(x - u) <= 2 and abs(y - v) <= 2]
+        want[i] = want.get(i, 0) + (min(near) if near else 0)
+    assert {r["image_id"]: r["sse"] for r in out.collect()} == want
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+
+
+def test_boxes_are_made_once_for_all_rectangles(spark):
+    boxes = spark.createDataFrame([(1, 0, 0, "a", 0, 60, 0.0)], "doc_id long, page_no int, idx int, ch string, u0 int, u1 int, top double").repartition(3)
+    rects = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0)], "rect_id int, x0 double, y0 double, x1 double, y1 double").repartition(4)
+    out = layout.text_in_rect(boxes, rects)
+    assert [tuple(r) for r in out.collect()] == [(1, 0, 1, 1, "a")]
+    assert "Cartesian" not in out._jdf.queryExecution().executedPlan().toString()
