@@ -16,6 +16,11 @@ def file_sums(spark: SparkSession, path: str) -> DataFrame:
     return files.select(name.alias("name"), F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256")).where(~name.rlike(r"^[._]"))
 
 
+def one_list(sums: DataFrame) -> DataFrame:
+    """The rows in one part. They are moved there: coalesce would have one task read all the files."""
+    return sums.repartition(1)
+
+
 def write_manifest(df: DataFrame, path: str) -> DataFrame:
     """Writes df as Parquet under path (a new folder), then the list of its files, and returns the list.
 
@@ -23,7 +28,7 @@ def write_manifest(df: DataFrame, path: str) -> DataFrame:
     one file, written beside and renamed, so that it is there whole or not at all; a folder without one isn't finished."""
     spark = df.sparkSession
     df.write.parquet(path)
-    file_sums(spark, path).coalesce(1).write.parquet(f"{path}/{LIST}.part")
+    one_list(file_sums(spark, path)).write.parquet(f"{path}/{LIST}.part")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     part, whole = hadoop(f"{path}/{LIST}.part"), hadoop(f"{path}/{LIST}")
     if not part.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).rename(part, whole):

@@ -282,3 +282,9 @@ def test_pages_of_few_images_take_no_rounds_and_others_no_broadcast(spark, monke
     monkeypatch.setattr(layout, "FOLD", 2)
     many = layout.merge_overlapping_images(spark.createDataFrame(rows, kind)).collect()
     assert sorted(tuple(r)[2:] for r in many) == want and not any("Broadcast" in p for _, p in made)
+
+
+def test_files_are_summed_by_more_than_one_task(spark, tmp_path):
+    spark.range(40).repartition(4).write.parquet(f"file://{tmp_path}/out")
+    out = manifest.one_list(manifest.file_sums(spark, f"file://{tmp_path}/out"))
+    assert "Coalesce" not in plan(out) and out.rdd.getNumPartitions() == 1 and out.count() == 4
