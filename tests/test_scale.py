@@ -320,3 +320,16 @@ def test_words_of_pages_are_sorted_once(spark):
     assert [(r["idx"], r["ch"], r["pos"]) for r in boxes.orderBy("idx").collect()] == [(0, "a", 0), (1, "b", 3), (2, "c", 6), (3, "d", 8)]
     # one sort of lines, one of words (each shown once)
     assert len(re.findall(r"\bSort \[", plan(layout.group_spans(boxes)).split("Initial Plan")[0])) <= 2
+
+
+@pytest.mark.parametrize("held", [100_000, 0])
+def test_many_queries_write_no_grams_of_pages(spark, monkeypatch, held):
+    names, real = [], search.cut
+    monkeypatch.setattr(search, "cut", lambda df, name="cut": names.append(name) or real(df, name))
+    monkeypatch.setattr(search, "HELD", held)
+    pages = spark.createDataFrame([(i, 0, f"page{i} of x{i % 7} and more é{i % 3}") for i in range(30)], "doc_id long, page_no int, text string")
+    qs = [f"page{i}" for i in range(60)] + ["x3", "é1 ", "e", "é2"] + [f"x{i}" for i in range(7)] * 2
+    got = search.search_hits(pages, spark.createDataFrame(list(enumerate(qs)), "query_id int, q string")).collect()
+    want = [(r["doc_id"], k, r["text"].count(q)) for r in pages.collect() for k, q in enumerate(qs) if q in r["text"]]
+    assert sorted({(r["doc_id"], r["query_id"]) for r in got}) == sorted((d, k) for d, k, _ in want) and len(got) == sum(n for *_, n in want)
+    assert "grams" not in names and "counts" in names
