@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folio.functions.text import SPACES, decode_entities, norm_spaces, strip_bracketed_number
 from folio.operators.search import _BASE, _HITS, search_hits
 from folio.operators.paging import positions
+from folio.sources.shared import cut
 from folio.sources.tables import doc_pages, lines, read_corpus, search_queries, with_
 
 UP_TO = (Window.unboundedPreceding, 0)
@@ -165,11 +166,17 @@ def first_refs(rows: DataFrame) -> DataFrame:
 
 
 def resolve_relations(rels: DataFrame, catalog: DataFrame) -> DataFrame:
-    """id, name of image and thumbnail rels(archive, id, type, target): the first entry of its archive that contains the target."""
+    """id, name of image and thumbnail rels(archive, id, type, target): the first entry of its archive that contains the target.
+
+    Each distinct target of an archive is looked up once, so what is held grows with the entries and not with entries
+    times relations. The targets are written, so that Spark sees how few they are and leaves the entries where they lie."""
     target = F.regexp_replace("target", r"^(\./|/)", "")
     own = rels.where(F.col("type").rlike("image|thumbnail")).select("archive", "id", target.alias("target"))
-    j = own.join(catalog, "archive").where(F.contains("name", F.col("target")))
-    return j.groupBy("id").agg(F.min_by("name", "entry_no").alias("name"))
+    asked = cut(own.select("archive", "target").distinct(), "targets")
+    found = catalog.join(asked, "archive").where(F.contains("name", F.col("target")))
+    first = found.groupBy("archive", "target").agg(F.min_by("name", "entry_no").alias("name"), F.min("entry_no").alias("entry_no"))
+    # an id may stand in several archives: the first of all entries found
+    return own.join(cut(first, "first"), ["archive", "target"]).groupBy("id").agg(F.min_by("name", "entry_no").alias("name"))
 
 
 def drop_running_heads(blocks: DataFrame) -> DataFrame:
