@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import fold
-from folio.operators.search import FEW, _pack, gram_keys, gram_sizes, query_grams, with_grams
+from folio.operators.search import FEW, HELD, _pack, gram_keys, gram_sizes, query_grams, with_found, with_grams
 from folio.sources.shared import cut
 from folio.sources.tables import commands, read_corpus, with_
 from folio.streaming.ordered import counter_in_order, pairs_in_order, run_now, runs_in_order, stream_table, with_clock
@@ -95,12 +95,16 @@ def stream_tally(stream: DataFrame, late: str = "10 minutes", width: str = "1 ho
 def stream_search(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """doc_id, query_id of arriving docs(doc_id, text) and the stated queries(query_id, q) they contain: a stream-static join.
 
-    Up to FEW queries are broadcast; more are met by the gram of each that the fewest other ones have."""
+    Up to FEW queries are broadcast. Up to HELD are looked up in Python workers, a text at a time: no row is
+    made for a gram of a text. More are met by the gram of each that the fewest other ones have."""
     q = queries.select("query_id", fold(F.col("q")).alias("q")).where(F.length("q") > 0)
     docs = docs.select("doc_id", fold(F.col("text")).alias("text"))
     if queries.limit(FEW + 1).count() <= FEW:
         return docs.join(F.broadcast(q), F.contains(F.col("text"), F.col("q"))).select("doc_id", "query_id")
     q = cut(q, "queries")
+    if q.limit(HELD + 1).count() <= HELD:
+        found = with_found(docs, [r["q"] for r in q.select("q").distinct().collect()])
+        return found.join(F.broadcast(q), "q").select("doc_id", "query_id")
     keys = cut(gram_keys(q, query_grams(q).groupBy("gram").agg(F.count("*").alias("n"))), "keys")
     return with_grams(docs, "text", gram_sizes(q)).join(keys, "gram").where(F.contains("text", F.col("q"))).select("doc_id", "query_id")
 

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from folio.operators import outline
+from folio.operators import outline, search
+from folio.streaming import commands
+from tests.test_scale import plan
 
 
 def test_a_target_of_many_relations_is_looked_up_once(spark, monkeypatch):
@@ -13,3 +15,21 @@ def test_a_target_of_many_relations_is_looked_up_once(spark, monkeypatch):
     got = outline.resolve_relations(rels, catalog).collect()
     assert held["targets"].count() == held["first"].count() == 2
     assert {(r["id"], r["name"]) for r in got} == {(i, "/en/0" if i < 150 else "/en/7") for i in range(200)}
+
+
+def test_previews_are_made_where_the_page_lies(spark):
+    pages = spark.createDataFrame([(1, 0, "one the two\nthe end " * 30), (None, 1, "The"), (2**60 + 1, 0, "")], "doc_id long, page_no int, text string")
+    got = search.search_previews(pages, spark.createDataFrame([(1, "the"), (2, "end")], "query_id int, q string"))
+    assert "Window" not in plan(got) and "array_append" not in plan(got)
+    rows = got.collect()
+    assert sum(r["hits"] for r in rows) == 60 + 1 + 30 and {r["doc_id"] for r in rows} == {1, None}
+
+
+def test_a_stream_of_texts_meets_many_queries_without_a_row_for_each_gram(spark):
+    qs = [f"word{i}" for i in range(90)] + ["THE", "the", "x", "é ", "not there", "a long one indeed", "", "\U0001f600b"]
+    docs = [(1, "The word7 word71 é end"), (2, None), (2**60 + 1, "a long one indeed, word8"), (4, ""), (5, "wor"), (6, "ax\U0001f600b")]
+    q = spark.createDataFrame(list(enumerate(qs)), "query_id int, q string")
+    found = commands.stream_search(spark.createDataFrame(docs, "doc_id long, text string"), q)
+    assert "explode(concat" not in plan(found)
+    want = sorted((d, k) for d, text in docs for k, s in enumerate(qs) if s and text and s.lower() in text.lower())
+    assert sorted(map(tuple, found.collect())) == want
