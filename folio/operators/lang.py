@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import COMPAT, PRE_BASE, PUNCT, RTL, RTL_RUNS, SPACES, count_chars, fold_compat, literal_pos, reorder_indic, rtl_runs, split_trim, truncate_meta
+from folio.sources.shared import cut
 from folio.sources.tables import lines, read_corpus, with_
 
 #: Unicode ranges of the scripts told apart.
@@ -35,18 +38,49 @@ def bigram_profiles(docs: DataFrame, top: int = 50) -> DataFrame:
     return counts.withColumn("rank", rank).where(F.col("rank") <= top).select("lang", "rank", "bigram", "n")
 
 
+def _pair_products(texts: DataFrame, profiles: DataFrame, langs: list[str]) -> DataFrame:
+    """doc_id, lang, d, qq of texts(doc_id, text): the products of a text's counts of pairs with those of each profile that
+    shares one, and with themselves. Counted a text at a time in Python workers."""
+    rows = [(ord(r["bigram"][0]) << 21 | ord(r["bigram"][1]), langs.index(r["lang"]), r["n"]) for r in profiles.select("lang", "bigram", "n").collect()]
+    known = np.unique(np.array([r[0] for r in rows], np.int64))
+    weights = np.zeros((len(known), len(langs)), np.int64)
+    for pair, lang, n in rows:
+        weights[np.searchsorted(known, pair), lang] += n
+
+    def products(text: str | None) -> list[int]:
+        points = np.frombuffer((text or "").encode("utf-32-le"), "<u4").astype(np.int64)
+        pairs, counts = np.unique(points[:-1] << 21 | points[1:], return_counts=True)
+        _, own, at = np.intersect1d(pairs, known, assume_unique=True, return_indices=True)
+        return [*(counts[own] @ weights[at]).tolist(), int((counts * counts).sum())]
+
+    @F.pandas_udf("array<long>")
+    def look(texts: pd.Series) -> pd.Series:
+        return texts.map(products)
+
+    found = texts.select("doc_id", look(F.lower("text")).alias("x"))
+    each = F.array(*[F.struct(F.lit(name).alias("lang"), F.get("x", F.lit(i)).alias("d")) for i, name in enumerate(langs)])
+    return found.select("doc_id", F.get("x", F.lit(len(langs))).alias("qq"), F.inline(each)).where("d > 0")
+
+
 def detect_language(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     """doc_id, lang_pred, score: the profile with the largest cosine; ties to the smaller name.
 
     Documents that share no pair with any profile give no row. A profile is a bounded list for
-    each language, so it is broadcast; counts are summed by document before they meet it."""
-    counts = _bigrams(docs, "doc_id").groupBy("doc_id", "bigram").agg(F.count("*").alias("q"))
-    profiles = profiles.where("lang IS NOT NULL")
+    each language, so all workers have it; pairs are counted within a text's row. Only texts
+    that share an id are counted as one, by id and pair."""
+    profiles = cut(profiles.where("lang IS NOT NULL"), "profiles")
     norms = profiles.groupBy("lang").agg(F.sum(F.col("n") * F.col("n")).alias("nn"))
-    dots = counts.join(F.broadcast(profiles.select("lang", "bigram", "n")), "bigram").groupBy("doc_id", "lang").agg(F.sum(F.col("q") * F.col("n")).alias("d"))
-    own = counts.groupBy("doc_id").agg(F.sum(F.col("q") * F.col("q")).alias("qq"))
+    langs = [r["lang"] for r in norms.select("lang").orderBy("lang").collect()]
+    docs = docs.where("doc_id IS NOT NULL")
+    again = cut(docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "again")
+    products = _pair_products(docs.join(again, "doc_id", "left_anti"), profiles, langs)
+    if again.limit(1).count():
+        counts = _bigrams(docs.join(again, "doc_id", "left_semi"), "doc_id").groupBy("doc_id", "bigram").agg(F.count("*").alias("q"))
+        dots = counts.join(F.broadcast(profiles.select("lang", "bigram", "n")), "bigram").groupBy("doc_id", "lang").agg(F.sum(F.col("q") * F.col("n")).alias("d"))
+        own = counts.groupBy("doc_id").agg(F.sum(F.col("q") * F.col("q")).alias("qq"))
+        products = products.unionByName(dots.join(own, "doc_id"))
     score = F.round(F.col("d") / F.sqrt("qq") / F.sqrt("nn"), 6).alias("score")
-    scored = dots.join(own, "doc_id").join(F.broadcast(norms), "lang").select("doc_id", "lang", score)
+    scored = products.join(F.broadcast(norms), "lang").select("doc_id", "lang", score)
     best = scored.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "lang")).alias("b"))
     return best.select("doc_id", F.col("b.lang").alias("lang_pred"), (-F.col("b.s")).alias("score"))
 

@@ -1,8 +1,10 @@
 """What must not grow faster than the input: steps that once held rows times rows, or shuffled every word."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from folio.operators import outline, search
+from folio.operators import lang, outline, search
 from folio.streaming import commands
 from tests.test_scale import plan
 
@@ -33,3 +35,13 @@ def test_a_stream_of_texts_meets_many_queries_without_a_row_for_each_gram(spark)
     assert "explode(concat" not in plan(found)
     want = sorted((d, k) for d, text in docs for k, s in enumerate(qs) if s and text and s.lower() in text.lower())
     assert sorted(map(tuple, found.collect())) == want
+
+
+def test_pairs_are_counted_within_a_text(spark):
+    docs = [(1, "en", "the then"), (2, "de", "der den"), (2, "de", "there"), (None, "en", "the"), (3, None, None), (4, "en", "x"), (2**60 + 1, "fr", "\U0001f600den"), (5, "en", "zzq")]
+    profiles = spark.createDataFrame([("en", 1, "th", 4), ("en", 2, "he", 3), ("de", 1, "de", 4), ("de", 2, "en", 1), ("fr", 1, "th", 4), ("fr", 2, "he", 3), (None, 1, "zz", 9)], "lang string, rank int, bigram string, n long")
+    out = lang.detect_language(spark.createDataFrame(docs, "doc_id long, lang string, text string"), profiles)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in out.collect()}
+    # 1: th and he twice, three more once; both texts of 2 are one
+    assert got.keys() == {1, 2, 2**60 + 1} and got[1] == ("en", round(14 / 11**0.5 / 5, 6)) and got[2**60 + 1][0] == "de"
+    assert got[2][0] == "de" and not re.search("explode\\(zip_with", plan(lang.detect_language(spark.createDataFrame(docs[:1], "doc_id long, lang string, text string"), profiles)))
