@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -31,9 +34,37 @@ def _bigrams(docs: DataFrame, key: str) -> DataFrame:
     return chars.select(key, F.explode(F.zip_with(F.slice("c", 1, n), F.slice("c", 2, n), lambda a, b: F.concat(a, b))).alias("bigram"))
 
 
+def _pairs(text: str | None) -> np.ndarray:
+    """The pairs of neighbouring code points of a text, each as a whole number."""
+    points = np.frombuffer((text or "").encode("utf-32-le"), "<u4").astype(np.int64)
+    return points[:-1] << 21 | points[1:]
+
+
+def _pair_counts(docs: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """lang, bigram, n: partial counts of the pairs of texts, some `most` pairs at a time in Python workers."""
+
+    def counted(lang, held):
+        pairs, n = np.unique(np.concatenate(held), return_counts=True)
+        return pd.DataFrame({"lang": [lang] * len(pairs), "bigram": [chr(p >> 21) + chr(p & 0x1FFFFF) for p in pairs.tolist()], "n": n})
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = defaultdict(list), 0
+        for batch in batches:
+            for lang, text in zip(batch["lang"], batch["text"], strict=True):
+                if len(pairs := _pairs(text)):
+                    held[lang].append(pairs)
+                    size += len(pairs)
+                if size >= most:
+                    yield from (counted(*x) for x in held.items())
+                    held, size = defaultdict(list), 0
+        yield from (counted(*x) for x in held.items())
+
+    return docs.select("lang", F.lower("text").alias("text")).mapInPandas(count, "lang string, bigram string, n long")
+
+
 def bigram_profiles(docs: DataFrame, top: int = 50) -> DataFrame:
     """lang, rank, bigram, n: the most frequent pairs of code points of each language."""
-    counts = _bigrams(docs, "lang").groupBy("lang", "bigram").agg(F.count("*").alias("n"))
+    counts = _pair_counts(docs).groupBy("lang", "bigram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "bigram"))
     return counts.withColumn("rank", rank).where(F.col("rank") <= top).select("lang", "rank", "bigram", "n")
 
@@ -48,8 +79,7 @@ def _pair_products(texts: DataFrame, profiles: DataFrame, langs: list[str]) -> D
         weights[np.searchsorted(known, pair), lang] += n
 
     def products(text: str | None) -> list[int]:
-        points = np.frombuffer((text or "").encode("utf-32-le"), "<u4").astype(np.int64)
-        pairs, counts = np.unique(points[:-1] << 21 | points[1:], return_counts=True)
+        pairs, counts = np.unique(_pairs(text), return_counts=True)
         _, own, at = np.intersect1d(pairs, known, assume_unique=True, return_indices=True)
         return [*(counts[own] @ weights[at]).tolist(), int((counts * counts).sum())]
 

@@ -45,3 +45,10 @@ def test_pairs_are_counted_within_a_text(spark):
     # 1: th and he twice, three more once; both texts of 2 are one
     assert got.keys() == {1, 2, 2**60 + 1} and got[1] == ("en", round(14 / 11**0.5 / 5, 6)) and got[2**60 + 1][0] == "de"
     assert got[2][0] == "de" and not re.search("explode\\(zip_with", plan(lang.detect_language(spark.createDataFrame(docs[:1], "doc_id long, lang string, text string"), profiles)))
+
+
+def test_profiles_are_counted_without_a_row_for_each_pair(spark):
+    docs = spark.createDataFrame([("en", "Aab"), ("en", "ab"), (None, "aa\U0001f600"), ("de", ""), ("de", None)], "lang string, text string")
+    out = lang.bigram_profiles(docs)
+    assert "explode(zip_with" not in plan(out)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([("en", 1, "ab", 2), ("en", 2, "aa", 1), (None, 1, "aa", 1), (None, 2, "a\U0001f600", 1)], key=str)
