@@ -160,3 +160,22 @@ def page_hit_boxes(pages: DataFrame) -> DataFrame:
         return [*_of_hits(batch, ho, hits, h[begin]), words["top"].take(pa.array(w[begin])), edge("u0", np.minimum), edge("u1", np.maximum)]
 
     return in_batches(pages, made, _hit_fields(pages, [T.StructField(c, word[c].dataType) for c in ("top", "u0", "u1")]))
+
+
+def page_hit_edges(pages: DataFrame) -> DataFrame:
+    """doc_id, page_no, query_id, hit_no, a, b of pages with `hits` and `words` (pos, n, u0) in the order of pos: left edges of the last words that hold the hit's start and end, their own ends included; hits without one of the two have no row."""
+    edge = pages.schema["words"].dataType.elementType["u0"].dataType
+
+    def made(batch: pa.RecordBatch) -> list[pa.Array]:
+        (ho, hits), (wo, words) = _items(batch, "hits"), _items(batch, "words")
+        pos, held = _np(words["pos"]), []
+        for c in ("pos0", "end0"):
+            at = _np(hits[c])
+            h, w = _meeting((ho, at, at + 1), (wo, pos, pos + _np(words["n"]) + 1))
+            last = np.full(len(at), -1)
+            last[h] = w  # the last of a hit's words stays
+            held.append(last)
+        h = np.flatnonzero((held[0] >= 0) & (held[1] >= 0))
+        return [*_of_hits(batch, ho, hits, h), *(words["u0"].take(pa.array(last[h])) for last in held)]
+
+    return in_batches(pages, made, _hit_fields(pages, [T.StructField(c, edge) for c in "ab"]))

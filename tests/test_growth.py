@@ -97,3 +97,15 @@ def test_boxes_of_hits_are_found_where_the_page_lies(spark):
                 want[d, p, q, i, top] = min(a, u0), max(b, u1)
     got = layout.search_hit_boxes(spark.createDataFrame(hits, HIT).repartition(3), spark.createDataFrame(boxes, SPOT).repartition(2)).collect()
     assert len(got) == len(want) > 100 and {tuple(r)[:5]: tuple(r)[5:] for r in got} == want
+
+
+def test_edges_of_hits_are_found_where_the_page_lies(spark):
+    assert not re.search("Exchange hash|Sort|Aggregate", plan(layout.REGISTERED["hit_spans_columns"][0](spark, SF)))
+    hits, boxes = hits_and_words()
+    want = []
+    for d, p, q, i, *ends in hits:
+        held = [max(((pos, u0) for e, s, _, u0, _, pos, ch in boxes if (d, p) == (e, s) and pos <= at <= pos + len(ch)), default=None) for at in ends]
+        if None not in held and held[0][1] < -600 < held[1][1]:
+            want.append((d, p, q, i, held[0][1], held[1][1]))
+    got = layout.hit_spans_columns(spark.createDataFrame(hits, HIT).repartition(3), spark.createDataFrame(boxes, SPOT).repartition(2), -600).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 10
