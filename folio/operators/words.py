@@ -60,6 +60,22 @@ def _structs(arrays: dict[str, pa.Array]) -> pa.Array:
     return pa.StructArray.from_arrays(list(arrays.values()), list(arrays))
 
 
+def _joined(begin: np.ndarray, parts: pa.Array, sep: str) -> pa.Array:
+    """The parts of each island, joined; null ones are left out."""
+    ends = np.append(begin, len(parts))
+    if parts.null_count:
+        there = _np(parts.is_valid())
+        ends, parts = np.concatenate([[0], np.cumsum(there)])[ends], parts.drop_null()
+    return pc.binary_join(_lists(ends, parts), sep)
+
+
+def _firsts(offsets: np.ndarray, n: int) -> np.ndarray:
+    """Whether an item is the first of its page."""
+    out = np.zeros(n + 1, bool)
+    out[offsets[:-1]] = True
+    return out[:-1]
+
+
 def _before(a: np.ndarray) -> np.ndarray:
     return np.concatenate([a[:1], a[:-1]])
 
@@ -115,6 +131,29 @@ def page_words(pages: DataFrame, *fields: str) -> DataFrame:
     return in_batches(pages, made, [*keep, T.StructField("words", T.ArrayType(word))])
 
 
+def page_spans(pages: DataFrame) -> DataFrame:
+    """doc_id, page_no, spans of pages with `words`: a new span where the size or the baseline changes or the gap is SPLIT or more; a space where it is SPACE or more."""
+    word = pages.schema["words"].dataType.elementType
+    kinds = {"span_no": T.IntegerType(), "text": T.StringType()} | {c: word[c].dataType for c in ("u0", "u1", "size", "bold", "top", "line_no")}
+
+    def made(batch: pa.RecordBatch) -> list[pa.Array]:
+        offsets, w = _items(batch, "words")
+        u0, u1, size, top = (_np(w[c]) for c in ("u0", "u1", "size", "top"))
+        gap = np.abs(u0 - _before(u1))
+        # what is null is not a number here, and equals nothing
+        new = _firsts(offsets, len(u0)) | (size != _before(size)) | (top != _before(top)) | ~(gap < SPLIT * size)
+        begin = np.flatnonzero(new)
+        parts = pc.if_else(pa.array((gap >= SPACE * size) & ~new), pc.binary_join_element_wise(" ", w["ch"], ""), w["ch"])
+        upto, at = np.searchsorted(begin, offsets), pa.array(begin)
+        spans = {"span_no": pa.array((np.arange(len(begin)) - np.repeat(upto[:-1], np.diff(upto))).astype(np.int32)), "text": _joined(begin, parts, "")}
+        for c, ends, pick in (("u0", u0, np.minimum), ("u1", u1, np.maximum)):
+            spans[c] = pa.array(pick.reduceat(ends, begin) if len(begin) else ends, from_pandas=True).cast(w[c].type)
+        return [*(batch.column(c) for c in PAGE), _lists(upto, _structs(spans | {c: w[c].take(at) for c in ("size", "bold", "top", "line_no")}))]
+
+    span = T.StructType([T.StructField(c, kind) for c, kind in kinds.items()])
+    return in_batches(pages, made, [*(pages.schema[c] for c in PAGE), T.StructField("spans", T.ArrayType(span))])
+
+
 def _meeting(hits: tuple[np.ndarray, ...], words: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of hits and words of a page whose intervals [lo, hi) meet, by hit, then by word; a page's words come in the order of lo. Each of the two: offsets, lo, hi."""
     (ho, lo, hi), (wo, at, upto) = hits, words

@@ -109,3 +109,53 @@ def test_edges_of_hits_are_found_where_the_page_lies(spark):
             want.append((d, p, q, i, held[0][1], held[1][1]))
     got = layout.hit_spans_columns(spark.createDataFrame(hits, HIT).repartition(3), spark.createDataFrame(boxes, SPOT).repartition(2), -600).collect()
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 10
+
+
+def by_pages(rows):
+    """Rows (doc_id, page_no, …) by page, in their order."""
+    out = {}
+    for r in sorted(rows):
+        out.setdefault(r[:2], []).append(r[2:])
+    return out
+
+
+BOX = "doc_id long, page_no int, idx int, ch string, u0 long, u1 long, size int, bold boolean, top double, line_no int"
+
+
+def some_boxes():
+    rng = np.random.default_rng(3)
+    out = []
+    for page in range(5):
+        x, top = 0, 0.0
+        for i in range(40 if page else 1):
+            size = int(rng.choice([10, 10, 10, 14]))
+            if rng.random() < 0.15:
+                x, top = 0, top + float(rng.choice([0.005, 0.01, 0.02, 0.05, -0.05]))
+            x += int(rng.choice([0, 15, 30, 90, 200]))
+            out.append((1, page, i, str(rng.choice(["a", "é", "\U0001f600b", "", "cd e"])), x, x + 40, size, i % 2 == 0, top, i))
+            x += 40
+    return out
+
+
+def brute_spans(boxes):
+    out = []
+    for page, rows in by_pages(boxes).items():
+        spans = []
+        for i, (_, ch, u0, u1, size, bold, top, line_no) in enumerate(rows):
+            gap = abs(u0 - rows[i - 1][3])
+            if i and (size, top) == (rows[i - 1][4], rows[i - 1][6]) and gap < 8 * size:
+                s = spans[-1]
+                s[0], s[1], s[2] = s[0] + " " * (gap >= 1.5 * size) + ch, min(s[1], u0), max(s[2], u1)
+            else:
+                spans.append([ch, u0, u1, size, bold, top, line_no])
+        out += [(*page, k, *s) for k, s in enumerate(spans)]
+    return out
+
+
+def test_spans_are_made_where_the_page_lies(spark):
+    assert not re.search("Exchange|Window", plan(layout.REGISTERED["group_spans"][0](spark, SF)))
+    boxes = some_boxes()
+    got = layout.group_spans(spark.createDataFrame(boxes, BOX).repartition(3)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_spans(boxes)) and len(got) > 40
+    none = layout.group_spans(spark.createDataFrame([(1, 0, i, None, 10 * i, 10 * i, None, None, None, None) for i in range(2)] + [(2, 0, 0, None, 0, 0, 1, True, 0.0, 0)], BOX)).collect()
+    assert sorted((r["doc_id"], r["span_no"], r["text"]) for r in none) == [(1, 0, ""), (1, 1, ""), (2, 0, "")]
