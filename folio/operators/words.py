@@ -154,6 +154,30 @@ def page_spans(pages: DataFrame) -> DataFrame:
     return in_batches(pages, made, [*(pages.schema[c] for c in PAGE), T.StructField("spans", T.ArrayType(span))])
 
 
+def page_lines(pages: DataFrame) -> DataFrame:
+    """doc_id, page_no, lines of pages with `spans`: a new line where the baseline moves by more than 0.9 of the size, and with it a new block where it moves by more than 1.5 or back by more than half of it."""
+
+    def made(batch: pa.RecordBatch) -> list[pa.Array]:
+        offsets, s = _items(batch, "spans")
+        top, size = _np(s["top"]), _np(s["size"])
+        away, first = (top - _before(top)) * 480, _firsts(offsets, len(top)) | np.isnan(_before(top))
+        line = np.abs(away) > 0.9 * size
+        block = first | (line & ((away > 1.5 * size) | (away < -0.5 * size)))
+        begin = np.flatnonzero(first | line)
+        upto, blocks = np.searchsorted(begin, offsets), np.cumsum(block[begin])
+        page = np.repeat(np.arange(len(offsets) - 1), np.diff(upto))
+        lines = {
+            "block": pa.array((blocks - blocks[upto[:-1][page]]).astype(np.int32)),
+            "line": pa.array((np.arange(len(begin)) - upto[:-1][page]).astype(np.int32)),
+            "spans": pa.array(np.diff(np.append(begin, len(top)))),
+            "text": _joined(begin, s["text"], " "),
+        }
+        return [*(batch.column(c) for c in PAGE), _lists(upto, _structs(lines))]
+
+    line = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("line", T.IntegerType()), T.StructField("spans", T.LongType()), T.StructField("text", T.StringType())])
+    return in_batches(pages, made, [*(pages.schema[c] for c in PAGE), T.StructField("lines", T.ArrayType(line))])
+
+
 def _meeting(hits: tuple[np.ndarray, ...], words: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of hits and words of a page whose intervals [lo, hi) meet, by hit, then by word; a page's words come in the order of lo. Each of the two: offsets, lo, hi."""
     (ho, lo, hi), (wo, at, upto) = hits, words

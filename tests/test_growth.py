@@ -159,3 +159,26 @@ def test_spans_are_made_where_the_page_lies(spark):
     assert sorted(map(tuple, got)) == sorted(brute_spans(boxes)) and len(got) > 40
     none = layout.group_spans(spark.createDataFrame([(1, 0, i, None, 10 * i, 10 * i, None, None, None, None) for i in range(2)] + [(2, 0, 0, None, 0, 0, 1, True, 0.0, 0)], BOX)).collect()
     assert sorted((r["doc_id"], r["span_no"], r["text"]) for r in none) == [(1, 0, ""), (1, 1, ""), (2, 0, "")]
+
+
+def brute_lines(spans):
+    out = []
+    for page, rows in by_pages(spans).items():
+        made = []
+        for i, (_, text, _, _, size, _, top, _) in enumerate(rows):
+            away = (top - rows[i - 1][6]) * 480
+            if i and not abs(away) > 0.9 * size:
+                made[-1][2:] = [made[-1][2] + 1, made[-1][3] + " " + text]
+            else:
+                block = made[-1][0] + (away > 1.5 * size or away < -0.5 * size) if i else 0
+                made.append([block, made[-1][1] + 1 if i else 0, 1, text])
+        out += [(*page, *m) for m in made]
+    return out
+
+
+def test_lines_and_blocks_are_made_where_the_page_lies(spark):
+    assert not re.search("Exchange|Window", plan(layout.REGISTERED["group_lines_blocks"][0](spark, SF)))
+    spans = brute_spans(some_boxes())
+    got = layout.group_lines_blocks(spark.createDataFrame(spans, BOX.replace("idx int, ch", "span_no int, text")).repartition(3)).collect()
+    want = brute_lines(spans)
+    assert sorted(map(tuple, got)) == sorted(want) and max(r[2] for r in want) > 2
