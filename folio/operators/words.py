@@ -178,6 +178,19 @@ def page_lines(pages: DataFrame) -> DataFrame:
     return in_batches(pages, made, [*(pages.schema[c] for c in PAGE), T.StructField("lines", T.ArrayType(line))])
 
 
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """doc_id, page_no, blocks of pages with `lines` in their order: an array of blocks, each an array of its lines' texts."""
+
+    def made(batch: pa.RecordBatch) -> list[pa.Array]:
+        offsets, lines = _items(batch, "lines")
+        block = _np(lines["block"])
+        begin = np.flatnonzero(_firsts(offsets, len(block)) | (block != _before(block)))
+        blocks = _lists(np.append(begin, len(block)), lines["text"])
+        return [*(batch.column(c) for c in PAGE), _lists(np.searchsorted(begin, offsets), blocks)]
+
+    return in_batches(pages, made, [*(pages.schema[c] for c in PAGE), T.StructField("blocks", T.ArrayType(T.ArrayType(T.StringType())))])
+
+
 def _meeting(hits: tuple[np.ndarray, ...], words: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of hits and words of a page whose intervals [lo, hi) meet, by hit, then by word; a page's words come in the order of lo. Each of the two: offsets, lo, hi."""
     (ho, lo, hi), (wo, at, upto) = hits, words

@@ -182,3 +182,10 @@ def test_lines_and_blocks_are_made_where_the_page_lies(spark):
     got = layout.group_lines_blocks(spark.createDataFrame(spans, BOX.replace("idx int, ch", "span_no int, text")).repartition(3)).collect()
     want = brute_lines(spans)
     assert sorted(map(tuple, got)) == sorted(want) and max(r[2] for r in want) > 2
+
+
+def test_nested_pages_are_made_where_they_lie(spark):
+    assert not re.search("Exchange|Window", plan(layout.REGISTERED["nested_page"][0](spark, SF)))
+    rows = [(1, p, b, b * 3 + i, f"{b}.{i}" if i else None) for p in (1, 0, 7) for b in range(3) for i in range(p + 1)]
+    got = layout.nested_page(spark.createDataFrame(rows[::-1], "doc_id long, page_no int, block int, line int, text string").repartition(3)).collect()
+    assert {r["page_no"]: r["blocks"] for r in got} == {p: [[f"{b}.{i}" if i else None for i in range(p + 1)] for b in range(3)] for p in (0, 1, 7)}
