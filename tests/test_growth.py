@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from folio.operators import lang, layout, outline, search, words
@@ -189,3 +190,27 @@ def test_nested_pages_are_made_where_they_lie(spark):
     rows = [(1, p, b, b * 3 + i, f"{b}.{i}" if i else None) for p in (1, 0, 7) for b in range(3) for i in range(p + 1)]
     got = layout.nested_page(spark.createDataFrame(rows[::-1], "doc_id long, page_no int, block int, line int, text string").repartition(3)).collect()
     assert {r["page_no"]: r["blocks"] for r in got} == {p: [[f"{b}.{i}" if i else None for i in range(p + 1)] for b in range(3)] for p in (0, 1, 7)}
+
+
+@pytest.mark.parametrize("size", [1, 7, 10_000])
+def test_terms_are_sorted_not_their_prefixes(spark, monkeypatch, size):
+    made, real = [], search.cut
+    monkeypatch.setattr(search, "cut", lambda df, name="cut": made.append(df) or real(df, name))
+    rng = np.random.default_rng(size)
+    terms = {"".join(rng.choice(list("abé\U0001f600"), n)): int(rng.integers(1, 6)) for n in rng.integers(1, 22, 300)} | {"a": 9, "ab": 1}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        rows = spark.createDataFrame(list(terms.items()), "term string, hits long").repartition(5)
+        got = [tuple(r) for r in search.prefix_index(rows, 3).collect()]
+        halves = [rows.where(F.col("term") < "b"), rows.where(F.col("term") >= "b").unionByName(rows.where("term = 'a'"))]
+        grown = [tuple(r) for r in search.grow_prefix_index(halves[0], search.prefix_index(halves[0], 3), halves[1], 3)[1].collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def brute(counts):
+        prefixes = {t[:i] for t in counts for i in range(min(len(t), 16) + 1)}
+        best = {p: sorted((-n, t.encode(), t) for t, n in counts.items() if t.startswith(p))[:3] for p in prefixes}
+        return sorted((p, i + 1, t, -n) for p, b in best.items() for i, (n, _, t) in enumerate(b))
+
+    assert sorted(got) == brute(terms) and sorted(grown) == brute(terms | {"a": 18})
+    assert not any("Generate explode" in df._jdf.queryExecution().optimizedPlan().toString() for df in made)
