@@ -184,3 +184,20 @@ def _same(m: Matcher, data: np.ndarray, which: np.ndarray, at: np.ndarray) -> np
         a = z - m.size[which[i]]
         ok[i] = a >= 0 and view[a:z] == m.strings[which[i]]
     return ok
+
+
+def apart(m: Matcher, which: np.ndarray, of: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which hits stay when a string's hits on a page may not overlap, from left to right; sorted by string, page and place."""
+    ok = np.ones(len(pos), bool)
+    n = m.chars[which]
+    near = np.zeros(len(pos) + 1, bool)
+    near[1:-1] = m.laps[which[1:]] & (which[1:] == which[:-1]) & (of[1:] == of[:-1]) & (pos[1:] < pos[:-1] + n[1:])
+    edges = np.flatnonzero(near[1:] != near[:-1])  # of runs of hits that overlap the one before
+    for a, z in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        places, free = pos[a : z + 1].tolist(), 0
+        for i, x in enumerate(places, a):
+            if x < free:
+                ok[i] = False
+            else:
+                free = x + int(n[a])
+    return ok
