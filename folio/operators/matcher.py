@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +20,11 @@ class Matcher:
     """Strings, as UTF-8, and the automaton of their keys: all of a short string, of a longer one the piece that the fewest share.
 
     States are numbered by their rows in `table`. `outs` are the strings whose keys end in a state, from `first` on;
-    behind a key `rest` bytes of the string follow, up to its end there are `back` code points. `chars` are a string's code points."""
+    behind a key `rest` bytes of the string follow, up to its end there are `back` code points. `chars` are a string's code points. `bytes` has all strings, one behind the other, from `begin` on."""
 
     strings: list[bytes]
+    bytes: np.ndarray
+    begin: np.ndarray
     table: np.ndarray
     classes: np.ndarray
     kinds: int
@@ -66,10 +68,11 @@ def matcher(strings: list[str]) -> Matcher | None:
     # a state is the place of its row, so that a step is one sum and one look-up
     first = np.concatenate([[0], np.cumsum([len(x) for x in outs])])
     points = lambda s: sum((c & 0xC0) != 0x80 for c in s)
+    size = np.array([len(s) for s in held])
     return Matcher(
-        held, (table * kinds).ravel(), classes, kinds, max(map(len, keys)), first, np.array([i for x in outs for i in x], np.int64),
+        held, np.frombuffer(b"".join(held), np.uint8), np.cumsum(size) - size, (table * kinds).ravel(), classes, kinds, max(map(len, keys)), first, np.array([i for x in outs for i in x], np.int64),
         np.array([len(s) - i - len(k) for s, i, k in zip(held, begins, keys, strict=True)]), np.array([points(s[: i + len(k)]) for s, i, k in zip(held, begins, keys, strict=True)]),
-        np.array([len(s) for s in held]), np.array([points(s) for s in held]), np.array([len(s) == len(k) for s, k in zip(held, keys, strict=True)]), np.array([_laps(s) for s in held]),
+        size, np.array([points(s) for s in held]), np.array([len(s) == len(k) for s, k in zip(held, keys, strict=True)]), np.array([_laps(s) for s in held]),
     )
 
 
@@ -149,24 +152,34 @@ def states(m: Matcher, data: np.ndarray, a: int, z: int) -> np.ndarray:
     return out.T.ravel()[: z - a]
 
 
-def matches(m: Matcher, data: np.ndarray, begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """String, page and place in code points from the page's beginning of all hits, overlapping ones too: at most so many at a time, by page, the places of a string in rising order."""
-    chars, base = 0, np.zeros(len(begins), np.int64)
+def _windows(m: Matcher, data: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """For so many bytes at a time: where they begin, the first and last page there, page and state of each byte."""
     for a in range(0, len(data), WINDOW):
         z = min(a + WINDOW, len(data))
         p, q = np.searchsorted(begins, [a, z - 1], "right") - 1
-        page = np.repeat(np.arange(p, q + 1), np.diff(np.clip(begins[p : q + 2], a, z)))
-        behind = chars + np.cumsum((data[a:z] & 0xC0) != 0x80)
+        yield a, p, q, np.repeat(np.arange(p, q + 1), np.diff(np.clip(begins[p : q + 2], a, z))), states(m, data, a, z) // m.kinds
+
+
+def _outs(m: Matcher, state: np.ndarray, a: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The strings whose keys end in states, and which state it is, numbered from a."""
+    n = m.first[state + 1] - m.first[state]
+    each = np.repeat(np.arange(len(n)), n)
+    return m.outs[np.arange(len(each)) + (m.first[state] - np.cumsum(n) + n)[each]], each + a
+
+
+def matches(m: Matcher, data: np.ndarray, begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """String, page and place in code points from the page's beginning of all hits, overlapping ones too: at most so many at a time, by page, the places of a string in rising order."""
+    chars, base = 0, np.zeros(len(begins), np.int64)
+    for a, p, q, page, s in _windows(m, data, begins):
+        behind = chars + np.cumsum((data[a : a + len(s)] & 0xC0) != 0x80)
         new = np.arange(p + (begins[p] < a), q + 1)
         base[new] = np.where(begins[new] > a, behind[begins[new] - a - 1], chars)
         chars = behind[-1]
-        s = states(m, data, a, z) // m.kinds
-        n = (m.first[1:] - m.first[:-1])[s]
+        n = np.diff(m.first)[s]
         at = np.flatnonzero(n)
         n, s = n[at], s[at]
         for b, y in parts(n, WINDOW, WINDOW):
-            each = np.repeat(np.arange(b, y), n[b:y])
-            which = m.outs[np.arange(len(each)) + (m.first[s[b:y]] - np.cumsum(n[b:y]) + n[b:y])[each - b]]
+            which, each = _outs(m, s[b:y], b)
             ends = at[each]
             if not m.whole.all():
                 ok = _same(m, data, which, ends + a)
@@ -175,14 +188,55 @@ def matches(m: Matcher, data: np.ndarray, begins: np.ndarray) -> Iterator[tuple[
             yield which, of, behind[ends] - base[of] - m.back[which]
 
 
+def strings_of(m: Matcher, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """String and page of each string that a page holds: strings are told from the states that a page has, once for each."""
+    k, n, pages = len(m.strings), len(m.first) - 1, len(begins) - 1
+    seen, marks = np.zeros(pages * n, bool), np.zeros(pages * k, bool)
+    for _, _, _, page, s in _windows(m, data, begins):
+        seen[page * n + s] = True
+    of, s = np.divmod(np.flatnonzero(seen), n)
+    short = narrowed(m, m.whole)
+    for a, z in parts(np.diff(short.first)[s], WINDOW, WINDOW):
+        which, each = _outs(short, s[a:z], a)
+        marks[of[each] * k + which] = True
+    if not m.whole.all():
+        for which, of, _ in matches(narrowed(m, ~m.whole), data, begins):
+            marks[of * k + which] = True
+    of, which = np.divmod(np.flatnonzero(marks), k)
+    return which, of
+
+
+def narrowed(m: Matcher, these: np.ndarray) -> Matcher:
+    """The same for some of the strings; they keep their numbers."""
+    keep = these[m.outs]
+    return replace(m, first=np.concatenate([[0], np.cumsum(keep)])[m.first], outs=m.outs[keep])
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as a number; behind the end come zeros."""
+    data = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) - 7, np.dtype("<u8"), data, 0, (1,))
+
+
 def _same(m: Matcher, data: np.ndarray, which: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether the whole string stands where its key ends."""
+    """Whether the whole string stands where its key ends; those that are longer than their keys are compared, eight bytes at a time."""
     ok = m.whole[which]
-    view = memoryview(data)
-    for i in np.flatnonzero(~ok):
-        z = at[i] + 1 + m.rest[which[i]]
-        a = z - m.size[which[i]]
-        ok[i] = a >= 0 and view[a:z] == m.strings[which[i]]
+    i = np.flatnonzero(~ok)
+    if not len(i):
+        return ok
+    size = m.size[which[i]]
+    begin = at[i] + 1 + m.rest[which[i]] - size
+    there = (begin >= 0) & (begin + size <= len(data))
+    i, size, begin = i[there], size[there], begin[there]
+    mine, text, words = m.begin[which[i]], _words(data), _words(m.bytes)
+    step = 0
+    while len(i):
+        differ = text[begin + step] ^ words[mine + step]
+        left = size - step
+        differ &= np.where(left < 8, (np.uint64(1) << np.minimum(8 * left, 63).astype(np.uint64)) - np.uint64(1), ~np.uint64(0))
+        ok[i[(differ == 0) & (left <= 8)]] = True
+        more = (differ == 0) & (left > 8)
+        i, size, begin, mine, step = i[more], size[more], begin[more], mine[more], step + 8
     return ok
 
 

@@ -43,8 +43,8 @@ def test_the_automaton_finds_what_a_scan_finds(monkeypatch, window, keys, hits):
     for column in (pa.array(held, pa.string()), pa.array(["before", *held], pa.large_string())[1:]):
         got = sorted(x for a in matcher.matches(m, *matcher.bytes_of(column)) for x in zip(*(c.tolist() for c in a), strict=True))
         assert got == sorted((k, i, j) for (k, i), at in want.items() for j in at)
-        (which, of, _), *rest = search._held(m, column)
-        assert sorted(zip(which.tolist(), of.tolist(), strict=True)) == sorted(want) and not rest
+        which, of = matcher.strings_of(m, *matcher.bytes_of(column))
+        assert sorted(zip(which.tolist(), of.tolist(), strict=True)) == sorted(want)
         rows = [x for w, o, at in search._placed(m, column) for x in zip(w.tolist(), o.tolist(), at.to_pylist(), strict=True)]
         assert sorted(rows) == sorted((k, i, apart(at, len(STRINGS[k]))) for (k, i), at in want.items())
 
