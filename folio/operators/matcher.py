@@ -212,6 +212,13 @@ def narrowed(m: Matcher, these: np.ndarray) -> Matcher:
     return replace(m, first=np.concatenate([[0], np.cumsum(keep)])[m.first], outs=m.outs[keep])
 
 
+def key_counts(m: Matcher, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """How often the key of each string is in the data."""
+    n = len(m.first) - 1
+    visits = sum((np.bincount(s, minlength=n) for *_, s in _windows(m, data, begins)), np.zeros(n, np.int64))
+    return np.bincount(m.outs, np.repeat(visits, np.diff(m.first)), len(m.strings)).astype(np.int64)
+
+
 def _words(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each byte on as a number; behind the end come zeros."""
     data = np.concatenate([data, np.zeros(8, np.uint8)])
@@ -248,6 +255,10 @@ def apart(m: Matcher, which: np.ndarray, of: np.ndarray, pos: np.ndarray) -> np.
     near[1:-1] = m.laps[which[1:]] & (which[1:] == which[:-1]) & (of[1:] == of[:-1]) & (pos[1:] < pos[:-1] + n[1:])
     edges = np.flatnonzero(near[1:] != near[:-1])  # of runs of hits that overlap the one before
     for a, z in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        gaps = np.diff(pos[a : z + 1]) if z - a > 32 else []
+        if len(gaps) and (gaps == gaps[0]).all():  # as in a row of one character
+            ok[a : z + 1] = np.arange(z + 1 - a) % -(-n[a] // gaps[0]) == 0
+            continue
         places, free = pos[a : z + 1].tolist(), 0
         for i, x in enumerate(places, a):
             if x < free:

@@ -105,3 +105,14 @@ def test_hits_of_many_queries_are_placed_without_a_row_for_each_gram(spark, monk
         monkeypatch.setattr(search, name, bound)
     assert sorted(map(tuple, search.search_hits(rows, q, "raw").collect()), key=key) == sorted(want, key=key)
     assert search.search_hits(rows, q.where("q = 'aa'"), "raw").dtypes == got.dtypes
+
+
+def test_a_page_of_many_hits_is_not_gone_through_for_all_strings_each_time(monkeypatch):
+    n, real = [], search.matches
+    monkeypatch.setattr(search, "HITS", 1_000)
+    monkeypatch.setattr(search, "matches", lambda *a: (n.append(len(x[0])) or x for x in real(*a)))
+    strings = ["a" * i for i in range(1, 31)]
+    m, page = matcher.matcher(strings), pa.array(["a" * 5_000])
+    got = {k: at for w, _, at in search._placed(m, page) for k, at in zip(w.tolist(), at.to_pylist(), strict=True)}
+    assert got == {k: list(range(0, 5_000 - k, k + 1)) for k in range(30)}
+    assert sum(n) < 3 * 30 * 5_000
